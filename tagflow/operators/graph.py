@@ -54,3 +54,69 @@ def cooccur_weighted(incidence: DataFrame, nodes: DataFrame | None = None,
         return w
     e = _with_ids(w, nodes, n_nodes)
     return e.select("Source", "Target", F.lit("Undirected").alias("Type"), "Weight")
+
+
+def symmetric_edges(weighted: DataFrame) -> DataFrame:
+    """Undirected weighted edges ``(Source, Target, Weight)`` in both directions."""
+    e = weighted.select(F.col("Source").alias("src"), F.col("Target").alias("dst"),
+                        F.col("Weight").cast("double").alias("w")).where(F.col("src") != F.col("dst"))
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+def tag_clusters(nodes: DataFrame, weighted: DataFrame, n_nodes: int | None = None,
+                 max_rounds: int = 50) -> tuple[DataFrame, int, bool]:
+    """Label propagation on the weighted tag graph: ``(Id, cluster)``.
+
+    Synchronous rounds: every node takes the label with the largest summed
+    edge weight among its neighbours, with a self-vote equal to its largest
+    incident edge weight (without it synchronous propagation oscillates);
+    ties go to the smallest label.  Each round is a join of the edges with
+    the current labels and two aggregations (partial aggregation first, so
+    a hub node does not sit in one task); the new labels are checkpointed to
+    the shared checkpoint folder, which cuts the lineage and survives the
+    loss of an executor.  Stops when no label changes; returns
+    ``(labels, rounds, settled)``.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(nodes.sparkSession)
+    sym = symmetric_edges(weighted)
+    selfw = sym.groupBy("src").agg(F.max("w").alias("w")).select("src", F.col("src").alias("dst"), "w")
+    votes_edges = sym.unionByName(selfw).checkpoint(eager=True)
+    labels = nodes.select("Id", F.col("Id").alias("cluster")).checkpoint(eager=True)
+    rounds, settled = 0, False
+    while rounds < max_rounds:
+        rounds += 1
+        lab = labels.select(F.col("Id").alias("dst"), F.col("cluster").alias("lab"))
+        looked = lookup_join(votes_edges, lab, "dst", "inner", n_nodes)
+        score = looked.groupBy("src", "lab").agg(F.sum("w").alias("s"))
+        best = score.groupBy("src").agg(
+            F.max_by("lab", F.struct(F.col("s"), (-F.col("lab")).alias("neg"))).alias("new"))
+        nxt = (labels.join(best.withColumnRenamed("src", "Id"), "Id", "left")
+                     .select("Id", F.col("cluster").alias("old"),
+                             F.coalesce("new", "cluster").alias("cluster"))).checkpoint(eager=True)
+        changed = nxt.where(F.col("old") != F.col("cluster")).count()
+        labels = nxt.select("Id", "cluster")
+        if changed == 0:
+            settled = True
+            break
+    return labels, rounds, settled
+
+
+def modularity(weighted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Newman modularity of a labelling: sum_c [ L_c / m - (d_c / 2m)^2 ].
+
+    ``L_c`` is the weight inside cluster c, ``d_c`` the weighted degree sum of
+    its nodes and ``m`` the total edge weight; all are aggregates.
+    """
+    sym = symmetric_edges(weighted)
+    lab = labels.select(F.col("Id").alias("src"), F.col("cluster").alias("cs"))
+    lab2 = labels.select(F.col("Id").alias("dst"), F.col("cluster").alias("cd"))
+    j = sym.join(lab, "src").join(lab2, "dst")
+    per = j.groupBy("cs").agg(F.sum("w").alias("deg"),
+                              F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("inner"))
+    tot = sym.agg((F.sum("w") / 2).alias("m"))
+    q = per.crossJoin(F.broadcast(tot)).agg(
+        F.sum(F.col("inner") / 2 / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)).alias("modularity"))
+    nclu = labels.agg(F.countDistinct("cluster").alias("n_clusters"))
+    return nclu.crossJoin(q)

@@ -14,13 +14,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, enrich, graph, ingest, tags
+from ..operators import clean, docs, enrich, graph, ingest, similarity, tags
+from ..session import stage
 from ..sources import fixtures
 
 # Default parameters of the registered queries.
 MIN_WORDS = 3          # preprocess(min_word)
 POPULAR_MIN = 3        # hashtag_explore(n)
 TAG_MODE = "text_h_in"
+TFIDF_MAX_DF = 0.5     # hashdocs_tfidf(max_df)
+TFIDF_MAX_FEATURES = 1000
+TFIDF_NGRAMS = (1, 1)
+SIM_THRESHOLD = 0.2    # similarity_edges(similarity_threshold)
+TERM_SIM_THRESHOLD = 0.5
 
 
 class Pipeline:
@@ -69,7 +75,7 @@ class Pipeline:
         from ..operators.tokens import tokenize_lemma
 
         kept = clean.ascii_tags(clean.ascii_only(self.staged))
-        return tokenize_lemma(kept, stopwords=self.stopwords, lexicon=self.lexicon)
+        return stage(tokenize_lemma(kept, stopwords=self.stopwords, lexicon=self.lexicon))
 
     # -- hashtag_explore() --------------------------------------------------
     @cached_property
@@ -104,6 +110,35 @@ class Pipeline:
     def edges(self) -> DataFrame:
         return graph.cooccur_edges(self.reduced, self.nodes, self.n_nodes)
 
+    @cached_property
+    def weighted(self) -> DataFrame:
+        return stage(graph.cooccur_weighted(self.reduced, self.nodes, self.n_nodes))
+
+    # -- hashdocs_tfidf() and similarity -----------------------------------
+    @cached_property
+    def segments(self) -> DataFrame:
+        return stage(docs.tag_segments(self.df, self.popular))
+
+    @cached_property
+    def tfidf_and_vocab(self):
+        seg = docs.tag_doc_segments(self.segments, self.nodes, self.n_nodes)
+        w, vocab = similarity.tfidf(seg, max_df=TFIDF_MAX_DF, max_features=TFIDF_MAX_FEATURES,
+                                    ngram_range=TFIDF_NGRAMS, stopwords=self.stopwords)
+        return stage(w), stage(vocab)
+
+    @property
+    def tfidf(self) -> DataFrame:
+        return self.tfidf_and_vocab[0]
+
+    @cached_property
+    def cosine(self) -> DataFrame:
+        vocab = self.tfidf_and_vocab[1]
+        return similarity.cosine_pairs(self.tfidf, SIM_THRESHOLD, vocab.select("term", "df"))
+
+    @cached_property
+    def clusters_result(self):
+        return graph.tag_clusters(self.nodes, self.weighted, self.n_nodes)
+
 
 def basket_pipeline(spark: SparkSession, sf_dir: str, tag_col: str = "p_brand"):
     """Incidence, node table and size for the large basket fixture (all tags kept)."""

@@ -329,3 +329,80 @@ SELECT * FROM (VALUES
  ('Maximum number of hashtags used in a tweet', (SELECT max(h_number) FROM dfx)),
  ('Total hashtag co-occurrences after removing unpopular hashtags', (SELECT count(*) FROM edges))
 ) AS t(characteristic, value)"""))
+
+# ---- documents and similarity --------------------------------------------
+from .chain import SIM_THRESHOLD, TERM_SIM_THRESHOLD, TFIDF_MAX_DF, TFIDF_MAX_FEATURES  # noqa: E402
+
+_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+
+SIM = BASE.rstrip() + f""",
+inc_tok AS (SELECT tweet_id, {py_strip('lower(tag)')} AS tag, tokenized, preprocessed FROM (
+              SELECT id AS tweet_id, unnest(string_split(hashtags, ';')) AS tag, tokenized, preprocessed
+              FROM dfx WHERE hashtags IS NOT NULL)),
+segs AS (SELECT DISTINCT tag, tokenized, preprocessed FROM inc_tok WHERE tag IN (SELECT tag FROM popular)),
+texts AS (SELECT DISTINCT s.tag, s.tokenized, n."Id" AS doc_id FROM segs s JOIN nodes n ON s.tag = n."Name"),
+toks AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(array_to_string(tokenized, ', '), {s(_TOKEN_PATTERN)}, 0),
+                                       lambda t: NOT list_contains({stop_list()}, t))) AS term FROM texts),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
+ndocs AS (SELECT count(DISTINCT doc_id) AS n FROM texts),
+vstats AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM tf GROUP BY term),
+vocab AS (SELECT term, df, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM vstats, ndocs
+          WHERE df <= {TFIDF_MAX_DF} * n ORDER BY ctf DESC, term ASC LIMIT {TFIDF_MAX_FEATURES}),
+raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN vocab USING (term)),
+wts AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw),
+cos AS (SELECT a.doc_id AS "Source", b.doc_id AS "Target", sum(a.weight * b.weight) AS "Weight"
+        FROM wts a JOIN wts b ON a.term = b.term AND a.doc_id > b.doc_id GROUP BY 1, 2
+        HAVING sum(a.weight * b.weight) >= {SIM_THRESHOLD}),
+tcols AS (SELECT term AS col, doc_id, weight / sqrt(sum(weight * weight) OVER (PARTITION BY term)) AS u FROM wts),
+tsim1 AS (SELECT a.col AS t1, b.col AS t2, sum(a.u * b.u) AS s FROM tcols a JOIN tcols b
+          ON a.doc_id = b.doc_id AND a.col > b.col GROUP BY 1, 2 HAVING sum(a.u * b.u) >= {TERM_SIM_THRESHOLD}),
+tsim AS (SELECT t1, t2, s FROM tsim1 UNION ALL SELECT t2 AS t1, t1 AS t2, s FROM tsim1),
+sy AS (SELECT doc_id, term, sum(v) AS v FROM (
+         SELECT y.doc_id, ts.t1 AS term, ts.s * y.weight AS v FROM wts y JOIN tsim ts ON y.term = ts.t2
+         UNION ALL SELECT doc_id, term, weight AS v FROM wts) GROUP BY 1, 2),
+selfdot AS (SELECT w.doc_id, sum(w.weight * sy.v) AS n FROM wts w JOIN sy USING (doc_id, term) GROUP BY 1),
+soft AS (SELECT d1 AS "Source", d2 AS "Target", dot / sqrt(n1.n * n2.n) AS "Weight" FROM (
+           SELECT x.doc_id AS d1, s2.doc_id AS d2, sum(x.weight * s2.v) AS dot FROM wts x JOIN sy s2
+           ON x.term = s2.term AND x.doc_id > s2.doc_id GROUP BY 1, 2) p
+         JOIN selfdot n1 ON p.d1 = n1.doc_id JOIN selfdot n2 ON p.d2 = n2.doc_id
+         WHERE dot / sqrt(n1.n * n2.n) >= {SIM_THRESHOLD})
+"""
+
+
+def with_sim(select: str) -> str:
+    return "WITH " + SIM + "\n" + select
+
+
+q("tag_docs", with_sim("""
+SELECT c.tag AS "Name", n."Id", c.count, t.n_texts, t.n_tokens FROM
+  (SELECT tag, count(*) AS count FROM segs GROUP BY tag) c
+  JOIN (SELECT tag, count(*) AS n_texts, sum(len(tokenized)) AS n_tokens
+        FROM (SELECT DISTINCT tag, tokenized FROM segs) GROUP BY tag) t USING (tag)
+  LEFT JOIN nodes n ON c.tag = n."Name" """))
+q("tfidf", with_sim("SELECT doc_id, term, weight FROM wts"))
+q("cosine_pairs", with_sim("SELECT * FROM cos"))
+q("similarity_edges", with_sim("SELECT \"Source\", \"Target\", \"Weight\", 'Undirected' AS \"Type\" FROM cos"))
+q("check_pairs", with_sim("""
+SELECT (SELECT count(*) FROM nodes) AS n_nodes,
+       (SELECT count(*) * (count(*) - 1) // 2 FROM nodes) AS max_pairs,
+       count(*) AS edge_rows, count(*) FILTER (WHERE "Source" <= "Target") AS misordered,
+       count(*) FILTER (WHERE "Weight" > 1 + 1e-9) AS above_one,
+       count(*) <= (SELECT count(*) * (count(*) - 1) // 2 FROM nodes)
+         AND count(*) FILTER (WHERE "Source" <= "Target") = 0
+         AND count(*) FILTER (WHERE "Weight" > 1 + 1e-9) = 0 AS ok
+FROM cos"""))
+q("soft_cosine_pairs", with_sim("SELECT * FROM soft"))
+q("word_freq", with_sim(f"""
+SELECT word, count(*) AS count FROM (SELECT lower(unnest(tokenized)) AS word FROM dfx) WHERE word <> ''
+GROUP BY word ORDER BY count DESC, word ASC LIMIT {fixed.WORDCLOUD_MAX_WORDS}"""))
+q("pool_documents", with_sim("""
+SELECT 'all' AS scheme, count(DISTINCT doc_key) AS n_docs, count(*) AS n_terms, sum(c) AS n_tokens FROM
+  (SELECT doc_key, term, count(*) AS c FROM (SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx) GROUP BY 1, 2)
+UNION ALL
+SELECT 'tagged', count(DISTINCT doc_key), count(*), sum(c) FROM
+  (SELECT doc_key, term, count(*) AS c FROM (SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx
+                                             WHERE hashtags IS NOT NULL) GROUP BY 1, 2)
+UNION ALL
+SELECT 'tag', count(DISTINCT doc_key), count(*), sum(c) FROM
+  (SELECT doc_key, term, count(*) AS c FROM (SELECT doc_id AS doc_key, unnest(tokenized) AS term FROM texts)
+   WHERE term <> '' GROUP BY 1, 2)"""))

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import clean, enrich, graph, ingest, tags
+from ..operators import clean, docs, enrich, graph, ingest, similarity, tags
 from ..sources import fixtures
+from . import chain
 from .chain import Pipeline, basket_pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,3 +225,79 @@ def q_extract_urls(spark, sf):
 def q_tag_report(spark, sf):
     p = Pipeline(spark, sf)
     return tags.tag_report(p.df, p.incidence, p.reduced, p.edges)
+
+
+# ---- documents and similarity --------------------------------------------
+@query("tag_docs")
+def q_tag_docs(spark, sf):
+    p = Pipeline(spark, sf)
+    return docs.tag_docs(p.segments, p.nodes, p.n_nodes)
+
+
+@query("tfidf")
+def q_tfidf(spark, sf):
+    return Pipeline(spark, sf).tfidf
+
+
+@query("cosine_pairs")
+def q_cosine_pairs(spark, sf):
+    return Pipeline(spark, sf).cosine
+
+
+@query("similarity_edges")
+def q_similarity_edges(spark, sf):
+    return similarity.similarity_edges(Pipeline(spark, sf).cosine, chain.SIM_THRESHOLD)
+
+
+@query("check_pairs")
+def q_check_pairs(spark, sf):
+    p = Pipeline(spark, sf)
+    return similarity.check_pairs(similarity.similarity_edges(p.cosine, chain.SIM_THRESHOLD), p.n_nodes)
+
+
+@query("soft_cosine_pairs")
+def q_soft_cosine_pairs(spark, sf):
+    p = Pipeline(spark, sf)
+    s = similarity.term_similarity(p.tfidf, chain.TERM_SIM_THRESHOLD)
+    return similarity.soft_cosine_pairs(p.tfidf, s, chain.SIM_THRESHOLD)
+
+
+@query("word_freq")
+def q_word_freq(spark, sf):
+    return docs.word_freq(Pipeline(spark, sf).df, "tokenized")
+
+
+@query("pool_documents")
+def q_pool_documents(spark, sf):
+    p = Pipeline(spark, sf)
+    out = None
+    for scheme in ("all", "tagged", "tag"):
+        c = docs.pool_term_counts(p.df, scheme, p.segments, p.nodes, p.n_nodes)
+        s = docs.pool_summary(c, scheme)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+# ---- clusters (iterative: no SQL oracle) -----------------------------------
+@query("tag_clusters")
+def q_tag_clusters(spark, sf):
+    p = Pipeline(spark, sf)
+    labels, rounds, settled = p.clusters_result
+    return labels.join(p.nodes.select("Id", "Name"), "Id").select("Id", "Name", "cluster")
+
+
+@query("modularity")
+def q_modularity(spark, sf):
+    p = Pipeline(spark, sf)
+    labels, rounds, settled = p.clusters_result
+    return graph.modularity(p.weighted, labels).select(
+        "n_clusters", "modularity", F.lit(rounds).alias("rounds"), F.lit(settled).alias("settled"))
+
+
+@query("cluster_docs")
+def q_cluster_docs(spark, sf):
+    p = Pipeline(spark, sf)
+    labels, _, _ = p.clusters_result
+    c = docs.pool_term_counts(p.df, "cluster", p.segments, p.nodes, p.n_nodes, clusters=labels)
+    return c.groupBy(F.col("doc_key").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("count").alias("n_tokens"))

@@ -65,3 +65,14 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written stage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/stages/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df):
+    """Materialise a pipeline stage in the shared checkpoint folder.
+
+    The stage is computed once, later stages read it back instead of
+    recomputing the lineage, and a lost executor costs no recomputation of
+    the upstream work (unlike a cache or a local checkpoint).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
