@@ -129,14 +129,30 @@ def collapse_whitespace(c: Column) -> Column:
     return F.regexp_replace(c, WS + "+", " ")
 
 
+_PRE_STEPS = (normalize_dashes, remove_urls, remove_mentions, F.lower)
+_POST_STEPS = (remove_emoji, punctuation_to_space, remove_digits, collapse_whitespace)
+
+
 def clean_text(c: Column) -> Column:
-    """The ordered cleaning chain; no trim at the end (a blank may remain)."""
-    steps = [normalize_dashes, remove_urls, remove_mentions, F.lower,
-             expand_contractions, remove_emoji, punctuation_to_space,
-             remove_digits, collapse_whitespace]
+    """The ordered cleaning chain; no trim at the end (a blank may remain).
+
+    As a single expression the lower-cased text is spelled out several times
+    inside the contraction step; prefer ``clean_text_df``, which computes it
+    once.
+    """
+    steps = [*_PRE_STEPS, expand_contractions, *_POST_STEPS]
     return reduce(lambda acc, f: f(acc), steps, c)
 
 
+def clean_text_df(df, src: str, out: str = "preprocessed"):
+    """``df`` plus ``out`` = clean_text(src), with the text before the
+    contraction step held in one intermediate column (evaluated once)."""
+    pre = reduce(lambda acc, f: f(acc), _PRE_STEPS, F.col(src))
+    tmp = "_clean_pre"
+    post = reduce(lambda acc, f: f(acc), _POST_STEPS, expand_contractions(F.col(tmp)))
+    return df.withColumn(tmp, pre).withColumn(out, post).drop(tmp)
+
+
 def remove_all_tags(c: Column) -> Column:
     return F.regexp_replace(c, TAG_RE, "")
 

@@ -71,7 +71,7 @@ def clean_stage(data2: DataFrame, min_word: int, mode: str = "text_h_in") -> Dat
     This is the row set the phrase statistics are learned on (before the
     ASCII filters).
     """
-    df = hashtag_decision(data2, mode).withColumn("preprocessed", tx.clean_text(F.col(mode)))
+    df = tx.clean_text_df(hashtag_decision(data2, mode), mode, "preprocessed")
     return min_words(dedup_first(df), min_word)
 
 
@@ -88,8 +88,9 @@ def preprocess(data2: DataFrame, min_word: int, mode: str = "text_h_in",
 def length_hist(data1: DataFrame, data2: DataFrame) -> DataFrame:
     """Words per cleaned text, one histogram per dataset (each its own)."""
     def hist(df, name):
-        n = tx.word_count(tx.clean_text(F.col("text")))
-        return (df.select(n.alias("textlen")).groupBy("textlen")
+        n = tx.word_count(F.col("_clean"))
+        return (tx.clean_text_df(df.select("text"), "text", "_clean")
+                  .select(n.alias("textlen")).groupBy("textlen")
                   .agg(F.count(F.lit(1)).alias("count"))
                   .withColumn("dataset", F.lit(name)))
     return hist(data1, "data1").unionByName(hist(data2, "data2")).select("dataset", "textlen", "count")

@@ -76,51 +76,59 @@ def word_freq(df: DataFrame, col: str = "tokenized", k: int = fixed.WORDCLOUD_MA
     return counts.orderBy(F.col("count").desc(), F.col("word").asc()).limit(k)
 
 
-def pool_term_counts(df: DataFrame, scheme: str, segments: DataFrame | None = None,
-                     nodes: DataFrame | None = None, n_nodes: int | None = None,
-                     clusters: DataFrame | None = None, token_col: str = "tokenized") -> DataFrame:
-    """Term counts ``(doc_key, term, count)`` of the documents of a pooling scheme.
+def pool_texts(df: DataFrame, scheme: str, segments: DataFrame | None = None,
+               nodes: DataFrame | None = None, n_nodes: int | None = None,
+               clusters: DataFrame | None = None, token_col: str = "tokenized") -> DataFrame:
+    """Member texts ``(doc_key, tokens)`` of the documents of a pooling scheme.
 
     all     every cleaned tweet is a document (key = tweet id)
     tagged  tweets with at least one tag
-    tag     one document per popular tag: its distinct token lists
+    tag     one document per popular tag (key = tag Id): its distinct token lists
     cluster one document per tag cluster: the distinct tag documents of the
             cluster, re-tokenised on word characters
+
+    A pooled document is the multiset union of its member texts; it is never
+    concatenated into one row.
     """
     if scheme in ("all", "tagged"):
         rows = df if scheme == "all" else df.where(F.col("hashtags").isNotNull())
-        ex = rows.select(F.col("id").alias("doc_key"), F.explode(token_col).alias("term"))
-    elif scheme == "tag":
-        seg = tag_doc_segments(segments, nodes, n_nodes)
-        ex = seg.select(F.col("doc_id").alias("doc_key"),
-                        F.explode(F.split("text", ", ")).alias("term")).where(F.col("term") != "")
-    elif scheme == "cluster":
-        ex = cluster_tokens(segments, nodes, clusters, n_nodes)
-    else:
-        raise ValueError(f"unknown scheme {scheme!r}")
+        return rows.select(F.col("id").alias("doc_key"), F.col(token_col).alias("tokens"))
+    if scheme == "tag":
+        texts = segments.select("tag", "tokenized").distinct()
+        ids = nodes.select(F.col("Name").alias("tag"), F.col("Id").alias("doc_key"))
+        return lookup_join(texts, ids, "tag", "inner", n_nodes).select("doc_key", F.col("tokenized").alias("tokens"))
+    if scheme == "cluster":
+        return cluster_segments(segments, nodes, clusters, n_nodes)
+    raise ValueError(f"unknown scheme {scheme!r}")
+
+
+def pool_term_counts(df: DataFrame, scheme: str, segments: DataFrame | None = None,
+                     nodes: DataFrame | None = None, n_nodes: int | None = None,
+                     clusters: DataFrame | None = None, token_col: str = "tokenized") -> DataFrame:
+    """Term counts ``(doc_key, term, count)`` of the documents of a pooling scheme."""
+    texts = pool_texts(df, scheme, segments, nodes, n_nodes, clusters, token_col)
+    ex = texts.select("doc_key", F.explode("tokens").alias("term")).where(F.col("term") != "")
     return ex.groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def cluster_tokens(segments: DataFrame, nodes: DataFrame, clusters: DataFrame,
-                   n_nodes: int | None = None) -> DataFrame:
-    """``(doc_key = cluster, term)`` occurrences of the cluster documents.
+def cluster_segments(segments: DataFrame, nodes: DataFrame, clusters: DataFrame,
+                     n_nodes: int | None = None) -> DataFrame:
+    """``(doc_key = cluster, tokens)``: member texts of the cluster documents.
 
     Per cluster, the distinct tag documents are pooled (two tags whose
     documents are equal contribute once); a tag document is identified by
     an order-free 64-bit signature of its distinct token lists, computed as
-    an aggregate.  Terms are re-split on word characters (``\\w+``).
+    an aggregate.  Tokens are re-split on word characters (``\\w+``).
     """
     texts = segments.select("tag", "tokenized").distinct()
     sig = (texts.groupBy("tag").agg(F.sum(F.xxhash64(F.array_join("tokenized", "\u0001"))
                                           .cast("decimal(38,0)")).alias("sig")))
     ids = nodes.select(F.col("Name").alias("tag"), "Id")
     lab = lookup_join(sig, ids, "tag", "inner", n_nodes).join(clusters.select("Id", "cluster"), "Id")
-    chosen = (lab.groupBy("cluster", "sig").agg(F.min("tag").alias("tag")))
-    toks = texts.join(chosen, "tag").select(
+    chosen = lab.groupBy("cluster", "sig").agg(F.min("tag").alias("tag"))
+    return texts.join(chosen, "tag").select(
         F.col("cluster").alias("doc_key"),
-        F.explode(F.regexp_extract_all(F.array_join("tokenized", ", "),
-                                       F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("term"))
-    return toks
+        F.regexp_extract_all(F.array_join("tokenized", ", "), F.lit(r"[\p{L}\p{N}_]+"), 0).alias("tokens"))
 
 
 def pool_summary(counts: DataFrame, scheme: str) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, docs, enrich, graph, ingest, similarity, tags
+from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, topics
 from ..session import stage
 from ..sources import fixtures
 
@@ -27,6 +27,9 @@ TFIDF_MAX_FEATURES = 1000
 TFIDF_NGRAMS = (1, 1)
 SIM_THRESHOLD = 0.2    # similarity_edges(similarity_threshold)
 TERM_SIM_THRESHOLD = 0.5
+LDA_SCHEME = "cluster"  # find_topic_num pools tweets per tag cluster
+LDA_KS = range(2, 8, 2)  # find_topic_num(limit_num=8, start_num=2, step_num=2)
+TOPIC_K = 4            # the model shown by the topic views
 
 
 class Pipeline:
@@ -139,6 +142,25 @@ class Pipeline:
     def clusters_result(self):
         return graph.tag_clusters(self.nodes, self.weighted, self.n_nodes)
 
+    # -- find_topic_num() and topic views --------------------------------
+    @cached_property
+    def lda_texts(self) -> DataFrame:
+        labels = self.clusters_result[0] if LDA_SCHEME == "cluster" else None
+        return stage(docs.pool_texts(self.df, LDA_SCHEME, self.segments, self.nodes, self.n_nodes, labels))
+
+    @cached_property
+    def lda_corpus(self):
+        """``(vectors, vocab, vocabulary size)`` of the pooled documents."""
+        t = self.lda_texts
+        counts = (t.select("doc_key", F.explode("tokens").alias("term")).where(F.col("term") != "")
+                   .groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("count")))
+        return topics.bag_of_words(counts)
+
+    @cached_property
+    def topic_model(self):
+        vectors, _, _ = self.lda_corpus
+        return topics.fit_lda(vectors, TOPIC_K)
+
 
 def basket_pipeline(spark: SparkSession, sf_dir: str, tag_col: str = "p_brand"):
     """Incidence, node table and size for the large basket fixture (all tags kept)."""

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import clean, docs, enrich, graph, ingest, similarity, tags
+from ..functions import fixed
+from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, topics
 from ..sources import fixtures
 from . import chain
 from .chain import Pipeline, basket_pipeline
@@ -99,7 +100,7 @@ def q_check_enrich(spark, sf):
 @query("clean_text")
 def q_clean_text(spark, sf):
     t = fixtures.tweets(spark, sf)
-    return t.select("id", tx.clean_text(F.col("text")).alias("preprocessed"))
+    return tx.clean_text_df(t.select("id", "text"), "text").select("id", "preprocessed")
 
 
 @query("expand_contractions")
@@ -130,7 +131,7 @@ def q_inline_tags(spark, sf):
 @query("dedup_first")
 def q_dedup_first(spark, sf):
     p = Pipeline(spark, sf)
-    d = clean.hashtag_decision(p.data2, p.mode).withColumn("preprocessed", tx.clean_text(F.col(p.mode)))
+    d = tx.clean_text_df(clean.hashtag_decision(p.data2, p.mode), p.mode)
     return clean.dedup_first(d).select("id", "preprocessed", "hashtags")
 
 
@@ -301,3 +302,34 @@ def q_cluster_docs(spark, sf):
     c = docs.pool_term_counts(p.df, "cluster", p.segments, p.nodes, p.n_nodes, clusters=labels)
     return c.groupBy(F.col("doc_key").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n_terms"), F.sum("count").alias("n_tokens"))
+
+
+# ---- topic models (iterative fits: no SQL oracle) --------------------------
+@query("lda_sweep")
+def q_lda_sweep(spark, sf):
+    p = Pipeline(spark, sf)
+    vectors, vocab, _ = p.lda_corpus
+    table, _ = topics.lda_sweep(vectors, vocab, p.lda_texts, chain.LDA_KS)
+    return table
+
+
+@query("coherence_cv")
+def q_coherence_cv(spark, sf):
+    p = Pipeline(spark, sf)
+    _, vocab, _ = p.lda_corpus
+    tw = topics.topic_words(p.topic_model, vocab, fixed.COHERENCE_TOP_WORDS).select("topic", "term")
+    return topics.coherence_cv(tw, p.lda_texts)
+
+
+@query("topic_terms")
+def q_topic_terms(spark, sf):
+    p = Pipeline(spark, sf)
+    _, vocab, _ = p.lda_corpus
+    return topics.topic_terms(p.topic_model, vocab)
+
+
+@query("topic_relevance")
+def q_topic_relevance(spark, sf):
+    p = Pipeline(spark, sf)
+    vectors, vocab, v = p.lda_corpus
+    return topics.topic_relevance(p.topic_model, vectors, vocab, v)
