@@ -8,7 +8,7 @@ NOUN, VERB, ADJ, ADV, other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -59,3 +59,86 @@ def tokenize_lemma(df: DataFrame, col: str = "preprocessed", out: str = "tokeniz
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_lemma"))), lambda s: s["_lemma"]).alias(out))
     return (df.join(regrouped, id_col, "left")
               .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
+
+
+# ---- phrase (bigram) model --------------------------------------------------
+# Phrase tokens: lower-case, accents stripped, maximal runs of word characters
+# that are not decimal digits, 2..15 characters, not starting with '_'.
+PHRASE_TOKEN_RE = r"[\p{L}\p{Nl}\p{No}_]+"
+
+
+def phrase_tokens(c) -> "F.Column":
+    """Tokens of the phrase model for a text column (apostrophes removed first)."""
+    t = tx.deaccent(F.lower(F.regexp_replace(F.regexp_replace(c, tx.WS + "+", " "), "'", "")))
+    toks = F.regexp_extract_all(t, F.lit(PHRASE_TOKEN_RE), 0)
+    return F.filter(toks, lambda w: (F.length(w) >= fixed.PHRASE_TOKEN_MIN)
+                    & (F.length(w) <= fixed.PHRASE_TOKEN_MAX) & ~w.startswith("_"))
+
+
+def _adjacent(toks):
+    """Array of (a, b) structs for adjacent tokens."""
+    n = F.size(toks)
+    return F.when(n >= 2, F.arrays_zip(F.slice(toks, 1, n - 1).alias("a"), F.slice(toks, 2, n - 1).alias("b"))) \
+            .otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+
+
+def mine_bigrams(texts: DataFrame, col: str = "preprocessed", min_count: int = fixed.PHRASE_MIN_COUNT,
+                 threshold: float = fixed.PHRASE_THRESHOLD) -> DataFrame:
+    """Learned phrases ``(a, b, n_a, n_b, n_ab, score)`` with score > threshold.
+
+    score = (n_ab - min_count) * V / (n_a * n_b), V = distinct words plus
+    distinct adjacent pairs.  All counts are aggregates with map-side
+    combining; V is a one-row aggregate cross-joined as a constant.
+    """
+    toks = texts.select(phrase_tokens(F.col(col)).alias("t"))
+    uni = toks.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    bi = (toks.select(F.explode(_adjacent(F.col("t"))).alias("p"))
+              .select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
+    vsize = uni.agg(F.count(F.lit(1)).alias("nu")).crossJoin(bi.agg(F.count(F.lit(1)).alias("nb"))) \
+               .select((F.col("nu") + F.col("nb")).alias("V"))
+    ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
+    ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
+    scored = (bi.where(F.col("n_ab") > min_count).join(ua, "a").join(ub, "b").crossJoin(F.broadcast(vsize))
+                .withColumn("score", (F.col("n_ab") - min_count) / (F.col("n_a") * F.col("n_b")) * F.col("V")))
+    return scored.where(F.col("score") > threshold).select("a", "b", "n_a", "n_b", "n_ab", "score")
+
+
+def apply_bigrams(df: DataFrame, phrases: DataFrame, col: str = "preprocessed", out: str = "spacy_lemmatized",
+                  stopwords=None, id_col: str = "id", lexicon: DataFrame | None = None) -> DataFrame:
+    """Fuse learned phrases (``a_b``) greedily left to right, after stop words.
+
+    Stop words (the list plus 're') are removed first; a pair that is a
+    phrase is fused and the scan resumes after it.  In a run of consecutive
+    phrase positions the fused ones are every other position from the run's
+    start, so the greedy scan reduces to a parity test computed with window
+    functions over the (few) phrase hits -- the token arrays are never
+    exploded.  Tokens of two letters or fewer are dropped at the end.
+    """
+    sw = list(default_stopwords() if stopwords is None else stopwords) + list(fixed.PHRASE_EXTRA_STOPWORDS)
+    base = df.withColumn("_t", F.filter(phrase_tokens(F.col(col)), lambda w: ~w.isin(sw)))
+    pairs = base.select(id_col, F.posexplode(_adjacent(F.col("_t"))).alias("i", "p")) \
+                .select(id_col, "i", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    hits = pairs.join(phrases.select("a", "b"), ["a", "b"], "left_semi").select(id_col, "i")
+    run = hits.withColumn("_g", F.col("i") - F.row_number().over(Window.partitionBy(id_col).orderBy("i")))
+    run = run.withColumn("_k", F.col("i") - F.min("i").over(Window.partitionBy(id_col, "_g")))
+    started = (run.where(F.col("_k") % 2 == 0).groupBy(id_col)
+                  .agg(F.collect_list("i").alias("_s")))     # bounded by the row's own length
+    j = base.join(started, id_col, "left").withColumn(
+        "_s", F.coalesce(F.col("_s"), F.array().cast("array<int>")))
+    t, s = F.col("_t"), F.col("_s")
+    fused = F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: F.when(
+        F.array_contains(s, i), F.concat(F.element_at(t, i + 1), F.lit("_"), F.element_at(t, i + 2))).when(
+        F.array_contains(s, i - 1), F.lit(None)).otherwise(F.element_at(t, i + 1)))
+    fused = F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(
+        F.filter(fused, lambda w: w.isNotNull()))
+    res = j.withColumn(out, F.filter(fused, lambda w: F.length(w) >= fixed.MIN_TOKEN_LEN)).drop("_t", "_s")
+    if lexicon is not None:
+        lem = _lexicon_lemmas(lexicon)
+        ex = res.select(id_col, F.posexplode(out).alias("_pos", "form"))
+        lk = ex.join(lem, "form", "left").withColumn("_lemma", F.coalesce("lemma", "form"))
+        regrouped = lk.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_lemma"))),
+                                                       lambda x: x["_lemma"]).alias("_lem"))
+        res = res.join(regrouped, id_col, "left").withColumn(
+            out, F.coalesce(F.col("_lem"), F.array().cast("array<string>"))).drop("_lem")
+    return res

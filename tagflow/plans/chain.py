@@ -80,6 +80,20 @@ class Pipeline:
         kept = clean.ascii_tags(clean.ascii_only(self.staged))
         return stage(tokenize_lemma(kept, stopwords=self.stopwords, lexicon=self.lexicon))
 
+    @cached_property
+    def phrases(self) -> DataFrame:
+        """Phrase model learned on the cleaned rows before the ASCII filters."""
+        from ..operators.tokens import mine_bigrams
+
+        return stage(mine_bigrams(self.staged))
+
+    @cached_property
+    def df_phrased(self) -> DataFrame:
+        """``df`` plus ``spacy_lemmatized`` (phrases fused, short tokens dropped)."""
+        from ..operators.tokens import apply_bigrams
+
+        return apply_bigrams(self.df, self.phrases, lexicon=self.lexicon)
+
     # -- hashtag_explore() --------------------------------------------------
     @cached_property
     def incidence(self) -> DataFrame:

@@ -406,3 +406,46 @@ UNION ALL
 SELECT 'tag', count(DISTINCT doc_key), count(*), sum(c) FROM
   (SELECT doc_key, term, count(*) AS c FROM (SELECT doc_id AS doc_key, unnest(tokenized) AS term FROM texts)
    WHERE term <> '' GROUP BY 1, 2)"""))
+
+
+# ---- phrase model -----------------------------------------------------------
+_PHRASE_TOKEN_RE = r"[\p{L}\p{Nl}\p{No}_]+"
+
+
+def phrase_toks(e: str) -> str:
+    t = f"strip_accents(lower(replace(regexp_replace({e}, {s(WS + '+')}, ' ', 'g'), chr(39), '')))"
+    return (f"list_filter(regexp_extract_all({t}, {s(_PHRASE_TOKEN_RE)}, 0), "
+            f"lambda w: length(w) >= {fixed.PHRASE_TOKEN_MIN} AND length(w) <= {fixed.PHRASE_TOKEN_MAX} "
+            f"AND NOT starts_with(w, '_'))")
+
+
+_PH_STOP = "[" + ", ".join(s(w) for w in list(default_stopwords()) + list(fixed.PHRASE_EXTRA_STOPWORDS)) + "]"
+
+PHRASES = BASE.rstrip() + f""",
+ptok AS (SELECT id, {phrase_toks('preprocessed')} AS t FROM staged),
+uni AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM ptok) GROUP BY w),
+bi AS (SELECT a, b, count(*) AS n_ab FROM (
+         SELECT t[i] AS a, t[i + 1] AS b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM ptok))
+       GROUP BY a, b),
+vsz AS (SELECT (SELECT count(*) FROM uni) + (SELECT count(*) FROM bi) AS "V"),
+phr AS (SELECT bi.a, bi.b, ua.n AS n_a, ub.n AS n_b, n_ab,
+               (n_ab - {fixed.PHRASE_MIN_COUNT}) / (ua.n * ub.n) * "V" AS score
+        FROM bi JOIN uni ua ON bi.a = ua.w JOIN uni ub ON bi.b = ub.w, vsz
+        WHERE (n_ab - {fixed.PHRASE_MIN_COUNT}) / (ua.n * ub.n) * "V" > {fixed.PHRASE_THRESHOLD}),
+t2 AS (SELECT id, list_filter({phrase_toks('preprocessed')}, lambda w: NOT list_contains({_PH_STOP}, w)) AS t
+       FROM dfx),
+hits AS (SELECT p.id, p.i FROM (SELECT id, i - 1 AS i, t[i] AS a, t[i + 1] AS b
+                                FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM t2)) p
+         JOIN phr ON p.a = phr.a AND p.b = phr.b),
+runs AS (SELECT id, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS g FROM hits),
+st AS (SELECT id, list(i) AS s FROM (SELECT id, i, i - min(i) OVER (PARTITION BY id, g) AS k FROM runs)
+       WHERE k % 2 = 0 GROUP BY id),
+fused AS (SELECT t2.id, list_filter(list_filter(list_transform(range(0, len(t)), lambda i:
+             CASE WHEN list_contains(coalesce(s, []), i) THEN t[i + 1] || '_' || t[i + 2]
+                  WHEN list_contains(coalesce(s, []), i - 1) THEN NULL ELSE t[i + 1] END),
+             lambda w: w IS NOT NULL), lambda w: length(w) >= {fixed.MIN_TOKEN_LEN}) AS sl
+          FROM t2 LEFT JOIN st ON t2.id = st.id)
+"""
+q("mine_bigrams", "WITH " + PHRASES + "\nSELECT * FROM phr")
+q("apply_bigrams", "WITH " + PHRASES
+  + "\nSELECT id, array_to_string(sl, ' ') AS spacy_lemmatized, len(sl) AS n_tokens FROM fused")

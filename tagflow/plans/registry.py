@@ -163,6 +163,18 @@ def q_tokenize_lemma(spark, sf):
                                           F.size("tokenized").alias("n_tokens"))
 
 
+@query("mine_bigrams")
+def q_mine_bigrams(spark, sf):
+    return Pipeline(spark, sf).phrases
+
+
+@query("apply_bigrams")
+def q_apply_bigrams(spark, sf):
+    d = Pipeline(spark, sf).df_phrased
+    return d.select("id", F.array_join("spacy_lemmatized", " ").alias("spacy_lemmatized"),
+                    F.size("spacy_lemmatized").alias("n_tokens"))
+
+
 # ---- tags -----------------------------------------------------------------
 @query("tagged_tweets")
 def q_tagged_tweets(spark, sf):
