@@ -449,3 +449,22 @@ fused AS (SELECT t2.id, list_filter(list_filter(list_transform(range(0, len(t)),
 q("mine_bigrams", "WITH " + PHRASES + "\nSELECT * FROM phr")
 q("apply_bigrams", "WITH " + PHRASES
   + "\nSELECT id, array_to_string(sl, ' ') AS spacy_lemmatized, len(sl) AS n_tokens FROM fused")
+
+
+# ---- sources ----------------------------------------------------------------
+q("scan_tweets", with_base("SELECT * FROM tweets"))
+
+
+def _width(mn: str, mx: str) -> str:
+    return f"""CASE WHEN {mn} >= 0 THEN
+  CASE WHEN {mx} < 255 THEN 'uint8' WHEN {mx} < 65535 THEN 'uint16'
+       WHEN {mx} < 4294967295 THEN 'uint32' ELSE 'uint64' END
+ ELSE
+  CASE WHEN {mn} > -128 AND {mx} < 127 THEN 'int8' WHEN {mn} > -32768 AND {mx} < 32767 THEN 'int16'
+       WHEN {mn} > -2147483648 AND {mx} < 2147483647 THEN 'int32' ELSE 'int64' END END"""
+
+
+q("narrow_types", with_base(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", min_value, max_value, {_width('min_value', 'max_value')} AS width FROM "
+    f"(SELECT min(coalesce({c}, 0)) AS min_value, max(coalesce({c}, 0)) AS max_value FROM data)"
+    for c in ["id", "in_reply_to_status_id", "quoted_status_id", "truncated", "retweet"])))

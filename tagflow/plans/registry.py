@@ -30,6 +30,25 @@ def query(name: str):
     return deco
 
 
+# ---- sources ----------------------------------------------------------------
+@query("scan_tweets")
+def q_scan_tweets(spark, sf):
+    """CSV export round trip: the tweet table written as CSV, scanned back."""
+    from ..session import stage_path
+    from ..sources import io
+
+    path = stage_path(spark, "tweets_csv")
+    io.write_tweets_csv(fixtures.tweets(spark, sf), path)
+    return io.scan_tweets(spark, path)
+
+
+@query("narrow_types")
+def q_narrow_types(spark, sf):
+    from ..sources.narrow import narrow_plan
+
+    return narrow_plan(Pipeline(spark, sf).data)
+
+
 # ---- ingest ---------------------------------------------------------------
 @query("filter_lang")
 def q_filter_lang(spark, sf):
