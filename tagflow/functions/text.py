@@ -145,12 +145,30 @@ def clean_text(c: Column) -> Column:
 
 
 def clean_text_df(df, src: str, out: str = "preprocessed"):
-    """``df`` plus ``out`` = clean_text(src), with the text before the
-    contraction step held in one intermediate column (evaluated once)."""
-    pre = reduce(lambda acc, f: f(acc), _PRE_STEPS, F.col(src))
-    tmp = "_clean_pre"
-    post = reduce(lambda acc, f: f(acc), _POST_STEPS, expand_contractions(F.col(tmp)))
-    return df.withColumn(tmp, pre).withColumn(out, post).drop(tmp)
+    """``df`` plus ``out`` = clean_text(src), one named column per step.
+
+    Each step reads the previous step's column, so no sub-expression is
+    spelled out twice, and steps that cannot match are skipped by cheap
+    native tests: the URL rule needs 'http', the mention rule '@', the
+    contraction rule an apostrophe, and emoji are all non-ASCII (a text whose
+    byte length equals its character length is ASCII).
+    """
+    c = "_clean"
+    g = F.col(c)
+    steps = [
+        normalize_dashes(F.col(src)),
+        F.when(F.instr(g, "http") > 0, remove_urls(g)).otherwise(g),
+        F.when(F.instr(g, "@") > 0, remove_mentions(g)).otherwise(g),
+        F.lower(g),
+        expand_contractions(g),
+        F.when(F.length(g) == F.octet_length(g), g).otherwise(remove_emoji(g)),
+        punctuation_to_space(g),
+        remove_digits(g),
+        collapse_whitespace(g),
+    ]
+    for e in steps:
+        df = df.withColumn(c, e)
+    return df.withColumnRenamed(c, out) if out not in df.columns else df.withColumn(out, g).drop(c)
 
 
 def remove_all_tags(c: Column) -> Column:

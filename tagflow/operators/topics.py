@@ -114,17 +114,23 @@ def topic_relevance(model, vectors: DataFrame, vocab: DataFrame, v: int, lam: fl
         (F.col("topic") + 1).alias("topic"), "rank", "term", "phi", "relevance", "share")
 
 
+def prepare_texts(texts: DataFrame, window: int = fixed.COHERENCE_WINDOW) -> DataFrame:
+    """Texts numbered once (checkpointed first, so the ids are stable):
+    ``(tid, tokens, S)`` with S the last window start."""
+    t = stage(texts.select("tokens")).withColumn("tid", F.monotonically_increasing_id())
+    return stage(t.select("tid", "tokens", F.greatest(F.size("tokens") - window, F.lit(0)).alias("S")))
+
+
 def coherence_cv(topics: DataFrame, texts: DataFrame, window: int = fixed.COHERENCE_WINDOW,
-                 eps: float = fixed.COHERENCE_EPS) -> DataFrame:
+                 eps: float = fixed.COHERENCE_EPS, prepared: bool = False) -> DataFrame:
     """c_v per topic: ``(topic, coherence)``.
 
     ``topics`` holds ``(topic, term)`` for the top words of each topic (a
     small table: topics x words); ``texts`` holds a ``tokens`` array per
-    text.
+    text (or is the output of ``prepare_texts`` when ``prepared``).
     """
     words = [r[0] for r in topics.select("term").distinct().collect()]   # topics x top words
-    t = stage(texts.select("tokens")).withColumn("tid", F.monotonically_increasing_id())
-    t = t.select("tid", "tokens", F.greatest(F.size("tokens") - window, F.lit(0)).alias("S"))
+    t = texts if prepared else prepare_texts(texts, window)
     n_windows = t.agg(F.sum(F.col("S") + 1).alias("N"))
     occ = (t.select("tid", "S", F.posexplode("tokens").alias("pos", "term"))
              .where(F.col("term").isin(words)))
@@ -168,22 +174,33 @@ def coherence_cv(topics: DataFrame, texts: DataFrame, window: int = fixed.COHERE
 
 
 def lda_sweep(vectors: DataFrame, vocab: DataFrame, texts: DataFrame, ks, max_iter: int = LDA_MAX_ITER,
-              optimizer: str = "online", top_words: int = fixed.COHERENCE_TOP_WORDS):
+              optimizer: str = "online", top_words: int = fixed.COHERENCE_TOP_WORDS,
+              parallelism: int = 4):
     """Fit one model per k; return ``(table, models)``.
 
     table: ``k, log_likelihood, log_perplexity, coherence, best`` where
     coherence is c_v averaged over the topics and ``best`` marks the k with
-    the highest coherence.
+    the highest coherence.  The fits are independent Spark jobs and run from
+    ``parallelism`` driver threads at once (as ``CrossValidator`` does), so
+    small models do not leave the cluster idle.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = vectors.sparkSession
-    rows, models = [], {}
-    for k in ks:
+    prepared = prepare_texts(texts)
+
+    def one(k):
         m = fit_lda(vectors, k, max_iter, optimizer)
-        models[k] = m
-        c = coherence_cv(topic_words(m, vocab, top_words).select("topic", "term"), texts)
+        c = coherence_cv(topic_words(m, vocab, top_words).select("topic", "term"), prepared, prepared=True)
         cv = c.agg(F.avg("coherence")).first()[0]
-        rows.append((int(k), float(m.logLikelihood(vectors)), float(m.logPerplexity(vectors)),
-                     float(cv) if cv is not None else None))
+        return k, m, (int(k), float(m.logLikelihood(vectors)), float(m.logPerplexity(vectors)),
+                      float(cv) if cv is not None else None)
+
+    ks = list(ks)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
+        done = list(pool.map(one, ks))
+    models = {k: m for k, m, _ in done}
+    rows = [r for _, _, r in done]
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("log_likelihood", T.DoubleType()),
                            T.StructField("log_perplexity", T.DoubleType()),
                            T.StructField("coherence", T.DoubleType())])

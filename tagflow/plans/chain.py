@@ -33,6 +33,24 @@ TOPIC_K = 4            # the model shown by the topic views
 
 
 class Pipeline:
+    """Stages of the tweet chain for one input folder and one parameter set.
+
+    ``Pipeline.of(spark, sf_dir, ...)`` returns the same object for the same
+    session, folder and parameters, so a stage written once (a checkpoint in
+    the shared folder) is read by every later query, as the reference's
+    later stages read the earlier stages' files.
+    """
+
+    _shared: dict = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, **params) -> "Pipeline":
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, tuple(sorted(params.items())))
+        p = cls._shared.get(key)
+        if p is None:
+            p = cls._shared[key] = cls(spark, sf_dir, **params)
+        return p
+
     def __init__(self, spark: SparkSession, sf_dir: str, min_word: int = MIN_WORDS,
                  popular_min: int = POPULAR_MIN, mode: str = TAG_MODE,
                  stopwords=None, lexicon: DataFrame | None = None):
@@ -56,7 +74,9 @@ class Pipeline:
 
     @cached_property
     def data1(self) -> DataFrame:
-        return ingest.remove_retweets(self.data)
+        """English non-retweets: the base and the lookup side of every enrichment
+        join, so it is written once instead of re-derived per branch."""
+        return stage(ingest.remove_retweets(self.data))
 
     @cached_property
     def data2_raw(self) -> DataFrame:

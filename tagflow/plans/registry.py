@@ -46,7 +46,7 @@ def q_scan_tweets(spark, sf):
 def q_narrow_types(spark, sf):
     from ..sources.narrow import narrow_plan
 
-    return narrow_plan(Pipeline(spark, sf).data)
+    return narrow_plan(Pipeline.of(spark, sf).data)
 
 
 # ---- ingest ---------------------------------------------------------------
@@ -62,18 +62,18 @@ def q_flag_retweets(spark, sf):
 
 @query("fill_sentinels")
 def q_fill_sentinels(spark, sf):
-    d = Pipeline(spark, sf).data
+    d = Pipeline.of(spark, sf).data
     return d.select("id", "in_reply_to_status_id", "quoted_status_id", "truncated", "lat", "retweet")
 
 
 @query("remove_retweets")
 def q_remove_retweets(spark, sf):
-    return Pipeline(spark, sf).data1
+    return Pipeline.of(spark, sf).data1
 
 
 @query("format_dates")
 def q_format_dates(spark, sf):
-    return ingest.format_dates(Pipeline(spark, sf).data1).select("id", "created_at")
+    return ingest.format_dates(Pipeline.of(spark, sf).data1).select("id", "created_at")
 
 
 @query("corpus_profile")
@@ -83,36 +83,36 @@ def q_corpus_profile(spark, sf):
 
 @query("corpus_profile_full")
 def q_corpus_profile_full(spark, sf):
-    return ingest.corpus_profile_full(Pipeline(spark, sf).data)
+    return ingest.corpus_profile_full(Pipeline.of(spark, sf).data)
 
 
 # ---- enrichment -----------------------------------------------------------
 @query("enrich_quotes")
 def q_enrich_quotes(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     return enrich.enrich_quotes(p.data, p.data1)
 
 
 @query("enrich_replies")
 def q_enrich_replies(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     return enrich.enrich_replies(p.data, p.data1)
 
 
 @query("enrich_both")
 def q_enrich_both(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     return enrich.enrich_both(p.data, p.data1)
 
 
 @query("enrich_tweets")
 def q_enrich_tweets(spark, sf):
-    return Pipeline(spark, sf).data2
+    return Pipeline.of(spark, sf).data2
 
 
 @query("check_enrich")
 def q_check_enrich(spark, sf):
-    return enrich.check_enrich(Pipeline(spark, sf).data)
+    return enrich.check_enrich(Pipeline.of(spark, sf).data)
 
 
 # ---- cleaning -------------------------------------------------------------
@@ -130,66 +130,66 @@ def q_expand_contractions(spark, sf):
 
 @query("tag_text_modes")
 def q_tag_text_modes(spark, sf):
-    return clean.tag_text_modes(Pipeline(spark, sf).data2).select(
+    return clean.tag_text_modes(Pipeline.of(spark, sf).data2).select(
         "id", "text_h_in", "text_h_out", "text_h_ne")
 
 
 @query("tag_lists")
 def q_tag_lists(spark, sf):
-    d = clean.hashtag_decision(Pipeline(spark, sf).data2, "text_h_in")
+    d = clean.hashtag_decision(Pipeline.of(spark, sf).data2, "text_h_in")
     return d.select("id", F.array_join("hashtags_list", "|").alias("hashtags_list"), "h_number",
                     F.array_join("mentions_list", "|").alias("mentions_list"), "men_number")
 
 
 @query("inline_tags")
 def q_inline_tags(spark, sf):
-    d = clean.hashtag_decision(Pipeline(spark, sf).data2, "text_h_ne")
+    d = clean.hashtag_decision(Pipeline.of(spark, sf).data2, "text_h_ne")
     return d.select("id", F.array_join("hashtags_ne", "|").alias("hashtags_ne"), "h_ne_number")
 
 
 @query("dedup_first")
 def q_dedup_first(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     d = tx.clean_text_df(clean.hashtag_decision(p.data2, p.mode), p.mode)
     return clean.dedup_first(d).select("id", "preprocessed", "hashtags")
 
 
 @query("min_words")
 def q_min_words(spark, sf):
-    s = Pipeline(spark, sf).staged
+    s = Pipeline.of(spark, sf).staged
     return s.select("id", tx.word_count(F.col("preprocessed")).alias("n_words"))
 
 
 @query("ascii_only")
 def q_ascii_only(spark, sf):
-    return clean.ascii_only(Pipeline(spark, sf).staged).select("id")
+    return clean.ascii_only(Pipeline.of(spark, sf).staged).select("id")
 
 
 @query("ascii_tags")
 def q_ascii_tags(spark, sf):
-    return clean.ascii_tags(clean.ascii_only(Pipeline(spark, sf).staged)).select("id")
+    return clean.ascii_tags(clean.ascii_only(Pipeline.of(spark, sf).staged)).select("id")
 
 
 @query("length_hist")
 def q_length_hist(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     return clean.length_hist(p.data1, p.data2)
 
 
 @query("tokenize_lemma")
 def q_tokenize_lemma(spark, sf):
-    return Pipeline(spark, sf).df.select("id", F.array_join("tokenized", " ").alias("tokenized"),
+    return Pipeline.of(spark, sf).df.select("id", F.array_join("tokenized", " ").alias("tokenized"),
                                           F.size("tokenized").alias("n_tokens"))
 
 
 @query("mine_bigrams")
 def q_mine_bigrams(spark, sf):
-    return Pipeline(spark, sf).phrases
+    return Pipeline.of(spark, sf).phrases
 
 
 @query("apply_bigrams")
 def q_apply_bigrams(spark, sf):
-    d = Pipeline(spark, sf).df_phrased
+    d = Pipeline.of(spark, sf).df_phrased
     return d.select("id", F.array_join("spacy_lemmatized", " ").alias("spacy_lemmatized"),
                     F.size("spacy_lemmatized").alias("n_tokens"))
 
@@ -197,44 +197,44 @@ def q_apply_bigrams(spark, sf):
 # ---- tags -----------------------------------------------------------------
 @query("tagged_tweets")
 def q_tagged_tweets(spark, sf):
-    t = tags.tagged_tweets(Pipeline(spark, sf).df)
+    t = tags.tagged_tweets(Pipeline.of(spark, sf).df)
     return t.select("id", F.size("hashtags").alias("n_tags"), "h_number")
 
 
 @query("explode_tags")
 def q_explode_tags(spark, sf):
-    t = tags.tagged_tweets(Pipeline(spark, sf).df).select(F.col("id").alias("tweet_id"), "hashtags")
+    t = tags.tagged_tweets(Pipeline.of(spark, sf).df).select(F.col("id").alias("tweet_id"), "hashtags")
     return tags.explode_lists(t, ["hashtags"]).select("tweet_id", F.col("hashtags").alias("tag"))
 
 
 @query("normalize_tags")
 def q_normalize_tags(spark, sf):
-    return Pipeline(spark, sf).incidence
+    return Pipeline.of(spark, sf).incidence
 
 
 @query("tag_counts")
 def q_tag_counts(spark, sf):
-    return Pipeline(spark, sf).counts
+    return Pipeline.of(spark, sf).counts
 
 
 @query("popular_tags")
 def q_popular_tags(spark, sf):
-    return Pipeline(spark, sf).popular
+    return Pipeline.of(spark, sf).popular
 
 
 @query("graph_nodes")
 def q_graph_nodes(spark, sf):
-    return Pipeline(spark, sf).nodes
+    return Pipeline.of(spark, sf).nodes
 
 
 @query("top_tags")
 def q_top_tags(spark, sf):
-    return tags.top_tags(Pipeline(spark, sf).popular)
+    return tags.top_tags(Pipeline.of(spark, sf).popular)
 
 
 @query("cooccur_edges")
 def q_cooccur_edges(spark, sf):
-    return Pipeline(spark, sf).edges
+    return Pipeline.of(spark, sf).edges
 
 
 @query("cooccur_weighted")
@@ -245,7 +245,7 @@ def q_cooccur_weighted(spark, sf):
 
 @query("url_by_tagcount")
 def q_url_by_tagcount(spark, sf):
-    return tags.url_by_tagcount(Pipeline(spark, sf).df)
+    return tags.url_by_tagcount(Pipeline.of(spark, sf).df)
 
 
 @query("extract_urls")
@@ -255,53 +255,53 @@ def q_extract_urls(spark, sf):
 
 @query("tag_report")
 def q_tag_report(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     return tags.tag_report(p.df, p.incidence, p.reduced, p.edges)
 
 
 # ---- documents and similarity --------------------------------------------
 @query("tag_docs")
 def q_tag_docs(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     return docs.tag_docs(p.segments, p.nodes, p.n_nodes)
 
 
 @query("tfidf")
 def q_tfidf(spark, sf):
-    return Pipeline(spark, sf).tfidf
+    return Pipeline.of(spark, sf).tfidf
 
 
 @query("cosine_pairs")
 def q_cosine_pairs(spark, sf):
-    return Pipeline(spark, sf).cosine
+    return Pipeline.of(spark, sf).cosine
 
 
 @query("similarity_edges")
 def q_similarity_edges(spark, sf):
-    return similarity.similarity_edges(Pipeline(spark, sf).cosine, chain.SIM_THRESHOLD)
+    return similarity.similarity_edges(Pipeline.of(spark, sf).cosine, chain.SIM_THRESHOLD)
 
 
 @query("check_pairs")
 def q_check_pairs(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     return similarity.check_pairs(similarity.similarity_edges(p.cosine, chain.SIM_THRESHOLD), p.n_nodes)
 
 
 @query("soft_cosine_pairs")
 def q_soft_cosine_pairs(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     s = similarity.term_similarity(p.tfidf, chain.TERM_SIM_THRESHOLD)
     return similarity.soft_cosine_pairs(p.tfidf, s, chain.SIM_THRESHOLD)
 
 
 @query("word_freq")
 def q_word_freq(spark, sf):
-    return docs.word_freq(Pipeline(spark, sf).df, "tokenized")
+    return docs.word_freq(Pipeline.of(spark, sf).df, "tokenized")
 
 
 @query("pool_documents")
 def q_pool_documents(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     out = None
     for scheme in ("all", "tagged", "tag"):
         c = docs.pool_term_counts(p.df, scheme, p.segments, p.nodes, p.n_nodes)
@@ -313,14 +313,14 @@ def q_pool_documents(spark, sf):
 # ---- clusters (iterative: no SQL oracle) -----------------------------------
 @query("tag_clusters")
 def q_tag_clusters(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     labels, rounds, settled = p.clusters_result
     return labels.join(p.nodes.select("Id", "Name"), "Id").select("Id", "Name", "cluster")
 
 
 @query("modularity")
 def q_modularity(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     labels, rounds, settled = p.clusters_result
     return graph.modularity(p.weighted, labels).select(
         "n_clusters", "modularity", F.lit(rounds).alias("rounds"), F.lit(settled).alias("settled"))
@@ -328,7 +328,7 @@ def q_modularity(spark, sf):
 
 @query("cluster_docs")
 def q_cluster_docs(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     labels, _, _ = p.clusters_result
     c = docs.pool_term_counts(p.df, "cluster", p.segments, p.nodes, p.n_nodes, clusters=labels)
     return c.groupBy(F.col("doc_key").alias("cluster")).agg(
@@ -338,7 +338,7 @@ def q_cluster_docs(spark, sf):
 # ---- topic models (iterative fits: no SQL oracle) --------------------------
 @query("lda_sweep")
 def q_lda_sweep(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     vectors, vocab, _ = p.lda_corpus
     table, _ = topics.lda_sweep(vectors, vocab, p.lda_texts, chain.LDA_KS)
     return table
@@ -346,7 +346,7 @@ def q_lda_sweep(spark, sf):
 
 @query("coherence_cv")
 def q_coherence_cv(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     _, vocab, _ = p.lda_corpus
     tw = topics.topic_words(p.topic_model, vocab, fixed.COHERENCE_TOP_WORDS).select("topic", "term")
     return topics.coherence_cv(tw, p.lda_texts)
@@ -354,13 +354,13 @@ def q_coherence_cv(spark, sf):
 
 @query("topic_terms")
 def q_topic_terms(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     _, vocab, _ = p.lda_corpus
     return topics.topic_terms(p.topic_model, vocab)
 
 
 @query("topic_relevance")
 def q_topic_relevance(spark, sf):
-    p = Pipeline(spark, sf)
+    p = Pipeline.of(spark, sf)
     vectors, vocab, v = p.lda_corpus
     return topics.topic_relevance(p.topic_model, vectors, vocab, v)
