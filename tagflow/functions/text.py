@@ -153,7 +153,7 @@ def clean_text_df(df, src: str, out: str = "preprocessed"):
     contraction rule an apostrophe, and emoji are all non-ASCII (a text whose
     byte length equals its character length is ASCII).
     """
-    c = "_clean"
+    c = "__tagflow_clean_step"
     g = F.col(c)
     steps = [
         normalize_dashes(F.col(src)),
@@ -168,7 +168,7 @@ def clean_text_df(df, src: str, out: str = "preprocessed"):
     ]
     for e in steps:
         df = df.withColumn(c, e)
-    return df.withColumnRenamed(c, out) if out not in df.columns else df.withColumn(out, g).drop(c)
+    return df.withColumn(out, g).drop(c)
 
 
 def remove_all_tags(c: Column) -> Column:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import default_stopwords
 from ..plans.joins import MAX_BROADCAST_ROWS
+from ..session import stage
 
 # The vectorizer's default token pattern `\b\w\w+\b` matches maximal runs of
 # two or more word characters; spelled without \b (whose meaning differs
@@ -142,30 +143,55 @@ def term_similarity(vecs: DataFrame, threshold: float) -> DataFrame:
     return one.unionByName(one.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "s"))
 
 
+def _bounded_prefix(vecs: DataFrame, doc_freq: DataFrame, bound: float) -> DataFrame:
+    """Entries whose suffix norm (rarest terms first) is still >= ``bound``."""
+    ordered = vecs.join(doc_freq.select("term", "df"), "term")
+    w = (Window.partitionBy("doc_id").orderBy(F.col("df").desc(), F.col("term").desc())
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    s = ordered.withColumn("_suffix_sq", F.sum(F.col("weight") * F.col("weight")).over(w))
+    return s.where(F.col("_suffix_sq") >= bound * bound * (1 - 1e-9)).select("doc_id", "term")
+
+
 def soft_cosine_pairs(vecs: DataFrame, term_sim: DataFrame, threshold: float) -> DataFrame:
     """Soft cosine x.S.y / sqrt(x.S.x * y.S.y) with S = identity + ``term_sim``.
 
     ``term_sim`` holds the off-diagonal entries ``(t1, t2, s)`` in both
-    directions.  S.y is a join of y with S on the term plus y itself; pairs
-    come from documents sharing a term of S.y.
+    directions.  With u = x / |x|_S and v = S.y / |y|_S the score is u.v, so
+    the exact pair search of ``cosine_pairs`` carries over with general
+    norms: u is indexed on the prefix where its remaining norm times the
+    largest |v| can still reach the threshold, and v likewise with the
+    largest |u| (if u.v >= t they share a term in both prefixes).  Candidates
+    are verified by an exact dot product joined on ``(doc, term)``.
     """
+    if threshold <= 0:
+        raise ValueError("threshold must be > 0: pairs with similarity 0 are not enumerated")
     y = vecs.select(F.col("doc_id"), F.col("term").alias("t2"), F.col("weight").alias("w"))
     spread = (y.join(term_sim, "t2").select("doc_id", F.col("t1").alias("term"),
                                             (F.col("s") * F.col("w")).alias("v")))
     sy = (spread.unionByName(vecs.select("doc_id", "term", F.col("weight").alias("v")))
                 .groupBy("doc_id", "term").agg(F.sum("v").alias("v")))
     self_dot = (vecs.join(sy, ["doc_id", "term"]).groupBy("doc_id")
-                    .agg(F.sum(F.col("weight") * F.col("v")).alias("n")))
-    x = vecs.select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
-    s2 = sy.select(F.col("doc_id").alias("d2"), "term", F.col("v").alias("v2"))
-    dots = (x.join(s2, "term").where(F.col("d1") > F.col("d2"))
-             .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("v2")).alias("dot")))
-    n1 = self_dot.select(F.col("doc_id").alias("d1"), F.col("n").alias("n1"))
-    n2 = self_dot.select(F.col("doc_id").alias("d2"), F.col("n").alias("n2"))
-    sc = dots.join(n1, "d1").join(n2, "d2").select(
-        F.col("d1").alias("Source"), F.col("d2").alias("Target"),
-        (F.col("dot") / F.sqrt(F.col("n1") * F.col("n2"))).alias("Weight"))
-    return sc.where(F.col("Weight") >= threshold)
+                    .agg(F.sqrt(F.sum(F.col("weight") * F.col("v"))).alias("sn")))
+    u = stage(vecs.join(self_dot, "doc_id").select("doc_id", "term", (F.col("weight") / F.col("sn")).alias("weight")))
+    v = stage(sy.join(self_dot, "doc_id").select("doc_id", "term", (F.col("v") / F.col("sn")).alias("weight")))
+    norms = (u.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n2")).agg(F.sqrt(F.max("n2")).alias("mu"))
+              .crossJoin(v.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n2"))
+                          .agg(F.sqrt(F.max("n2")).alias("mv"))).first())   # two numbers
+    mu, mv = float(norms["mu"] or 0.0), float(norms["mv"] or 0.0)
+    if mu == 0.0 or mv == 0.0:
+        return u.sparkSession.createDataFrame([], "Source long, Target long, Weight double")
+    doc_freq = u.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    pu = _bounded_prefix(u, doc_freq, threshold / mv)
+    pv = _bounded_prefix(v, doc_freq, threshold / mu)
+    cand = (pu.alias("a").join(pv.alias("b"), (F.col("a.term") == F.col("b.term"))
+                               & (F.col("a.doc_id") > F.col("b.doc_id")))
+              .select(F.col("a.doc_id").alias("d1"), F.col("b.doc_id").alias("d2")).distinct())
+    x = u.select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
+    z = v.select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
+    dots = (cand.join(x, "d1").join(z, ["d2", "term"])
+                .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("w2")).alias("Weight")))
+    return (dots.where(F.col("Weight") >= threshold)
+                .select(F.col("d1").alias("Source"), F.col("d2").alias("Target"), "Weight"))
 
 
 def similarity_edges(pairs: DataFrame, threshold: float) -> DataFrame:
