@@ -29,3 +29,12 @@ def default_stopwords(lang: str = "english") -> tuple[str, ...]:
                 continue
             return tuple(w for w in data.split() if w)
     raise FileNotFoundError(f"no Spark stop-word list for {lang!r}")
+
+
+def union_stopwords(*lists) -> tuple[str, ...]:
+    """Union of several stop-word lists, first occurrence order kept."""
+    seen: dict[str, None] = {}
+    for lst in lists:
+        for w in lst:
+            seen.setdefault(w, None)
+    return tuple(seen)

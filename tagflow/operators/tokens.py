@@ -105,7 +105,8 @@ def mine_bigrams(texts: DataFrame, col: str = "preprocessed", min_count: int = f
 
 
 def apply_bigrams(df: DataFrame, phrases: DataFrame, col: str = "preprocessed", out: str = "spacy_lemmatized",
-                  stopwords=None, id_col: str = "id", lexicon: DataFrame | None = None) -> DataFrame:
+                  stopwords=None, id_col: str = "id", lexicon: DataFrame | None = None,
+                  phrase_rows: int | None = None) -> DataFrame:
     """Fuse learned phrases (``a_b``) greedily left to right, after stop words.
 
     Stop words (the list plus 're') are removed first; a pair that is a
@@ -119,7 +120,11 @@ def apply_bigrams(df: DataFrame, phrases: DataFrame, col: str = "preprocessed",
     base = df.withColumn("_t", F.filter(phrase_tokens(F.col(col)), lambda w: ~w.isin(sw)))
     pairs = base.select(id_col, F.posexplode(_adjacent(F.col("_t"))).alias("i", "p")) \
                 .select(id_col, "i", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    hits = pairs.join(phrases.select("a", "b"), ["a", "b"], "left_semi").select(id_col, "i")
+    # With a measured phrase count under the bound, the phrase table is
+    # broadcast and the adjacent pairs are matched map-side (no shuffle of
+    # one row per token); otherwise a shuffled semi-join.
+    hits = lookup_join(pairs, phrases.select("a", "b"), ["a", "b"], "left_semi", phrase_rows) \
+        .select(id_col, "i")
     run = hits.withColumn("_g", F.col("i") - F.row_number().over(Window.partitionBy(id_col).orderBy("i")))
     run = run.withColumn("_k", F.col("i") - F.min("i").over(Window.partitionBy(id_col, "_g")))
     started = (run.where(F.col("_k") % 2 == 0).groupBy(id_col)

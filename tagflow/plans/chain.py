@@ -112,7 +112,8 @@ class Pipeline:
         """``df`` plus ``spacy_lemmatized`` (phrases fused, short tokens dropped)."""
         from ..operators.tokens import apply_bigrams
 
-        return apply_bigrams(self.df, self.phrases, lexicon=self.lexicon)
+        n = self.phrases.count()        # reads the checkpointed phrase table
+        return apply_bigrams(self.df, self.phrases, lexicon=self.lexicon, phrase_rows=n)
 
     # -- hashtag_explore() --------------------------------------------------
     @cached_property
