@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import lookup_join
+from ..plans.joins import lookup_join, with_constants
 
 
 def cooccur_pairs(incidence: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def modularity(weighted: DataFrame, labels: DataFrame) -> DataFrame:
     per = j.groupBy("cs").agg(F.sum("w").alias("deg"),
                               F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("inner"))
     tot = sym.agg((F.sum("w") / 2).alias("m"))
-    q = per.crossJoin(F.broadcast(tot)).agg(
+    q = with_constants(per, tot).agg(
         F.sum(F.col("inner") / 2 / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)).alias("modularity"))
     nclu = labels.agg(F.countDistinct("cluster").alias("n_clusters"))
-    return nclu.crossJoin(q)
+    return with_constants(nclu, q)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import default_stopwords
-from ..plans.joins import MAX_BROADCAST_ROWS
+from ..plans.joins import MAX_BROADCAST_ROWS, with_constants
 from ..session import stage
 
 # The vectorizer's default token pattern `\b\w\w+\b` matches maximal runs of
@@ -72,7 +72,7 @@ def vocabulary(tf: DataFrame, n_docs: DataFrame, max_df=1.0, max_features: int |
     constant (one row by construction).
     """
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
-    stats = stats.crossJoin(F.broadcast(n_docs))
+    stats = with_constants(stats, n_docs)
     limit = F.lit(max_df) if isinstance(max_df, int) and not isinstance(max_df, bool) \
         else F.lit(float(max_df)) * F.col("n_docs")
     stats = stats.where(F.col("df") <= limit)
@@ -93,8 +93,18 @@ def tfidf(segments: DataFrame, text_col: str = "text", doc_col: str = "doc_id",
     if max_features is not None and max_features <= MAX_BROADCAST_ROWS:
         v = F.broadcast(v)       # bounded by max_features
     w = tf.join(v, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", (F.col("raw") / norm).alias("weight")), vocab
+    return unit_rows(w, "doc_id", "raw"), vocab
+
+
+def unit_rows(w: DataFrame, key: str, val: str) -> DataFrame:
+    """Scale each ``key`` group to unit L2 length: ``(key, term, weight)``.
+
+    The norm is a partially aggregated group-by joined back on the key (AQE
+    may split a hot key on the big side), not a window that would hold a
+    whole group in one task.
+    """
+    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col(val) * F.col(val))).alias("_norm"))
+    return (w.join(norms, key).select(key, "term", (F.col(val) / F.col("_norm")).alias("weight")))
 
 
 def _prefix_entries(vecs: DataFrame, doc_freq: DataFrame, threshold: float) -> DataFrame:
@@ -135,9 +145,8 @@ def term_similarity(vecs: DataFrame, threshold: float) -> DataFrame:
     terms' document columns, kept when s >= threshold.  Computed with the
     same exact pair search on the transposed table."""
     cols = vecs.select(F.col("term").alias("doc_id"), F.col("doc_id").cast("string").alias("term"),
-                       "weight")
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id")))
-    unit = cols.select("doc_id", "term", (F.col("weight") / norm).alias("weight"))
+                       F.col("weight").alias("w"))
+    unit = unit_rows(cols, "doc_id", "w")
     p = cosine_pairs(unit, threshold)
     one = p.select(F.col("Source").alias("t1"), F.col("Target").alias("t2"), F.col("Weight").alias("s"))
     return one.unionByName(one.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "s"))
@@ -174,9 +183,10 @@ def soft_cosine_pairs(vecs: DataFrame, term_sim: DataFrame, threshold: float) ->
                     .agg(F.sqrt(F.sum(F.col("weight") * F.col("v"))).alias("sn")))
     u = stage(vecs.join(self_dot, "doc_id").select("doc_id", "term", (F.col("weight") / F.col("sn")).alias("weight")))
     v = stage(sy.join(self_dot, "doc_id").select("doc_id", "term", (F.col("v") / F.col("sn")).alias("weight")))
-    norms = (u.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n2")).agg(F.sqrt(F.max("n2")).alias("mu"))
-              .crossJoin(v.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n2"))
-                          .agg(F.sqrt(F.max("n2")).alias("mv"))).first())   # two numbers
+    norms = with_constants(
+        u.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n2")).agg(F.sqrt(F.max("n2")).alias("mu")),
+        v.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n2")).agg(F.sqrt(F.max("n2")).alias("mv")),
+    ).first()   # two numbers
     mu, mv = float(norms["mu"] or 0.0), float(norms["mv"] or 0.0)
     if mu == 0.0 or mv == 0.0:
         return u.sparkSession.createDataFrame([], "Source long, Target long, Weight double")

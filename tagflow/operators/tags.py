@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..plans.joins import with_constants
 from ..plans.rank import number_rows
 
 
@@ -117,7 +118,7 @@ def tag_report(df: DataFrame, incidence: DataFrame, popular_incidence: DataFrame
     c = popular_incidence.agg(F.count(F.lit(1)).alias("total_tags_red"),
                               F.countDistinct("tag").alias("unique_tags_red"))
     d = edges.agg(F.count(F.lit(1)).alias("cooccurrences"))
-    row = a.crossJoin(b).crossJoin(c).crossJoin(d)
+    row = with_constants(with_constants(with_constants(a, b), c), d)   # four one-row aggregates
     figures = [
         ("cleaned tweets", "cleaned"),
         ("Total hashtags (repetitive) in cleaned tweets", "total_tags"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.stopwords import default_stopwords
-from ..plans.joins import lookup_join
+from ..plans.joins import lookup_join, with_constants
 
 POS_ORDER = {"NOUN": 0, "VERB": 1, "ADJ": 2, "ADV": 3}
 
@@ -95,11 +95,11 @@ def mine_bigrams(texts: DataFrame, col: str = "preprocessed", min_count: int = f
     bi = (toks.select(F.explode(_adjacent(F.col("t"))).alias("p"))
               .select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
               .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
-    vsize = uni.agg(F.count(F.lit(1)).alias("nu")).crossJoin(bi.agg(F.count(F.lit(1)).alias("nb"))) \
-               .select((F.col("nu") + F.col("nb")).alias("V"))
+    vsize = with_constants(uni.agg(F.count(F.lit(1)).alias("nu")), bi.agg(F.count(F.lit(1)).alias("nb"))) \
+        .select((F.col("nu") + F.col("nb")).alias("V"))
     ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
-    scored = (bi.where(F.col("n_ab") > min_count).join(ua, "a").join(ub, "b").crossJoin(F.broadcast(vsize))
+    scored = (with_constants(bi.where(F.col("n_ab") > min_count).join(ua, "a").join(ub, "b"), vsize)
                 .withColumn("score", (F.col("n_ab") - min_count) / (F.col("n_a") * F.col("n_b")) * F.col("V")))
     return scored.where(F.col("score") > threshold).select("a", "b", "n_a", "n_b", "n_ab", "score")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..plans.joins import MAX_BROADCAST_ROWS
+from ..plans.joins import MAX_BROADCAST_ROWS, with_constants
 from ..plans.rank import number_rows
 from ..session import stage
 
@@ -63,11 +63,21 @@ def bag_of_words(counts: DataFrame, vocab_size: int = VOCAB_SIZE):
     return stage(vec), vocab, v
 
 
+MINI_BATCH_DOCS = 1000
+
+
 def fit_lda(vectors: DataFrame, k: int, max_iter: int = LDA_MAX_ITER, optimizer: str = "online",
-            seed: int = fixed.LDA_SEED):
+            seed: int = fixed.LDA_SEED, n_docs: int | None = None):
+    """MLlib LDA.  The online optimizer's mini-batch is sized to about
+    ``MINI_BATCH_DOCS`` documents: a pooled corpus of a few hundred documents is
+    seen whole in every iteration, a huge one is sampled (at least MLlib's
+    default 5 %)."""
     from pyspark.ml.clustering import LDA
 
-    return LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features").fit(vectors)
+    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features")
+    if optimizer == "online" and n_docs:
+        lda = lda.setSubsamplingRate(min(1.0, max(0.05, MINI_BATCH_DOCS / n_docs)))
+    return lda.fit(vectors)
 
 
 def topic_words(model, vocab: DataFrame, n: int) -> DataFrame:
@@ -100,7 +110,7 @@ def topic_relevance(model, vectors: DataFrame, vocab: DataFrame, v: int, lam: fl
 
     phi = topic_words(model, vocab, v).select("topic", "term", F.col("weight").alias("phi"))
     tot = vocab.agg(F.sum("total").alias("n"))
-    p = vocab.crossJoin(F.broadcast(tot)).select("term", (F.col("total") / F.col("n")).alias("p"))
+    p = with_constants(vocab, tot).select("term", (F.col("total") / F.col("n")).alias("p"))
     rel = phi.join(p, "term").withColumn(
         "relevance", lam * F.log("phi") + (1 - lam) * F.log(F.col("phi") / F.col("p")))
     w = Window.partitionBy("topic").orderBy(F.col("relevance").desc(), F.col("term").asc())
@@ -108,7 +118,7 @@ def topic_relevance(model, vectors: DataFrame, vocab: DataFrame, v: int, lam: fl
     dist = model.transform(vectors).select("length", vector_to_array("topicDistribution").alias("t"))
     mass = (dist.select(F.posexplode("t").alias("topic", "theta"), "length")
                 .groupBy("topic").agg(F.sum(F.col("theta") * F.col("length")).alias("m")))
-    share = mass.crossJoin(F.broadcast(mass.agg(F.sum("m").alias("all")))).select(
+    share = with_constants(mass, mass.agg(F.sum("m").alias("all"))).select(
         "topic", (F.col("m") / F.col("all")).alias("share"))
     return ranked.join(F.broadcast(share), "topic").select(
         (F.col("topic") + 1).alias("topic"), "rank", "term", "phi", "relevance", "share")
@@ -160,7 +170,7 @@ def coherence_cv(topics: DataFrame, texts: DataFrame, window: int = fixed.COHERE
     sc2 = single.select(F.col("term").alias("wj"), F.col("c").alias("cj"))
     pc = pair.select(F.col("t1").alias("wi"), F.col("t2").alias("wj"), "c12")
     pc = pc.unionByName(pc.select(F.col("wj").alias("wi"), F.col("wi").alias("wj"), "c12"))
-    g = (grid.join(sc, "wi").join(sc2, "wj").join(pc, ["wi", "wj"], "left").crossJoin(F.broadcast(n_windows)))
+    g = with_constants(grid.join(sc, "wi").join(sc2, "wj").join(pc, ["wi", "wj"], "left"), n_windows)
     c12 = F.when(F.col("wi") == F.col("wj"), F.col("ci")).otherwise(F.coalesce(F.col("c12"), F.lit(0)))
     p12 = c12 / F.col("N") + eps
     npmi = F.log(p12 / ((F.col("ci") / F.col("N")) * (F.col("cj") / F.col("N")))) / -F.log(p12)
@@ -188,9 +198,10 @@ def lda_sweep(vectors: DataFrame, vocab: DataFrame, texts: DataFrame, ks, max_it
 
     spark = vectors.sparkSession
     prepared = prepare_texts(texts)
+    n_docs = vectors.count()          # reads the checkpointed corpus
 
     def one(k):
-        m = fit_lda(vectors, k, max_iter, optimizer)
+        m = fit_lda(vectors, k, max_iter, optimizer, n_docs=n_docs)
         c = coherence_cv(topic_words(m, vocab, top_words).select("topic", "term"), prepared, prepared=True)
         cv = c.agg(F.avg("coherence")).first()[0]
         return k, m, (int(k), float(m.logLikelihood(vectors)), float(m.logPerplexity(vectors)),
@@ -206,5 +217,5 @@ def lda_sweep(vectors: DataFrame, vocab: DataFrame, texts: DataFrame, ks, max_it
                            T.StructField("coherence", T.DoubleType())])
     table = spark.createDataFrame(rows, schema)     # one row per k: a handful of numbers
     best = table.agg(F.max_by("k", "coherence").alias("best_k"))
-    table = table.crossJoin(best).withColumn("best", F.col("k") == F.col("best_k")).drop("best_k")
+    table = with_constants(table, best).withColumn("best", F.col("k") == F.col("best_k")).drop("best_k")
     return table, models

@@ -194,7 +194,7 @@ class Pipeline:
     @cached_property
     def topic_model(self):
         vectors, _, _ = self.lda_corpus
-        return topics.fit_lda(vectors, TOPIC_K)
+        return topics.fit_lda(vectors, TOPIC_K, n_docs=vectors.count())
 
 
 def basket_pipeline(spark: SparkSession, sf_dir: str, tag_col: str = "p_brand"):

@@ -21,3 +21,12 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
     if small_rows is not None and small_rows <= MAX_BROADCAST_ROWS:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row DataFrame (a global aggregate) to every row.
+
+    ``one_row`` must be an aggregate without grouping, so it has exactly one
+    row by construction; it is broadcast and the join is a per-row append.
+    """
+    return df.crossJoin(F.broadcast(one_row))
