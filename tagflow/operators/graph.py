@@ -1,10 +1,13 @@
 """Tag graph: co-occurrence edges, label propagation clusters, modularity.
 
 Co-occurrence is a self-join of the incidence table on the tweet id.  The
-incidence is hash-partitioned by tweet id once; the per-tweet de-duplication
-and the self-join both reuse that partitioning (one shuffle).  The join
-condition ``a.tag < b.tag`` emits each undirected pair once and drops
-self-loops; each output row is a result row (one edge per tweet and pair).
+per-tweet de-duplication is an aggregate on (tweet, tag) -- partial
+aggregation first, and a tweet with very many tags is spread over tasks --
+and the self-join's own shuffle on the tweet id is one the planner inserts,
+so AQE may split a skewed tweet (it does not split shuffles a user asked
+for with ``repartition``).  The join condition ``a.tag < b.tag`` emits each
+undirected pair once and drops self-loops; each output row is a result row
+(one edge per tweet and pair).
 """
 
 from __future__ import annotations
@@ -17,8 +20,7 @@ from ..plans.joins import lookup_join, with_constants
 
 def cooccur_pairs(incidence: DataFrame) -> DataFrame:
     """``(tweet_id, tag_a, tag_b)`` with tag_a < tag_b, distinct per tweet."""
-    d = (incidence.select("tweet_id", "tag").repartition("tweet_id")
-                  .dropDuplicates(["tweet_id", "tag"]))
+    d = incidence.select("tweet_id", "tag").distinct()
     a, b = d.alias("a"), d.alias("b")
     return (a.join(b, (F.col("a.tweet_id") == F.col("b.tweet_id")) & (F.col("a.tag") < F.col("b.tag")))
              .select(F.col("a.tweet_id").alias("tweet_id"), F.col("a.tag").alias("tag_a"),

@@ -107,15 +107,60 @@ def unit_rows(w: DataFrame, key: str, val: str) -> DataFrame:
     return (w.join(norms, key).select(key, "term", (F.col(val) / F.col("_norm")).alias("weight")))
 
 
-def _prefix_entries(vecs: DataFrame, doc_freq: DataFrame, threshold: float) -> DataFrame:
-    """Entries of each unit vector that fall in its prefix for ``threshold``."""
+def _split_prefix(vecs: DataFrame, doc_freq: DataFrame, bound: float) -> DataFrame:
+    """``vecs`` plus ``in_prefix``: the entry lies in its vector's prefix for ``bound``.
+
+    Terms are ordered rarest first (df asc, term asc); an entry is in the
+    prefix while the norm of the entries from it to the end is >= bound.
+    The running sum is a window over one vector's own entries.
+    """
     ordered = vecs.join(doc_freq.select("term", "df"), "term")
     w = (Window.partitionBy("doc_id").orderBy(F.col("df").desc(), F.col("term").desc())
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    with_suffix = ordered.withColumn("_suffix_sq", F.sum(F.col("weight") * F.col("weight")).over(w))
-    # A slightly longer prefix only adds candidates; verification stays exact.
-    return (with_suffix.where(F.col("_suffix_sq") >= threshold * threshold * (1 - 1e-9))
-                       .select("doc_id", "term"))
+    s = ordered.withColumn("_suffix_sq", F.sum(F.col("weight") * F.col("weight")).over(w))
+    # A slightly longer prefix only adds candidates; the dot products stay exact.
+    return s.select("doc_id", "term", "weight",
+                    (F.col("_suffix_sq") >= bound * bound * (1 - 1e-9)).alias("in_prefix"))
+
+
+def _prefix_entries(vecs: DataFrame, doc_freq: DataFrame, threshold: float) -> DataFrame:
+    """Entries of each vector that fall in its prefix for ``threshold``."""
+    return _split_prefix(vecs, doc_freq, threshold).where("in_prefix").select("doc_id", "term")
+
+
+def _pair_search(u: DataFrame, v: DataFrame, u_bound: float, v_bound: float, threshold: float,
+                 doc_freq: DataFrame) -> DataFrame:
+    """Exact ``(Source, Target, Weight)`` = u[Source] . v[Target] >= threshold, Source > Target.
+
+    AllPairs-style: candidates are pairs sharing a term in both prefixes; the
+    candidate join already sums the products over those shared prefix terms,
+    and only the remaining shared terms -- those in u's suffix, or in u's
+    prefix and v's suffix -- are joined in afterwards on the unique
+    ``(doc, term)`` key.  Suffixes are short (their norm is below the bound),
+    so the completion is small.
+    """
+    su = _split_prefix(u, doc_freq, u_bound)
+    sv = _split_prefix(v, doc_freq, v_bound)
+    pu = su.where("in_prefix").select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
+    pv = sv.where("in_prefix").select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
+    part = (pu.join(pv, "term").where(F.col("d1") > F.col("d2"))
+              .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("w2")).alias("p")))
+    cand = stage(part)
+    # shared terms in u's suffix (against all of v)
+    xs = su.where(~F.col("in_prefix")).select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
+    yall = v.select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
+    r1 = (cand.select("d1", "d2").join(xs, "d1").join(yall, ["d2", "term"])
+              .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("w2")).alias("r")))
+    # shared terms in u's prefix and v's suffix
+    ys = sv.where(~F.col("in_prefix")).select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
+    xp = su.where("in_prefix").select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
+    r2 = (cand.select("d1", "d2").join(ys, "d2").join(xp, ["d1", "term"])
+              .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("w2")).alias("r")))
+    rest = r1.unionByName(r2).groupBy("d1", "d2").agg(F.sum("r").alias("r"))
+    dots = cand.join(rest, ["d1", "d2"], "left").select(
+        "d1", "d2", (F.col("p") + F.coalesce(F.col("r"), F.lit(0.0))).alias("Weight"))
+    return (dots.where(F.col("Weight") >= threshold)
+                .select(F.col("d1").alias("Source"), F.col("d2").alias("Target"), "Weight"))
 
 
 def cosine_pairs(vecs: DataFrame, threshold: float, doc_freq: DataFrame | None = None) -> DataFrame:
@@ -128,16 +173,7 @@ def cosine_pairs(vecs: DataFrame, threshold: float, doc_freq: DataFrame | None =
         raise ValueError("threshold must be > 0: pairs with similarity 0 are not enumerated")
     if doc_freq is None:
         doc_freq = vecs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    pre = _prefix_entries(vecs, doc_freq, threshold)
-    a, b = pre.alias("a"), pre.alias("b")
-    cand = (a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.doc_id") > F.col("b.doc_id")))
-             .select(F.col("a.doc_id").alias("d1"), F.col("b.doc_id").alias("d2")).distinct())
-    x = vecs.select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
-    y = vecs.select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
-    dots = (cand.join(x, "d1").join(y, ["d2", "term"])
-                .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("w2")).alias("Weight")))
-    return (dots.where(F.col("Weight") >= threshold)
-                .select(F.col("d1").alias("Source"), F.col("d2").alias("Target"), "Weight"))
+    return _pair_search(vecs, vecs, threshold, threshold, threshold, doc_freq)
 
 
 def term_similarity(vecs: DataFrame, threshold: float) -> DataFrame:
@@ -152,15 +188,6 @@ def term_similarity(vecs: DataFrame, threshold: float) -> DataFrame:
     return one.unionByName(one.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "s"))
 
 
-def _bounded_prefix(vecs: DataFrame, doc_freq: DataFrame, bound: float) -> DataFrame:
-    """Entries whose suffix norm (rarest terms first) is still >= ``bound``."""
-    ordered = vecs.join(doc_freq.select("term", "df"), "term")
-    w = (Window.partitionBy("doc_id").orderBy(F.col("df").desc(), F.col("term").desc())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = ordered.withColumn("_suffix_sq", F.sum(F.col("weight") * F.col("weight")).over(w))
-    return s.where(F.col("_suffix_sq") >= bound * bound * (1 - 1e-9)).select("doc_id", "term")
-
-
 def soft_cosine_pairs(vecs: DataFrame, term_sim: DataFrame, threshold: float) -> DataFrame:
     """Soft cosine x.S.y / sqrt(x.S.x * y.S.y) with S = identity + ``term_sim``.
 
@@ -191,17 +218,7 @@ def soft_cosine_pairs(vecs: DataFrame, term_sim: DataFrame, threshold: float) ->
     if mu == 0.0 or mv == 0.0:
         return u.sparkSession.createDataFrame([], "Source long, Target long, Weight double")
     doc_freq = u.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    pu = _bounded_prefix(u, doc_freq, threshold / mv)
-    pv = _bounded_prefix(v, doc_freq, threshold / mu)
-    cand = (pu.alias("a").join(pv.alias("b"), (F.col("a.term") == F.col("b.term"))
-                               & (F.col("a.doc_id") > F.col("b.doc_id")))
-              .select(F.col("a.doc_id").alias("d1"), F.col("b.doc_id").alias("d2")).distinct())
-    x = u.select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
-    z = v.select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
-    dots = (cand.join(x, "d1").join(z, ["d2", "term"])
-                .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("w2")).alias("Weight")))
-    return (dots.where(F.col("Weight") >= threshold)
-                .select(F.col("d1").alias("Source"), F.col("d2").alias("Target"), "Weight"))
+    return _pair_search(u, v, threshold / mv, threshold / mu, threshold, doc_freq)
 
 
 def similarity_edges(pairs: DataFrame, threshold: float) -> DataFrame:
