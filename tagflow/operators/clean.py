@@ -25,17 +25,22 @@ def tag_text_modes(df: DataFrame) -> DataFrame:
               .withColumn("text_h_ne", tx.remove_end_tags(F.col("text"))))
 
 
+def mode_text(mode: str):
+    """The text column of a tag treatment: keep, strip all tags, strip closing tags."""
+    if mode == "text_h_in":
+        return F.col("text")
+    if mode == "text_h_out":
+        return tx.remove_all_tags(F.col("text"))
+    if mode == "text_h_ne":
+        return tx.remove_end_tags(F.col("text"))
+    raise ValueError(f"unknown tag mode {mode!r}")
+
+
 def hashtag_decision(df: DataFrame, mode: str = "text_h_in") -> DataFrame:
     """Add the chosen text column plus tag and mention lists and their sizes."""
-    if mode == "text_h_in":
-        df = df.withColumn("text_h_in", F.col("text"))
-    elif mode == "text_h_out":
-        df = df.withColumn("text_h_out", tx.remove_all_tags(F.col("text")))
-    elif mode == "text_h_ne":
-        df = (df.withColumn("text_h_ne", tx.remove_end_tags(F.col("text")))
-                .withColumn("hashtags_ne", tx.inline_tags(F.col("text_h_ne"))))
-    else:
-        raise ValueError(f"unknown tag mode {mode!r}")
+    df = df.withColumn(mode, mode_text(mode))
+    if mode == "text_h_ne":
+        df = df.withColumn("hashtags_ne", tx.inline_tags(F.col("text_h_ne")))
     df = (df.withColumn("hashtags_list", tx.split_list(F.col("hashtags")))
             .withColumn("h_number", F.size("hashtags_list"))
             .withColumn("mentions_list", tx.split_list(F.col("mentions")))
@@ -71,8 +76,14 @@ def clean_stage(data2: DataFrame, min_word: int, mode: str = "text_h_in") -> Dat
     This is the row set the phrase statistics are learned on (before the
     ASCII filters).
     """
-    df = tx.clean_text_df(hashtag_decision(data2, mode), mode, "preprocessed")
-    return min_words(dedup_first(df), min_word)
+    # Clean, then de-duplicate the slim row; the tag-mode text and the list
+    # columns are per-row functions of it and are derived after the shuffle.
+    if mode == "text_h_in":
+        cleaned = tx.clean_text_df(data2, "text", "preprocessed")
+    else:
+        cleaned = tx.clean_text_df(data2.withColumn("_mode_text", mode_text(mode)), "_mode_text",
+                                   "preprocessed").drop("_mode_text")
+    return min_words(hashtag_decision(dedup_first(cleaned), mode), min_word)
 
 
 def preprocess(data2: DataFrame, min_word: int, mode: str = "text_h_in",

@@ -86,9 +86,10 @@ def tfidf(segments: DataFrame, text_col: str = "text", doc_col: str = "doc_id",
           token_pattern: str = DEFAULT_TOKEN_PATTERN, ngram_range=(1, 1), max_df=1.0,
           max_features: int | None = None, stopwords=None) -> tuple[DataFrame, DataFrame]:
     """Return ``(weights (doc_id, term, weight), vocabulary)``; weights are unit rows."""
-    tf = term_counts(segments, text_col, doc_col, token_pattern, ngram_range, stopwords)
+    # The raw counts feed both the vocabulary and the weights: written once.
+    tf = stage(term_counts(segments, text_col, doc_col, token_pattern, ngram_range, stopwords))
     n_docs = segments.agg(F.countDistinct(doc_col).alias("n_docs"))
-    vocab = vocabulary(tf, n_docs, max_df, max_features)
+    vocab = stage(vocabulary(tf, n_docs, max_df, max_features))
     v = vocab.select("term", "idf")
     if max_features is not None and max_features <= MAX_BROADCAST_ROWS:
         v = F.broadcast(v)       # bounded by max_features

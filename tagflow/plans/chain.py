@@ -162,7 +162,7 @@ class Pipeline:
         seg = docs.tag_doc_segments(self.segments, self.nodes, self.n_nodes)
         w, vocab = similarity.tfidf(seg, max_df=TFIDF_MAX_DF, max_features=TFIDF_MAX_FEATURES,
                                     ngram_range=TFIDF_NGRAMS, stopwords=self.stopwords)
-        return stage(w), stage(vocab)
+        return stage(w), vocab
 
     @property
     def tfidf(self) -> DataFrame:

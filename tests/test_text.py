@@ -94,3 +94,17 @@ ALPHABET = list("abcdehilmnorstuvwy ABRT'’#@_-.,!?:/\\0123\t\n") + [
 @given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=25).map("".join), min_size=1, max_size=8))
 def test_clean_matches_python_rules(spark, texts):
     assert _run(spark, tx.clean_text, texts) == [py_clean(t) for t in texts]
+
+
+def test_clean_stage_modes(spark):
+    from tagflow.operators.clean import clean_stage
+
+    rows = [(1, "01/01/2020", "hello world again #a #b", "a;b", None),
+            (2, "01/01/2020", "hello world again #a #b", "a;b", None),     # duplicate of 1
+            (3, "01/01/2020", "x #mid y z http://u #end", "mid;end", "u1")]
+    d2 = spark.createDataFrame(rows, "id long, created_at string, text string, hashtags string, mentions string")
+    got = {m: sorted((r.id, r.preprocessed) for r in clean_stage(d2, 2, m).collect())
+           for m in ("text_h_in", "text_h_out", "text_h_ne")}
+    assert got["text_h_in"] == [(1, "hello world again a b"), (3, "x mid y z end")]
+    assert got["text_h_out"] == [(1, "hello world again "), (3, "x y z ")]
+    assert got["text_h_ne"] == [(1, "hello world again"), (3, "x mid y z")]
