@@ -185,25 +185,28 @@ def coherence_cv(topics: DataFrame, texts: DataFrame, window: int = fixed.COHERE
 
 def lda_sweep(vectors: DataFrame, vocab: DataFrame, texts: DataFrame, ks, max_iter: int = LDA_MAX_ITER,
               optimizer: str = "online", top_words: int = fixed.COHERENCE_TOP_WORDS,
-              parallelism: int = 4):
+              parallelism: int = 4, fit_fn=None, coherence_fn=None):
     """Fit one model per k; return ``(table, models)``.
 
     table: ``k, log_likelihood, log_perplexity, coherence, best`` where
     coherence is c_v averaged over the topics and ``best`` marks the k with
     the highest coherence.  The fits are independent Spark jobs and run from
     ``parallelism`` driver threads at once (as ``CrossValidator`` does), so
-    small models do not leave the cluster idle.
+    small models do not leave the cluster idle.  ``fit_fn(k)`` and
+    ``coherence_fn(k, model)`` may be given to reuse cached models/scores.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     spark = vectors.sparkSession
-    prepared = prepare_texts(texts)
     n_docs = vectors.count()          # reads the checkpointed corpus
+    prepared = None if coherence_fn else prepare_texts(texts)
+    fit_fn = fit_fn or (lambda k: fit_lda(vectors, k, max_iter, optimizer, n_docs=n_docs))
+    coherence_fn = coherence_fn or (lambda k, m: coherence_cv(
+        topic_words(m, vocab, top_words).select("topic", "term"), prepared, prepared=True))
 
     def one(k):
-        m = fit_lda(vectors, k, max_iter, optimizer, n_docs=n_docs)
-        c = coherence_cv(topic_words(m, vocab, top_words).select("topic", "term"), prepared, prepared=True)
-        cv = c.agg(F.avg("coherence")).first()[0]
+        m = fit_fn(k)
+        cv = coherence_fn(k, m).agg(F.avg("coherence")).first()[0]
         return k, m, (int(k), float(m.logLikelihood(vectors)), float(m.logPerplexity(vectors)),
                       float(cv) if cv is not None else None)
 

@@ -192,9 +192,48 @@ class Pipeline:
         return topics.bag_of_words(counts)
 
     @cached_property
+    def lda_prepared(self) -> DataFrame:
+        return topics.prepare_texts(self.lda_texts)
+
+    @cached_property
+    def _topic_cache(self):
+        import threading
+
+        return {"lock": threading.Lock(), "models": {}, "coherence": {}}
+
+    def model(self, k: int):
+        """The LDA model with k topics, fitted once per pipeline."""
+        c = self._topic_cache
+        with c["lock"]:
+            lock = c.setdefault(("k", k), __import__("threading").Lock())
+        with lock:
+            if k not in c["models"]:
+                vectors, _, _ = self.lda_corpus
+                c["models"][k] = topics.fit_lda(vectors, k, n_docs=vectors.count())
+            return c["models"][k]
+
+    def coherence(self, k: int, model=None) -> DataFrame:
+        """c_v per topic of the k-topic model, computed once per pipeline."""
+        from ..functions import fixed
+
+        c = self._topic_cache
+        if k not in c["coherence"]:
+            _, vocab, _ = self.lda_corpus
+            m = model or self.model(k)
+            tw = topics.topic_words(m, vocab, fixed.COHERENCE_TOP_WORDS).select("topic", "term")
+            c["coherence"][k] = stage(topics.coherence_cv(tw, self.lda_prepared, prepared=True))
+        return c["coherence"][k]
+
+    @cached_property
+    def sweep(self):
+        vectors, vocab, _ = self.lda_corpus
+        self.lda_prepared
+        return topics.lda_sweep(vectors, vocab, self.lda_texts, LDA_KS,
+                                fit_fn=self.model, coherence_fn=self.coherence)
+
+    @property
     def topic_model(self):
-        vectors, _, _ = self.lda_corpus
-        return topics.fit_lda(vectors, TOPIC_K, n_docs=vectors.count())
+        return self.model(TOPIC_K)
 
 
 def basket_pipeline(spark: SparkSession, sf_dir: str, tag_col: str = "p_brand"):

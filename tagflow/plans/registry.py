@@ -338,18 +338,12 @@ def q_cluster_docs(spark, sf):
 # ---- topic models (iterative fits: no SQL oracle) --------------------------
 @query("lda_sweep")
 def q_lda_sweep(spark, sf):
-    p = Pipeline.of(spark, sf)
-    vectors, vocab, _ = p.lda_corpus
-    table, _ = topics.lda_sweep(vectors, vocab, p.lda_texts, chain.LDA_KS)
-    return table
+    return Pipeline.of(spark, sf).sweep[0]
 
 
 @query("coherence_cv")
 def q_coherence_cv(spark, sf):
-    p = Pipeline.of(spark, sf)
-    _, vocab, _ = p.lda_corpus
-    tw = topics.topic_words(p.topic_model, vocab, fixed.COHERENCE_TOP_WORDS).select("topic", "term")
-    return topics.coherence_cv(tw, p.lda_texts)
+    return Pipeline.of(spark, sf).coherence(chain.TOPIC_K)
 
 
 @query("topic_terms")
