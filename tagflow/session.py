@@ -76,3 +76,17 @@ def stage(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Spread a table that has fewer partitions than there are cores.
+
+    CPU-heavy per-row work (text cleaning, an LDA E-step) on a small table
+    or a file with a few row groups would leave cores idle.  A 100 TB input
+    has far more partitions than cores and is returned unchanged (no shuffle
+    is added).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -18,19 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than there are cores.
-
-    Text cleaning is CPU-bound per row; a small file with a few row groups
-    would leave cores idle.  On a cluster a 100 TB scan has far more splits
-    than cores and this is a no-op (no shuffle is added).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 # Tweets derived from `documents`: id, time, reply/quote references, tags and
 # mentions are functions of doc_id and of the first words of the text.
 TWEETS_SQL = r"""
