@@ -468,3 +468,17 @@ q("narrow_types", with_base(" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", min_value, max_value, {_width('min_value', 'max_value')} AS width FROM "
     f"(SELECT min(coalesce({c}, 0)) AS min_value, max(coalesce({c}, 0)) AS max_value FROM data)"
     for c in ["id", "in_reply_to_status_id", "quoted_status_id", "truncated", "retweet"])))
+
+
+# ---- reply chains (conversations) -------------------------------------------
+q("enrich_reply_chains", f"""
+WITH c AS (SELECT conv_id * 100 + turn + 1 AS id,
+                  CASE WHEN turn > 0 THEN conv_id * 100 + turn END AS in_reply_to_status_id, role, text
+           FROM conversations),
+d AS (SELECT id, coalesce(in_reply_to_status_id, 0) AS in_reply_to_status_id, text, role AS mentions,
+             CAST(starts_with(text, 'RT') AS INTEGER) AS retweet FROM c),
+lk AS (SELECT id AS ref_id, text AS ref_text, mentions AS ref_mentions FROM d WHERE retweet = 0)
+SELECT d.id, d.in_reply_to_status_id, coalesce(lk.ref_text, '') || ' ' || coalesce(d.text, 'nan') AS text,
+       {blank_null('concat_ws(chr(59) || chr(32), lk.ref_mentions, d.mentions)')} AS mentions
+FROM d LEFT JOIN lk ON d.in_reply_to_status_id = lk.ref_id
+WHERE d.in_reply_to_status_id <> 0""")

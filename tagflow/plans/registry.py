@@ -99,6 +99,20 @@ def q_enrich_replies(spark, sf):
     return enrich.enrich_replies(p.data, p.data1)
 
 
+@query("enrich_reply_chains")
+def q_enrich_reply_chains(spark, sf):
+    """Reply enrichment on conversation turns: each turn gets the previous turn's text."""
+    c = fixtures.reply_chains(spark, sf)
+    data = (c.select("id", F.lit(None).cast("string").alias("created_at"), "text",
+                     F.col("in_reply_to_status_id"), F.lit(None).cast("long").alias("quoted_status_id"),
+                     F.lit(None).cast("string").alias("hashtags"),
+                     F.col("role").alias("mentions"))
+             .withColumn("retweet", F.col("text").startswith("RT").cast("int")))
+    data = ingest.fill_sentinels(data)
+    data1 = ingest.remove_retweets(data)
+    return enrich.enrich_replies(data, data1).select("id", "in_reply_to_status_id", "text", "mentions")
+
+
 @query("enrich_both")
 def q_enrich_both(spark, sf):
     p = Pipeline.of(spark, sf)
