@@ -2,7 +2,8 @@
 
 * ``scan_tweets`` reads a CSV export with an explicit schema (no inference),
   quoted multi-line texts and doubled quotes, keeping only the asked-for
-  columns (pruned at the scan).
+  columns (pruned at the scan).  An empty field is NULL, as in a pandas
+  read of the same file.
 * ``write_stage`` / ``read_stage`` hand a stage over as Parquet.
 * ``write_graph_csv`` writes node and edge tables as CSV for graph tools,
   with array columns joined into text.
