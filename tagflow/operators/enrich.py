@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null
 
 
-def _lookup(data1: DataFrame, tag: str) -> DataFrame:
-    return data1.select(F.col("id").alias(f"{tag}_id"), F.col("text").alias(f"{tag}_text"),
-                        F.col("hashtags").alias(f"{tag}_tags"),
-                        F.col("mentions").alias(f"{tag}_mentions"))
+def _lookup(data1: DataFrame) -> DataFrame:
+    """The referenced-tweet side: one identical projection for every join, so
+    its shuffle on the id is computed once and reused by all of them."""
+    return data1.select(F.col("id").alias("ref_id"), F.col("text").alias("ref_text"),
+                        F.col("hashtags").alias("ref_tags"), F.col("mentions").alias("ref_mentions"))
 
 
 def _own_text(c: str = "text"):
@@ -37,14 +38,13 @@ def _own_text(c: str = "text"):
 
 def _attach(rows: DataFrame, data1: DataFrame, key: str, tag: str) -> DataFrame:
     """Left-join the referenced tweet and add ``{tag}_etext/_etags/_ementions``."""
-    lk = _lookup(data1, tag)
-    j = rows.join(lk, rows[key] == lk[f"{tag}_id"], "left")
-    return (j.withColumn(f"{tag}_etext", F.concat(F.coalesce(F.col(f"{tag}_text"), F.lit("")),
+    lk = _lookup(data1)
+    j = rows.join(lk, rows[key] == lk["ref_id"], "left")
+    return (j.withColumn(f"{tag}_etext", F.concat(F.coalesce(F.col("ref_text"), F.lit("")),
                                                   F.lit(" "), _own_text()))
-             .withColumn(f"{tag}_etags", blank_to_null(F.concat_ws("; ", f"{tag}_tags", "hashtags")))
-             .withColumn(f"{tag}_ementions",
-                         blank_to_null(F.concat_ws("; ", f"{tag}_mentions", "mentions")))
-             .drop(f"{tag}_id", f"{tag}_text", f"{tag}_tags", f"{tag}_mentions"))
+             .withColumn(f"{tag}_etags", blank_to_null(F.concat_ws("; ", "ref_tags", "hashtags")))
+             .withColumn(f"{tag}_ementions", blank_to_null(F.concat_ws("; ", "ref_mentions", "mentions")))
+             .drop("ref_id", "ref_text", "ref_tags", "ref_mentions"))
 
 
 _OUT = ["id", "created_at", "retweet", "quoted_status_id", "in_reply_to_status_id",
