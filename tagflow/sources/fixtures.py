@@ -40,7 +40,17 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     view = f"tagflow_documents_{abs(hash(sf_dir))}"
     docs.createOrReplaceTempView(view)
-    out = spark.sql(TWEETS_SQL.format(documents=view))
+    # The view's timestamps are defined in UTC.  The time zone is bound into
+    # the expressions when the SQL is analysed, so it is pinned only for that
+    # moment and the caller's session setting is restored.
+    key = "spark.sql.session.timeZone"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, "UTC")
+    try:
+        out = spark.sql(TWEETS_SQL.format(documents=view))
+        out.schema                              # analysed now, with UTC bound
+    finally:
+        spark.conf.set(key, previous)
     return (out.withColumn("truncated", F.lit(None).cast("int"))
                .withColumn("lat", F.lit(None).cast("double")))
 
