@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import fixed
 from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, topics
 from ..sources import fixtures
 from . import chain

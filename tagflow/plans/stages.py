@@ -8,7 +8,6 @@ edges also go to CSV for graph tools.  Each table is one distributed write.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import docs, similarity, tags
 from ..sources import io
