@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..plans.joins import MAX_BROADCAST_ROWS, with_constants
-from ..plans.rank import number_rows
 from ..session import stage
 
 LDA_MAX_ITER = 30
@@ -50,9 +49,12 @@ def bag_of_words(counts: DataFrame, vocab_size: int = VOCAB_SIZE):
     total), vocabulary size)``.
     """
     totals = counts.groupBy("term").agg(F.sum("count").alias("total"))
-    top = totals.orderBy(F.col("total").desc(), F.col("term").asc()).limit(vocab_size)
-    vocab, v = number_rows(top, [F.col("total").desc(), F.col("term").asc()], "idx")
-    vocab = stage(vocab.withColumn("idx", (F.col("idx") - 1).cast("int")))
+    # A top-k of at most vocab_size rows (a parameter bound): numbered in one
+    # ordered pass over that small table, in the same total order.
+    order = [F.col("total").desc(), F.col("term").asc()]
+    top = totals.orderBy(*order).limit(vocab_size)
+    vocab = stage(top.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int")))
+    v = vocab.count()
     lk = F.broadcast(vocab.select("term", "idx")) if v <= MAX_BROADCAST_ROWS else vocab.select("term", "idx")
     j = counts.join(lk, "term")
     per_doc = j.groupBy("doc_key").agg(

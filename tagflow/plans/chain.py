@@ -189,7 +189,12 @@ class Pipeline:
         t = self.lda_texts
         counts = (t.select("doc_key", F.explode("tokens").alias("term")).where(F.col("term") != "")
                    .groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("count")))
-        return topics.bag_of_words(counts)
+        vectors, vocab, v = topics.bag_of_words(counts)
+        # Every LDA iteration and score re-reads the corpus: keep it in
+        # memory (spilling to disk); a lost block is re-read from the checkpoint.
+        from pyspark import StorageLevel
+
+        return vectors.persist(StorageLevel.MEMORY_AND_DISK), vocab, v
 
     @cached_property
     def lda_prepared(self) -> DataFrame:
