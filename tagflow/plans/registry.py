@@ -371,3 +371,15 @@ def q_topic_relevance(spark, sf):
     p = Pipeline.of(spark, sf)
     vectors, vocab, v = p.lda_corpus
     return topics.topic_relevance(p.topic_model, vectors, vocab, v)
+
+
+@query("cluster_summary")
+def q_cluster_summary(spark, sf):
+    """Number of tag clusters and number of labelled tag rows (popular-tag occurrences)."""
+    from ..plans.joins import with_constants
+
+    p = Pipeline.of(spark, sf)
+    labels, _, _ = p.clusters_result
+    n = labels.agg(F.countDistinct("cluster").alias("n_clusters"))
+    rows = p.reduced.agg(F.count(F.lit(1)).alias("labeled_rows"))
+    return with_constants(n, rows)
