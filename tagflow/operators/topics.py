@@ -82,19 +82,25 @@ def fit_lda(vectors: DataFrame, k: int, max_iter: int = LDA_MAX_ITER, optimizer:
     return lda.fit(vectors)
 
 
-def topic_words(model, vocab: DataFrame, n: int) -> DataFrame:
-    """``(topic, rank, term, weight)``: the n most probable terms per topic."""
+def topic_words(model, vocab: DataFrame, n: int, vocab_rows: int | None = None) -> DataFrame:
+    """``(topic, rank, term, weight)``: the n most probable terms per topic.
+
+    The vocabulary is broadcast when its measured size ``vocab_rows`` is
+    under the bound; otherwise the planner joins it.
+    """
     d = model.describeTopics(n)
     ex = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "e"))
     ex = ex.select("topic", (F.col("rank") + 1).alias("rank"), F.col("e.termIndices").alias("idx"),
                    F.col("e.termWeights").alias("weight"))
-    return ex.join(F.broadcast(vocab.select("idx", "term")) if n * model.getK() <= MAX_BROADCAST_ROWS
-                   else vocab.select("idx", "term"), "idx").drop("idx")
+    v = vocab.select("idx", "term")
+    if vocab_rows is not None and vocab_rows <= MAX_BROADCAST_ROWS:
+        v = F.broadcast(v)
+    return ex.join(v, "idx").drop("idx")
 
 
-def topic_terms(model, vocab: DataFrame, n: int = fixed.TOPIC_TERMS) -> DataFrame:
+def topic_terms(model, vocab: DataFrame, n: int = fixed.TOPIC_TERMS, vocab_rows: int | None = None) -> DataFrame:
     """One row per topic: ``Topic1..K`` and its n top terms joined by ', '."""
-    tw = topic_words(model, vocab, n)
+    tw = topic_words(model, vocab, n, vocab_rows)
     per = tw.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("l"))
     return per.select(F.concat(F.lit("Topic"), (F.col("topic") + 1).cast("string")).alias("topic"),
                       F.array_join(F.transform("l", lambda s: s["term"]), ", ").alias("terms"))
@@ -110,7 +116,7 @@ def topic_relevance(model, vectors: DataFrame, vocab: DataFrame, v: int, lam: fl
     """
     from pyspark.ml.functions import vector_to_array
 
-    phi = topic_words(model, vocab, v).select("topic", "term", F.col("weight").alias("phi"))
+    phi = topic_words(model, vocab, v, v).select("topic", "term", F.col("weight").alias("phi"))
     tot = vocab.agg(F.sum("total").alias("n"))
     p = with_constants(vocab, tot).select("term", (F.col("total") / F.col("n")).alias("p"))
     rel = phi.join(p, "term").withColumn(
@@ -202,9 +208,10 @@ def lda_sweep(vectors: DataFrame, vocab: DataFrame, texts: DataFrame, ks, max_it
     spark = vectors.sparkSession
     n_docs = vectors.count()          # reads the checkpointed corpus
     prepared = None if coherence_fn else prepare_texts(texts)
+    v_rows = None if coherence_fn else vocab.count()
     fit_fn = fit_fn or (lambda k: fit_lda(vectors, k, max_iter, optimizer, n_docs=n_docs))
     coherence_fn = coherence_fn or (lambda k, m: coherence_cv(
-        topic_words(m, vocab, top_words).select("topic", "term"), prepared, prepared=True))
+        topic_words(m, vocab, top_words, v_rows).select("topic", "term"), prepared, prepared=True))
 
     def one(k):
         m = fit_fn(k)

@@ -223,9 +223,9 @@ class Pipeline:
 
         c = self._topic_cache
         if k not in c["coherence"]:
-            _, vocab, _ = self.lda_corpus
+            _, vocab, v = self.lda_corpus
             m = model or self.model(k)
-            tw = topics.topic_words(m, vocab, fixed.COHERENCE_TOP_WORDS).select("topic", "term")
+            tw = topics.topic_words(m, vocab, fixed.COHERENCE_TOP_WORDS, v).select("topic", "term")
             c["coherence"][k] = stage(topics.coherence_cv(tw, self.lda_prepared, prepared=True))
         return c["coherence"][k]
 

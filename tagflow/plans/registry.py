@@ -362,8 +362,8 @@ def q_coherence_cv(spark, sf):
 @query("topic_terms")
 def q_topic_terms(spark, sf):
     p = Pipeline.of(spark, sf)
-    _, vocab, _ = p.lda_corpus
-    return topics.topic_terms(p.topic_model, vocab)
+    _, vocab, v = p.lda_corpus
+    return topics.topic_terms(p.topic_model, vocab, vocab_rows=v)
 
 
 @query("topic_relevance")
