@@ -3,8 +3,12 @@
 ``Pipeline`` names each stage of the tweet chain as a property; a stage is
 built on first use and shared by the stages after it, so a query that needs
 ``nodes`` builds tweets -> data -> data1 -> data2 -> df -> incidence ->
-counts -> nodes once.  Nothing here collects rows: the only eager steps are
-the checkpoint behind the node numbering and the small counts it returns.
+counts -> nodes once.  Stages that several later steps read (data1, df, tag
+segments, TF-IDF, weighted edges, label rounds, pooled texts, the LDA
+corpus) are written once to the shared checkpoint folder.  Nothing here
+collects rows to the driver; the eager steps are those checkpoints and a few
+counts of small or checkpointed tables (node and phrase counts, which decide
+broadcasts).
 """
 
 from __future__ import annotations
