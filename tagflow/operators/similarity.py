@@ -140,8 +140,9 @@ def _pair_search(u: DataFrame, v: DataFrame, u_bound: float, v_bound: float, thr
     ``(doc, term)`` key.  Suffixes are short (their norm is below the bound),
     so the completion is small.
     """
-    su = _split_prefix(u, doc_freq, u_bound)
-    sv = _split_prefix(v, doc_freq, v_bound)
+    su = stage(_split_prefix(u, doc_freq, u_bound))
+    # plain cosine searches one table against itself with one bound
+    sv = su if (u is v and u_bound == v_bound) else stage(_split_prefix(v, doc_freq, v_bound))
     pu = su.where("in_prefix").select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
     pv = sv.where("in_prefix").select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
     part = (pu.join(pv, "term").where(F.col("d1") > F.col("d2"))
