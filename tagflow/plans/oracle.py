@@ -145,9 +145,9 @@ data2 AS (
 d2h AS (
   SELECT *, text AS text_h_in,
          coalesce(string_split(hashtags, ';'), []) AS hashtags_list,
-         len(coalesce(string_split(hashtags, ';'), [])) AS h_number,
+         CAST(len(coalesce(string_split(hashtags, ';'), [])) AS INTEGER) AS h_number,
          coalesce(string_split(mentions, ';'), []) AS mentions_list,
-         len(coalesce(string_split(mentions, ';'), [])) AS men_number
+         CAST(len(coalesce(string_split(mentions, ';'), [])) AS INTEGER) AS men_number
   FROM data2),{clean_ctes('d2h', 'text_h_in', 'cleaned')},
 dedup AS (
   SELECT * EXCLUDE (_rn) FROM (
@@ -269,31 +269,31 @@ q("tag_lists", with_base("""
 SELECT id, array_to_string(hashtags_list, '|') AS hashtags_list, h_number,
        array_to_string(mentions_list, '|') AS mentions_list, men_number FROM d2h"""))
 q("inline_tags", with_base(f"""
-SELECT id, array_to_string(l, '|') AS hashtags_ne, len(l) AS h_ne_number FROM (
+SELECT id, array_to_string(l, '|') AS hashtags_ne, CAST(len(l) AS INTEGER) AS h_ne_number FROM (
   SELECT id, regexp_extract_all(regexp_replace(regexp_replace(text, {s(tx.URL_RE)}, '', 'g'),
                                 {s(tx.END_TAGS_RE)}, '', 'g'), {s(tx.TAG_RE)}, 1) AS l FROM data2)"""))
 q("dedup_first", with_base("SELECT id, preprocessed, hashtags FROM dedup"))
-q("min_words", with_base(f"SELECT id, len({words('preprocessed')}) AS n_words FROM staged"))
+q("min_words", with_base(f"SELECT id, CAST(len({words('preprocessed')}) AS INTEGER) AS n_words FROM staged"))
 q("ascii_only", with_base(f"SELECT id FROM staged WHERE {is_ascii('preprocessed')}"))
 q("ascii_tags", with_base("SELECT id FROM dfx"))
 q("length_hist", "WITH " + BASE + "," + clean_ctes("data1", "text", "c1") + "," + clean_ctes("data2", "text", "c2")
   + f"""
-SELECT 'data1' AS dataset, len({words('preprocessed')}) AS textlen, count(*) AS count FROM c1 GROUP BY 2
+SELECT 'data1' AS dataset, CAST(len({words('preprocessed')}) AS INTEGER) AS textlen, count(*) AS count FROM c1 GROUP BY 2
 UNION ALL
-SELECT 'data2' AS dataset, len({words('preprocessed')}) AS textlen, count(*) AS count FROM c2 GROUP BY 2""")
+SELECT 'data2' AS dataset, CAST(len({words('preprocessed')}) AS INTEGER) AS textlen, count(*) AS count FROM c2 GROUP BY 2""")
 q("tokenize_lemma", with_base(
-    "SELECT id, array_to_string(tokenized, ' ') AS tokenized, len(tokenized) AS n_tokens FROM dfx"))
+    "SELECT id, array_to_string(tokenized, ' ') AS tokenized, CAST(len(tokenized) AS INTEGER) AS n_tokens FROM dfx"))
 
 # ---- tags -----------------------------------------------------------------
 q("tagged_tweets", with_base(
-    "SELECT id, len(string_split(hashtags, ';')) AS n_tags, h_number FROM dfx WHERE hashtags IS NOT NULL"))
+    "SELECT id, CAST(len(string_split(hashtags, ';')) AS INTEGER) AS n_tags, h_number FROM dfx WHERE hashtags IS NOT NULL"))
 q("explode_tags", with_base("SELECT tweet_id, tag FROM inc_raw"))
 q("normalize_tags", with_base("SELECT tweet_id, tag FROM inc"))
 q("tag_counts", with_base("SELECT * FROM counts"))
 q("popular_tags", with_base("SELECT * FROM popular"))
 q("graph_nodes", with_base("SELECT * FROM nodes"))
 q("top_tags", with_base(
-    'SELECT "Id", "Label", "Count" FROM nodes WHERE "Id" <= ' + str(fixed.TOP_TAGS)))
+    'SELECT CAST("Id" AS INTEGER) AS "Id", "Label", "Count" FROM nodes WHERE "Id" <= ' + str(fixed.TOP_TAGS)))
 q("cooccur_edges", with_base("SELECT * FROM edges"))
 q("cooccur_weighted", """
 WITH inc AS (SELECT l.l_orderkey AS tweet_id, p.p_brand AS tag FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
@@ -305,13 +305,13 @@ w AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS "Weight" FROM d a JOIN
 SELECT least(na.id, nb.id) AS "Source", greatest(na.id, nb.id) AS "Target", 'Undirected' AS "Type", "Weight"
 FROM w JOIN nodes na ON w.tag_a = na.tag JOIN nodes nb ON w.tag_b = nb.tag""")
 q("url_by_tagcount", with_base(f"""
-SELECT h_number AS hash_count, count(*) AS number_of_tweets, sum(uc) AS url_total_count,
+SELECT h_number AS hash_count, count(*) AS number_of_tweets, CAST(sum(uc) AS BIGINT) AS url_total_count,
        count(*) FILTER (WHERE uc > 0) AS url_total_withurl,
        count(*) FILTER (WHERE uc > 0) / count(*) AS url_percent_withurl
 FROM (SELECT h_number, len(regexp_extract_all(text, {s(tx.LINK_RE)}, 0)) AS uc FROM dfx)
 GROUP BY h_number"""))
 q("extract_urls", f"""
-SELECT page_id, len(l) AS url_count, array_to_string(l, ' ') AS urls FROM (
+SELECT page_id, CAST(len(l) AS INTEGER) AS url_count, array_to_string(l, ' ') AS urls FROM (
   SELECT page_id, regexp_extract_all(concat_ws(' ', url, html), {s(tx.LINK_RE)}, 0) AS l
   FROM pages)""")
 q("tag_report", with_base("""
@@ -376,7 +376,7 @@ def with_sim(select: str) -> str:
 q("tag_docs", with_sim("""
 SELECT c.tag AS "Name", n."Id", c.count, t.n_texts, t.n_tokens FROM
   (SELECT tag, count(*) AS count FROM segs GROUP BY tag) c
-  JOIN (SELECT tag, count(*) AS n_texts, sum(len(tokenized)) AS n_tokens
+  JOIN (SELECT tag, count(*) AS n_texts, CAST(sum(len(tokenized)) AS BIGINT) AS n_tokens
         FROM (SELECT DISTINCT tag, tokenized FROM segs) GROUP BY tag) t USING (tag)
   LEFT JOIN nodes n ON c.tag = n."Name" """))
 q("tfidf", with_sim("SELECT doc_id, term, weight FROM wts"))
@@ -396,14 +396,14 @@ q("word_freq", with_sim(f"""
 SELECT word, count(*) AS count FROM (SELECT lower(unnest(tokenized)) AS word FROM dfx) WHERE word <> ''
 GROUP BY word ORDER BY count DESC, word ASC LIMIT {fixed.WORDCLOUD_MAX_WORDS}"""))
 q("pool_documents", with_sim("""
-SELECT 'all' AS scheme, count(DISTINCT doc_key) AS n_docs, count(*) AS n_terms, sum(c) AS n_tokens FROM
+SELECT 'all' AS scheme, count(DISTINCT doc_key) AS n_docs, count(*) AS n_terms, CAST(sum(c) AS BIGINT) AS n_tokens FROM
   (SELECT doc_key, term, count(*) AS c FROM (SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx) GROUP BY 1, 2)
 UNION ALL
-SELECT 'tagged', count(DISTINCT doc_key), count(*), sum(c) FROM
+SELECT 'tagged', count(DISTINCT doc_key), count(*), CAST(sum(c) AS BIGINT) FROM
   (SELECT doc_key, term, count(*) AS c FROM (SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx
                                              WHERE hashtags IS NOT NULL) GROUP BY 1, 2)
 UNION ALL
-SELECT 'tag', count(DISTINCT doc_key), count(*), sum(c) FROM
+SELECT 'tag', count(DISTINCT doc_key), count(*), CAST(sum(c) AS BIGINT) FROM
   (SELECT doc_key, term, count(*) AS c FROM (SELECT doc_id AS doc_key, unnest(tokenized) AS term FROM texts)
    WHERE term <> '' GROUP BY 1, 2)"""))
 
@@ -448,7 +448,7 @@ fused AS (SELECT t2.id, list_filter(list_filter(list_transform(range(0, len(t)),
 """
 q("mine_bigrams", "WITH " + PHRASES + "\nSELECT * FROM phr")
 q("apply_bigrams", "WITH " + PHRASES
-  + "\nSELECT id, array_to_string(sl, ' ') AS spacy_lemmatized, len(sl) AS n_tokens FROM fused")
+  + "\nSELECT id, array_to_string(sl, ' ') AS spacy_lemmatized, CAST(len(sl) AS INTEGER) AS n_tokens FROM fused")
 
 
 # ---- sources ----------------------------------------------------------------

@@ -43,6 +43,13 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert len(rows) == len(drows)
     assert _digest(sdf.columns, rows) == _digest(rel.columns, drows)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for col, t in sdf.dtypes:
+        assert _SPARK_TO_DUCK.get(t, t) == duck_types[col], (col, t, duck_types[col])
+
+
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                  "boolean": "BOOLEAN", "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT"}
 
 
 def test_entry_smoke(spark):
