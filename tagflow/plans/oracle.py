@@ -307,7 +307,7 @@ FROM w JOIN nodes na ON w.tag_a = na.tag JOIN nodes nb ON w.tag_b = nb.tag""")
 q("url_by_tagcount", with_base(f"""
 SELECT h_number AS hash_count, count(*) AS number_of_tweets, CAST(sum(uc) AS BIGINT) AS url_total_count,
        count(*) FILTER (WHERE uc > 0) AS url_total_withurl,
-       count(*) FILTER (WHERE uc > 0) / count(*) AS url_percent_withurl
+       round(count(*) FILTER (WHERE uc > 0) / count(*), 9) AS url_percent_withurl
 FROM (SELECT h_number, len(regexp_extract_all(text, {s(tx.LINK_RE)}, 0)) AS uc FROM dfx)
 GROUP BY h_number"""))
 q("extract_urls", f"""
@@ -379,9 +379,9 @@ SELECT c.tag AS "Name", n."Id", c.count, t.n_texts, t.n_tokens FROM
   JOIN (SELECT tag, count(*) AS n_texts, CAST(sum(len(tokenized)) AS BIGINT) AS n_tokens
         FROM (SELECT DISTINCT tag, tokenized FROM segs) GROUP BY tag) t USING (tag)
   LEFT JOIN nodes n ON c.tag = n."Name" """))
-q("tfidf", with_sim("SELECT doc_id, term, weight FROM wts"))
-q("cosine_pairs", with_sim("SELECT * FROM cos"))
-q("similarity_edges", with_sim("SELECT \"Source\", \"Target\", \"Weight\", 'Undirected' AS \"Type\" FROM cos"))
+q("tfidf", with_sim("SELECT doc_id, term, round(weight, 9) AS weight FROM wts"))
+q("cosine_pairs", with_sim('SELECT "Source", "Target", round("Weight", 9) AS "Weight" FROM cos'))
+q("similarity_edges", with_sim("SELECT \"Source\", \"Target\", round(\"Weight\", 9) AS \"Weight\", 'Undirected' AS \"Type\" FROM cos"))
 q("check_pairs", with_sim("""
 SELECT (SELECT count(*) FROM nodes) AS n_nodes,
        (SELECT count(*) * (count(*) - 1) // 2 FROM nodes) AS max_pairs,
@@ -391,7 +391,7 @@ SELECT (SELECT count(*) FROM nodes) AS n_nodes,
          AND count(*) FILTER (WHERE "Source" <= "Target") = 0
          AND count(*) FILTER (WHERE "Weight" > 1 + 1e-9) = 0 AS ok
 FROM cos"""))
-q("soft_cosine_pairs", with_sim("SELECT * FROM soft"))
+q("soft_cosine_pairs", with_sim('SELECT "Source", "Target", round("Weight", 9) AS "Weight" FROM soft'))
 q("word_freq", with_sim(f"""
 SELECT word, count(*) AS count FROM (SELECT lower(unnest(tokenized)) AS word FROM dfx) WHERE word <> ''
 GROUP BY word ORDER BY count DESC, word ASC LIMIT {fixed.WORDCLOUD_MAX_WORDS}"""))
@@ -446,7 +446,7 @@ fused AS (SELECT t2.id, list_filter(list_filter(list_transform(range(0, len(t)),
              lambda w: w IS NOT NULL), lambda w: length(w) >= {fixed.MIN_TOKEN_LEN}) AS sl
           FROM t2 LEFT JOIN st ON t2.id = st.id)
 """
-q("mine_bigrams", "WITH " + PHRASES + "\nSELECT * FROM phr")
+q("mine_bigrams", "WITH " + PHRASES + "\nSELECT a, b, n_a, n_b, n_ab, round(score, 9) AS score FROM phr")
 q("apply_bigrams", "WITH " + PHRASES
   + "\nSELECT id, array_to_string(sl, ' ') AS spacy_lemmatized, CAST(len(sl) AS INTEGER) AS n_tokens FROM fused")
 

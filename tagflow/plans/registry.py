@@ -21,6 +21,16 @@ from .chain import Pipeline, basket_pipeline
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+# Computed doubles (sums in engine-specific order) are reported rounded to
+# this many decimals, in the query output and in its oracle alike, so the
+# comparison does not hinge on the last bit.  The operators themselves keep
+# full precision.
+DIGITS = 9
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*[F.round(F.col(c), DIGITS).alias(c) if c in cols else F.col(c) for c in df.columns])
+
 
 def query(name: str):
     def deco(fn):
@@ -197,7 +207,7 @@ def q_tokenize_lemma(spark, sf):
 
 @query("mine_bigrams")
 def q_mine_bigrams(spark, sf):
-    return Pipeline.of(spark, sf).phrases
+    return rounded(Pipeline.of(spark, sf).phrases, "score")
 
 
 @query("apply_bigrams")
@@ -258,7 +268,7 @@ def q_cooccur_weighted(spark, sf):
 
 @query("url_by_tagcount")
 def q_url_by_tagcount(spark, sf):
-    return tags.url_by_tagcount(Pipeline.of(spark, sf).df)
+    return rounded(tags.url_by_tagcount(Pipeline.of(spark, sf).df), "url_percent_withurl")
 
 
 @query("extract_urls")
@@ -281,17 +291,17 @@ def q_tag_docs(spark, sf):
 
 @query("tfidf")
 def q_tfidf(spark, sf):
-    return Pipeline.of(spark, sf).tfidf
+    return rounded(Pipeline.of(spark, sf).tfidf, "weight")
 
 
 @query("cosine_pairs")
 def q_cosine_pairs(spark, sf):
-    return Pipeline.of(spark, sf).cosine
+    return rounded(Pipeline.of(spark, sf).cosine, "Weight")
 
 
 @query("similarity_edges")
 def q_similarity_edges(spark, sf):
-    return similarity.similarity_edges(Pipeline.of(spark, sf).cosine, chain.SIM_THRESHOLD)
+    return rounded(similarity.similarity_edges(Pipeline.of(spark, sf).cosine, chain.SIM_THRESHOLD), "Weight")
 
 
 @query("check_pairs")
@@ -304,7 +314,7 @@ def q_check_pairs(spark, sf):
 def q_soft_cosine_pairs(spark, sf):
     p = Pipeline.of(spark, sf)
     s = similarity.term_similarity(p.tfidf, chain.TERM_SIM_THRESHOLD)
-    return similarity.soft_cosine_pairs(p.tfidf, s, chain.SIM_THRESHOLD)
+    return rounded(similarity.soft_cosine_pairs(p.tfidf, s, chain.SIM_THRESHOLD), "Weight")
 
 
 @query("word_freq")
