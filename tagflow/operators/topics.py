@@ -213,11 +213,15 @@ def lda_sweep(vectors: DataFrame, vocab: DataFrame, texts: DataFrame, ks, max_it
     coherence_fn = coherence_fn or (lambda k, m: coherence_cv(
         topic_words(m, vocab, top_words, v_rows).select("topic", "term"), prepared, prepared=True))
 
+    # MLlib defines log-perplexity as -log-likelihood / corpus token count, so
+    # one scoring pass per k gives both.
+    tokens = vectors.agg(F.sum("length")).first()[0]
+
     def one(k):
         m = fit_fn(k)
         cv = coherence_fn(k, m).agg(F.avg("coherence")).first()[0]
-        return k, m, (int(k), float(m.logLikelihood(vectors)), float(m.logPerplexity(vectors)),
-                      float(cv) if cv is not None else None)
+        ll = float(m.logLikelihood(vectors))
+        return k, m, (int(k), ll, -ll / float(tokens), float(cv) if cv is not None else None)
 
     ks = list(ks)
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
