@@ -1,34 +1,22 @@
 """Stop-word lists.
 
-The default is Spark's own English list (the resource behind
-``StopWordsRemover.loadDefaultStopWords("english")``), read straight from
-the MLlib jar so it needs no running JVM and the SQL oracle can use the very
-same words.  Callers may pass any other list (e.g. a larger union of lists).
+The default is Spark's English list (the words behind
+``StopWordsRemover.loadDefaultStopWords("english")``), shipped with the
+package as a plain text file so that neither a JVM nor the Spark jars are
+needed to read it.  Callers may pass any other list or a one-column table.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
-
-_RESOURCE = "org/apache/spark/ml/feature/stopwords/{lang}.txt"
+from importlib import resources
 
 
 @functools.lru_cache(maxsize=None)
 def default_stopwords(lang: str = "english") -> tuple[str, ...]:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            try:
-                data = z.read(_RESOURCE.format(lang=lang)).decode("utf-8")
-            except KeyError:
-                continue
-            return tuple(w for w in data.split() if w)
-    raise FileNotFoundError(f"no Spark stop-word list for {lang!r}")
+    """The packaged list ``stopwords_<lang>.txt``, one word per line."""
+    data = resources.files(__package__).joinpath(f"stopwords_{lang}.txt").read_text(encoding="utf-8")
+    return tuple(w for w in data.split() if w)
 
 
 def union_stopwords(*lists) -> tuple[str, ...]:
