@@ -81,7 +81,7 @@ def as_bytes(col) -> list:
     return col.cast(pa.binary()).to_pylist()
 
 
-def with_unique_ids(docs: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
+def with_unique_ids(docs: DataFrame, id_col: str, keep: list) -> DataFrame:
     """``docs`` with a column ``_rid`` that tells every row apart.
 
     ``_rid`` is the id itself where ids are unique and present, which one
@@ -90,7 +90,7 @@ def with_unique_ids(docs: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
     """
     ids = docs.groupBy(id_col).count()
     odd = ids.where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
-    cols = [F.col(c) for c in keep]
+    cols = [F.col(c) if isinstance(c, str) else c for c in keep]
     if not odd:
         return docs.select(F.col(id_col).cast("long").alias("_rid"), *cols)
     return staged(docs.select(F.monotonically_increasing_id().alias("_rid"), *cols), "numbered")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path
-from . import decontaminate, html, license, packing, quality, simhash, tokens, warc
+from . import (decontaminate, html, license, packing, quality, simhash, substring_dedup, suffix_dedup, tokens,
+               warc)
 from .common import table
 
 TOKEN_LIMIT = 2048
@@ -50,6 +51,14 @@ def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("m")).select("doc_id", "m.*")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf, "documents").select("doc_id", "text"), size=400)
+
+
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf, "documents").select("doc_id", "text"), size=35)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_path(), capacity=TOKEN_LIMIT, end_id=0)
 
@@ -58,6 +67,13 @@ def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html.main_text(table(spark, sf, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over ``documents``."""
+    from corpus_pipeline import run
+
+    return run(spark, sf)
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf, "labels"))
@@ -66,9 +82,29 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_warc, op5_decontaminate,
-    op8_best_fit_packing, op9_html_extraction, op10_quality_rules)}
+    op6_suffix_array_dedup, op7_substring_dedup, op8_best_fit_packing, op9_html_extraction, op10_quality_rules,
+    pipeline)}
 
 ORACLE = {
+    "op7_substring_dedup": """
+WITH w AS (
+  SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS l FROM documents)),
+v AS (
+  SELECT doc_id, word, pos, md5(string_agg(word, ' ') OVER s) AS win, count(*) OVER s AS n FROM w
+  WINDOW s AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+again AS (SELECT win FROM v WHERE n = 35 GROUP BY win HAVING count(*) > 1),
+m AS (SELECT v.doc_id, word, pos, n = 35 AND again.win IS NOT NULL AS starts FROM v LEFT JOIN again ON v.win = again.win),
+k AS (
+  SELECT doc_id, word, pos, max(CAST(starts AS INTEGER)) OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+d AS (
+  SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '') AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN d USING (doc_id)
+""",
     "op4_warc": """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
