@@ -42,17 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.without_repeats(docs, size=400)
-    text = F.when(F.col("n_removed") > 0, whole_characters(F.col("kept"))).otherwise(F.col("text"))
-    cut = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    cut = suffix_dedup.without_repeats(docs, size=400, as_text=True)
+    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
     return columns_of(docs, cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")))
 
 
-def whole_characters(data):
-    """Column: UTF-8 bytes as text, without the bytes of characters that a cut has split."""
-    return F.regexp_replace(F.decode(data, "UTF-8"), "\N{REPLACEMENT CHARACTER}", "")
-
-
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
     return columns_of(docs, marked.where(F.size("leaks") == 0))

@@ -41,5 +41,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         unstage(cur)
         cur = nxt
         if mark == before:
-            return cur.select(u.alias("node"), v.alias("component"))
+            roots = cur.select(v.alias("node"), v.alias("component")).distinct()
+            return cur.select(u.alias("node"), v.alias("component")).unionByName(roots)
         before = mark

@@ -99,15 +99,17 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, limit: i
 
 
 FIELDS = T.StructType([
-    T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
-    T.StructField("n_removed", T.LongType()),
+    T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()),
                                                        T.StructField("end", T.LongType())])))])
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text",
-                    keep: list[str] | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
-    """All columns (or ``keep``) plus ``kept`` (bytes), ``n_bytes``, ``n_removed`` and the spans ``removed``.
+                    keep: list[str] | None = None, limit: int = GROUP_LIMIT, as_text: bool = False) -> DataFrame:
+    """All columns (or ``keep``) plus ``kept``, ``n_bytes``, ``n_removed`` and the spans ``removed``.
+
+    ``kept`` has the remaining bytes; with ``as_text`` it is a string, in which
+    the bytes of characters that a cut has split are left out.
 
     Each byte covered by a string of ``size`` bytes that also starts anywhere
     else, in the same document or another, is removed; matches do not cross
@@ -127,13 +129,16 @@ def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
             data = data or b""
             mask = covered(len(data), rs, size)
             runs = runs_of(mask) if rs else []
-            kept.append(np.frombuffer(data, dtype=np.uint8)[~mask].tobytes() if rs else data)
+            stay = np.frombuffer(data, dtype=np.uint8)[~mask].tobytes() if rs else data
+            kept.append(stay.decode("utf-8", "ignore") if as_text else stay)
             total.append(len(data))
             gone.append(int(mask.sum()))
             spans.append([{"start": a, "end": b + 1} for a, b in runs])
         return [kept, total, gone, spans]
 
-    return append_columns(joined, FIELDS, ["_text", "ranges"], compute, keep=cols)
+    kind = T.StringType() if as_text else T.BinaryType()
+    fields = T.StructType([T.StructField("kept", kind), *FIELDS.fields])
+    return append_columns(joined, fields, ["_text", "ranges"], compute, keep=cols)
 
 
 def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
