@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import append_columns, as_bytes, worker_cache
 
-CACHE_PIECES = 400_000    # pieces remembered per worker; the memory is emptied when full
+CACHE_PIECES = 500_000    # pieces in a generation of a worker's memory
 CACHE_BYTES = 64          # longer pieces are worked out anew each time
 SAFE_NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
 
@@ -84,9 +84,10 @@ def whole_tokens(path: str) -> frozenset:
 class PreTokens:
     """The pre-tokens of a text without special strings, as the merges take them.
 
-    Printable ASCII needs no composing and no byte mapping, so there the
-    file's own pattern on the lower-cased text is all; other texts go through
-    the library's normaliser and pre-tokenizer.
+    Printable Latin-1 text is composed already and its classes are the same in
+    all Unicode versions, so there the file's own pattern on the lower-cased
+    text is all; other texts go through the library's normaliser and
+    pre-tokenizer.
     """
 
     def __init__(self, path: str, tok, split: bool):
@@ -101,112 +102,116 @@ class PreTokens:
             lower = any(s["type"] == "Lowercase" for s in d["normalizer"].get("normalizers", [d["normalizer"]]))
             if kinds == ["Split", "ByteLevel"] and lower:
                 self.find = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
+                self.level = {b: ord(c) for b, c in enumerate(byte_letters()) if chr(b) != c}
 
     def __call__(self, text: str) -> list:
-        if self.find is not None and text.isascii() and text.isprintable():
-            return self.find(text.lower())
+        if self.find is not None and text.isprintable():
+            if text.isascii():
+                return self.find(text.lower())
+            if max(text) <= "\xff":
+                return [w.encode().decode("latin-1").translate(self.level) for w in self.find(text.lower())]
         tok = self.tok
         norm = tok.normalizer.normalize_str(text) if tok.normalizer else text
         return [w for w, _ in tok.pre_tokenizer.pre_tokenize_str(norm)]
 
 
-class Counter:
-    """Counts tokens of byte strings; one per worker and file."""
+def byte_letters() -> list:
+    """The printable letter by which byte-level vocabularies write each byte.
 
-    def __init__(self, path: str, whole: frozenset, split: bool):
-        self.tok, self.whole, self.split = load(path), whole, split
+    Printable Latin-1 characters stand for themselves; the other bytes get the
+    letters from U+0100 on, in order.
+    """
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+class Remembered:
+    """What pieces of texts turn into; one per worker, file and use.
+
+    ``find(text)`` works a piece out, ``join`` puts the values of a text's
+    pieces together.  Two generations of pieces are remembered: when the young
+    one is full it becomes the old one, so frequent pieces stay.
+    """
+
+    def __init__(self, path: str, split: bool):
+        self.tok, self.split = load(path), split
         self.pre = PreTokens(path, self.tok, split)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces: dict = {}
-        self.merged: dict = {}
-
-    def _plain(self, text: str) -> int:
-        tok, whole, merged, n = self.tok, self.whole, self.merged, 0
-        for word in self.pre(text):
-            if word in whole:
-                n += 1
-                continue
-            k = merged.get(word)
-            if k is None:
-                k = len(tok.model.tokenize(word))
-                if len(word) <= CACHE_BYTES:
-                    if len(merged) >= CACHE_PIECES:
-                        merged.clear()
-                    merged[word] = k
-            n += k
-        return n
-
-    def _count(self, text: str) -> int:
+        self.special_bytes = [s.encode() for s in self.special]
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def keep(self, piece: bytes, value) -> None:
+        if len(piece) <= CACHE_BYTES:
+            if len(self.young) >= CACHE_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = value
+
+    def work_out(self, piece: bytes):
+        value = self.old.get(piece)
+        if value is None:
+            # A closing mark after an ASCII letter or digit is a pre-token of its own.
+            if len(piece) > 1 and piece[-1] in b",.;" and piece[-2:-1].isalnum():
+                value = self.value(piece[:-1]) + self.value(piece[-1:])
+            else:
+                value = self.find(piece.decode())
+        self.keep(piece, value)
+        return value
+
+    def value(self, piece: bytes):
+        value = self.young.get(piece)
+        return self.work_out(piece) if value is None else value
+
+    def values(self, data: bytes) -> list:
+        """The values of a text's pieces, cut at ASCII white space."""
+        low = data.lower()                  # as the pieces are in any case, but for special strings
+        if not any(s in data or s.lower() in low for s in self.special_bytes):
+            data = low
+        words = data.split()
+        got = list(map(self.young.get, words))
+        if None in got:
+            value = self.value
+            for i, v in enumerate(got):
+                if v is None:
+                    got[i] = value(words[i])
+        return got
+
+
+class Counter(Remembered):
+    """Counts tokens of byte strings."""
+
+    def __init__(self, path: str, whole: frozenset, split: bool):
+        super().__init__(path, split)
+        self.whole = whole
+
+    def find(self, text: str) -> int:
         if any(s in text for s in self.special):
             return len(self.tok.encode(text, add_special_tokens=False).ids)
-        return self._plain(text)
+        merge, whole = self.tok.model.tokenize, self.whole
+        return sum(1 if w in whole else len(merge(w)) for w in self.pre(text))
 
     def count(self, data: bytes | None) -> int:
         if not data:
             return 0
-        if not self.split:
-            return self._count(data.decode())
-        pieces, n = self.pieces, 0
-        for p in data.split():
-            k = pieces.get(p)
-            if k is None:
-                k = self._count(p.decode())
-                if len(p) <= CACHE_BYTES:
-                    if len(pieces) >= CACHE_PIECES:
-                        pieces.clear()
-                    pieces[p] = k
-            n += k
-        return n
-
-
-class Encoder:
-    """Token ids of byte strings as little-endian 32-bit words; one per worker and file."""
+        return sum(self.values(data)) if self.split else self.find(data.decode())
 
-    def __init__(self, path: str, split: bool):
-        self.tok, self.split = load(path), split
-        self.pre = PreTokens(path, self.tok, split)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces: dict = {}
-        self.merged: dict = {}
 
-    def _ids(self, text: str) -> bytes:
+class Encoder(Remembered):
+    """Token ids of byte strings as little-endian 32-bit words."""
+
+    def find(self, text: str) -> bytes:
         if not self.split or any(s in text for s in self.special):
             ids = self.tok.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        merged, got = self.merged, []
-        for word in self.pre(text):
-            v = merged.get(word)
-            if v is None:
-                ids = [t.id for t in self.tok.model.tokenize(word)]
-                v = struct.pack(f"<{len(ids)}I", *ids)
-                if len(word) <= CACHE_BYTES:
-                    if len(merged) >= CACHE_PIECES:
-                        merged.clear()
-                    merged[word] = v
-            got.append(v)
-        return b"".join(got)
+        else:
+            merge = self.tok.model.tokenize
+            ids = [t.id for w in self.pre(text) for t in merge(w)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, data: bytes | None) -> bytes:
         if not data:
             return b""
-        if not self.split:
-            return self._ids(data.decode())
-        words, pieces = data.split(), self.pieces
-        try:
-            return b"".join(map(pieces.__getitem__, words))
-        except KeyError:
-            pass
-        got = []
-        for p in words:
-            v = pieces.get(p)
-            if v is None:
-                v = self._ids(p.decode())
-                if len(p) <= CACHE_BYTES:
-                    if len(pieces) >= CACHE_PIECES:
-                        pieces.clear()
-                    pieces[p] = v
-            got.append(v)
-        return b"".join(got)
+        return b"".join(self.values(data)) if self.split else self.find(data.decode())
 
 
 def cached_counter(path: str, whole: frozenset, split: bool) -> Counter:
