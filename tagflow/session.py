@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on.  AQE re-plans joins (broadcast conversion
 # from measured shuffle sizes), coalesces small partitions and splits skewed
@@ -36,6 +36,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    spark.conf.set("tagflow.localSpread", str(spark.sparkContext.defaultParallelism))
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -45,19 +46,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
-    store) and is used as is.  Only when it is unset -- local runs and tests --
-    a fresh scratch folder is created and registered.
+    store) and is used as is.  Where it is unset, a local run gets a scratch
+    folder of its own; on a cluster that would be a folder per machine, so
+    there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="tagflow-ckpt-", dir=os.environ.get("TAGFLOW_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(local)
+    if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tagflow-ckpt-", dir=os.environ.get("TAGFLOW_SCRATCH", "/tmp"))
+    sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
@@ -67,26 +69,25 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stages/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df):
-    """Materialise a pipeline stage in the shared checkpoint folder.
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a pipeline stage to the shared folder as Parquet and read it back.
 
-    The stage is computed once, later stages read it back instead of
-    recomputing the lineage, and a lost executor costs no recomputation of
-    the upstream work (unlike a cache or a local checkpoint).
+    The stage is computed once.  Later steps read only the columns they use,
+    with filters pushed to the scan, and a lost executor costs no
+    recomputation of the upstream work (unlike a cache or a local checkpoint).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df):
-    """Spread a table that has fewer partitions than there are cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over the cores of a local run that asks for it.
 
-    CPU-heavy per-row work (text cleaning, an LDA E-step) on a small table
-    or a file with a few row groups would leave cores idle.  A 100 TB input
-    has far more partitions than cores and is returned unchanged (no shuffle
-    is added).
+    A small file with few row groups leaves cores idle in tests and in the
+    bench; ``build_session`` therefore sets ``tagflow.localSpread``.  Where the
+    setting is absent, as on a cluster, the table is returned as it is and no
+    shuffle is added.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    cores = int(df.sparkSession.conf.get("tagflow.localSpread", "0"))
+    return df.repartition(cores) if cores else df

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stopwords import default_stopwords, union_stopwords
 from ..session import spread
 
+MAX_TURNS = 1_000_000
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -20,6 +23,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of a folder's tables, to notice a changed input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for table in fs.listStatus(path):
+        inner = fs.listStatus(table.getPath()) if table.isDirectory() else [table]
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inner]
+    return tuple(sorted(found))
+
+
 # Tweets derived from `documents`: id, time, reply/quote references, tags and
 # mentions are functions of doc_id and of the first words of the text.
 TWEETS_SQL = r"""
@@ -68,12 +82,47 @@ def baskets(spark: SparkSession, sf_dir: str, tag_col: str = "p_brand") -> DataF
               .select(F.col("l_orderkey").alias("tweet_id"), "tag"))
 
 
+EXTRA_STOPWORDS = ("than", "thing", "ing", "ion", "the")
+
+LEXICON_SQL = r"""
+select form, case length(form) % 6 when 0 then 'NOUN' when 1 then 'VERB' when 2 then 'PRON' when 3 then 'ADJ'
+                                   when 4 then 'PROPN' else 'ADV' end as pos,
+       case when length(form) > 3 then substr(form, 1, length(form) - 1) else substr(form, 1, 2) end as lemma
+from (select distinct explode(split(lower(text), '[^a-z]+')) as form from {documents} where lang = 'en')
+where length(form) >= 3 and (form like '%n' or form like '%t')
+"""
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon ``(form, pos, lemma)`` made of the words of ``documents`` (there is no real one).
+
+    It covers English words that end in n or t; classes follow from their
+    length, lemmas lack the last letter.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    view = f"tagflow_words_{abs(hash(sf_dir))}"
+    docs.createOrReplaceTempView(view)
+    return spark.sql(LEXICON_SQL.format(documents=view))
+
+
+def stopword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stop-word table: the union of the packaged list and a list of frequent syllable words."""
+    words = union_stopwords(default_stopwords(), EXTRA_STOPWORDS)
+    return spark.createDataFrame([(w,) for w in words], "word string")
+
+
 def reply_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as reply chains: each turn replies to the previous one."""
+    """Conversations as reply chains: each turn replies to the previous one.
+
+    A turn's id leaves room for ``MAX_TURNS`` turns of a conversation; a longer
+    one fails rather than run into the next conversation's ids.
+    """
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    base = F.col("conv_id") * MAX_TURNS + F.col("turn")
+    fits = F.assert_true(F.col("turn").between(0, MAX_TURNS - 2), "a conversation has too many turns")
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn") + 1).alias("id"),
-        F.when(F.col("turn") > 0, F.col("conv_id") * 100 + F.col("turn")).alias("in_reply_to_status_id"),
+        F.when(fits.isNull(), base + 1).alias("id"),
+        F.when(F.col("turn") > 0, base).alias("in_reply_to_status_id"),
         "role", "text")
 
 

@@ -1,9 +1,12 @@
 """Scans and sinks: tweet CSV exports, stage tables, graph files.
 
 * ``scan_tweets`` reads a CSV export with an explicit schema (no inference),
-  quoted multi-line texts and doubled quotes, keeping only the asked-for
-  columns (pruned at the scan).  An empty field is NULL, as in a pandas
-  read of the same file.
+  quoted texts and doubled quotes, keeping only the asked-for columns (pruned
+  at the scan).  An empty field is NULL, as in a pandas read of the same file.
+  Texts may hold line breaks by default; then a file cannot be split and is
+  one task, so a large export should come as many files.  For an export
+  without line breaks in its texts, ``multi_line=False`` lets Spark split
+  files.
 * ``write_stage`` / ``read_stage`` hand a stage over as Parquet.
 * ``write_graph_csv`` writes node and edge tables as CSV for graph tools,
   with array columns joined into text.
@@ -20,9 +23,11 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"
                "mode": "PERMISSIVE"}
 
 
-def scan_tweets(spark: SparkSession, path: str, use_cols=None, schema=TWEET_SCHEMA) -> DataFrame:
+def scan_tweets(spark: SparkSession, path: str, use_cols=None, schema=TWEET_SCHEMA,
+                multi_line: bool = True) -> DataFrame:
     """Read a tweet CSV export; ``use_cols`` selects columns (others are pruned)."""
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    options = CSV_OPTIONS | {"multiLine": str(multi_line).lower()}
+    df = spark.read.schema(schema).options(**options).csv(path)
     return df.select(*use_cols) if use_cols else df
 
 

@@ -44,12 +44,10 @@ def narrow_plan(df: DataFrame) -> DataFrame:
     filled = [F.coalesce(F.col(c), F.lit(0)) for c in cols]
     row = df.agg(*[F.min(e).alias(f"mn_{i}") for i, e in enumerate(filled)],
                  *[F.max(e).alias(f"mx_{i}") for i, e in enumerate(filled)])
-    parts = [row.select(F.lit(c).alias("column"), F.col(f"mn_{i}").cast("long").alias("min_value"),
-                        F.col(f"mx_{i}").cast("long").alias("max_value"))
-             for i, c in enumerate(cols)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # One scan: the single aggregate row is unfolded into a row per column.
+    entries = [F.struct(F.lit(c).alias("column"), F.col(f"mn_{i}").cast("long").alias("min_value"),
+                        F.col(f"mx_{i}").cast("long").alias("max_value")) for i, c in enumerate(cols)]
+    out = row.select(F.inline(F.array(*entries)))
     return out.withColumn("width", _choice(F.col("min_value"), F.col("max_value")))
 
 

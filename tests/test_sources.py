@@ -31,5 +31,8 @@ def test_csv_round_trip_quotes_and_newlines(spark):
     # an empty field reads back as NULL, as a CSV reader of the export does
     exp = [tuple(None if (v == "" and i == 2) else v for i, v in enumerate(r)) for r in df.collect()]
     assert sorted(map(tuple, back.collect())) == sorted(exp)
+    one = df.where("id = 2")
+    io.write_tweets_csv(one, path + "1")
+    assert io.scan_tweets(spark, path + "1", multi_line=False).first().mentions == "m"
     pruned = io.scan_tweets(spark, path, use_cols=["id", "text"])
     assert pruned.columns == ["id", "text"]
