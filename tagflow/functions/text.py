@@ -222,11 +222,11 @@ def _deaccent_pairs():
 
     Rule: NFD, drop nonspacing marks (category Mn), NFC.  A character whose
     result is a different single character maps to it; a lone mark is
-    deleted.  Built once for the Latin, Greek and Cyrillic blocks and the
-    combining marks, which is where the rule changes anything in practice.
+    deleted.  Built for every code point below the emoji range, whatever its
+    script: cleaning has removed all above it.
     """
     src, dst, drop = [], [], []
-    for cp in list(range(0xC0, 0x530)) + list(range(0x1E00, 0x2000)):
+    for cp in range(0x80, fixed.EMOJI_RANGE[0]):
         ch = chr(cp)
         if unicodedata.category(ch) == "Mn":
             drop.append(ch)

@@ -13,22 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import text as tx
 from ..plans.joins import lookup_join
 from . import tags as tg
 
 SCHEMES = ("all", "tagged", "tag", "cluster")
 
 
+TEXT_CHOICES = ("tokenized", "preprocessed", "spacy_lemmatized")
+
+
 def tag_segments(df: DataFrame, popular: DataFrame) -> DataFrame:
-    """Distinct ``(tag, tokenized, preprocessed)`` rows of popular tags.
+    """Distinct ``(tag, text columns)`` rows of popular tags.
 
-    Repeats of a tag inside a tweet and tweets with identical content count
-    once per tag, as in the reference's de-duplication of tag-text rows.
+    The text columns are those of ``TEXT_CHOICES`` that ``df`` has.  Repeats of
+    a tag inside a tweet and tweets with identical content count once per tag,
+    as in the reference's de-duplication of tag-text rows.
     """
-    inc = tg.tag_incidence(df, extra_cols=("tokenized", "preprocessed"))
+    texts = tuple(c for c in TEXT_CHOICES if c in df.columns)
+    inc = tg.tag_incidence(df, extra_cols=texts)
     red = tg.reduce_incidence(inc, popular)
-    return red.select("tag", "tokenized", "preprocessed").distinct()
+    return red.select("tag", *texts).distinct()
 
 
 def tag_docs(segments: DataFrame, nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
@@ -47,21 +52,31 @@ def tag_docs(segments: DataFrame, nodes: DataFrame, n_nodes: int | None = None)
         F.col("tag").alias("Name"), "Id", "count", "n_texts", "n_tokens")
 
 
-def tag_doc_segments(segments: DataFrame, nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
-    """``(doc_id = tag Id, text)``: one row per distinct token list of a tag.
+def tag_doc_segments(segments: DataFrame, nodes: DataFrame, n_nodes: int | None = None,
+                     text_col: str = "tokenized") -> DataFrame:
+    """The content of the tag documents in long form: ``(doc_id = tag Id, text)``.
 
-    ``text`` is the token list joined with ', ' (the shape the vectorizer
-    reads), so a token pattern sees the same tokens as in the joined tag
-    document.
+    One row per distinct text of a tag; ``text_col`` is one of
+    ``TEXT_CHOICES``.  Token lists are joined with ', ' (the shape the
+    vectorizer reads), so a token pattern sees the same tokens as in the
+    joined tag document.
     """
-    texts = segments.select("tag", "tokenized").distinct()
+    texts = segments.select("tag", text_col).distinct()
     ids = nodes.select(F.col("Name").alias("tag"), F.col("Id").alias("doc_id"))
     j = lookup_join(texts, ids, "tag", "inner", n_nodes)
-    return j.select("doc_id", F.array_join("tokenized", ", ").alias("text"))
+    return j.select("doc_id", as_text(segments, text_col).alias("text"))
+
+
+def as_text(df: DataFrame, col: str):
+    return F.array_join(col, ", ") if dict(df.dtypes)[col].startswith("array") else F.col(col)
+
+
+def as_tokens(df: DataFrame, col: str):
+    return F.col(col) if dict(df.dtypes)[col].startswith("array") else tx.split_words(F.col(col))
 
 
-def word_freq(df: DataFrame, col: str = "tokenized", k: int = fixed.WORDCLOUD_MAX_WORDS) -> DataFrame:
-    """Word frequencies of a text or token column: the k most frequent words.
+def word_freq(df: DataFrame, col: str = "tokenized", k: int | None = None) -> DataFrame:
+    """Word frequencies of a text or token column: all words, or the k most frequent.
 
     List punctuation ``; [ ] ' ,`` is deleted, the text split on blanks and
     lower-cased; empty words are not counted.
@@ -73,7 +88,7 @@ def word_freq(df: DataFrame, col: str = "tokenized", k: int = fixed.WORDCLOUD_MA
     counts = (df.select(F.explode(words).alias("w"))
                 .select(F.lower("w").alias("word")).where(F.col("word") != "")
                 .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
-    return counts.orderBy(F.col("count").desc(), F.col("word").asc()).limit(k)
+    return counts if k is None else counts.orderBy(F.col("count").desc(), F.col("word").asc()).limit(k)
 
 
 def pool_texts(df: DataFrame, scheme: str, segments: DataFrame | None = None,
@@ -83,22 +98,24 @@ def pool_texts(df: DataFrame, scheme: str, segments: DataFrame | None = None,
 
     all     every cleaned tweet is a document (key = tweet id)
     tagged  tweets with at least one tag
-    tag     one document per popular tag (key = tag Id): its distinct token lists
+    tag     one document per popular tag (key = tag Id): its distinct texts
     cluster one document per tag cluster: the distinct tag documents of the
             cluster, re-tokenised on word characters
 
-    A pooled document is the multiset union of its member texts; it is never
+    ``token_col`` is one of ``TEXT_CHOICES``, for every scheme.  A pooled
+    document is the multiset union of its member texts; it is never
     concatenated into one row.
     """
     if scheme in ("all", "tagged"):
         rows = df if scheme == "all" else df.where(F.col("hashtags").isNotNull())
-        return rows.select(F.col("id").alias("doc_key"), F.col(token_col).alias("tokens"))
+        return rows.select(F.col("id").alias("doc_key"), as_tokens(df, token_col).alias("tokens"))
     if scheme == "tag":
-        texts = segments.select("tag", "tokenized").distinct()
+        texts = segments.select("tag", token_col).distinct()
         ids = nodes.select(F.col("Name").alias("tag"), F.col("Id").alias("doc_key"))
-        return lookup_join(texts, ids, "tag", "inner", n_nodes).select("doc_key", F.col("tokenized").alias("tokens"))
+        return lookup_join(texts, ids, "tag", "inner", n_nodes).select(
+            "doc_key", as_tokens(segments, token_col).alias("tokens"))
     if scheme == "cluster":
-        return cluster_segments(segments, nodes, clusters, n_nodes)
+        return cluster_segments(segments, nodes, clusters, n_nodes, token_col).select("doc_key", "tokens")
     raise ValueError(f"unknown scheme {scheme!r}")
 
 
@@ -112,27 +129,29 @@ def pool_term_counts(df: DataFrame, scheme: str, segments: DataFrame | None = No
 
 
 def cluster_segments(segments: DataFrame, nodes: DataFrame, clusters: DataFrame,
-                     n_nodes: int | None = None) -> DataFrame:
-    """``(doc_key = cluster, tokens)``: member texts of the cluster documents.
+                     n_nodes: int | None = None, token_col: str = "tokenized") -> DataFrame:
+    """``(doc_key = cluster, tag, text, tokens)``: member texts of the cluster documents.
 
     Per cluster, the distinct tag documents are pooled (two tags whose
-    documents are equal contribute once); a tag document is identified by
-    an order-free 64-bit signature of its distinct token lists, computed as
-    an aggregate.  Tokens are re-split on word characters (``\\w+``).
+    documents are equal contribute once).  Tag documents are told apart by
+    their number of texts and two independent order-free sums of 64-bit hashes
+    of their texts, computed as an aggregate.  Tokens are re-split on word
+    characters (``\\w+``).
     """
-    texts = segments.select("tag", "tokenized").distinct()
-    sig = (texts.groupBy("tag").agg(F.sum(F.xxhash64(F.array_join("tokenized", "\u0001"))
-                                          .cast("decimal(38,0)")).alias("sig")))
+    texts = segments.select("tag", as_text(segments, token_col).alias("text")).distinct()
+    total = lambda h: F.sum(h.cast("decimal(38,0)"))
+    sig = texts.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), total(F.xxhash64("text")).alias("s1"),
+                                   total(F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")).alias("s2"))
     ids = nodes.select(F.col("Name").alias("tag"), "Id")
     lab = lookup_join(sig, ids, "tag", "inner", n_nodes).join(clusters.select("Id", "cluster"), "Id")
-    chosen = lab.groupBy("cluster", "sig").agg(F.min("tag").alias("tag"))
+    chosen = lab.groupBy("cluster", "n", "s1", "s2").agg(F.min("tag").alias("tag"))
     return texts.join(chosen, "tag").select(
-        F.col("cluster").alias("doc_key"),
-        F.regexp_extract_all(F.array_join("tokenized", ", "), F.lit(r"[\p{L}\p{N}_]+"), 0).alias("tokens"))
+        F.col("cluster").alias("doc_key"), "tag", "text",
+        F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), 0).alias("tokens"))
 
 
-def pool_summary(counts: DataFrame, scheme: str) -> DataFrame:
-    """One row per scheme: documents, distinct document-term pairs, tokens."""
+def pool_summary(counts: DataFrame, scheme: str, text: str) -> DataFrame:
+    """One row per scheme and text: documents, distinct document-term pairs, tokens."""
     return counts.agg(F.countDistinct("doc_key").alias("n_docs"), F.count(F.lit(1)).alias("n_terms"),
-                      F.sum("count").alias("n_tokens")).withColumn("scheme", F.lit(scheme)) \
-                 .select("scheme", "n_docs", "n_terms", "n_tokens")
+                      F.sum("count").alias("n_tokens")).select(
+        F.lit(scheme).alias("scheme"), F.lit(text).alias("text"), "n_docs", "n_terms", "n_tokens")

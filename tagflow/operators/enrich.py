@@ -22,13 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from ..plans.joins import with_constants
 
 
 def _lookup(data1: DataFrame) -> DataFrame:
     """The referenced-tweet side: one identical projection for every join, so
-    its shuffle on the id is computed once and reused by all of them."""
-    return data1.select(F.col("id").alias("ref_id"), F.col("text").alias("ref_text"),
-                        F.col("hashtags").alias("ref_tags"), F.col("mentions").alias("ref_mentions"))
+    its shuffle on the id is computed once and reused by all of them.
+
+    Ids must be unique: the aggregate fails the query on a repeated one, which
+    would otherwise multiply rows.  It groups by the join key, so the join
+    needs no further shuffle.
+    """
+    once = data1.groupBy(F.col("id").alias("ref_id")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(r) for c, r in (
+            ("text", "ref_text"), ("hashtags", "ref_tags"), ("mentions", "ref_mentions"))])
+    repeated = F.raise_error(F.concat(F.lit("the tweet id "), F.col("ref_id").cast("string"), F.lit(" is repeated")))
+    ok = F.when(F.col("_n") > 1, repeated.cast("string"))
+    return once.select("ref_id", F.coalesce(ok, F.col("ref_text")).alias("ref_text"), "ref_tags", "ref_mentions")
 
 
 def _own_text(c: str = "text"):
@@ -116,16 +126,19 @@ def enrich_tweets(data1: DataFrame) -> DataFrame:
 
 
 def check_enrich(data: DataFrame) -> DataFrame:
-    """Self-check: enriched rows == quotes + replies that do not quote (non-RT).
+    """Self-check on the enriched rows: their number against the rows that refer.
 
-    Enriched rows are J1 + J2 - J3 (ids are unique); J2 counts replying
-    retweets too, so the check reports a problem exactly when such rows
-    exist -- as the reference's own check does.
+    ``enriched_rows`` counts what the joins return, J1 plus the replies that J3
+    does not hold (J2 has replying retweets too); ``expected_rows`` counts
+    quoting rows plus replies that do not quote, retweets left out, by
+    predicates alone.  So the check reports a problem when replying retweets
+    exist, and whenever a join loses or multiplies rows.
     """
-    rt = F.col("retweet") == 1
-    q = F.col("quoted_status_id") != 0
-    r = F.col("in_reply_to_status_id") != 0
-    row = data.agg(
-        (F.count_if(q & ~rt) + F.count_if(r) - F.count_if(q & ~rt & r)).alias("enriched_rows"),
-        (F.count_if(~rt & q) + F.count_if(~rt & ~q & r)).alias("expected_rows"))
-    return row.withColumn("ok", F.col("enriched_rows") == F.col("expected_rows"))
+    data1 = data.where(F.col("retweet") == 0)
+    both = enrich_both(data, data1).select("id")
+    replies = enrich_replies(data, data1).select("id").join(both, "id", "left_anti")
+    quotes = enrich_quotes(data, data1).select("id")
+    rows = quotes.unionByName(replies).agg(F.count(F.lit(1)).alias("enriched_rows"))
+    q, r = F.col("quoted_status_id") != 0, F.col("in_reply_to_status_id") != 0
+    wanted = data1.agg((F.count_if(q) + F.count_if(~q & r)).alias("expected_rows"))
+    return with_constants(rows, wanted).withColumn("ok", F.col("enriched_rows") == F.col("expected_rows"))

@@ -1,13 +1,14 @@
 """Tag graph: co-occurrence edges, label propagation clusters, modularity.
 
-Co-occurrence is a self-join of the incidence table on the tweet id.  The
-per-tweet de-duplication is an aggregate on (tweet, tag) -- partial
-aggregation first, and a tweet with very many tags is spread over tasks --
-and the self-join's own shuffle on the tweet id is one the planner inserts,
-so AQE may split a skewed tweet (it does not split shuffles a user asked
-for with ``repartition``).  The join condition ``a.tag < b.tag`` emits each
-undirected pair once and drops self-loops; each output row is a result row
-(one edge per tweet and pair).
+Where the tags of a tweet come as one array, its pairs are built inside the
+row (``cooccur_in_rows``): no shuffle, no join.  For a long incidence table,
+co-occurrence is a self-join on the tweet id.  The per-tweet de-duplication is
+an aggregate on (tweet, tag) -- partial aggregation first, and a tweet with
+very many tags is spread over tasks -- and the self-join's own shuffle on the
+tweet id is one the planner inserts, so AQE may split a skewed tweet (it does
+not split shuffles a user asked for with ``repartition``).  Either way each
+undirected pair comes once and without self-loops; each output row is a
+result row (one edge per tweet and pair).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import lookup_join, with_constants
+from ..session import stage
 
 
 def cooccur_pairs(incidence: DataFrame) -> DataFrame:
@@ -27,11 +29,33 @@ def cooccur_pairs(incidence: DataFrame) -> DataFrame:
                      F.col("b.tag").alias("tag_b")))
 
 
-def _with_ids(pairs: DataFrame, nodes: DataFrame, n_nodes: int | None) -> DataFrame:
+def cooccur_in_rows(tagged: DataFrame, id_col: str = "id", tags_col: str = "hashtags") -> DataFrame:
+    """``cooccur_pairs`` of a table with one array of normalised tags per tweet."""
+    tags = F.array_sort(F.array_distinct(F.col(tags_col)))
+    heads = F.transform(tags, lambda a, i: F.transform(
+        F.slice(tags, i + 2, F.size(tags)), lambda b: F.struct(a.alias("tag_a"), b.alias("tag_b"))))
+    return tagged.select(F.col(id_col).alias("tweet_id"), F.explode(F.flatten(heads)).alias("p")).select(
+        "tweet_id", "p.tag_a", "p.tag_b")
+
+
+def popular_edges(pairs: DataFrame, nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
+    """One edge per pair of which both tags are nodes: ``TweetID, Source, Target, Type, Weight=1``."""
+    e = _with_ids(pairs, nodes, n_nodes, "inner")
+    return e.select(F.col("tweet_id").alias("TweetID"), "Source", "Target",
+                    F.lit("Undirected").alias("Type"), F.lit(1).alias("Weight"))
+
+
+def edge_weights(edges: DataFrame) -> DataFrame:
+    """Edges summed over tweets: ``Source, Target, Type, Weight``."""
+    return edges.groupBy("Source", "Target").agg(F.sum("Weight").cast("long").alias("Weight")).select(
+        "Source", "Target", F.lit("Undirected").alias("Type"), "Weight")
+
+
+def _with_ids(pairs: DataFrame, nodes: DataFrame, n_nodes: int | None, how: str = "left") -> DataFrame:
     ids = nodes.select(F.col("Name").alias("tag_a"), F.col("Id").alias("id_a"))
-    j = lookup_join(pairs, ids, "tag_a", "left", n_nodes)
+    j = lookup_join(pairs, ids, "tag_a", how, n_nodes)
     ids_b = nodes.select(F.col("Name").alias("tag_b"), F.col("Id").alias("id_b"))
-    j = lookup_join(j, ids_b, "tag_b", "left", n_nodes)
+    j = lookup_join(j, ids_b, "tag_b", how, n_nodes)
     return (j.withColumn("Source", F.least("id_a", "id_b"))
              .withColumn("Target", F.greatest("id_a", "id_b")))
 
@@ -66,7 +90,7 @@ def symmetric_edges(weighted: DataFrame) -> DataFrame:
 
 
 def tag_clusters(nodes: DataFrame, weighted: DataFrame, n_nodes: int | None = None,
-                 max_rounds: int = 50) -> tuple[DataFrame, int, bool]:
+                 max_rounds: int = 200) -> tuple[DataFrame, int]:
     """Label propagation on the weighted tag graph: ``(Id, cluster)``.
 
     Synchronous rounds: every node takes the label with the largest summed
@@ -74,35 +98,29 @@ def tag_clusters(nodes: DataFrame, weighted: DataFrame, n_nodes: int | None = No
     incident edge weight (without it synchronous propagation oscillates);
     ties go to the smallest label.  Each round is a join of the edges with
     the current labels and two aggregations (partial aggregation first, so
-    a hub node does not sit in one task); the new labels are checkpointed to
-    the shared checkpoint folder, which cuts the lineage and survives the
-    loss of an executor.  Stops when no label changes; returns
-    ``(labels, rounds, settled)``.
+    a hub node does not sit in one task); the new labels are written to the
+    shared folder, which cuts the lineage and survives the loss of an
+    executor.  Ends when no label changes and returns ``(labels, rounds)``; if
+    labels still change after ``max_rounds`` it raises, since unsettled labels
+    are no result.
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(nodes.sparkSession)
     sym = symmetric_edges(weighted)
     selfw = sym.groupBy("src").agg(F.max("w").alias("w")).select("src", F.col("src").alias("dst"), "w")
-    votes_edges = sym.unionByName(selfw).checkpoint(eager=True)
-    labels = nodes.select("Id", F.col("Id").alias("cluster")).checkpoint(eager=True)
-    rounds, settled = 0, False
-    while rounds < max_rounds:
-        rounds += 1
+    votes_edges = stage(sym.unionByName(selfw), "votes")
+    labels = stage(nodes.select("Id", F.col("Id").alias("cluster")), "labels")
+    for rounds in range(1, max_rounds + 1):
         lab = labels.select(F.col("Id").alias("dst"), F.col("cluster").alias("lab"))
         looked = lookup_join(votes_edges, lab, "dst", "inner", n_nodes)
         score = looked.groupBy("src", "lab").agg(F.sum("w").alias("s"))
         best = score.groupBy("src").agg(
             F.max_by("lab", F.struct(F.col("s"), (-F.col("lab")).alias("neg"))).alias("new"))
-        nxt = (labels.join(best.withColumnRenamed("src", "Id"), "Id", "left")
-                     .select("Id", F.col("cluster").alias("old"),
-                             F.coalesce("new", "cluster").alias("cluster"))).checkpoint(eager=True)
-        changed = nxt.where(F.col("old") != F.col("cluster")).count()
+        nxt = stage(labels.join(best.withColumnRenamed("src", "Id"), "Id", "left")
+                          .select("Id", F.col("cluster").alias("old"),
+                                  F.coalesce("new", "cluster").alias("cluster")), "labels")
         labels = nxt.select("Id", "cluster")
-        if changed == 0:
-            settled = True
-            break
-    return labels, rounds, settled
+        if not nxt.where(F.col("old") != F.col("cluster")).limit(1).count():
+            return labels, rounds
+    raise RuntimeError(f"tag clusters still change after {max_rounds} rounds")
 
 
 def modularity(weighted: DataFrame, labels: DataFrame) -> DataFrame:

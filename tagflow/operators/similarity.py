@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import default_stopwords
-from ..plans.joins import MAX_BROADCAST_ROWS, with_constants
+from ..plans.joins import lookup_join, with_constants
 from ..session import stage
 
 # The vectorizer's default token pattern `\b\w\w+\b` matches maximal runs of
@@ -59,9 +59,11 @@ def term_counts(segments: DataFrame, text_col: str = "text", doc_col: str = "doc
     """
     sw = list(default_stopwords() if stopwords is None else stopwords)
     toks = F.regexp_extract_all(F.col(text_col), F.lit(token_pattern), 0)
-    toks = F.filter(toks, lambda t: ~t.isin(sw))
-    grams = ngrams(toks, *ngram_range)
-    return (segments.select(F.col(doc_col).alias("doc_id"), F.explode(grams).alias("term"))
+    rows = segments.select(F.col(doc_col).alias("doc_id"), F.filter(toks, lambda t: ~t.isin(sw)).alias("_toks"))
+    if ngram_range != (1, 1):
+        # A column of its own: the n-gram lambdas would work the tokens out anew for each position.
+        rows = stage(rows, "tokens")
+    return (rows.select("doc_id", F.explode(ngrams(F.col("_toks"), *ngram_range)).alias("term"))
                     .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -91,9 +93,7 @@ def tfidf(segments: DataFrame, text_col: str = "text", doc_col: str = "doc_id",
     n_docs = segments.agg(F.countDistinct(doc_col).alias("n_docs"))
     vocab = stage(vocabulary(tf, n_docs, max_df, max_features))
     v = vocab.select("term", "idf")
-    if max_features is not None and max_features <= MAX_BROADCAST_ROWS:
-        v = F.broadcast(v)       # bounded by max_features
-    w = tf.join(v, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    w = lookup_join(tf, v, "term", "inner", vocab.count()).select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     return unit_rows(w, "doc_id", "raw"), vocab
 
 
@@ -124,9 +124,49 @@ def _split_prefix(vecs: DataFrame, doc_freq: DataFrame, bound: float) -> DataFra
                     (F.col("_suffix_sq") >= bound * bound * (1 - 1e-9)).alias("in_prefix"))
 
 
-def _prefix_entries(vecs: DataFrame, doc_freq: DataFrame, threshold: float) -> DataFrame:
-    """Entries of each vector that fall in its prefix for ``threshold``."""
-    return _split_prefix(vecs, doc_freq, threshold).where("in_prefix").select("doc_id", "term")
+POSTING_BLOCK = 2048     # entries of one term that meet in one task
+
+
+def _shared_prefix(pu: DataFrame, pv: DataFrame, block: int = POSTING_BLOCK) -> DataFrame:
+    """Join of prefix postings on the term, frequent terms split into blocks.
+
+    A term with n indexed entries on the right is dealt into n / block parts;
+    its left entries go to each part.  So no task holds a whole frequent
+    posting list, and nearly all terms have one part.
+    """
+    parts = pv.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).where("parts > 1")
+    left = pu.join(parts, "term", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = left.select("d1", "term", "w1", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = pv.join(parts, "term", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    right = right.select("d2", "term", "w2", F.pmod(F.xxhash64("d2"), F.col("parts")).cast("int").alias("part"))
+    return left.join(right, ["term", "part"]).where(F.col("d1") > F.col("d2"))
+
+
+def _candidates(su: DataFrame, sv: DataFrame) -> DataFrame:
+    """``(d1, d2, p, joined)``: pairs with a common prefix term, the products summed so far."""
+    pu = su.where("in_prefix").select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
+    pv = sv.where("in_prefix").select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
+    return _shared_prefix(pu, pv).groupBy("d1", "d2").agg(
+        F.sum(F.col("w1") * F.col("w2")).alias("p"), F.count(F.lit(1)).alias("joined"))
+
+
+def candidate_report(vecs: DataFrame, threshold: float, doc_freq: DataFrame | None = None) -> DataFrame:
+    """What the cosine pair search does at a threshold: one row of counts.
+
+    ``term_join_rows`` is what joining all postings would emit, ``joined_rows``
+    what the prefix join emits, ``candidates`` its distinct pairs, ``results``
+    the pairs at the threshold.
+    """
+    if doc_freq is None:
+        doc_freq = vecs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sv = stage(_split_prefix(vecs, doc_freq, threshold), "prefix")
+    cand = _candidates(sv, sv).agg(F.coalesce(F.sum("joined"), F.lit(0)).alias("joined_rows"),
+                                   F.count(F.lit(1)).alias("candidates"))
+    n = F.col("n")
+    full = vecs.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum((n * (n - 1) / 2).cast("long")), F.lit(0)).alias("term_join_rows"))
+    found = cosine_pairs(vecs, threshold, doc_freq).agg(F.count(F.lit(1)).alias("results"))
+    return with_constants(with_constants(full, cand), found)
 
 
 def _pair_search(u: DataFrame, v: DataFrame, u_bound: float, v_bound: float, threshold: float,
@@ -134,20 +174,26 @@ def _pair_search(u: DataFrame, v: DataFrame, u_bound: float, v_bound: float, thr
     """Exact ``(Source, Target, Weight)`` = u[Source] . v[Target] >= threshold, Source > Target.
 
     AllPairs-style: candidates are pairs sharing a term in both prefixes; the
-    candidate join already sums the products over those shared prefix terms,
-    and only the remaining shared terms -- those in u's suffix, or in u's
-    prefix and v's suffix -- are joined in afterwards on the unique
-    ``(doc, term)`` key.  Suffixes are short (their norm is below the bound),
-    so the completion is small.
+    candidate join already sums the products over those shared prefix terms.
+    What a suffix can add is bounded by its norm times the other vector's
+    (Cauchy-Schwarz), so candidates that cannot reach the threshold any more
+    are dropped before their suffixes are joined.  The remaining shared terms
+    -- those in u's suffix, or in u's prefix and v's suffix -- are then joined
+    in on the unique ``(doc, term)`` key.
     """
-    su = stage(_split_prefix(u, doc_freq, u_bound))
+    su = stage(_split_prefix(u, doc_freq, u_bound), "prefix")
     # plain cosine searches one table against itself with one bound
-    sv = su if (u is v and u_bound == v_bound) else stage(_split_prefix(v, doc_freq, v_bound))
-    pu = su.where("in_prefix").select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
-    pv = sv.where("in_prefix").select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
-    part = (pu.join(pv, "term").where(F.col("d1") > F.col("d2"))
-              .groupBy("d1", "d2").agg(F.sum(F.col("w1") * F.col("w2")).alias("p")))
-    cand = stage(part)
+    sv = su if (u is v and u_bound == v_bound) else stage(_split_prefix(v, doc_freq, v_bound), "prefix")
+    sq = F.col("weight") * F.col("weight")
+
+    def norms(t, d, whole, rest):
+        return t.groupBy(F.col("doc_id").alias(d)).agg(
+            F.sqrt(F.sum(sq)).alias(whole), F.sqrt(F.sum(F.when(F.col("in_prefix"), 0.0).otherwise(sq))).alias(rest))
+
+    part = _candidates(su, sv).join(norms(su, "d1", "n1", "r1"), "d1").join(norms(sv, "d2", "n2", "r2"), "d2")
+    # u.v = prefix part + (u's suffix against all of v) + (u's prefix against v's suffix)
+    most = F.col("p") + F.col("r1") * F.col("n2") + F.col("n1") * F.col("r2")
+    cand = stage(part.where(most >= threshold - 1e-9).select("d1", "d2", "p"), "candidates")
     # shared terms in u's suffix (against all of v)
     xs = su.where(~F.col("in_prefix")).select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
     yall = v.select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))

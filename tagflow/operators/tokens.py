@@ -1,9 +1,12 @@
 """Tokens: lemmatised token lists and the bigram phrase model.
 
-No part-of-speech tagger is available; lemmas come from a lexicon table
-``(form, pos, lemma)`` supplied by the caller.  Without one, lemma = form.
-An ambiguous form takes the lemma of its first class in the fixed order
-NOUN, VERB, ADJ, ADV, other.
+No part-of-speech tagger is available; word classes and lemmas come from a
+lexicon table ``(form, pos, lemma)`` supplied by the caller.  Without one,
+lemma = form and every class passes.  An ambiguous form takes its first class
+in the fixed order NOUN, VERB, ADJ, ADV, PROPN, other (ties by lemma); a form
+that the lexicon lacks counts as a noun that is its own lemma.  Token lists
+lemmatise the first four classes and leave other words as they are; phrase
+lists keep the first five classes only.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from ..functions import fixed
 from ..functions import text as tx
 from ..functions.stopwords import default_stopwords
 from ..plans.joins import lookup_join, with_constants
+from ..session import stage
 
-POS_ORDER = {"NOUN": 0, "VERB": 1, "ADJ": 2, "ADV": 3}
+POS_ORDER = {"NOUN": 0, "VERB": 1, "ADJ": 2, "ADV": 3, "PROPN": 4}
+OTHER = 9
 
 
 def keep_token(t, stopwords) -> "F.Column":
@@ -30,10 +35,27 @@ def keep_token(t, stopwords) -> "F.Column":
             & ~t.isin(list(stopwords)))
 
 
-def _lexicon_lemmas(lexicon: DataFrame) -> DataFrame:
-    rank = F.coalesce(*[F.when(F.col("pos") == k, F.lit(v)) for k, v in POS_ORDER.items()], F.lit(9))
-    return (lexicon.groupBy("form")
-                   .agg(F.min_by("lemma", F.struct(rank, F.col("lemma"))).alias("lemma")))
+def _lexicon(lexicon: DataFrame) -> DataFrame:
+    """``(form, rank, lemma)``: the first class of each form."""
+    rank = F.coalesce(*[F.when(F.col("pos") == k, F.lit(v)) for k, v in POS_ORDER.items()], F.lit(OTHER))
+    first = lexicon.groupBy("form").agg(F.min(F.struct(rank.alias("rank"), "lemma")).alias("x"))
+    return first.select("form", "x.rank", "x.lemma")
+
+
+def _look_up(lists: DataFrame, col: str, lexicon: DataFrame, id_col: str, keep, lexicon_rows: int | None) -> DataFrame:
+    """``(id, col)`` with each token replaced; ``keep(form, rank, lemma)`` gives the new token or null.
+
+    Tokens move as (id, position, token) rows only, and the lexicon is
+    broadcast where its size is known to be small.  A row's tokens are
+    regrouped, which its own text bounds.
+    """
+    ex = lists.select(id_col, F.posexplode(col).alias("_pos", "form"))
+    looked = lookup_join(ex, _lexicon(lexicon), "form", "left", small_rows=lexicon_rows)
+    looked = looked.withColumn("_new", keep(F.col("form"), F.coalesce("rank", F.lit(0)), F.coalesce("lemma", "form")))
+    grouped = looked.where(F.col("_new").isNotNull()).groupBy(id_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_new"))), lambda s: s["_new"]).alias("_list"))
+    return lists.select(id_col).join(grouped, id_col, "left").select(
+        id_col, F.coalesce("_list", F.array().cast("array<string>")).alias(col))
 
 
 def tokenize_lemma(df: DataFrame, col: str = "preprocessed", out: str = "tokenized",
@@ -43,22 +65,18 @@ def tokenize_lemma(df: DataFrame, col: str = "preprocessed", out: str = "tokeniz
 
     Stop words are removed after lemmatisation, so inflected forms of stop
     words go too.  Without a lexicon this is a pure projection (no shuffle).
-    With one, tokens are exploded with their position, looked up with a
-    size-checked join and regrouped per row (a row's tokens are bounded by
-    its own text).
     """
     sw = default_stopwords() if stopwords is None else tuple(stopwords)
     words = tx.split_words(F.col(col))
     if lexicon is None:
         return df.withColumn(out, F.filter(words, lambda t: keep_token(t, sw)))
-    lem = _lexicon_lemmas(lexicon)
-    ex = df.select(id_col, F.posexplode(words).alias("_pos", "form"))
-    looked = lookup_join(ex, lem, "form", "left", small_rows=lexicon_rows)
-    looked = looked.withColumn("_lemma", F.coalesce("lemma", "form")).where(keep_token(F.col("_lemma"), sw))
-    regrouped = looked.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_lemma"))), lambda s: s["_lemma"]).alias(out))
-    return (df.join(regrouped, id_col, "left")
-              .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
+
+    def keep(form, rank, lemma):
+        token = F.when(rank < POS_ORDER["PROPN"], lemma).otherwise(form)
+        return F.when(keep_token(token, sw), token)
+
+    lists = df.select(id_col, words.alias(out))
+    return df.join(_look_up(lists, out, lexicon, id_col, keep, lexicon_rows), id_col)
 
 
 # ---- phrase (bigram) model --------------------------------------------------
@@ -87,37 +105,39 @@ def mine_bigrams(texts: DataFrame, col: str = "preprocessed", min_count: int = f
     """Learned phrases ``(a, b, n_a, n_b, n_ab, score)`` with score > threshold.
 
     score = (n_ab - min_count) * V / (n_a * n_b), V = distinct words plus
-    distinct adjacent pairs.  All counts are aggregates with map-side
-    combining; V is a one-row aggregate cross-joined as a constant.
+    distinct adjacent pairs.  Words and pairs are counted in one pass over the
+    texts by one aggregate with map-side combining, which is written once; V
+    is its number of rows.
     """
     toks = texts.select(phrase_tokens(F.col(col)).alias("t"))
-    uni = toks.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    bi = (toks.select(F.explode(_adjacent(F.col("t"))).alias("p"))
-              .select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
-    vsize = with_constants(uni.agg(F.count(F.lit(1)).alias("nu")), bi.agg(F.count(F.lit(1)).alias("nb"))) \
-        .select((F.col("nu") + F.col("nb")).alias("V"))
-    ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
-    ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
-    scored = (with_constants(bi.where(F.col("n_ab") > min_count).join(ua, "a").join(ub, "b"), vsize)
+    single = F.transform("t", lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
+    counts = stage(toks.select(F.inline(F.concat(single, _adjacent(F.col("t")))))
+                       .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "phrase_counts")
+    vsize = counts.agg(F.count(F.lit(1)).alias("V"))
+    uni, bi = counts.where(F.col("b").isNull()), counts.where(F.col("b").isNotNull())
+    ua = uni.select("a", F.col("n").alias("n_a"))
+    ub = uni.select(F.col("a").alias("b"), F.col("n").alias("n_b"))
+    often = bi.where(F.col("n") > min_count).select("a", "b", F.col("n").alias("n_ab"))
+    scored = (with_constants(often.join(ua, "a").join(ub, "b"), vsize)
                 .withColumn("score", (F.col("n_ab") - min_count) / (F.col("n_a") * F.col("n_b")) * F.col("V")))
     return scored.where(F.col("score") > threshold).select("a", "b", "n_a", "n_b", "n_ab", "score")
 
 
 def apply_bigrams(df: DataFrame, phrases: DataFrame, col: str = "preprocessed", out: str = "spacy_lemmatized",
                   stopwords=None, id_col: str = "id", lexicon: DataFrame | None = None,
-                  phrase_rows: int | None = None) -> DataFrame:
-    """Fuse learned phrases (``a_b``) greedily left to right, after stop words.
+                  phrase_rows: int | None = None, lexicon_rows: int | None = None) -> DataFrame:
+    """``(id, out)``: learned phrases fused (``a_b``) greedily left to right, after stop words.
 
     Stop words (the list plus 're') are removed first; a pair that is a
     phrase is fused and the scan resumes after it.  In a run of consecutive
     phrase positions the fused ones are every other position from the run's
     start, so the greedy scan reduces to a parity test computed with window
-    functions over the (few) phrase hits -- the token arrays are never
-    exploded.  Tokens of two letters or fewer are dropped at the end.
+    functions over the (few) phrase hits.  With a lexicon, tokens of other
+    than five word classes go and the rest become lemmas; lemmas of two
+    letters or fewer are dropped at the end.  Only ids and token arrays move.
     """
     sw = list(default_stopwords() if stopwords is None else stopwords) + list(fixed.PHRASE_EXTRA_STOPWORDS)
-    base = df.withColumn("_t", F.filter(phrase_tokens(F.col(col)), lambda w: ~w.isin(sw)))
+    base = df.select(id_col, F.filter(phrase_tokens(F.col(col)), lambda w: ~w.isin(sw)).alias("_t"))
     pairs = base.select(id_col, F.posexplode(_adjacent(F.col("_t"))).alias("i", "p")) \
                 .select(id_col, "i", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     # With a measured phrase count under the bound, the phrase table is
@@ -137,13 +157,11 @@ def apply_bigrams(df: DataFrame, phrases: DataFrame, col: str = "preprocessed",
         F.array_contains(s, i - 1), F.lit(None)).otherwise(F.element_at(t, i + 1)))
     fused = F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(
         F.filter(fused, lambda w: w.isNotNull()))
-    res = j.withColumn(out, F.filter(fused, lambda w: F.length(w) >= fixed.MIN_TOKEN_LEN)).drop("_t", "_s")
-    if lexicon is not None:
-        lem = _lexicon_lemmas(lexicon)
-        ex = res.select(id_col, F.posexplode(out).alias("_pos", "form"))
-        lk = ex.join(lem, "form", "left").withColumn("_lemma", F.coalesce("lemma", "form"))
-        regrouped = lk.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_lemma"))),
-                                                       lambda x: x["_lemma"]).alias("_lem"))
-        res = res.join(regrouped, id_col, "left").withColumn(
-            out, F.coalesce(F.col("_lem"), F.array().cast("array<string>"))).drop("_lem")
-    return res
+    lists = j.select(id_col, fused.alias(out))
+    if lexicon is None:
+        return lists.select(id_col, F.filter(out, lambda w: F.length(w) >= fixed.MIN_TOKEN_LEN).alias(out))
+
+    def keep(form, rank, lemma):
+        return F.when((rank < OTHER) & (F.length(lemma) >= fixed.MIN_TOKEN_LEN), lemma)
+
+    return _look_up(lists, out, lexicon, id_col, keep, lexicon_rows)

@@ -1,18 +1,20 @@
 """Topic models: bag of words, MLlib LDA sweep, c_v coherence, topic views.
 
-The MALLET Gibbs sampler of the reference is re-aimed at MLlib's LDA
-(online variational Bayes by default, seed 1): topics are comparable in
-kind, not number for number.
+The MALLET Gibbs sampler of the reference is re-aimed at MLlib's LDA with the
+EM optimizer, which reads every document in every iteration: topics are
+comparable in kind, not number for number.
 
 c_v coherence (Roeder, Both, Hinneburg, WSDM 2015) is computed as Spark
-jobs.  Probabilities are shares of boolean sliding windows of 110 tokens (a
-shorter text is one window).  Instead of exploding every window, each
-occurrence of a topic word covers an interval of window starts; the
-intervals of one word in one text are merged into islands (a window
-function over that text's occurrences), a word's window count is the
-islands' total length, and a pair's count is the total overlap of their
-islands, found by an equi-join on (text, bucket of window starts) -- a range
-join, so only overlapping islands meet and no all-pairs set is formed.
+jobs.  Probabilities are shares of boolean sliding windows of 110 tokens that
+slide over whole documents (a shorter document is one window).  A pooled
+document is never one row: its member texts have a fixed order, and their
+offsets come from a distributed prefix sum.  Instead of exploding every
+window, each occurrence of a topic word covers an interval of window starts.
+Window starts are dealt into blocks, the intervals of one word in one block
+are merged into islands, a word's window count is the islands' total length,
+and a pair's count is the total overlap of their islands, found by an
+equi-join on (document, block, bucket) -- a range join, so only overlapping
+islands meet, no all-pairs set is formed, and no group is larger than a block.
 """
 
 from __future__ import annotations
@@ -22,151 +24,171 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..plans.joins import MAX_BROADCAST_ROWS, with_constants
-from ..session import stage
+from ..plans.joins import lookup_join, with_constants
+from ..plans.rank import number_rows
+from ..session import stage, stage_path
 
-LDA_MAX_ITER = 30
-VOCAB_SIZE = 1 << 18
+LDA_MAX_ITER = 30      # passes over the corpus; a parameter of the fit
+BLOCK_WINDOWS = 1 << 16
 
 
-def _to_sparse():
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def to_sparse(size, idx, val):
-        # One call per document (not per token): builds its count vector.
-        return SparseVector(size, idx, val)
-
-    return to_sparse
-
-
-def bag_of_words(counts: DataFrame, vocab_size: int = VOCAB_SIZE):
+def bag_of_words(counts: DataFrame):
     """Count vectors from term counts ``(doc_key, term, count)``.
 
-    The vocabulary is the ``vocab_size`` most frequent terms (ties by term),
-    numbered from 0 in that order, as ``CountVectorizer`` does.  Returns
-    ``(vectors (doc_key, features, length), vocab DataFrame (idx, term,
-    total), vocabulary size)``.
+    The vocabulary is every term, numbered from 0 by falling total (ties by
+    term).  Returns ``(vectors (doc_key, features, length), vocab DataFrame
+    (idx, term, total), vocabulary size)``.  Vectors are written as the
+    structs that sparse vectors are stored as and read back as vectors, so no
+    Python builds them.
     """
+    from pyspark.ml.linalg import VectorUDT
+
     totals = counts.groupBy("term").agg(F.sum("count").alias("total"))
-    # A top-k of at most vocab_size rows (a parameter bound): numbered in one
-    # ordered pass over that small table, in the same total order.
-    order = [F.col("total").desc(), F.col("term").asc()]
-    top = totals.orderBy(*order).limit(vocab_size)
-    vocab = stage(top.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int")))
-    v = vocab.count()
-    lk = F.broadcast(vocab.select("term", "idx")) if v <= MAX_BROADCAST_ROWS else vocab.select("term", "idx")
-    j = counts.join(lk, "term")
+    numbered, v = number_rows(totals, [F.col("total").desc(), F.col("term").asc()], "rank")
+    vocab = stage(numbered.select((F.col("rank") - 1).cast("int").alias("idx"), "term", "total"), "vocabulary")
+    j = lookup_join(counts, vocab.select("term", "idx"), "term", "inner", v)
     per_doc = j.groupBy("doc_key").agg(
         F.array_sort(F.collect_list(F.struct("idx", F.col("count").cast("double").alias("c")))).alias("e"),
         F.sum("count").alias("length"))
-    vec = per_doc.select("doc_key", _to_sparse()(F.lit(v), F.col("e.idx"), F.col("e.c")).alias("features"),
-                         "length")
-    return stage(vec), vocab, v
-
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(v).alias("size"),
+                      F.col("e.idx").alias("indices"), F.col("e.c").alias("values"))
+    path = stage_path(counts.sparkSession, "vectors")
+    rows = per_doc.select("doc_key", sparse.alias("features"), "length")
+    rows.write.parquet(path)
+    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType)
+                           for f in rows.schema])
+    return counts.sparkSession.read.schema(schema).parquet(path), vocab, v
+
+
+def fit_lda(vectors: DataFrame, k: int, max_iter: int = LDA_MAX_ITER, optimizer: str = "em",
+            seed: int = fixed.LDA_SEED):
+    """MLlib LDA; with EM (the default) every iteration reads the whole corpus."""
+    from pyspark.ml.clustering import LDA
 
-MINI_BATCH_DOCS = 1000
+    return LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features").fit(vectors)
 
 
-def fit_lda(vectors: DataFrame, k: int, max_iter: int = LDA_MAX_ITER, optimizer: str = "online",
-            seed: int = fixed.LDA_SEED, n_docs: int | None = None):
-    """MLlib LDA.  The online optimizer's mini-batch is sized to about
-    ``MINI_BATCH_DOCS`` documents: a pooled corpus of a few hundred documents is
-    seen whole in every iteration, a huge one is sampled (at least MLlib's
-    default 5 %)."""
-    from pyspark.ml.clustering import LDA
+def topic_counts(model) -> DataFrame:
+    """``(id, topic, n)``: the expected tokens of each topic per term and per document.
 
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features")
-    if optimizer == "online" and n_docs:
-        lda = lda.setSubsamplingRate(min(1.0, max(0.05, MINI_BATCH_DOCS / n_docs)))
-    return lda.fit(vectors)
+    An EM model is a graph; saved, its vertices are a Parquet table of topic
+    counts, terms with negative ids (-1 for term 0) and documents with the
+    others.  So neither the vocabulary's matrix nor the documents' topics pass
+    through the driver.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import SparkSession
 
+    spark = SparkSession.getActiveSession()
+    path = stage_path(spark, "lda_model")
+    model.write().overwrite().save(path)
+    rows = spark.read.parquet(f"{path}/oldModel/data/topicCounts")
+    return rows.select("id", F.posexplode(vector_to_array("topicWeights")).alias("topic", "n"))
 
-def topic_words(model, vocab: DataFrame, n: int, vocab_rows: int | None = None) -> DataFrame:
-    """``(topic, rank, term, weight)``: the n most probable terms per topic.
 
-    The vocabulary is broadcast when its measured size ``vocab_rows`` is
-    under the bound; otherwise the planner joins it.
-    """
+def topic_words(model, vocab: DataFrame, n: int) -> DataFrame:
+    """``(topic, rank, term, weight)``: the n most probable terms per topic (k x n rows)."""
     d = model.describeTopics(n)
     ex = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "e"))
     ex = ex.select("topic", (F.col("rank") + 1).alias("rank"), F.col("e.termIndices").alias("idx"),
                    F.col("e.termWeights").alias("weight"))
-    v = vocab.select("idx", "term")
-    if vocab_rows is not None and vocab_rows <= MAX_BROADCAST_ROWS:
-        v = F.broadcast(v)
-    return ex.join(v, "idx").drop("idx")
+    # The k x n rows are the small side.
+    return vocab.select("idx", "term").join(F.broadcast(ex), "idx").drop("idx")
 
 
-def topic_terms(model, vocab: DataFrame, n: int = fixed.TOPIC_TERMS, vocab_rows: int | None = None) -> DataFrame:
+def topic_terms(model, vocab: DataFrame, n: int = fixed.TOPIC_TERMS) -> DataFrame:
     """One row per topic: ``Topic1..K`` and its n top terms joined by ', '."""
-    tw = topic_words(model, vocab, n, vocab_rows)
+    tw = topic_words(model, vocab, n)
     per = tw.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("l"))
     return per.select(F.concat(F.lit("Topic"), (F.col("topic") + 1).cast("string")).alias("topic"),
                       F.array_join(F.transform("l", lambda s: s["term"]), ", ").alias("terms"))
 
 
-def topic_relevance(model, vectors: DataFrame, vocab: DataFrame, v: int, lam: float = 0.6,
-                    top: int = 30) -> DataFrame:
-    """Term relevance per topic, lam*ln(phi) + (1-lam)*ln(phi/p), and topic share.
+def topic_relevance(model, vocab: DataFrame, lam: float = 0.6, top: int | None = None) -> DataFrame:
+    """Relevance of every term to every topic, lam*ln(phi) + (1-lam)*ln(phi/p), and the topic's share.
 
-    phi comes from the model's normalised topic-term weights (all terms, as a
-    DataFrame); p is the term's share of all tokens; a topic's share is the
-    document-length-weighted sum of its document proportions.
+    phi is the term's share of the topic; p its share of all tokens; a topic's
+    share is that of the tokens the model assigns to it.  Terms without weight in a topic have no row.  With ``top`` only the most
+    relevant terms of each topic are returned, with their rank.
     """
-    from pyspark.ml.functions import vector_to_array
-
-    phi = topic_words(model, vocab, v, v).select("topic", "term", F.col("weight").alias("phi"))
+    counts = topic_counts(model)
+    terms = counts.where("id < 0").select((-F.col("id") - 1).cast("int").alias("idx"), "topic", "n")
+    # One row per topic.
+    total = terms.groupBy("topic").agg(F.sum("n").alias("all"))
+    phi = terms.join(F.broadcast(total), "topic").select("idx", "topic", (F.col("n") / F.col("all")).alias("phi"))
     tot = vocab.agg(F.sum("total").alias("n"))
-    p = with_constants(vocab, tot).select("term", (F.col("total") / F.col("n")).alias("p"))
-    rel = phi.join(p, "term").withColumn(
+    p = with_constants(vocab, tot).select("idx", "term", (F.col("total") / F.col("n")).alias("p"))
+    rel = phi.where("phi > 0").join(p, "idx").withColumn(
         "relevance", lam * F.log("phi") + (1 - lam) * F.log(F.col("phi") / F.col("p")))
-    w = Window.partitionBy("topic").orderBy(F.col("relevance").desc(), F.col("term").asc())
-    ranked = rel.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    dist = model.transform(vectors).select("length", vector_to_array("topicDistribution").alias("t"))
-    mass = (dist.select(F.posexplode("t").alias("topic", "theta"), "length")
-                .groupBy("topic").agg(F.sum(F.col("theta") * F.col("length")).alias("m")))
+    cols = ["term", "phi", "relevance"]
+    if top is not None:
+        # Partial top lists first, so that no task holds a topic's whole vocabulary.
+        order = [F.col("relevance").desc(), F.col("term").asc()]
+        part = rel.withColumn("_part", F.pmod(F.col("idx"), F.lit(64)))
+        first = Window.partitionBy("topic", "_part").orderBy(*order)
+        part = part.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= top)
+        rel = part.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(*order))).where(
+            F.col("rank") <= top)
+        cols = ["rank", *cols]
+    mass = counts.where("id >= 0").groupBy("topic").agg(F.sum("n").alias("m"))
     share = with_constants(mass, mass.agg(F.sum("m").alias("all"))).select(
         "topic", (F.col("m") / F.col("all")).alias("share"))
-    return ranked.join(F.broadcast(share), "topic").select(
-        (F.col("topic") + 1).alias("topic"), "rank", "term", "phi", "relevance", "share")
+    return rel.join(F.broadcast(share), "topic").select((F.col("topic") + 1).alias("topic"), *cols, "share")
+
 
+def prepare_texts(texts: DataFrame, order_cols: list[str], window: int = fixed.COHERENCE_WINDOW) -> DataFrame:
+    """Member texts with their places: ``(doc_key, tokens, start, S)``.
 
-def prepare_texts(texts: DataFrame, window: int = fixed.COHERENCE_WINDOW) -> DataFrame:
-    """Texts numbered once (checkpointed first, so the ids are stable):
-    ``(tid, tokens, S)`` with S the last window start."""
-    t = stage(texts.select("tokens")).withColumn("tid", F.monotonically_increasing_id())
-    return stage(t.select("tid", "tokens", F.greatest(F.size("tokens") - window, F.lit(0)).alias("S")))
+    ``start`` is the number of tokens before the text in its document, in the
+    order of ``order_cols``; ``S`` is the document's last window start.  The
+    texts are range-partitioned by the order and written; offsets are sums
+    per partition, added up over the few partitions that a document spans.
+    """
+    n = F.size("tokens")
+    rows = stage(texts.orderBy("doc_key", *order_cols).select(
+        "doc_key", "tokens", F.spark_partition_id().alias("_pid"),
+        F.monotonically_increasing_id().alias("_mid")), "members")
+    per = rows.groupBy("doc_key", "_pid").agg(F.sum(n).alias("_n"))
+    w = Window.partitionBy("doc_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("doc_key", "_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
+                        F.sum("_n").over(Window.partitionBy("doc_key")).alias("_total"))
+    inside = Window.partitionBy("doc_key", "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(before, ["doc_key", "_pid"])
+    return stage(placed.select("doc_key", "tokens", (F.col("_before") + F.col("_in")).alias("start"),
+                               F.greatest(F.col("_total") - window, F.lit(0)).alias("S")), "placed")
 
 
 def coherence_cv(topics: DataFrame, texts: DataFrame, window: int = fixed.COHERENCE_WINDOW,
-                 eps: float = fixed.COHERENCE_EPS, prepared: bool = False) -> DataFrame:
+                 eps: float = fixed.COHERENCE_EPS, block: int = BLOCK_WINDOWS) -> DataFrame:
     """c_v per topic: ``(topic, coherence)``.
 
     ``topics`` holds ``(topic, term)`` for the top words of each topic (a
-    small table: topics x words); ``texts`` holds a ``tokens`` array per
-    text (or is the output of ``prepare_texts`` when ``prepared``).
+    small table: topics x words); ``texts`` is the output of
+    ``prepare_texts``.
     """
     words = [r[0] for r in topics.select("term").distinct().collect()]   # topics x top words
-    t = texts if prepared else prepare_texts(texts, window)
-    n_windows = t.agg(F.sum(F.col("S") + 1).alias("N"))
-    occ = (t.select("tid", "S", F.posexplode("tokens").alias("pos", "term"))
-             .where(F.col("term").isin(words)))
-    occ = occ.select("tid", "term", "pos", F.greatest(F.col("pos") - (window - 1), F.lit(0)).alias("a"),
+    n_windows = texts.groupBy("doc_key").agg(F.first("S").alias("S")).agg(F.sum(F.col("S") + 1).alias("N"))
+    occ = (texts.select("doc_key", "S", "start", F.posexplode("tokens").alias("pos", "term"))
+                .where(F.col("term").isin(words)).withColumn("pos", F.col("start") + F.col("pos")))
+    occ = occ.select("doc_key", "term", F.greatest(F.col("pos") - (window - 1), F.lit(0)).alias("a"),
                      F.least(F.col("pos"), F.col("S")).alias("b"))
-    w = Window.partitionBy("tid", "term").orderBy("pos")
+    occ = occ.select("doc_key", "term", "a", "b", F.explode(F.sequence(
+        F.floor(F.col("a") / block), F.floor(F.col("b") / block))).alias("blk"))
+    occ = occ.select("doc_key", "blk", "term", F.greatest("a", F.col("blk") * block).alias("a"),
+                     F.least("b", F.col("blk") * block + block - 1).alias("b"))
+    w = Window.partitionBy("doc_key", "blk", "term").orderBy("a", "b")
     prev_b = F.lag("b").over(w)
     occ = occ.withColumn("_new", F.when(prev_b.isNull() | (F.col("a") > prev_b + 1), 1).otherwise(0))
     occ = occ.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isl = stage(occ.groupBy("tid", "term", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")))
+    isl = stage(occ.groupBy("doc_key", "blk", "term", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")), "islands")
     single = isl.groupBy("term").agg(F.sum(F.col("b") - F.col("a") + 1).alias("c"))
-    buck = isl.select("tid", "term", "a", "b",
+    buck = isl.select("doc_key", "blk", "term", "a", "b",
                       F.explode(F.sequence(F.floor(F.col("a") / window), F.floor(F.col("b") / window))).alias("bk"))
     x, y = buck.alias("x"), buck.alias("y")
     lo = F.greatest(F.col("x.a"), F.col("y.a"))
     hi = F.least(F.col("x.b"), F.col("y.b"))
-    ov = (x.join(y, (F.col("x.tid") == F.col("y.tid")) & (F.col("x.bk") == F.col("y.bk"))
-                 & (F.col("x.term") < F.col("y.term")))
+    ov = (x.join(y, (F.col("x.doc_key") == F.col("y.doc_key")) & (F.col("x.blk") == F.col("y.blk"))
+                 & (F.col("x.bk") == F.col("y.bk")) & (F.col("x.term") < F.col("y.term")))
            .where((lo <= hi) & (F.floor(lo / window) == F.col("x.bk")))
            .select(F.col("x.term").alias("t1"), F.col("y.term").alias("t2"), (hi - lo + 1).alias("c")))
     pair = ov.groupBy("t1", "t2").agg(F.sum("c").alias("c12"))
@@ -191,36 +213,28 @@ def coherence_cv(topics: DataFrame, texts: DataFrame, window: int = fixed.COHERE
     return cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
 
 
-def lda_sweep(vectors: DataFrame, vocab: DataFrame, texts: DataFrame, ks, max_iter: int = LDA_MAX_ITER,
-              optimizer: str = "online", top_words: int = fixed.COHERENCE_TOP_WORDS,
-              parallelism: int = 4, fit_fn=None, coherence_fn=None):
+def lda_sweep(vectors: DataFrame, ks, fit_fn, coherence_fn, parallelism: int = 4):
     """Fit one model per k; return ``(table, models)``.
 
     table: ``k, log_likelihood, log_perplexity, coherence, best`` where
     coherence is c_v averaged over the topics and ``best`` marks the k with
     the highest coherence.  The fits are independent Spark jobs and run from
     ``parallelism`` driver threads at once (as ``CrossValidator`` does), so
-    small models do not leave the cluster idle.  ``fit_fn(k)`` and
-    ``coherence_fn(k, model)`` may be given to reuse cached models/scores.
+    small models do not leave the cluster idle.  ``fit_fn(k)`` gives the model,
+    ``coherence_fn(k, model)`` its c_v per topic.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     spark = vectors.sparkSession
-    n_docs = vectors.count()          # reads the checkpointed corpus
-    prepared = None if coherence_fn else prepare_texts(texts)
-    v_rows = None if coherence_fn else vocab.count()
-    fit_fn = fit_fn or (lambda k: fit_lda(vectors, k, max_iter, optimizer, n_docs=n_docs))
-    coherence_fn = coherence_fn or (lambda k, m: coherence_cv(
-        topic_words(m, vocab, top_words, v_rows).select("topic", "term"), prepared, prepared=True))
-
-    # MLlib defines log-perplexity as -log-likelihood / corpus token count, so
-    # one scoring pass per k gives both.
+
+    # Log-perplexity is -log-likelihood / corpus token count, so one number per
+    # k gives both; EM computes it on its graph.
     tokens = vectors.agg(F.sum("length")).first()[0]
 
     def one(k):
         m = fit_fn(k)
         cv = coherence_fn(k, m).agg(F.avg("coherence")).first()[0]
-        ll = float(m.logLikelihood(vectors))
+        ll = float(m.trainingLogLikelihood() if m.isDistributed() else m.logLikelihood(vectors))
         return k, m, (int(k), ll, -ll / float(tokens), float(cv) if cv is not None else None)
 
     ks = list(ks)

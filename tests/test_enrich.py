@@ -1,5 +1,6 @@
 """Enrichment goldens (hand-derived from the rules)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagflow.operators import enrich, ingest
@@ -49,3 +50,21 @@ def test_enrich_parts(spark):
     b = enrich.enrich_both(data, data1).first()
     assert (q.text, r.text, b.text) == ("a b", "a b", "a b a b")
     assert b.hashtags == "x; x"
+
+
+def test_repeated_ids_are_refused(spark):
+    rows = [(1, "t", "a", "en", None, None, None, None, None, None), (1, "t", "b", "en", None, None, None, None, None, None),
+            (2, "t", "c", "en", 1, None, None, None, None, None)]
+    data, data1 = _data(spark, rows)
+    with pytest.raises(Exception, match="tweet id 1 is repeated"):
+        enrich.enrich_replies(data, data1).collect()
+
+
+def test_check_counts_joined_rows(spark):
+    rows = [(i, "t", f"x{i}", "en", i - 1 if i % 2 else None, i - 2 if i % 3 == 0 and i > 2 else None, None, None, None, None)
+            for i in range(1, 30)]
+    data, _ = _data(spark, rows)
+    row = enrich.check_enrich(data).first()
+    quoting = {r[0] for r in rows if r[5]}
+    replying = {r[0] for r in rows if r[4]}
+    assert row.ok and row.enriched_rows == len(quoting | replying)

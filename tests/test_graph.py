@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagflow.operators import graph, tags
@@ -78,9 +79,9 @@ def test_label_propagation_and_modularity(spark):
         el = [(a, b, w) for (a, b), w in edges.items()]
         nd = spark.createDataFrame([(n,) for n in nodes], "Id long")
         ed = spark.createDataFrame(el, "Source long, Target long, Weight long")
-        labels, rounds, settled = graph.tag_clusters(nd, ed, len(nodes))
+        labels, rounds = graph.tag_clusters(nd, ed, len(nodes))
         exp, exp_rounds = _py_lpa(nodes, el)
-        assert settled and exp_rounds == rounds
+        assert exp_rounds == rounds
         assert {r.Id: r.cluster for r in labels.collect()} == exp
         q = graph.modularity(ed, labels).first()
         assert abs(q.modularity - _py_modularity(nodes, el, exp)) < 1e-9
@@ -94,3 +95,19 @@ def test_explode_lists_keeps_empty_rows(spark):
     assert got == [(1, "a", "x"), (1, "b", "y"), (2, "", "")]
     got1 = sorted(tuple(r) for r in tags.explode_lists(df.drop("l2"), ["l1"]).collect())
     assert got1 == [(1, "a"), (1, "b"), (2, "")]
+
+
+def test_unsettled_clusters_are_no_result(spark):
+    nd = spark.createDataFrame([(i,) for i in range(1, 9)], "Id long")
+    ed = spark.createDataFrame([(i, i + 1, 1) for i in range(1, 8)], "Source long, Target long, Weight long")
+    with pytest.raises(RuntimeError, match="still change"):
+        graph.tag_clusters(nd, ed, 8, max_rounds=1)
+
+
+def test_pairs_in_rows_equal_the_join(spark):
+    rnd = random.Random(8)
+    rows = [(t, [f"g{rnd.randint(0, 6)}" for _ in range(rnd.randint(0, 6))]) for t in range(60)]
+    df = spark.createDataFrame(rows + [(99, None)], "id long, hashtags array<string>")
+    inc = spark.createDataFrame([(t, g) for t, gs in rows for g in gs], "tweet_id long, tag string")
+    assert (sorted(map(tuple, graph.cooccur_in_rows(df).collect()))
+            == sorted(map(tuple, graph.cooccur_pairs(inc).collect())))

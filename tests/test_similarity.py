@@ -57,9 +57,38 @@ def test_tfidf_matches_formula(spark):
         assert abs(got[k] - exp[k]) < 1e-9
 
 
-def test_idf_smoothing_is_not_mllib():
-    # df = 1, N = 2: smooth idf is ln(3/2) + 1, MLlib's would be ln(3/2).
-    assert abs((math.log(3 / 2) + 1) - 1.4054651081081644) < 1e-12
+def test_idf_is_smoothed(spark):
+    seg = spark.createDataFrame([(1, "w01 w02"), (2, "w02")], "doc_id long, text string")
+    _, vocab = sim.tfidf(seg, token_pattern=r"w\d+", stopwords=[])
+    got = {r.term: r.idf for r in vocab.collect()}
+    assert abs(got["w01"] - (math.log(3 / 2) + 1)) < 1e-12 and abs(got["w02"] - 1) < 1e-12
+
+
+def test_ngrams_of_segments(spark):
+    seg = spark.createDataFrame([(1, "a1 the b1 c1"), (1, "b1 c1"), (2, "d1"), (3, "")], "doc_id long, text string")
+    tf = sim.term_counts(seg, token_pattern=r"[a-z0-9]+", ngram_range=(1, 3), stopwords=["the"])
+    got = {(r.doc_id, r.term): r.tf for r in tf.collect()}
+    assert got == {(1, "a1"): 1, (1, "b1"): 2, (1, "c1"): 2, (1, "a1 b1"): 1, (1, "b1 c1"): 2, (1, "a1 b1 c1"): 1, (2, "d1"): 1}
+
+
+def test_split_postings_lose_no_pair(spark):
+    docs = _random_docs(6, n_docs=40, vocab=8)
+    seg = spark.createDataFrame(docs, "doc_id long, text string")
+    w, vocab = sim.tfidf(seg, token_pattern=r"w\d+", stopwords=[])
+    p = sim.stage(sim._split_prefix(w, vocab, 0.3)).where("in_prefix")
+    pu = p.select(F.col("doc_id").alias("d1"), "term", F.col("weight").alias("w1"))
+    pv = p.select(F.col("doc_id").alias("d2"), "term", F.col("weight").alias("w2"))
+    rows = [sorted((r.d1, r.d2, r.term) for r in sim._shared_prefix(pu, pv, block=b).collect()) for b in (2048, 3)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_candidate_report(spark):
+    docs = _random_docs(9, n_docs=40)
+    seg = spark.createDataFrame(docs, "doc_id long, text string")
+    w, vocab = sim.tfidf(seg, token_pattern=r"w\d+", stopwords=[])
+    low, high = (sim.candidate_report(w, t, vocab).first() for t in (0.1, 0.9))
+    assert high.joined_rows < low.joined_rows <= low.term_join_rows == high.term_join_rows
+    assert high.results <= high.candidates <= low.candidates and low.results <= low.candidates
 
 
 def _dense(vecs, docs, terms):

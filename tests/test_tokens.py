@@ -49,3 +49,33 @@ def test_mine_bigrams_scores(spark):
     assert set(got) == set(exp)
     for k in exp:
         assert abs(got[k] - exp[k]) < 1e-12
+
+
+LEXICON = [("cats", "NOUN", "cat"), ("ran", "VERB", "run"), ("ran", "OTHER", "aaa"), ("they", "PRON", "qk"),
+           ("oslo", "PROPN", "oslox"), ("axe", "NOUN", "ax"), ("aa_bbb", "PRON", "zzz")]
+
+
+def test_token_lists_with_a_lexicon(spark):
+    lex = spark.createDataFrame(LEXICON, "form string, pos string, lemma string")
+    df = spark.createDataFrame([(1, "cats ran they oslo axe the house"), (2, "")], "id long, preprocessed string")
+    got = {r.id: list(r.tokenized) for r in tk.tokenize_lemma(df, stopwords=["the"], lexicon=lex).collect()}
+    # Pronouns and proper nouns stay as they are; "ax" is too short.
+    assert got == {1: ["cat", "run", "they", "oslo", "house"], 2: []}
+    got = {r.id: list(r.tokenized) for r in tk.tokenize_lemma(df, stopwords=["run"], lexicon=lex, lexicon_rows=7).collect()}
+    assert got[1] == ["cat", "they", "oslo", "the", "house"]
+
+
+def test_phrase_lists_with_a_lexicon(spark):
+    lex = spark.createDataFrame(LEXICON, "form string, pos string, lemma string")
+    df = spark.createDataFrame([(1, "cats they ran oslo axe aa bbb house"), (2, "they")], "id long, preprocessed string")
+    ph = spark.createDataFrame([("aa", "bbb")], "a string, b string")
+    got = {r.id: list(r.spacy_lemmatized) for r in tk.apply_bigrams(df, ph, stopwords=[], lexicon=lex).collect()}
+    # Pronouns go (the fused one too), lemmas of two letters go.
+    assert got == {1: ["cat", "run", "oslox", "house"], 2: []}
+
+
+def test_accents_of_all_scripts_are_stripped(spark):
+    from tagflow.functions import text as tx
+
+    df = spark.createDataFrame([("\u05e9\u05bc\u05dc \u0643\u064e \u0915\u0941 \u00e9\u1ebf\u0451",)], "t string")
+    assert df.select(tx.deaccent(df.t)).first()[0] == "\u05e9\u05dc \u0643 \u0915 ee\u0435"
