@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, topics
 from ..session import stage
 from ..sources import fixtures
@@ -27,11 +28,10 @@ MIN_WORDS = 3          # preprocess(min_word)
 POPULAR_MIN = 3        # hashtag_explore(n)
 TAG_MODE = "text_h_in"
 TFIDF_MAX_DF = 0.5     # hashdocs_tfidf(max_df)
-TFIDF_MAX_FEATURES = 1000
 TFIDF_NGRAMS = (1, 1)
-SIM_THRESHOLD = 0.2    # similarity_edges(similarity_threshold)
+TOP_FEATURES = 1000    # hashdocs_tfidf(max_features), in the query that cuts the vocabulary
+SIM_THRESHOLD = 0.6    # similarity_edges(similarity_threshold)
 TERM_SIM_THRESHOLD = 0.5
-LDA_SCHEME = "cluster"  # find_topic_num pools tweets per tag cluster
 LDA_KS = range(2, 8, 2)  # find_topic_num(limit_num=8, start_num=2, step_num=2)
 TOPIC_K = 4            # the model shown by the topic views
 
@@ -49,22 +49,36 @@ class Pipeline:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, **params) -> "Pipeline":
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, tuple(sorted(params.items())))
-        p = cls._shared.get(key)
-        if p is None:
-            p = cls._shared[key] = cls(spark, sf_dir, **params)
-        return p
+        """The pipeline of a folder; a new one if the folder's tables have changed."""
+        key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(params.items())))
+        state = fixtures.input_state(spark, sf_dir)
+        if key not in cls._shared or cls._shared[key].state != state:
+            cls._shared[key] = cls(spark, sf_dir, **params)
+            cls._shared[key].state = state
+        return cls._shared[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str, min_word: int = MIN_WORDS,
-                 popular_min: int = POPULAR_MIN, mode: str = TAG_MODE,
-                 stopwords=None, lexicon: DataFrame | None = None):
+                 popular_min: int = POPULAR_MIN, mode: str = TAG_MODE, stopwords=None,
+                 use_lexicon: bool = False):
+        """``stopwords`` is a list, or a one-column table, of words to drop instead of the
+        packaged list; with ``use_lexicon`` words are lemmatised through the lexicon table."""
         self.spark = spark
         self.sf_dir = sf_dir
         self.min_word = min_word
         self.popular_min = popular_min
         self.mode = mode
+        if isinstance(stopwords, DataFrame):
+            stopwords = tuple(sorted(r[0] for r in stopwords.distinct().collect()))   # a word list
         self.stopwords = stopwords
-        self.lexicon = lexicon
+        self.use_lexicon = use_lexicon
+
+    @cached_property
+    def lexicon(self) -> DataFrame | None:
+        return stage(fixtures.lexicon(self.spark, self.sf_dir), "lexicon") if self.use_lexicon else None
+
+    @cached_property
+    def lexicon_rows(self) -> int | None:
+        return self.lexicon.count() if self.use_lexicon else None
 
     # -- create() -----------------------------------------------------------
     @cached_property
@@ -80,7 +94,7 @@ class Pipeline:
     def data1(self) -> DataFrame:
         """English non-retweets: the base and the lookup side of every enrichment
         join, so it is written once instead of re-derived per branch."""
-        return stage(ingest.remove_retweets(self.data))
+        return stage(ingest.remove_retweets(self.data), "data1")
 
     @cached_property
     def data2_raw(self) -> DataFrame:
@@ -95,29 +109,36 @@ class Pipeline:
     @cached_property
     def staged(self) -> DataFrame:
         """Cleaned, de-duplicated, minimum words; before the ASCII filters."""
-        return clean.clean_stage(self.data2, self.min_word, self.mode)
+        return stage(clean.clean_stage(self.data2, self.min_word, self.mode), "cleaned")
 
     @cached_property
     def df(self) -> DataFrame:
         from ..operators.tokens import tokenize_lemma
 
         kept = clean.ascii_tags(clean.ascii_only(self.staged))
-        return stage(tokenize_lemma(kept, stopwords=self.stopwords, lexicon=self.lexicon))
+        return stage(tokenize_lemma(kept, stopwords=self.stopwords, lexicon=self.lexicon,
+                                    lexicon_rows=self.lexicon_rows), "df")
 
     @cached_property
     def phrases(self) -> DataFrame:
         """Phrase model learned on the cleaned rows before the ASCII filters."""
         from ..operators.tokens import mine_bigrams
 
-        return stage(mine_bigrams(self.staged))
+        return stage(mine_bigrams(self.staged), "phrases")
 
     @cached_property
-    def df_phrased(self) -> DataFrame:
-        """``df`` plus ``spacy_lemmatized`` (phrases fused, short tokens dropped)."""
+    def phrased(self) -> DataFrame:
+        """``(id, spacy_lemmatized)``: phrases fused, short tokens dropped."""
         from ..operators.tokens import apply_bigrams
 
-        n = self.phrases.count()        # reads the checkpointed phrase table
-        return apply_bigrams(self.df, self.phrases, lexicon=self.lexicon, phrase_rows=n)
+        n = self.phrases.count()        # reads the written phrase table
+        return stage(apply_bigrams(self.df, self.phrases, stopwords=self.stopwords, lexicon=self.lexicon,
+                                   phrase_rows=n, lexicon_rows=self.lexicon_rows), "phrased")
+
+    @cached_property
+    def df_phrased(self) -> DataFrame:
+        """``df`` plus ``spacy_lemmatized``."""
+        return self.df.join(self.phrased, "id")
 
     # -- hashtag_explore() --------------------------------------------------
     @cached_property
@@ -150,95 +171,112 @@ class Pipeline:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.cooccur_edges(self.reduced, self.nodes, self.n_nodes)
+        t = tags.tagged_tweets(self.df).select("id", "hashtags")
+        t = t.withColumn("hashtags", F.transform("hashtags", tags.normalize_tag))
+        return graph.popular_edges(graph.cooccur_in_rows(t), self.nodes, self.n_nodes)
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return stage(graph.cooccur_weighted(self.reduced, self.nodes, self.n_nodes))
+        return stage(graph.edge_weights(self.edges), "weighted")
 
     # -- hashdocs_tfidf() and similarity -----------------------------------
     @cached_property
     def segments(self) -> DataFrame:
-        return stage(docs.tag_segments(self.df, self.popular))
+        return stage(docs.tag_segments(self.df, self.popular), "segments")
 
     @cached_property
-    def tfidf_and_vocab(self):
-        seg = docs.tag_doc_segments(self.segments, self.nodes, self.n_nodes)
-        w, vocab = similarity.tfidf(seg, max_df=TFIDF_MAX_DF, max_features=TFIDF_MAX_FEATURES,
-                                    ngram_range=TFIDF_NGRAMS, stopwords=self.stopwords)
-        return stage(w), vocab
+    def segments_phrased(self) -> DataFrame:
+        """``segments`` with the phrase lists, the third text choice."""
+        return stage(docs.tag_segments(self.df_phrased, self.popular), "segments")
+
+    def segments_of(self, text_col: str) -> DataFrame:
+        return self.segments_phrased if text_col == "spacy_lemmatized" else self.segments
+
+    def doc_segments(self, text_col: str = "tokenized") -> DataFrame:
+        return docs.tag_doc_segments(self.segments_of(text_col), self.nodes, self.n_nodes, text_col)
+
+    def tfidf_of(self, text_col: str = "tokenized", ngrams=TFIDF_NGRAMS, max_features: int | None = None):
+        """``(weights, vocabulary)`` of the tag documents, written once per choice."""
+        key = (text_col, ngrams, max_features)
+        if key not in self._tfidf:
+            w, vocab = similarity.tfidf(self.doc_segments(text_col), max_df=TFIDF_MAX_DF, max_features=max_features,
+                                        ngram_range=ngrams, stopwords=self.stopwords)
+            self._tfidf[key] = stage(w, "tfidf"), vocab
+        return self._tfidf[key]
+
+    @cached_property
+    def _tfidf(self) -> dict:
+        return {}
 
     @property
     def tfidf(self) -> DataFrame:
-        return self.tfidf_and_vocab[0]
+        return self.tfidf_of()[0]
 
     @cached_property
     def cosine(self) -> DataFrame:
-        vocab = self.tfidf_and_vocab[1]
-        return similarity.cosine_pairs(self.tfidf, SIM_THRESHOLD, vocab.select("term", "df"))
+        vocab = self.tfidf_of()[1]
+        return stage(similarity.cosine_pairs(self.tfidf, SIM_THRESHOLD, vocab.select("term", "df")), "cosine")
 
     @cached_property
     def clusters_result(self):
+        """``(labels, rounds)``."""
         return graph.tag_clusters(self.nodes, self.weighted, self.n_nodes)
 
     # -- find_topic_num() and topic views --------------------------------
     @cached_property
-    def lda_texts(self) -> DataFrame:
-        labels = self.clusters_result[0] if LDA_SCHEME == "cluster" else None
-        return stage(docs.pool_texts(self.df, LDA_SCHEME, self.segments, self.nodes, self.n_nodes, labels))
+    def cluster_texts(self) -> DataFrame:
+        return stage(docs.cluster_segments(self.segments, self.nodes, self.clusters_result[0], self.n_nodes),
+                     "cluster_texts")
 
     @cached_property
     def lda_corpus(self):
-        """``(vectors, vocab, vocabulary size)`` of the pooled documents."""
-        t = self.lda_texts
-        counts = (t.select("doc_key", F.explode("tokens").alias("term")).where(F.col("term") != "")
-                   .groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("count")))
+        """``(vectors, vocab, vocabulary size)`` of the cluster documents."""
+        counts = (self.cluster_texts.select("doc_key", F.explode("tokens").alias("term"))
+                      .groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("count")))
         vectors, vocab, v = topics.bag_of_words(counts)
-        # Every LDA iteration and score re-reads the corpus: keep it in
-        # memory (spilling to disk); a lost block is re-read from the checkpoint.
+        # Every LDA iteration and score re-reads the corpus: keep it in memory
+        # (spilling to disk); a lost block is read again from the written table.
         from pyspark import StorageLevel
 
         return vectors.persist(StorageLevel.MEMORY_AND_DISK), vocab, v
 
     @cached_property
     def lda_prepared(self) -> DataFrame:
-        return topics.prepare_texts(self.lda_texts)
+        return topics.prepare_texts(self.cluster_texts, ["tag", "text"])
 
     @cached_property
-    def _topic_cache(self):
-        import threading
+    def cluster_top_terms(self) -> DataFrame:
+        """``(topic, term)``: the most frequent terms of each cluster document.
+
+        Topics that follow from counts alone, to look at clusters and to check
+        coherence on.
+        """
+        counts = (self.cluster_texts.select(F.col("doc_key").alias("topic"), F.explode("tokens").alias("term"))
+                      .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")))
+        order = Window.partitionBy("topic").orderBy(F.col("n").desc(), F.col("term"))
+        return stage(counts.withColumn("r", F.row_number().over(order)).where(
+            F.col("r") <= fixed.COHERENCE_TOP_WORDS).select("topic", "term"), "top_terms")
 
-        return {"lock": threading.Lock(), "models": {}, "coherence": {}}
+    @cached_property
+    def _models(self) -> dict:
+        return {}
 
     def model(self, k: int):
         """The LDA model with k topics, fitted once per pipeline."""
-        c = self._topic_cache
-        with c["lock"]:
-            lock = c.setdefault(("k", k), __import__("threading").Lock())
-        with lock:
-            if k not in c["models"]:
-                vectors, _, _ = self.lda_corpus
-                c["models"][k] = topics.fit_lda(vectors, k, n_docs=vectors.count())
-            return c["models"][k]
+        if k not in self._models:
+            self._models[k] = topics.fit_lda(self.lda_corpus[0], k)
+        return self._models[k]
 
     def coherence(self, k: int, model=None) -> DataFrame:
-        """c_v per topic of the k-topic model, computed once per pipeline."""
-        from ..functions import fixed
-
-        c = self._topic_cache
-        if k not in c["coherence"]:
-            _, vocab, v = self.lda_corpus
-            m = model or self.model(k)
-            tw = topics.topic_words(m, vocab, fixed.COHERENCE_TOP_WORDS, v).select("topic", "term")
-            c["coherence"][k] = stage(topics.coherence_cv(tw, self.lda_prepared, prepared=True))
-        return c["coherence"][k]
+        """c_v per topic of the k-topic model."""
+        tw = topics.topic_words(model or self.model(k), self.lda_corpus[1], fixed.COHERENCE_TOP_WORDS)
+        return stage(topics.coherence_cv(tw.select("topic", "term"), self.lda_prepared), "coherence")
 
     @cached_property
     def sweep(self):
-        vectors, vocab, _ = self.lda_corpus
+        vectors = self.lda_corpus[0]
         self.lda_prepared
-        return topics.lda_sweep(vectors, vocab, self.lda_texts, LDA_KS,
-                                fit_fn=self.model, coherence_fn=self.coherence)
+        return topics.lda_sweep(vectors, LDA_KS, fit_fn=self.model, coherence_fn=self.coherence)
 
     @property
     def topic_model(self):

@@ -8,12 +8,28 @@ are the same explicit classes as ``functions.text`` (RE2 accepts the
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+from functools import lru_cache
+
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.stopwords import default_stopwords
+from ..sources.fixtures import EXTRA_STOPWORDS, MAX_TURNS
 from .chain import MIN_WORDS, POPULAR_MIN
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, Callable[[], str]] = {}
+
+
+def oracle_strings() -> dict[str, str]:
+    """The SQL of every query, each built on its own: one that cannot be built is left out with a warning."""
+    out = {}
+    for name, build in ORACLE.items():
+        try:
+            out[name] = build()
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"no oracle SQL for {name}: {e!r}", stacklevel=2)
+    return out
 
 
 def s(v: str) -> str:
@@ -110,7 +126,9 @@ def _enriched(tag: str) -> str:
             f"{blank_null(f'concat_ws(chr(59) || chr(32), {tag}.ref_mentions, d.mentions)')} AS {tag}_ementions")
 
 
-BASE = TWEETS + f""",
+@lru_cache(maxsize=None)
+def base() -> str:
+    return TWEETS + f""",
 data AS (
   SELECT id, created_at, text, coalesce(in_reply_to_status_id, 0) AS in_reply_to_status_id,
          coalesce(quoted_status_id, 0) AS quoted_status_id, hashtags, mentions,
@@ -174,22 +192,22 @@ edges AS (SELECT p.tweet_id AS "TweetID", least(na."Id", nb."Id") AS "Source", g
 
 
 def with_base(select: str) -> str:
-    return "WITH " + BASE + "\n" + select
+    return "WITH " + base() + "\n" + select
 
 
-def q(name: str, sql: str):
-    ORACLE[name] = sql
+def q(name: str, build: Callable[[], str]):
+    ORACLE[name] = build
 
 
 # ---- ingest ---------------------------------------------------------------
-q("filter_lang", with_base("SELECT * EXCLUDE (lang) FROM tweets WHERE lang = 'en'"))
-q("flag_retweets", with_base("SELECT id, CAST(starts_with(text, 'RT') AS INTEGER) AS retweet FROM tweets"))
-q("fill_sentinels", with_base(
+q("filter_lang", lambda: with_base("SELECT * EXCLUDE (lang) FROM tweets WHERE lang = 'en'"))
+q("flag_retweets", lambda: with_base("SELECT id, CAST(starts_with(text, 'RT') AS INTEGER) AS retweet FROM tweets"))
+q("fill_sentinels", lambda: with_base(
     "SELECT id, in_reply_to_status_id, quoted_status_id, truncated, lat, retweet FROM data"))
-q("remove_retweets", with_base("SELECT * FROM data1"))
-q("format_dates", with_base(
+q("remove_retweets", lambda: with_base("SELECT * FROM data1"))
+q("format_dates", lambda: with_base(
     "SELECT id, strftime(strptime(created_at, '%Y-%m-%d %H:%M:%S'), '%m/%d/%Y') AS created_at FROM data1"))
-q("corpus_profile", with_base("""
+q("corpus_profile", lambda: with_base("""
 SELECT * FROM (VALUES ('Tweets', (SELECT count(*) FROM tweets)),
   ('English Tweets', (SELECT count(*) FROM tweets WHERE lang = 'en')),
   ('Unique English Tweets (not retweet)', (SELECT count(*) FROM tweets WHERE lang = 'en' AND NOT starts_with(text, 'RT'))))
@@ -219,14 +237,10 @@ _FULL = [
     ("--Truncated tweets", "count(*) FILTER (WHERE truncated = 1)"),
     ("--GeoTagged tweets", "count(*) FILTER (WHERE lat <> 0)"),
 ]
-q("corpus_profile_full", with_base(" UNION ALL ".join(
+q("corpus_profile_full", lambda: with_base(" UNION ALL ".join(
     f"SELECT {s(name)} AS characteristic, CAST(({expr}) AS BIGINT) AS value FROM data" for name, expr in _FULL)))
 
 # ---- enrichment -----------------------------------------------------------
-_ENR_ALL = """
-lk2 AS (SELECT id AS ref_id, text AS ref_text, hashtags AS ref_tags, mentions AS ref_mentions FROM data1)"""
-
-
 def _enrich_sql(where: str, key: str, tag: str) -> str:
     return f"""
 SELECT d.id, d.created_at, d.retweet, d.quoted_status_id, d.in_reply_to_status_id,
@@ -234,9 +248,9 @@ SELECT d.id, d.created_at, d.retweet, d.quoted_status_id, d.in_reply_to_status_i
 FROM (SELECT d.*, {_enriched(tag)} FROM data d LEFT JOIN lk {tag} ON d.{key} = {tag}.ref_id WHERE {where}) d"""
 
 
-q("enrich_quotes", with_base(_enrich_sql("d.quoted_status_id <> 0 AND d.retweet = 0", "quoted_status_id", "q")))
-q("enrich_replies", with_base(_enrich_sql("d.in_reply_to_status_id <> 0", "in_reply_to_status_id", "r")))
-q("enrich_both", with_base(f"""
+q("enrich_quotes", lambda: with_base(_enrich_sql("d.quoted_status_id <> 0 AND d.retweet = 0", "quoted_status_id", "q")))
+q("enrich_replies", lambda: with_base(_enrich_sql("d.in_reply_to_status_id <> 0", "in_reply_to_status_id", "r")))
+q("enrich_both", lambda: with_base(f"""
 SELECT id, retweet, quoted_status_id, in_reply_to_status_id, q_etext || ' ' || r_etext AS text,
        {blank_null('concat_ws(chr(59) || chr(32), q_etags, r_etags)')} AS hashtags,
        {blank_null('concat_ws(chr(59) || chr(32), q_ementions, r_ementions)')} AS mentions
@@ -244,8 +258,8 @@ FROM (SELECT d.*, {_enriched('q')}, {_enriched('r')}
       FROM data d LEFT JOIN lk q ON d.quoted_status_id = q.ref_id
                   LEFT JOIN lk r ON d.in_reply_to_status_id = r.ref_id
       WHERE d.quoted_status_id <> 0 AND d.retweet = 0 AND d.in_reply_to_status_id <> 0)"""))
-q("enrich_tweets", with_base("SELECT * FROM data2"))
-q("check_enrich", with_base("""
+q("enrich_tweets", lambda: with_base("SELECT * FROM data2"))
+q("check_enrich", lambda: with_base("""
 SELECT enriched_rows, expected_rows, enriched_rows = expected_rows AS ok FROM (
   SELECT count(*) FILTER (WHERE quoted_status_id <> 0 AND retweet = 0)
        + count(*) FILTER (WHERE in_reply_to_status_id <> 0)
@@ -255,47 +269,47 @@ SELECT enriched_rows, expected_rows, enriched_rows = expected_rows AS ok FROM (
   FROM data)"""))
 
 # ---- cleaning -------------------------------------------------------------
-q("clean_text", "WITH " + TWEETS + "," + clean_ctes("tweets", "text", "ct") + "\nSELECT id, preprocessed FROM ct")
-q("expand_contractions", "WITH " + TWEETS + f""",
+q("clean_text", lambda: "WITH " + TWEETS + "," + clean_ctes("tweets", "text", "ct") + "\nSELECT id, preprocessed FROM ct")
+q("expand_contractions", lambda: "WITH " + TWEETS + f""",
 x AS (SELECT id, lower(text) AS t FROM tweets),
 y AS (SELECT id, regexp_split_to_array(t, {s(tx.CONTRACTION_ALT_RE)}) AS _parts,
              regexp_extract_all(t, {s(tx.CONTRACTION_ALT_RE)}, 1) AS _hits FROM x)
 SELECT id, {contract('_parts', '_hits')} AS expanded FROM y""")
-q("tag_text_modes", with_base(f"""
+q("tag_text_modes", lambda: with_base(f"""
 SELECT id, text AS text_h_in, regexp_replace(text, {s(tx.TAG_RE)}, '', 'g') AS text_h_out,
        regexp_replace(regexp_replace(text, {s(tx.URL_RE)}, '', 'g'), {s(tx.END_TAGS_RE)}, '', 'g') AS text_h_ne
 FROM data2"""))
-q("tag_lists", with_base("""
+q("tag_lists", lambda: with_base("""
 SELECT id, array_to_string(hashtags_list, '|') AS hashtags_list, h_number,
        array_to_string(mentions_list, '|') AS mentions_list, men_number FROM d2h"""))
-q("inline_tags", with_base(f"""
+q("inline_tags", lambda: with_base(f"""
 SELECT id, array_to_string(l, '|') AS hashtags_ne, CAST(len(l) AS INTEGER) AS h_ne_number FROM (
   SELECT id, regexp_extract_all(regexp_replace(regexp_replace(text, {s(tx.URL_RE)}, '', 'g'),
                                 {s(tx.END_TAGS_RE)}, '', 'g'), {s(tx.TAG_RE)}, 1) AS l FROM data2)"""))
-q("dedup_first", with_base("SELECT id, preprocessed, hashtags FROM dedup"))
-q("min_words", with_base(f"SELECT id, CAST(len({words('preprocessed')}) AS INTEGER) AS n_words FROM staged"))
-q("ascii_only", with_base(f"SELECT id FROM staged WHERE {is_ascii('preprocessed')}"))
-q("ascii_tags", with_base("SELECT id FROM dfx"))
-q("length_hist", "WITH " + BASE + "," + clean_ctes("data1", "text", "c1") + "," + clean_ctes("data2", "text", "c2")
+q("dedup_first", lambda: with_base("SELECT id, preprocessed, hashtags FROM dedup"))
+q("min_words", lambda: with_base(f"SELECT id, CAST(len({words('preprocessed')}) AS INTEGER) AS n_words FROM staged"))
+q("ascii_only", lambda: with_base(f"SELECT id FROM staged WHERE {is_ascii('preprocessed')}"))
+q("ascii_tags", lambda: with_base("SELECT id FROM dfx"))
+q("length_hist", lambda: "WITH " + base() + "," + clean_ctes("data1", "text", "c1") + "," + clean_ctes("data2", "text", "c2")
   + f"""
 SELECT 'data1' AS dataset, CAST(len({words('preprocessed')}) AS INTEGER) AS textlen, count(*) AS count FROM c1 GROUP BY 2
 UNION ALL
 SELECT 'data2' AS dataset, CAST(len({words('preprocessed')}) AS INTEGER) AS textlen, count(*) AS count FROM c2 GROUP BY 2""")
-q("tokenize_lemma", with_base(
+q("tokenize_lemma", lambda: with_base(
     "SELECT id, array_to_string(tokenized, ' ') AS tokenized, CAST(len(tokenized) AS INTEGER) AS n_tokens FROM dfx"))
 
 # ---- tags -----------------------------------------------------------------
-q("tagged_tweets", with_base(
+q("tagged_tweets", lambda: with_base(
     "SELECT id, CAST(len(string_split(hashtags, ';')) AS INTEGER) AS n_tags, h_number FROM dfx WHERE hashtags IS NOT NULL"))
-q("explode_tags", with_base("SELECT tweet_id, tag FROM inc_raw"))
-q("normalize_tags", with_base("SELECT tweet_id, tag FROM inc"))
-q("tag_counts", with_base("SELECT * FROM counts"))
-q("popular_tags", with_base("SELECT * FROM popular"))
-q("graph_nodes", with_base("SELECT * FROM nodes"))
-q("top_tags", with_base(
+q("explode_tags", lambda: with_base("SELECT tweet_id, tag FROM inc_raw"))
+q("normalize_tags", lambda: with_base("SELECT tweet_id, tag FROM inc"))
+q("tag_counts", lambda: with_base("SELECT * FROM counts"))
+q("popular_tags", lambda: with_base("SELECT * FROM popular"))
+q("graph_nodes", lambda: with_base("SELECT * FROM nodes"))
+q("top_tags", lambda: with_base(
     'SELECT CAST("Id" AS INTEGER) AS "Id", "Label", "Count" FROM nodes WHERE "Id" <= ' + str(fixed.TOP_TAGS)))
-q("cooccur_edges", with_base("SELECT * FROM edges"))
-q("cooccur_weighted", """
+q("cooccur_edges", lambda: with_base("SELECT * FROM edges"))
+q("cooccur_weighted", lambda: """
 WITH inc AS (SELECT l.l_orderkey AS tweet_id, p.p_brand AS tag FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 counts AS (SELECT tag, count(*) AS c FROM inc GROUP BY tag),
 nodes AS (SELECT row_number() OVER (ORDER BY c DESC, tag) AS id, tag FROM counts),
@@ -304,17 +318,17 @@ w AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS "Weight" FROM d a JOIN
       ON a.tweet_id = b.tweet_id AND a.tag < b.tag GROUP BY 1, 2)
 SELECT least(na.id, nb.id) AS "Source", greatest(na.id, nb.id) AS "Target", 'Undirected' AS "Type", "Weight"
 FROM w JOIN nodes na ON w.tag_a = na.tag JOIN nodes nb ON w.tag_b = nb.tag""")
-q("url_by_tagcount", with_base(f"""
+q("url_by_tagcount", lambda: with_base(f"""
 SELECT h_number AS hash_count, count(*) AS number_of_tweets, CAST(sum(uc) AS BIGINT) AS url_total_count,
        count(*) FILTER (WHERE uc > 0) AS url_total_withurl,
        round(count(*) FILTER (WHERE uc > 0) / count(*), 9) AS url_percent_withurl
 FROM (SELECT h_number, len(regexp_extract_all(text, {s(tx.LINK_RE)}, 0)) AS uc FROM dfx)
 GROUP BY h_number"""))
-q("extract_urls", f"""
+q("extract_urls", lambda: f"""
 SELECT page_id, CAST(len(l) AS INTEGER) AS url_count, array_to_string(l, ' ') AS urls FROM (
   SELECT page_id, regexp_extract_all(concat_ws(' ', url, html), {s(tx.LINK_RE)}, 0) AS l
   FROM pages)""")
-q("tag_report", with_base("""
+q("tag_report", lambda: with_base("""
 SELECT * FROM (VALUES
  ('cleaned tweets', (SELECT count(*) FROM dfx)),
  ('Total hashtags (repetitive) in cleaned tweets', (SELECT count(*) FROM inc)),
@@ -331,11 +345,13 @@ SELECT * FROM (VALUES
 ) AS t(characteristic, value)"""))
 
 # ---- documents and similarity --------------------------------------------
-from .chain import SIM_THRESHOLD, TERM_SIM_THRESHOLD, TFIDF_MAX_DF, TFIDF_MAX_FEATURES  # noqa: E402
+from .chain import SIM_THRESHOLD, TERM_SIM_THRESHOLD, TFIDF_MAX_DF, TOP_FEATURES  # noqa: E402
 
 _TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-SIM = BASE.rstrip() + f""",
+@lru_cache(maxsize=None)
+def sim() -> str:
+    return base().rstrip() + f""",
 inc_tok AS (SELECT tweet_id, {py_strip('lower(tag)')} AS tag, tokenized, preprocessed FROM (
               SELECT id AS tweet_id, unnest(string_split(hashtags, ';')) AS tag, tokenized, preprocessed
               FROM dfx WHERE hashtags IS NOT NULL)),
@@ -347,22 +363,25 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
 ndocs AS (SELECT count(DISTINCT doc_id) AS n FROM texts),
 vstats AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM tf GROUP BY term),
 vocab AS (SELECT term, df, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM vstats, ndocs
-          WHERE df <= {TFIDF_MAX_DF} * n ORDER BY ctf DESC, term ASC LIMIT {TFIDF_MAX_FEATURES}),
+          WHERE df <= {TFIDF_MAX_DF} * n),
 raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN vocab USING (term)),
 wts AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw),
 cos AS (SELECT a.doc_id AS "Source", b.doc_id AS "Target", sum(a.weight * b.weight) AS "Weight"
         FROM wts a JOIN wts b ON a.term = b.term AND a.doc_id > b.doc_id GROUP BY 1, 2
         HAVING sum(a.weight * b.weight) >= {SIM_THRESHOLD}),
-tcols AS (SELECT term AS col, doc_id, weight / sqrt(sum(weight * weight) OVER (PARTITION BY term)) AS u FROM wts),
+vocabs AS (SELECT v.term, idf FROM vocab v JOIN vstats USING (term) ORDER BY ctf DESC, v.term ASC LIMIT {TOP_FEATURES}),
+raws AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN vocabs USING (term)),
+wtss AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raws),
+tcols AS (SELECT term AS col, doc_id, weight / sqrt(sum(weight * weight) OVER (PARTITION BY term)) AS u FROM wtss),
 tsim1 AS (SELECT a.col AS t1, b.col AS t2, sum(a.u * b.u) AS s FROM tcols a JOIN tcols b
           ON a.doc_id = b.doc_id AND a.col > b.col GROUP BY 1, 2 HAVING sum(a.u * b.u) >= {TERM_SIM_THRESHOLD}),
 tsim AS (SELECT t1, t2, s FROM tsim1 UNION ALL SELECT t2 AS t1, t1 AS t2, s FROM tsim1),
 sy AS (SELECT doc_id, term, sum(v) AS v FROM (
-         SELECT y.doc_id, ts.t1 AS term, ts.s * y.weight AS v FROM wts y JOIN tsim ts ON y.term = ts.t2
-         UNION ALL SELECT doc_id, term, weight AS v FROM wts) GROUP BY 1, 2),
-selfdot AS (SELECT w.doc_id, sum(w.weight * sy.v) AS n FROM wts w JOIN sy USING (doc_id, term) GROUP BY 1),
+         SELECT y.doc_id, ts.t1 AS term, ts.s * y.weight AS v FROM wtss y JOIN tsim ts ON y.term = ts.t2
+         UNION ALL SELECT doc_id, term, weight AS v FROM wtss) GROUP BY 1, 2),
+selfdot AS (SELECT w.doc_id, sum(w.weight * sy.v) AS n FROM wtss w JOIN sy USING (doc_id, term) GROUP BY 1),
 soft AS (SELECT d1 AS "Source", d2 AS "Target", dot / sqrt(n1.n * n2.n) AS "Weight" FROM (
-           SELECT x.doc_id AS d1, s2.doc_id AS d2, sum(x.weight * s2.v) AS dot FROM wts x JOIN sy s2
+           SELECT x.doc_id AS d1, s2.doc_id AS d2, sum(x.weight * s2.v) AS dot FROM wtss x JOIN sy s2
            ON x.term = s2.term AND x.doc_id > s2.doc_id GROUP BY 1, 2) p
          JOIN selfdot n1 ON p.d1 = n1.doc_id JOIN selfdot n2 ON p.d2 = n2.doc_id
          WHERE dot / sqrt(n1.n * n2.n) >= {SIM_THRESHOLD})
@@ -370,19 +389,19 @@ soft AS (SELECT d1 AS "Source", d2 AS "Target", dot / sqrt(n1.n * n2.n) AS "Weig
 
 
 def with_sim(select: str) -> str:
-    return "WITH " + SIM + "\n" + select
+    return "WITH " + sim() + "\n" + select
 
 
-q("tag_docs", with_sim("""
+q("tag_docs", lambda: with_sim("""
 SELECT c.tag AS "Name", n."Id", c.count, t.n_texts, t.n_tokens FROM
   (SELECT tag, count(*) AS count FROM segs GROUP BY tag) c
   JOIN (SELECT tag, count(*) AS n_texts, CAST(sum(len(tokenized)) AS BIGINT) AS n_tokens
         FROM (SELECT DISTINCT tag, tokenized FROM segs) GROUP BY tag) t USING (tag)
   LEFT JOIN nodes n ON c.tag = n."Name" """))
-q("tfidf", with_sim("SELECT doc_id, term, round(weight, 9) AS weight FROM wts"))
-q("cosine_pairs", with_sim('SELECT "Source", "Target", round("Weight", 9) AS "Weight" FROM cos'))
-q("similarity_edges", with_sim("SELECT \"Source\", \"Target\", round(\"Weight\", 9) AS \"Weight\", 'Undirected' AS \"Type\" FROM cos"))
-q("check_pairs", with_sim("""
+q("tfidf", lambda: with_sim("SELECT doc_id, term, round(weight, 9) AS weight FROM wts"))
+q("cosine_pairs", lambda: with_sim('SELECT "Source", "Target", round("Weight", 9) AS "Weight" FROM cos'))
+q("similarity_edges", lambda: with_sim("SELECT \"Source\", \"Target\", round(\"Weight\", 9) AS \"Weight\", 'Undirected' AS \"Type\" FROM cos"))
+q("check_pairs", lambda: with_sim("""
 SELECT (SELECT count(*) FROM nodes) AS n_nodes,
        (SELECT count(*) * (count(*) - 1) // 2 FROM nodes) AS max_pairs,
        count(*) AS edge_rows, count(*) FILTER (WHERE "Source" <= "Target") AS misordered,
@@ -391,21 +410,136 @@ SELECT (SELECT count(*) FROM nodes) AS n_nodes,
          AND count(*) FILTER (WHERE "Source" <= "Target") = 0
          AND count(*) FILTER (WHERE "Weight" > 1 + 1e-9) = 0 AS ok
 FROM cos"""))
-q("soft_cosine_pairs", with_sim('SELECT "Source", "Target", round("Weight", 9) AS "Weight" FROM soft'))
-q("word_freq", with_sim(f"""
+q("soft_cosine_pairs", lambda: with_sim('SELECT "Source", "Target", round("Weight", 9) AS "Weight" FROM soft'))
+_WORDS = """
 SELECT word, count(*) AS count FROM (SELECT lower(unnest(tokenized)) AS word FROM dfx) WHERE word <> ''
-GROUP BY word ORDER BY count DESC, word ASC LIMIT {fixed.WORDCLOUD_MAX_WORDS}"""))
-q("pool_documents", with_sim("""
-SELECT 'all' AS scheme, count(DISTINCT doc_key) AS n_docs, count(*) AS n_terms, CAST(sum(c) AS BIGINT) AS n_tokens FROM
-  (SELECT doc_key, term, count(*) AS c FROM (SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx) GROUP BY 1, 2)
-UNION ALL
-SELECT 'tagged', count(DISTINCT doc_key), count(*), CAST(sum(c) AS BIGINT) FROM
-  (SELECT doc_key, term, count(*) AS c FROM (SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx
-                                             WHERE hashtags IS NOT NULL) GROUP BY 1, 2)
-UNION ALL
-SELECT 'tag', count(DISTINCT doc_key), count(*), CAST(sum(c) AS BIGINT) FROM
-  (SELECT doc_key, term, count(*) AS c FROM (SELECT doc_id AS doc_key, unnest(tokenized) AS term FROM texts)
-   WHERE term <> '' GROUP BY 1, 2)"""))
+GROUP BY word"""
+q("word_freq", lambda: with_base(_WORDS))
+q("word_freq_top", lambda: with_base(
+    _WORDS + f" ORDER BY count DESC, word ASC LIMIT {fixed.WORDCLOUD_MAX_WORDS}"))
+
+
+def tfidf_sql(tokens: str, limit: int | None) -> str:
+    """TF-IDF of the tag documents for another token list of a text or a cut vocabulary."""
+    cut = f"ORDER BY ctf DESC, term ASC LIMIT {limit}" if limit else ""
+    return with_sim(f"""
+, toks2 AS (SELECT doc_id, unnest({tokens}) AS term FROM (
+    SELECT doc_id, list_filter(regexp_extract_all(array_to_string(tokenized, ', '), {s(_TOKEN_PATTERN)}, 0),
+                               lambda t: NOT list_contains({stop_list()}, t)) AS l FROM texts)),
+tf2 AS (SELECT doc_id, term, count(*) AS tf FROM toks2 GROUP BY ALL),
+vocab2 AS (SELECT term, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM (
+             SELECT term, count(*) AS df, sum(tf) AS ctf FROM tf2 GROUP BY term), ndocs
+           WHERE df <= {TFIDF_MAX_DF} * n {cut}),
+raw2 AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM tf2 JOIN vocab2 USING (term))
+SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS weight FROM raw2""")
+
+
+q("tfidf_top_terms", lambda: tfidf_sql("l", TOP_FEATURES))
+q("tfidf_ngrams", lambda: tfidf_sql(
+    "list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))", None))
+q("tag_doc_texts", lambda: "WITH " + clusters() + """
+SELECT 'tokenized' AS text_col, doc_id, array_to_string(tokenized, ', ') AS text FROM texts
+UNION ALL SELECT DISTINCT 'preprocessed', n."Id", preprocessed FROM segs s JOIN nodes n ON s.tag = n."Name"
+UNION ALL SELECT 'spacy_lemmatized', doc_id, array_to_string(sl, ', ') FROM ptexts""")
+
+# ---- clusters ---------------------------------------------------------------
+# Label propagation is unrolled; past its fixpoint further rounds change nothing.
+LPA_ROUNDS = 16
+
+
+def _lpa_round(i: int) -> str:
+    prev = f"lab{i - 1}"
+    return f"""
+lab{i} AS MATERIALIZED (SELECT "Id", coalesce(new, cluster) AS cluster FROM {prev} LEFT JOIN (
+  SELECT src, arg_max(lab, struct_pack(s := s, neg := -lab)) AS new FROM (
+    SELECT v.src, l.cluster AS lab, sum(v.w) AS s FROM votes v JOIN {prev} l ON v.dst = l."Id" GROUP BY 1, 2)
+  GROUP BY src) ON "Id" = src)"""
+
+
+@lru_cache(maxsize=None)
+def clusters() -> str:
+    """The common stages with phrase lists, tag clusters and cluster documents."""
+    rounds = ",".join(_lpa_round(i) for i in range(1, LPA_ROUNDS + 1))
+    return phrases().rstrip() + sim()[len(base().rstrip()):].rstrip() + f""",
+weighted AS (SELECT "Source", "Target", sum("Weight") AS w FROM edges GROUP BY 1, 2),
+sym AS (SELECT "Source" AS src, "Target" AS dst, CAST(w AS DOUBLE) AS w FROM weighted
+        UNION ALL SELECT "Target", "Source", CAST(w AS DOUBLE) FROM weighted),
+votes AS MATERIALIZED (SELECT src, dst, w FROM sym UNION ALL SELECT src, src, max(w) FROM sym GROUP BY src),
+lab0 AS (SELECT "Id", "Id" AS cluster FROM nodes),{rounds},
+labels AS (SELECT "Id", cluster FROM lab{LPA_ROUNDS}),
+ptexts AS (SELECT DISTINCT n."Id" AS doc_id, i.tag, f.sl FROM inc i JOIN nodes n ON i.tag = n."Name"
+           JOIN fused f ON i.tweet_id = f.id),
+tdocs AS (SELECT t.tag, min(l.cluster) AS cluster, list_sort(list(array_to_string(t.tokenized, ', '))) AS doc
+          FROM texts t JOIN labels l ON t.doc_id = l."Id" GROUP BY t.tag),
+chosen AS (SELECT cluster, doc, min(tag) AS tag FROM tdocs GROUP BY cluster, doc),
+ctexts AS (SELECT cluster, tag, unnest(doc) AS text FROM chosen),
+ctoks AS (SELECT cluster, tag, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+', 0) AS tokens FROM ctexts)
+"""
+
+
+def with_clusters(select: str) -> str:
+    return "WITH " + clusters() + "\n" + select
+
+
+q("tag_clusters", lambda: with_clusters('SELECT "Id", "Name", cluster FROM labels JOIN nodes USING ("Id")'))
+q("cluster_summary", lambda: with_clusters("""
+SELECT (SELECT count(DISTINCT cluster) FROM labels) AS n_clusters, (SELECT count(*) FROM reduced) AS labeled_rows"""))
+q("modularity", lambda: with_clusters("""
+, per AS (SELECT a.cluster, sum(w) AS deg, sum(CASE WHEN a.cluster = b.cluster THEN w ELSE 0 END) AS inner_w
+          FROM sym JOIN labels a ON src = a."Id" JOIN labels b ON dst = b."Id" GROUP BY a.cluster),
+tot AS (SELECT sum(w) / 2 AS m FROM sym)
+SELECT (SELECT count(DISTINCT cluster) FROM labels) AS n_clusters,
+       round((SELECT sum(inner_w / 2 / m - (deg / (2 * m)) ** 2) FROM per, tot), 9) AS modularity"""))
+q("cluster_docs", lambda: with_clusters("""
+SELECT cluster, count(*) AS n_terms, CAST(sum(c) AS BIGINT) AS n_tokens FROM (
+  SELECT cluster, term, count(*) AS c FROM (SELECT cluster, unnest(tokens) AS term FROM ctoks) GROUP BY 1, 2)
+GROUP BY cluster"""))
+
+
+def _pool(scheme: str, text: str, rows: str) -> str:
+    return f"""
+SELECT '{scheme}' AS scheme, '{text}' AS text, count(DISTINCT doc_key) AS n_docs, count(*) AS n_terms,
+       CAST(sum(c) AS BIGINT) AS n_tokens FROM (
+  SELECT doc_key, term, count(*) AS c FROM ({rows}) WHERE term <> '' GROUP BY 1, 2)"""
+
+
+q("pool_documents", lambda: with_clusters(" UNION ALL ".join([
+    _pool("all", "tokenized", "SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx"),
+    _pool("tagged", "tokenized", "SELECT id AS doc_key, unnest(tokenized) AS term FROM dfx WHERE hashtags IS NOT NULL"),
+    _pool("tag", "tokenized", "SELECT doc_id AS doc_key, unnest(tokenized) AS term FROM texts"),
+    _pool("cluster", "tokenized", "SELECT cluster AS doc_key, unnest(tokens) AS term FROM ctoks"),
+    _pool("all", "spacy_lemmatized", "SELECT id AS doc_key, unnest(sl) AS term FROM fused"),
+    _pool("tag", "spacy_lemmatized", "SELECT doc_id AS doc_key, unnest(sl) AS term FROM ptexts"),
+    _pool("tag", "preprocessed", f"""SELECT doc_key, unnest({words('preprocessed')}) AS term FROM (
+      SELECT DISTINCT n."Id" AS doc_key, preprocessed FROM segs s JOIN nodes n ON s.tag = n."Name")"""),
+])))
+
+# c_v by explicit windows: every window of every cluster document.
+q("coherence_terms", lambda: with_clusters(f"""
+, ttc AS (SELECT cluster AS topic, term, count(*) AS n FROM (SELECT cluster, unnest(tokens) AS term FROM ctoks) GROUP BY 1, 2),
+tt AS (SELECT topic, term FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM ttc)
+       WHERE r <= {fixed.COHERENCE_TOP_WORDS}),
+offs AS (SELECT cluster, tokens, coalesce(sum(len(tokens)) OVER (PARTITION BY cluster ORDER BY tag, text
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         greatest(sum(len(tokens)) OVER (PARTITION BY cluster) - {fixed.COHERENCE_WINDOW}, 0) AS last FROM ctoks),
+nwin AS (SELECT sum(last + 1) AS n FROM (SELECT cluster, min(last) AS last FROM offs GROUP BY cluster)),
+pos AS (SELECT cluster, last, start + i - 1 AS p, tokens[i] AS term FROM (
+          SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM offs)),
+wins AS MATERIALIZED (SELECT DISTINCT cluster, term, unnest(range(CAST(greatest(p - {fixed.COHERENCE_WINDOW - 1}, 0) AS BIGINT),
+                                                CAST(least(p, last) AS BIGINT) + 1)) AS w
+         FROM pos WHERE term IN (SELECT term FROM tt)),
+one AS (SELECT term, count(*) AS c FROM wins GROUP BY term),
+two AS (SELECT a.term AS t1, b.term AS t2, count(*) AS c FROM wins a JOIN wins b ON a.cluster = b.cluster AND a.w = b.w
+        GROUP BY 1, 2),
+np AS (SELECT i.topic, i.term AS wi, j.term AS wj,
+              ln((coalesce(two.c, 0) / n + {fixed.COHERENCE_EPS!r}) / (a.c / n * (b.c / n)))
+              / -ln(coalesce(two.c, 0) / n + {fixed.COHERENCE_EPS!r}) AS v
+       FROM tt i JOIN tt j ON i.topic = j.topic JOIN one a ON a.term = i.term JOIN one b ON b.term = j.term
+       LEFT JOIN two ON two.t1 = i.term AND two.t2 = j.term, nwin),
+ctx AS (SELECT topic, wj, sum(v) AS cv FROM np GROUP BY 1, 2),
+per AS (SELECT np.topic, wi, sum(v * cv) AS dot, sqrt(sum(v * v)) AS ni FROM np JOIN ctx USING (topic, wj) GROUP BY 1, 2),
+nrm AS (SELECT topic, sqrt(sum(cv * cv)) AS nw FROM ctx GROUP BY 1)
+SELECT topic, round(avg(dot / (ni * nw)), 6) AS coherence FROM per JOIN nrm USING (topic) GROUP BY topic"""))
 
 
 # ---- phrase model -----------------------------------------------------------
@@ -419,9 +553,13 @@ def phrase_toks(e: str) -> str:
             f"AND NOT starts_with(w, '_'))")
 
 
-_PH_STOP = "[" + ", ".join(s(w) for w in list(default_stopwords()) + list(fixed.PHRASE_EXTRA_STOPWORDS)) + "]"
+def phrase_stop_list() -> str:
+    return "[" + ", ".join(s(w) for w in list(default_stopwords()) + list(fixed.PHRASE_EXTRA_STOPWORDS)) + "]"
+
 
-PHRASES = BASE.rstrip() + f""",
+@lru_cache(maxsize=None)
+def phrases() -> str:
+    return base().rstrip() + f""",
 ptok AS (SELECT id, {phrase_toks('preprocessed')} AS t FROM staged),
 uni AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM ptok) GROUP BY w),
 bi AS (SELECT a, b, count(*) AS n_ab FROM (
@@ -432,7 +570,7 @@ phr AS (SELECT bi.a, bi.b, ua.n AS n_a, ub.n AS n_b, n_ab,
                (n_ab - {fixed.PHRASE_MIN_COUNT}) / (ua.n * ub.n) * "V" AS score
         FROM bi JOIN uni ua ON bi.a = ua.w JOIN uni ub ON bi.b = ub.w, vsz
         WHERE (n_ab - {fixed.PHRASE_MIN_COUNT}) / (ua.n * ub.n) * "V" > {fixed.PHRASE_THRESHOLD}),
-t2 AS (SELECT id, list_filter({phrase_toks('preprocessed')}, lambda w: NOT list_contains({_PH_STOP}, w)) AS t
+t2 AS (SELECT id, list_filter({phrase_toks('preprocessed')}, lambda w: NOT list_contains({phrase_stop_list()}, w)) AS t
        FROM dfx),
 hits AS (SELECT p.id, p.i FROM (SELECT id, i - 1 AS i, t[i] AS a, t[i + 1] AS b
                                 FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM t2)) p
@@ -440,19 +578,52 @@ hits AS (SELECT p.id, p.i FROM (SELECT id, i - 1 AS i, t[i] AS a, t[i + 1] AS b
 runs AS (SELECT id, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS g FROM hits),
 st AS (SELECT id, list(i) AS s FROM (SELECT id, i, i - min(i) OVER (PARTITION BY id, g) AS k FROM runs)
        WHERE k % 2 = 0 GROUP BY id),
-fused AS (SELECT t2.id, list_filter(list_filter(list_transform(range(0, len(t)), lambda i:
+fused AS (SELECT id, raw, list_filter(raw, lambda w: length(w) >= {fixed.MIN_TOKEN_LEN}) AS sl FROM (
+  SELECT t2.id, list_filter(list_transform(range(0, len(t)), lambda i:
              CASE WHEN list_contains(coalesce(s, []), i) THEN t[i + 1] || '_' || t[i + 2]
                   WHEN list_contains(coalesce(s, []), i - 1) THEN NULL ELSE t[i + 1] END),
-             lambda w: w IS NOT NULL), lambda w: length(w) >= {fixed.MIN_TOKEN_LEN}) AS sl
-          FROM t2 LEFT JOIN st ON t2.id = st.id)
+             lambda w: w IS NOT NULL) AS raw
+          FROM t2 LEFT JOIN st ON t2.id = st.id))
 """
-q("mine_bigrams", "WITH " + PHRASES + "\nSELECT a, b, n_a, n_b, n_ab, round(score, 9) AS score FROM phr")
-q("apply_bigrams", "WITH " + PHRASES
+q("mine_bigrams", lambda: "WITH " + phrases() + "\nSELECT a, b, n_a, n_b, n_ab, round(score, 9) AS score FROM phr")
+q("apply_bigrams", lambda: "WITH " + phrases()
   + "\nSELECT id, array_to_string(sl, ' ') AS spacy_lemmatized, CAST(len(sl) AS INTEGER) AS n_tokens FROM fused")
 
 
+LEXICON = """
+lex0 AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS form FROM documents WHERE lang = 'en'),
+lex AS (SELECT form, length(form) % 6 AS c,
+               CASE WHEN length(form) > 3 THEN substr(form, 1, length(form) - 1) ELSE substr(form, 1, 2) END AS lemma
+        FROM lex0 WHERE length(form) >= 3 AND (form LIKE '%n' OR form LIKE '%t'))"""
+# Classes by length: 0 noun, 1 verb, 2 pronoun, 3 adjective, 4 proper noun, 5 adverb.
+
+
+def kept_token(t: str) -> str:
+    return (f"length({t}) >= {fixed.MIN_TOKEN_LEN} AND NOT contains({s(fixed.TOKEN_PUNCTUATION)}, {t}) "
+            f"AND NOT list_contains({stop_list()}, {t})")
+
+
+q("tokenize_lemma_lexicon", lambda: "WITH " + base().rstrip() + "," + LEXICON + f""",
+w AS (SELECT id, l[i] AS form, i FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+        SELECT id, {words('preprocessed')} AS l FROM dfx))),
+t AS (SELECT id, i, CASE WHEN c IN (0, 1, 3, 5) THEN lemma ELSE w.form END AS tok FROM w LEFT JOIN lex ON w.form = lex.form),
+g AS (SELECT id, string_agg(tok, ' ' ORDER BY i) AS l, CAST(count(*) AS INTEGER) AS n FROM t
+      WHERE {kept_token('tok')} GROUP BY id)
+SELECT id, coalesce(l, '') AS tokenized, coalesce(n, 0) AS n_tokens FROM dfx LEFT JOIN g USING (id)""")
+q("apply_bigrams_lexicon", lambda: "WITH " + phrases().rstrip() + "," + LEXICON + f""",
+w AS (SELECT id, l[i] AS form, i FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+        SELECT id, raw AS l FROM fused))),
+t AS (SELECT id, i, coalesce(lemma, w.form) AS tok FROM w LEFT JOIN lex ON w.form = lex.form WHERE coalesce(c, 0) <> 2),
+g AS (SELECT id, string_agg(tok, ' ' ORDER BY i) AS l, CAST(count(*) AS INTEGER) AS n FROM t
+      WHERE length(tok) >= {fixed.MIN_TOKEN_LEN} GROUP BY id)
+SELECT id, coalesce(l, '') AS spacy_lemmatized, coalesce(n, 0) AS n_tokens FROM dfx LEFT JOIN g USING (id)""")
+q("tokenize_stopword_table", lambda: with_base(f"""
+SELECT id, array_to_string(l, ' ') AS tokenized, CAST(len(l) AS INTEGER) AS n_tokens FROM (
+  SELECT id, list_filter(tokenized, lambda t: t NOT IN ({', '.join(s(w) for w in EXTRA_STOPWORDS)})) AS l FROM dfx)"""))
+
+
 # ---- sources ----------------------------------------------------------------
-q("scan_tweets", with_base("SELECT * FROM tweets"))
+q("scan_tweets", lambda: with_base("SELECT * FROM tweets"))
 
 
 def _width(mn: str, mx: str) -> str:
@@ -464,16 +635,31 @@ def _width(mn: str, mx: str) -> str:
        WHEN {mn} > -2147483648 AND {mx} < 2147483647 THEN 'int32' ELSE 'int64' END END"""
 
 
-q("narrow_types", with_base(" UNION ALL ".join(
+q("narrow_types", lambda: with_base(" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", min_value, max_value, {_width('min_value', 'max_value')} AS width FROM "
     f"(SELECT min(coalesce({c}, 0)) AS min_value, max(coalesce({c}, 0)) AS max_value FROM data)"
     for c in ["id", "in_reply_to_status_id", "quoted_status_id", "truncated", "retweet"])))
 
 
+NARROWED = ["id", "in_reply_to_status_id", "quoted_status_id", "truncated", "retweet"]
+WIDTH_TYPES = {"uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)",
+               "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint"}
+
+
+def _type_of(c: str) -> str:
+    whens = " ".join(f"WHEN '{w}' THEN '{t}'" for w, t in WIDTH_TYPES.items())
+    return f"(SELECT CASE {_width(f'min(coalesce({c}, 0))', f'max(coalesce({c}, 0))')} {whens} END FROM data)"
+
+
+q("narrowed_table", lambda: with_base(
+    "SELECT " + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in NARROWED)
+    + ", " + " || ',' || ".join(map(_type_of, NARROWED)) + " AS types FROM data"))
+
+
 # ---- reply chains (conversations) -------------------------------------------
-q("enrich_reply_chains", f"""
-WITH c AS (SELECT conv_id * 100 + turn + 1 AS id,
-                  CASE WHEN turn > 0 THEN conv_id * 100 + turn END AS in_reply_to_status_id, role, text
+q("enrich_reply_chains", lambda: f"""
+WITH c AS (SELECT conv_id * {MAX_TURNS} + turn + 1 AS id,
+                  CASE WHEN turn > 0 THEN conv_id * {MAX_TURNS} + turn END AS in_reply_to_status_id, role, text
            FROM conversations),
 d AS (SELECT id, coalesce(in_reply_to_status_id, 0) AS in_reply_to_status_id, text, role AS mentions,
              CAST(starts_with(text, 'RT') AS INTEGER) AS retweet FROM c),

@@ -8,15 +8,18 @@ they compare as plain values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
-from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, topics
+from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, tokens, topics
 from ..sources import fixtures
 from . import chain
 from .chain import Pipeline, basket_pipeline
+from .joins import with_constants
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -51,6 +54,17 @@ def q_scan_tweets(spark, sf):
     return io.scan_tweets(spark, path)
 
 
+@query("narrowed_table")
+def q_narrowed_table(spark, sf):
+    """The English tweets with narrowed integer columns: values, and the types they have got."""
+    from ..sources.narrow import narrow_types
+
+    cols = ["id", "in_reply_to_status_id", "quoted_status_id", "truncated", "retweet"]
+    t = narrow_types(Pipeline.of(spark, sf).data)[0]
+    return t.select(*[F.col(c).cast("long").alias(c) for c in cols],
+                    F.concat_ws(",", *[F.typeof(c) for c in cols]).alias("types"))
+
+
 @query("narrow_types")
 def q_narrow_types(spark, sf):
     from ..sources.narrow import narrow_plan
@@ -205,6 +219,22 @@ def q_tokenize_lemma(spark, sf):
                                           F.size("tokenized").alias("n_tokens"))
 
 
+@query("tokenize_lemma_lexicon")
+def q_tokenize_lemma_lexicon(spark, sf):
+    """Token lists lemmatised through the lexicon table."""
+    return Pipeline.of(spark, sf, use_lexicon=True).df.select(
+        "id", F.array_join("tokenized", " ").alias("tokenized"), F.size("tokenized").alias("n_tokens"))
+
+
+@query("tokenize_stopword_table")
+def q_tokenize_stopword_table(spark, sf):
+    """Token lists with the stop words of a table."""
+    p = Pipeline(spark, sf, stopwords=fixtures.stopword_table(spark, sf))
+    kept = clean.ascii_tags(clean.ascii_only(Pipeline.of(spark, sf).staged))
+    d = tokens.tokenize_lemma(kept, stopwords=p.stopwords)
+    return d.select("id", F.array_join("tokenized", " ").alias("tokenized"), F.size("tokenized").alias("n_tokens"))
+
+
 @query("mine_bigrams")
 def q_mine_bigrams(spark, sf):
     return rounded(Pipeline.of(spark, sf).phrases, "score")
@@ -212,9 +242,18 @@ def q_mine_bigrams(spark, sf):
 
 @query("apply_bigrams")
 def q_apply_bigrams(spark, sf):
-    d = Pipeline.of(spark, sf).df_phrased
-    return d.select("id", F.array_join("spacy_lemmatized", " ").alias("spacy_lemmatized"),
-                    F.size("spacy_lemmatized").alias("n_tokens"))
+    return phrase_lists(Pipeline.of(spark, sf))
+
+
+@query("apply_bigrams_lexicon")
+def q_apply_bigrams_lexicon(spark, sf):
+    """Phrase lists with the word-class filter and lemmas of the lexicon table."""
+    return phrase_lists(Pipeline.of(spark, sf, use_lexicon=True))
+
+
+def phrase_lists(p: Pipeline) -> DataFrame:
+    return p.phrased.select("id", F.array_join("spacy_lemmatized", " ").alias("spacy_lemmatized"),
+                            F.size("spacy_lemmatized").alias("n_tokens"))
 
 
 # ---- tags -----------------------------------------------------------------
@@ -289,11 +328,31 @@ def q_tag_docs(spark, sf):
     return docs.tag_docs(p.segments, p.nodes, p.n_nodes)
 
 
+@query("tag_doc_texts")
+def q_tag_doc_texts(spark, sf):
+    """The content of the tag documents for the three text choices, in long form."""
+    p = Pipeline.of(spark, sf)
+    out = [p.doc_segments(c).select(F.lit(c).alias("text_col"), "doc_id", "text") for c in docs.TEXT_CHOICES]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("tfidf")
 def q_tfidf(spark, sf):
     return rounded(Pipeline.of(spark, sf).tfidf, "weight")
 
 
+@query("tfidf_top_terms")
+def q_tfidf_top_terms(spark, sf):
+    """TF-IDF with the vocabulary cut to the most frequent terms (max_features)."""
+    return rounded(Pipeline.of(spark, sf).tfidf_of(max_features=chain.TOP_FEATURES)[0], "weight")
+
+
+@query("tfidf_ngrams")
+def q_tfidf_ngrams(spark, sf):
+    """TF-IDF over single terms and pairs of adjacent terms."""
+    return rounded(Pipeline.of(spark, sf).tfidf_of(ngrams=(1, 2))[0], "weight")
+
+
 @query("cosine_pairs")
 def q_cosine_pairs(spark, sf):
     return rounded(Pipeline.of(spark, sf).cosine, "Weight")
@@ -310,11 +369,19 @@ def q_check_pairs(spark, sf):
     return similarity.check_pairs(similarity.similarity_edges(p.cosine, chain.SIM_THRESHOLD), p.n_nodes)
 
 
+@query("pair_candidates")
+def q_pair_candidates(spark, sf):
+    """What the pair search joins and verifies, against its results."""
+    p = Pipeline.of(spark, sf)
+    return similarity.candidate_report(p.tfidf, chain.SIM_THRESHOLD, p.tfidf_of()[1].select("term", "df"))
+
+
 @query("soft_cosine_pairs")
 def q_soft_cosine_pairs(spark, sf):
-    p = Pipeline.of(spark, sf)
-    s = similarity.term_similarity(p.tfidf, chain.TERM_SIM_THRESHOLD)
-    return rounded(similarity.soft_cosine_pairs(p.tfidf, s, chain.SIM_THRESHOLD), "Weight")
+    """Soft cosine over the most frequent terms (max_features): similar terms need documents in common."""
+    w, _ = Pipeline.of(spark, sf).tfidf_of(max_features=chain.TOP_FEATURES)
+    s = similarity.term_similarity(w, chain.TERM_SIM_THRESHOLD)
+    return rounded(similarity.soft_cosine_pairs(w, s, chain.SIM_THRESHOLD), "Weight")
 
 
 @query("word_freq")
@@ -322,43 +389,65 @@ def q_word_freq(spark, sf):
     return docs.word_freq(Pipeline.of(spark, sf).df, "tokenized")
 
 
+@query("word_freq_top")
+def q_word_freq_top(spark, sf):
+    """The words a word cloud would show."""
+    return docs.word_freq(Pipeline.of(spark, sf).df, "tokenized", k=fixed.WORDCLOUD_MAX_WORDS)
+
+
+POOLS = (("all", "tokenized"), ("tagged", "tokenized"), ("tag", "tokenized"), ("cluster", "tokenized"),
+         ("all", "spacy_lemmatized"), ("tag", "spacy_lemmatized"), ("tag", "preprocessed"))
+
+
 @query("pool_documents")
 def q_pool_documents(spark, sf):
     p = Pipeline.of(spark, sf)
-    out = None
-    for scheme in ("all", "tagged", "tag"):
-        c = docs.pool_term_counts(p.df, scheme, p.segments, p.nodes, p.n_nodes)
-        s = docs.pool_summary(c, scheme)
-        out = s if out is None else out.unionByName(s)
-    return out
+    out = []
+    for scheme, text in POOLS:
+        df = p.df.join(p.phrased, "id") if text == "spacy_lemmatized" else p.df
+        labels = p.clusters_result[0] if scheme == "cluster" else None
+        c = docs.pool_term_counts(df, scheme, p.segments_of(text), p.nodes, p.n_nodes, labels, text)
+        out.append(docs.pool_summary(c, scheme, text))
+    return reduce(DataFrame.unionByName, out)
 
 
-# ---- clusters (iterative: no SQL oracle) -----------------------------------
+# ---- clusters (iterative) ---------------------------------------------------
 @query("tag_clusters")
 def q_tag_clusters(spark, sf):
     p = Pipeline.of(spark, sf)
-    labels, rounds, settled = p.clusters_result
-    return labels.join(p.nodes.select("Id", "Name"), "Id").select("Id", "Name", "cluster")
+    return p.clusters_result[0].join(p.nodes.select("Id", "Name"), "Id").select("Id", "Name", "cluster")
 
 
 @query("modularity")
 def q_modularity(spark, sf):
     p = Pipeline.of(spark, sf)
-    labels, rounds, settled = p.clusters_result
-    return graph.modularity(p.weighted, labels).select(
-        "n_clusters", "modularity", F.lit(rounds).alias("rounds"), F.lit(settled).alias("settled"))
+    return rounded(graph.modularity(p.weighted, p.clusters_result[0]).select("n_clusters", "modularity"), "modularity")
 
 
 @query("cluster_docs")
 def q_cluster_docs(spark, sf):
+    c = Pipeline.of(spark, sf).cluster_texts.select(F.col("doc_key").alias("cluster"), F.explode("tokens").alias("term"))
+    c = c.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("count"))
+    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("count").alias("n_tokens"))
+
+
+@query("cluster_summary")
+def q_cluster_summary(spark, sf):
+    """Number of tag clusters and number of labelled tag rows (popular-tag occurrences)."""
+    p = Pipeline.of(spark, sf)
+    n = p.clusters_result[0].agg(F.countDistinct("cluster").alias("n_clusters"))
+    return with_constants(n, p.reduced.agg(F.count(F.lit(1)).alias("labeled_rows")))
+
+
+@query("coherence_terms")
+def q_coherence_terms(spark, sf):
+    """c_v of the most frequent terms of each cluster document, over the cluster documents."""
     p = Pipeline.of(spark, sf)
-    labels, _, _ = p.clusters_result
-    c = docs.pool_term_counts(p.df, "cluster", p.segments, p.nodes, p.n_nodes, clusters=labels)
-    return c.groupBy(F.col("doc_key").alias("cluster")).agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum("count").alias("n_tokens"))
+    c = topics.coherence_cv(p.cluster_top_terms, p.lda_prepared)
+    return c.select("topic", F.round("coherence", 6).alias("coherence"))
 
 
-# ---- topic models (iterative fits: no SQL oracle) --------------------------
+# ---- topic models (fitted: no SQL oracle) --------------------------
 @query("lda_sweep")
 def q_lda_sweep(spark, sf):
     return Pipeline.of(spark, sf).sweep[0]
@@ -372,24 +461,18 @@ def q_coherence_cv(spark, sf):
 @query("topic_terms")
 def q_topic_terms(spark, sf):
     p = Pipeline.of(spark, sf)
-    _, vocab, v = p.lda_corpus
-    return topics.topic_terms(p.topic_model, vocab, vocab_rows=v)
+    return topics.topic_terms(p.topic_model, p.lda_corpus[1])
 
 
 @query("topic_relevance")
 def q_topic_relevance(spark, sf):
+    """Relevance of every term to every topic."""
     p = Pipeline.of(spark, sf)
-    vectors, vocab, v = p.lda_corpus
-    return topics.topic_relevance(p.topic_model, vectors, vocab, v)
+    return topics.topic_relevance(p.topic_model, p.lda_corpus[1])
 
 
-@query("cluster_summary")
-def q_cluster_summary(spark, sf):
-    """Number of tag clusters and number of labelled tag rows (popular-tag occurrences)."""
-    from ..plans.joins import with_constants
-
+@query("topic_relevance_top")
+def q_topic_relevance_top(spark, sf):
+    """The 30 most relevant terms of each topic, as a topic browser lists them."""
     p = Pipeline.of(spark, sf)
-    labels, _, _ = p.clusters_result
-    n = labels.agg(F.countDistinct("cluster").alias("n_clusters"))
-    rows = p.reduced.agg(F.count(F.lit(1)).alias("labeled_rows"))
-    return with_constants(n, rows)
+    return topics.topic_relevance(p.topic_model, p.lda_corpus[1], top=30)
