@@ -185,3 +185,49 @@ COHERENCE_TOP_WORDS = 20     # c_v: words per topic
 COHERENCE_WINDOW = 110       # c_v: boolean sliding window
 COHERENCE_EPS = 1e-12        # c_v: NPMI smoothing
 WORDCLOUD_MAX_WORDS = 200    # words kept for the word-frequency table
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: labels of the reports, in their order.
+# ---------------------------------------------------------------------------
+CORPUS_PROFILE = {
+    "tweets": "Tweets",
+    "en": "English Tweets",
+    "unique_en": "Unique English Tweets (not retweet)",
+}
+FULL_PROFILE = {
+    "columns": "Number of columns",
+    "all": "English tweets",
+    "rt": "--Retweets (RT)",
+    "unique": "--Unique tweets (not RT)",
+    "replies": "--Replies",
+    "quoting": "--Quoting tweets",
+    "rt_quoting": "--RT & quoting",
+    "rt_reply": "--RT & reply",
+    "rt_not_quoting": "--RT & not quoting",
+    "unique_quoting": "--not RT & quoting",
+    "unique_reply_only": "--not RT & not quoting & reply",
+    "unique_quoting_only": "--not RT & quoting & not reply",
+    "unique_plain": "--not RT & not quoting & not reply",
+    "unique_both": "--not RT & quoting & reply",
+    "any": "--RT or quoting or reply",
+    "truncated": "--Truncated tweets",
+    "sensitive": "--Tweets with a link referring to a sensitive content",
+    "withheld": "--Tweets that their content is removed due to copyright",
+    "location": "--Tweets with user specified location text",
+    "geo": "--GeoTagged tweets",
+    "verified": "--Tweets issued by users with verified accounts",
+}
+TAG_REPORT = {
+    "cleaned": "cleaned tweets",
+    "total_tags": "Total hashtags (repetitive) in cleaned tweets",
+    "unique_tags": "-- Unique hashtags",
+    "total_tags_red": "Total hashtags (repetitive) after removing unpopular hashtags",
+    "unique_tags_red": "-- Unique hashtags after removing unpopular hashtags",
+    "untagged": "Tweets containing no hashtags",
+    "tagged": "Tweets containing at least one hashtag",
+    "one": "-- One hashtag per tweet",
+    "two": "-- Two hashtags per tweet",
+    "three": "-- More than two hashtags per tweet",
+    "max_tags": "Maximum number of hashtags used in a tweet",
+    "cooccurrences": "Total hashtag co-occurrences after removing unpopular hashtags",
+}

@@ -86,16 +86,6 @@ def clean_stage(data2: DataFrame, min_word: int, mode: str = "text_h_in") -> Dat
     return min_words(hashtag_decision(dedup_first(cleaned), mode), min_word)
 
 
-def preprocess(data2: DataFrame, min_word: int, mode: str = "text_h_in",
-               stopwords: list[str] | None = None, lexicon: DataFrame | None = None) -> DataFrame:
-    """The cleaned tweet table ``df``: clean stage, tokens, ASCII filters."""
-    from .tokens import tokenize_lemma
-
-    staged = clean_stage(data2, min_word, mode)
-    kept = ascii_tags(ascii_only(staged))
-    return tokenize_lemma(kept, stopwords=stopwords, lexicon=lexicon)
-
-
 def length_hist(data1: DataFrame, data2: DataFrame) -> DataFrame:
     """Words per cleaned text, one histogram per dataset (each its own)."""
     def hist(df, name):

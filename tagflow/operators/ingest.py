@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 DATA1_COLUMNS = ["id", "created_at", "text", "quoted_status_id", "retweet",
                  "in_reply_to_status_id", "hashtags", "mentions"]
 
@@ -18,12 +20,6 @@ def filter_lang(tweets: DataFrame, lang: str = "en") -> DataFrame:
     return tweets.where(F.col("lang") == lang).drop("lang")
 
 
-def lang_counts(tweets: DataFrame, lang: str = "en") -> DataFrame:
-    """Tweets before and after the language filter, in one pass."""
-    return tweets.agg(F.count(F.lit(1)).alias("total_tweets"),
-                      F.count_if(F.col("lang") == lang).alias("total_lang_tweets"))
-
-
 def flag_retweets(df: DataFrame) -> DataFrame:
     """retweet = 1 when the text starts with 'RT' (case-sensitive, no blank needed)."""
     return df.withColumn("retweet", F.col("text").startswith("RT").cast("int"))
@@ -54,63 +50,47 @@ def format_dates(df: DataFrame, col: str = "created_at") -> DataFrame:
     return df.withColumn(col, F.date_format(ts, "MM/dd/yyyy"))
 
 
+def labelled(row: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """The columns of a one-row table as ``(characteristic, value)`` rows, in the labels' order."""
+    found = [(label, c) for c, label in labels.items() if c in row.columns]
+    args = [F.lit(len(found))]
+    for label, c in found:
+        args += [F.lit(label), F.col(c).cast("long")]
+    return row.select(F.stack(*args).alias("characteristic", "value"))
+
+
 def corpus_profile(tweets: DataFrame, lang: str = "en") -> DataFrame:
     """Tweets, English tweets, unique (not RT) English tweets: one scan."""
     is_lang = F.col("lang") == lang
-    row = tweets.agg(
+    return labelled(tweets.agg(
         F.count(F.lit(1)).alias("tweets"),
         F.count_if(is_lang).alias("en"),
-        F.count_if(is_lang & ~F.col("text").startswith("RT")).alias("unique_en"))
-    return row.select(F.stack(
-        F.lit(3),
-        F.lit("Tweets"), F.col("tweets"),
-        F.lit("English Tweets"), F.col("en"),
-        F.lit("Unique English Tweets (not retweet)"), F.col("unique_en"),
-    ).alias("characteristic", "value"))
+        F.count_if(is_lang & ~F.col("text").startswith("RT")).alias("unique_en")), fixed.CORPUS_PROFILE)
 
 
-def corpus_profile_full(data: DataFrame, total_tweets: DataFrame | None = None) -> DataFrame:
+def corpus_profile_full(data: DataFrame) -> DataFrame:
     """The long profile of the English table `data` (flags and sentinels filled).
 
-    Rows for optional export columns appear only when the column exists.
-    One aggregate computes every figure; ``stack`` turns it into rows.
+    Rows for optional export columns appear only when the column exists.  One
+    aggregate computes every figure.
     """
     rt = F.col("retweet") == 1
     q = F.col("quoted_status_id") != 0
     r = F.col("in_reply_to_status_id") != 0
     n = F.count(F.lit(1))
-    figures = [
-        ("Number of columns", F.lit(len(data.columns)).cast("long")),
-        ("English tweets", n),
-        ("--Retweets (RT)", F.count_if(rt)),
-        ("--Unique tweets (not RT)", n - F.count_if(rt)),
-        ("--Replies", F.count_if(r)),
-        ("--Quoting tweets", F.count_if(q)),
-        ("--RT & quoting", F.count_if(rt & q)),
-        ("--RT & reply", F.count_if(rt & r)),
-        ("--RT & not quoting", F.count_if(rt & ~q)),
-        ("--not RT & quoting", F.count_if(~rt & q)),
-        ("--not RT & not quoting & reply", F.count_if(~rt & ~q & r)),
-        ("--not RT & quoting & not reply", F.count_if(~rt & q & ~r)),
-        ("--not RT & not quoting & not reply", F.count_if(~rt & ~q & ~r)),
-        ("--not RT & quoting & reply", F.count_if(~rt & q & r)),
-        ("--RT or quoting or reply", n - F.count_if(~rt & ~q & ~r)),
-        ("--Truncated tweets", F.count_if(F.col("truncated") == 1)),
-    ]
-    if "possibly_sensitive" in data.columns:
-        figures.append(("--Tweets with a link referring to a sensitive content",
-                        F.count_if(F.col("possibly_sensitive") == 1)))
-    if "withheld_copyright" in data.columns:
-        figures.append(("--Tweets that their content is removed due to copyright",
-                        F.count_if(F.col("withheld_copyright") == 1)))
-    if "location" in data.columns:
-        figures.append(("--Tweets with user specified location text", F.count("location")))
-    figures.append(("--GeoTagged tweets", F.count_if(F.col("lat") != 0)))
-    if "from_user_verified" in data.columns:
-        figures.append(("--Tweets issued by users with verified accounts",
-                        F.count_if(F.col("from_user_verified") == 1)))
-    row = data.agg(*[e.cast("long").alias(f"f{i}") for i, (_, e) in enumerate(figures)])
-    args = [F.lit(len(figures))]
-    for i, (name, _) in enumerate(figures):
-        args += [F.lit(name), F.col(f"f{i}")]
-    return row.select(F.stack(*args).alias("characteristic", "value"))
+    figures = {
+        "columns": F.lit(len(data.columns)), "all": n, "rt": F.count_if(rt), "unique": n - F.count_if(rt),
+        "replies": F.count_if(r), "quoting": F.count_if(q), "rt_quoting": F.count_if(rt & q),
+        "rt_reply": F.count_if(rt & r), "rt_not_quoting": F.count_if(rt & ~q),
+        "unique_quoting": F.count_if(~rt & q), "unique_reply_only": F.count_if(~rt & ~q & r),
+        "unique_quoting_only": F.count_if(~rt & q & ~r), "unique_plain": F.count_if(~rt & ~q & ~r),
+        "unique_both": F.count_if(~rt & q & r), "any": n - F.count_if(~rt & ~q & ~r),
+        "truncated": F.count_if(F.col("truncated") == 1), "geo": F.count_if(F.col("lat") != 0),
+    }
+    for name, column, figure in (
+            ("sensitive", "possibly_sensitive", lambda c: F.count_if(c == 1)),
+            ("withheld", "withheld_copyright", lambda c: F.count_if(c == 1)),
+            ("location", "location", F.count), ("verified", "from_user_verified", lambda c: F.count_if(c == 1))):
+        if column in data.columns:
+            figures[name] = figure(F.col(column))
+    return labelled(data.agg(*[e.alias(c) for c, e in figures.items()]), fixed.FULL_PROFILE)

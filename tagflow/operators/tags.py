@@ -15,6 +15,7 @@ from ..functions import fixed
 from ..functions import text as tx
 from ..plans.joins import with_constants
 from ..plans.rank import number_rows
+from .ingest import labelled
 
 
 def tagged_tweets(df: DataFrame) -> DataFrame:
@@ -118,23 +119,6 @@ def tag_report(df: DataFrame, incidence: DataFrame, popular_incidence: DataFrame
     c = popular_incidence.agg(F.count(F.lit(1)).alias("total_tags_red"),
                               F.countDistinct("tag").alias("unique_tags_red"))
     d = edges.agg(F.count(F.lit(1)).alias("cooccurrences"))
+    a = a.withColumn("untagged", F.col("cleaned") - F.col("tagged"))
     row = with_constants(with_constants(with_constants(a, b), c), d)   # four one-row aggregates
-    figures = [
-        ("cleaned tweets", "cleaned"),
-        ("Total hashtags (repetitive) in cleaned tweets", "total_tags"),
-        ("-- Unique hashtags", "unique_tags"),
-        ("Total hashtags (repetitive) after removing unpopular hashtags", "total_tags_red"),
-        ("-- Unique hashtags after removing unpopular hashtags", "unique_tags_red"),
-        ("Tweets containing no hashtags", None),
-        ("Tweets containing at least one hashtag", "tagged"),
-        ("-- One hashtag per tweet", "one"),
-        ("-- Two hashtags per tweet", "two"),
-        ("-- More than two hashtags per tweet", "three"),
-        ("Maximum number of hashtags used in a tweet", "max_tags"),
-        ("Total hashtag co-occurrences after removing unpopular hashtags", "cooccurrences"),
-    ]
-    args = [F.lit(len(figures))]
-    for name, colname in figures:
-        val = (F.col("cleaned") - F.col("tagged")) if colname is None else F.col(colname)
-        args += [F.lit(name), val.cast("long")]
-    return row.select(F.stack(*args).alias("characteristic", "value"))
+    return labelled(row, fixed.TAG_REPORT)

@@ -57,6 +57,11 @@ class Pipeline:
             cls._shared[key].state = state
         return cls._shared[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Start anew: later calls of ``of`` build their stages themselves."""
+        cls._shared.clear()
+
     def __init__(self, spark: SparkSession, sf_dir: str, min_word: int = MIN_WORDS,
                  popular_min: int = POPULAR_MIN, mode: str = TAG_MODE, stopwords=None,
                  use_lexicon: bool = False):

@@ -53,9 +53,24 @@ def windowed_tag_counts(tweets: DataFrame, window: str = "1 hour", watermark: st
                       "tag", "Count")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    """Run a stream over the data available now into an in-memory table."""
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
-           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_path(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over the data available now into Parquet under ``path`` and read it back.
+
+    In append mode each micro-batch adds its finished rows.  In complete mode
+    every micro-batch writes the whole result to a folder of its own, and the
+    last one is read.  Nothing passes through the driver.
+    """
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(path).awaitTermination()
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.append(number)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={max(done)}")

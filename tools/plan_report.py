@@ -5,8 +5,8 @@ Usage: python tools/plan_report.py [sf_dir] > PLANS.md
 For each query (run once first, so its inputs are staged): the parquet
 scans with their pushed filters and read schema, and counts of exchanges,
 reused exchanges, join strategies, aggregates and windows in the static
-physical plan.  Stages read back from checkpoints appear as
-``Scan ExistingRDD``.
+physical plan.  Stages read back from the shared folder appear as parquet scans
+with the columns that the query reads of them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 QUERIES = ["scan_tweets", "filter_lang", "top_tags", "cooccur_weighted", "enrich_tweets", "clean_text", "tfidf", "cosine_pairs",
-           "soft_cosine_pairs", "mine_bigrams", "apply_bigrams", "coherence_cv"]
+           "soft_cosine_pairs", "mine_bigrams", "apply_bigrams", "coherence_terms", "topic_relevance"]
 
 NODES = ["Exchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin",
          "BroadcastNestedLoopJoin", "HashAggregate", "SortAggregate", "ObjectHashAggregate", "Window",
@@ -57,7 +57,7 @@ def main():
     print(f"# Physical plans of the headline queries ({sf}, local[8])\n")
     print("Generated by `tools/plan_report.py`. Counts are of the static physical plan of each query")
     print("(AQE re-plans at run time, e.g. sort-merge to broadcast from measured sizes); earlier stages")
-    print("it reads (checkpoints in the shared folder) show up as `Scan ExistingRDD`.\n")
+    print("it reads from the shared folder show up as parquet scans.\n")
     for name in QUERIES:
         df = REGISTRY[name](spark, sf)
         df.write.format("noop").mode("overwrite").save()
