@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, with_unique_ids
-from .windows import FACTOR, GROUP_LIMIT, Hashes, covered, mixed, repeated_windows, runs_of, word_units
+from .windows import FACTOR, GROUP_LIMIT, Hashes, covered, cut_out, mixed, repeated_windows, runs_of, word_units
 
 SIZE = 35
 GRAM = 6
@@ -86,25 +85,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     texts of fewer words than a window are kept whole.  Rows that repeat an id
     are documents of their own.
     """
-    cols = [c for c in docs.columns if (keep is None or c in keep) and c.lower() not in ("_rid", "_text", "ranges")]
-    named = docs.select(*dict.fromkeys([*cols, id_col, text_col]))
-    rows = with_unique_ids(named, id_col, [F.col(c) for c in cols] + [F.col(text_col).alias("_text")])
-    ranges = repeated_words(rows.select("_rid", F.col("_text").alias("text")), size, limit=limit)
-    joined = rows.join(ranges, "_rid", "left")
-
-    def compute(text, found):
-        kept, total, gone, spans = [], [], [], []
-        for data, rs in zip(as_bytes(text), found.to_pylist()):
-            words = (data or b"").split()
-            mask = covered(len(words), rs, size)
-            stay = [w for w, m in zip(words, mask.tolist()) if not m] if rs else words
-            kept.append(b" ".join(stay).decode())
-            total.append(len(words))
-            gone.append(int(mask.sum()))
-            spans.append([{"start": a, "end": b + 1} for a, b in runs_of(mask)] if rs else [])
-        return [kept, total, gone, spans]
-
-    return append_columns(joined, FIELDS, ["_text", "ranges"], compute, keep=cols)
+
+    def work(data: bytes, ranges: list | None) -> tuple:
+        words = data.split()
+        mask = covered(len(words), ranges, size)
+        stay = [w for w, m in zip(words, mask.tolist()) if not m] if ranges else words
+        spans = [{"start": a, "end": b + 1} for a, b in runs_of(mask)] if ranges else []
+        return b" ".join(stay).decode(), len(words), int(mask.sum()), spans
+
+    return cut_out(docs, lambda rows: repeated_words(rows, size, limit=limit), work, FIELDS, id_col, text_col, keep)
 
 
 def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:

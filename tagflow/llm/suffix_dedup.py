@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, with_unique_ids
-from .windows import GROUP_LIMIT, byte_units, covered, repeated_windows, runs_of
+from .windows import GROUP_LIMIT, byte_units, covered, cut_out, repeated_windows, runs_of
 
 SIZE = 400
 GRAM = 32
@@ -117,28 +116,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     texts shorter than ``size`` are kept whole.  Rows that repeat an id are
     documents of their own.
     """
-    cols = [c for c in docs.columns if (keep is None or c in keep) and c.lower() not in ("_rid", "_text", "ranges")]
-    named = docs.select(*dict.fromkeys([*cols, id_col, text_col]))
-    rows = with_unique_ids(named, id_col, [F.col(c) for c in cols] + [F.col(text_col).alias("_text")])
-    ranges = repeated_bytes(rows.select("_rid", F.col("_text").alias("text")), size, limit=limit)
-    joined = rows.join(ranges, "_rid", "left")
-
-    def compute(text, found):
-        kept, total, gone, spans = [], [], [], []
-        for data, rs in zip(as_bytes(text), found.to_pylist()):
-            data = data or b""
-            mask = covered(len(data), rs, size)
-            runs = runs_of(mask) if rs else []
-            stay = np.frombuffer(data, dtype=np.uint8)[~mask].tobytes() if rs else data
-            kept.append(stay.decode("utf-8", "ignore") if as_text else stay)
-            total.append(len(data))
-            gone.append(int(mask.sum()))
-            spans.append([{"start": a, "end": b + 1} for a, b in runs])
-        return [kept, total, gone, spans]
-
-    kind = T.StringType() if as_text else T.BinaryType()
-    fields = T.StructType([T.StructField("kept", kind), *FIELDS.fields])
-    return append_columns(joined, fields, ["_text", "ranges"], compute, keep=cols)
+
+    def work(data: bytes, ranges: list | None) -> tuple:
+        mask = covered(len(data), ranges, size)
+        kept = np.frombuffer(data, dtype=np.uint8)[~mask].tobytes() if ranges else data
+        spans = [{"start": a, "end": b + 1} for a, b in runs_of(mask)] if ranges else []
+        return kept.decode("utf-8", "ignore") if as_text else kept, len(data), int(mask.sum()), spans
+
+    fields = T.StructType([T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *FIELDS.fields])
+    return cut_out(docs, lambda rows: repeated_bytes(rows, size, limit=limit), work, fields, id_col, text_col, keep)
 
 
 def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:

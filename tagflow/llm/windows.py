@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, staged, unstage, worker_cache
+from .common import append_columns, as_bytes, staged, unstage, with_unique_ids, worker_cache
 
 GROUP_LIMIT = 4096          # distinct strings of one anchor that a task may hold
 PORTION_ROWS = 16384        # strings worked on together
@@ -50,8 +50,8 @@ ANCHOR = T.StructType([T.StructField("h", T.LongType()), T.StructField("sh", T.L
                        T.StructField("_rid", T.LongType()), T.StructField("p", T.IntegerType()),
                        T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
 STRING = T.StructType([T.StructField("h", T.LongType()), T.StructField("sh", T.LongType()),
-                       T.StructField("n", T.LongType()), T.StructField("off", T.IntegerType()),
-                       T.StructField("s", T.BinaryType())])
+                       T.StructField("n", T.LongType()), T.StructField("large", T.BooleanType()),
+                       T.StructField("off", T.IntegerType()), T.StructField("s", T.BinaryType())])
 RUN = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
 RUNS = T.StructType([T.StructField("h", T.LongType()), T.StructField("sh", T.LongType()),
                      T.StructField("runs", T.ArrayType(RUN))])
@@ -153,32 +153,52 @@ def find_anchors(docs: DataFrame, to_units: Callable, size: int, gram: int) -> D
     return docs.select("_rid", "text").mapInArrow(run, ANCHOR)
 
 
+def packed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and ``_z``, the text in compressed form, for shuffles that move whole texts."""
+    import zstandard
+
+    def compute(col):
+        z = zstandard.ZstdCompressor(level=1)
+        return [[None if b is None else z.compress(b) for b in as_bytes(col)]]
+
+    return append_columns(docs, T.StructType([T.StructField("_z", T.BinaryType())]), [text_col], compute, keep)
+
+
+def unpacked(col) -> list:
+    """Texts as bytes from an Arrow column that ``packed`` made."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return [None if b is None else z.decompress(b) for b in col.to_pylist()]
+
+
 def cut_strings(docs: DataFrame, wanted: DataFrame, to_units: Callable | None, size: int) -> DataFrame:
-    """The strings of ``wanted`` (h, sh, n, _rid, p, a, b), cut from their documents."""
-    per = wanted.groupBy("_rid").agg(F.collect_list(F.struct("h", "sh", "n", "p", "a", "b")).alias("want"))
+    """The strings of ``wanted`` (h, sh, n, large, _rid, p, a, b), cut from their documents."""
+    per = wanted.groupBy("_rid").agg(F.collect_list(F.struct("h", "sh", "n", "large", "p", "a", "b")).alias("want"))
+    types = ("int64", "int64", "int64", "bool_", "int32", "binary")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def out(rows):
+            cols = [pa.array(c, getattr(pa, t)()) for c, t in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays(cols, names=STRING.names)
+
         for batch in batches:
             rows = []
             want = batch.column(batch.schema.get_field_index("want")).to_pylist()
-            for data, ws in zip(as_bytes(batch.column(batch.schema.get_field_index("text"))), want):
+            for data, ws in zip(unpacked(batch.column(batch.schema.get_field_index("_z"))), want):
                 units = to_units(data) if to_units else data
                 for w in ws:
                     s = units[w["a"]:w["b"] + size]
-                    rows.append((w["h"], w["sh"], w["n"], w["p"] - w["a"], s if to_units is None else s.tobytes()))
+                    rows.append((w["h"], w["sh"], w["n"], w["large"], w["p"] - w["a"], s if to_units is None else s.tobytes()))
                 if len(rows) >= 20_000:
-                    yield out(pa, rows)
+                    yield out(rows)
                     rows = []
             if rows:
-                yield out(pa, rows)
-
-    def out(pa, rows):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=STRING.names)
+                yield out(rows)
 
-    return docs.select("_rid", "text").join(per, "_rid").select("text", "want").mapInArrow(run, STRING)
+    return packed(docs, "text", ["_rid"]).join(per, "_rid").select("_z", "want").mapInArrow(run, STRING)
 
 
 def runs_of(flags: np.ndarray) -> list:
@@ -204,10 +224,10 @@ def solve_groups(strings: DataFrame, solver: Callable, size: int, unit_bytes: in
         def emit():
             h = np.array([r[0] for r in held])
             group = np.append(0, np.cumsum(h[1:] != h[:-1]))
-            flags = solver(group, np.array([r[3] for r in held]), [r[4] for r in held])
+            flags = solver(group, np.array([r[4] for r in held]), [r[5] for r in held])
             rows = []
             for r, f in zip(held, flags):
-                wins = len(r[4]) // unit_bytes - size + 1
+                wins = len(r[5]) // unit_bytes - size + 1
                 runs = [(0, wins - 1)] if r[2] > 1 else runs_of(f)
                 if runs:
                     rows.append((r[0], r[1], [{"i": i, "j": j} for i, j in runs]))
@@ -225,7 +245,7 @@ def solve_groups(strings: DataFrame, solver: Callable, size: int, unit_bytes: in
                     yield emit()
                     total = 0
                 held.append(r)
-                total += len(r[4])
+                total += len(r[5])
         if held:
             yield emit()
 
@@ -258,7 +278,7 @@ def spread_runs(strings: DataFrame, from_string: Callable, size: int, chunk: int
                 else:
                     at = np.unique(place // chunk)
                     found = hashes.of(off - at * chunk, off - at * chunk - chunk + 1 + size)
-                k = mixed(found + U(h & 2 ** 64 - 1) * U(FACTOR) + at.astype(np.uint64))
+                k = mixed(found + np.array([h]).view(np.uint64) * U(FACTOR) + at.astype(np.uint64))
                 got.append((k.view(np.int64), np.full(len(k), h), np.full(len(k), sh), at.astype(np.int32)))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=key.names)
@@ -306,25 +326,60 @@ def repeated_windows(docs: DataFrame, to_units: Callable, size: int, gram: int,
     from_string = to_units if raw else (lambda s: np.frombuffer(s, dtype=np.uint64))
     anchors = staged(find_anchors(docs, to_units, size, gram), "anchors")
     again = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi"))
-    again = again.where("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # Written, so that both sides of the join are shuffled for it and a frequent anchor can be split.
+    again = staged(again.where("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "again")
     members = staged(anchors.join(again, "h"), "members")
+    unstage(anchors, again)
     kinds = members.where("mixed").groupBy("h", "sh").agg(
         F.count("*").alias("n"), F.min(F.struct("_rid", "p", "a", "b")).alias("one"))
     kinds = staged(kinds.select("h", "sh", "n", "one.*"), "kinds")
-    unstage(anchors)
-    large = kinds.groupBy("h").count().where(F.col("count") > limit).select("h")
+    large = kinds.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("large"))
+    large = staged(large, "large")
     any_large = large.limit(1).count() > 0
-    wanted = kinds.join(large, "h", "left_anti") if any_large else kinds
-    found = solve_groups(cut_strings(docs, wanted, None if raw else to_units, size), solver, size, unit_bytes)
+    wanted = kinds.join(large, "h", "left") if any_large else kinds.withColumn("large", F.lit(False))
+    strings = cut_strings(docs, wanted.withColumn("large", F.coalesce("large", F.lit(False))),
+                          None if raw else to_units, size)
     if any_large:
-        strings = staged(cut_strings(docs, kinds.join(large, "h", "left_semi"), None if raw else to_units, size), "large")
-        found = found.unionByName(spread_runs(strings, from_string, size, chunk, unit_bytes))
+        strings = staged(strings, "strings")
+    found = solve_groups(strings.where("not large") if any_large else strings, solver, size, unit_bytes)
+    if any_large:
+        found = found.unionByName(spread_runs(strings.where("large"), from_string, size, chunk, unit_bytes))
+    found = staged(found, "found")
+    unstage(kinds, large, *([strings] if any_large else []))
     parts = members.where("mixed").join(found, ["h", "sh"]).select("_rid", "a", F.explode("runs").alias("r")).select(
         "_rid", (F.col("a") + F.col("r.i")).alias("a"), (F.col("a") + F.col("r.j")).alias("b"))
     parts = parts.unionByName(members.where("not mixed").select("_rid", "a", "b"))
     return parts.groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
+def cut_out(docs: DataFrame, find: Callable, work: Callable, fields: T.StructType, id_col: str, text_col: str,
+            keep: list[str] | None) -> DataFrame:
+    """All columns of ``docs`` (or ``keep``) plus ``fields``.
+
+    ``find(rows)`` gives the ranges of rows ``(_rid, text)``, ``work(bytes,
+    ranges)`` the values of ``fields`` for a text.  Columns named like a result
+    are replaced, and ``_rid``, ``_text``, ``_z`` and ``ranges`` are working names
+    that do not come back.
+    """
+    drop = {"_rid", "_text", "_z", "ranges", *(f.name.lower() for f in fields)}
+    cols = [c for c in docs.columns if (keep is None or c in keep) and c.lower() not in drop]
+    named = docs.select(*dict.fromkeys([*cols, id_col, text_col]))
+    others = [F.col(c) for c in cols if c != text_col]
+    rows = with_unique_ids(named, id_col, [*others, F.col(text_col).alias("_text")])
+    ranges = find(rows.select("_rid", F.col("_text").alias("text")))
+    joined = packed(rows, "_text", [c for c in rows.columns if c != "_text"]).join(ranges, "_rid", "left")
+    back = text_col in cols
+    out = T.StructType([*([T.StructField(text_col, T.StringType())] if back else []), *fields.fields])
+
+    def compute(z, found):
+        texts = unpacked(z)
+        done = list(zip(*(work(b or b"", rs) for b, rs in zip(texts, found.to_pylist()))))
+        return [[None if b is None else b.decode() for b in texts], *done] if back else done
+
+    done = append_columns(joined, out, ["_z", "ranges"], compute, keep=[c for c in cols if c != text_col])
+    return done.select(*cols, *fields.names)
+
+
 def covered(n: int, ranges: list | None, size: int) -> np.ndarray:
     """Which of n units lie in a repeated window."""
     if not ranges:
