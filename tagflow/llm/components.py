@@ -2,10 +2,13 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): every round links each node to
-the smallest node it knows, until only stars are left.  A round is two
-aggregates with map-side combining and one join; the edges are written to the
-shared folder after every round, so the lineage stays short and a lost
-executor costs one round.  Number of rounds: logarithmic in the longest path.
+the smallest node it knows, until only stars are left.  Edges are kept as
+(larger, smaller) node.  A round is two aggregates with map-side combining and
+two joins of the edges with what the aggregates found.  Those results are
+written before the join, so both of its sides are shuffled for it and the
+edges of a node with very many neighbours can be split.  The edges are written
+after every round: the lineage stays short and a lost executor costs one round.
+Number of rounds: logarithmic in the longest path.
 """
 
 from __future__ import annotations
@@ -27,18 +30,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     cur, before = staged(e, "edges"), None
     while True:
-        # (u, v) has u > v here; large star looks at both directions.
-        both = cur.unionByName(cur.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v"))
-        large = large.where(u != v).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        new = small.select("u", F.col("m").alias("v")).unionByName(
-            small.where(v != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        nxt = staged(new, "edges")
+        # Large star: every larger neighbour of a node is linked to the node's smallest neighbour.
+        low = staged(cur.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = cur.join(low.select(u.alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = staged(large.distinct(), "edges")
+        # Small star: the smaller neighbours of a node, and the node, are linked to the smallest.
+        low2 = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(low2, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        nxt = staged(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        unstage(cur)
+        unstage(cur, low, large, low2)
         cur = nxt
         if mark == before:
             roots = cur.select(v.alias("node"), v.alias("component")).distinct()

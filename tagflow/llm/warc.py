@@ -104,8 +104,8 @@ def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     base = base.withColumn("digest", F.sha2("html", 256))
     slim = base.where(F.length("html") >= min_revisit).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1")
-    again = slim.join(first, "digest").where("page_id <> refers").select("page_id", "refers").distinct()
-    return base.join(again, "page_id", "left")
+    again = slim.join(first, "digest").where("page_id <> refers").select("page_id", "digest", "refers").distinct()
+    return base.join(again, ["page_id", "digest"], "left")
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = MIN_REVISIT,
