@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from ..session import stage_path
 
 
+PART_ROWS = 1024
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the worker process (tokenizers, power tables)."""
     return sys.__dict__.setdefault("_tagflow_worker_cache", {})
@@ -63,9 +66,7 @@ def append_columns(df: DataFrame, fields: T.StructType, inputs: list[str],
     ask = list(inputs)
 
     def run(batches: Iterator) -> Iterator:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in parts_of(batches):
             new = compute(*[b.column(b.schema.get_field_index(c)) for c in ask])
             cols = [b.column(b.schema.get_field_index(c)) for c in names]
             cols += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(new, types)]
@@ -74,6 +75,13 @@ def append_columns(df: DataFrame, fields: T.StructType, inputs: list[str],
     return df.mapInArrow(run, T.StructType(kept + list(fields.fields)))
 
 
+def parts_of(batches: Iterator) -> Iterator:
+    """Arrow batches in parts of ``PART_ROWS`` rows, which bounds what a worker holds as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, PART_ROWS):
+            yield b.slice(i, PART_ROWS)
+
+
 def as_bytes(col) -> list:
     """The UTF-8 bytes of an Arrow string column; None where it is null."""
     import pyarrow as pa
@@ -81,15 +89,28 @@ def as_bytes(col) -> list:
     return col.cast(pa.binary()).to_pylist()
 
 
+def is_whole(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def whole_ids(df: DataFrame, col: str):
+    """Column: the id as a long; ids that are no whole numbers are refused."""
+    if not is_whole(df, col):
+        raise TypeError(f"{col} must hold whole numbers")
+    return F.col(col).cast("long")
+
+
 def with_unique_ids(docs: DataFrame, id_col: str, keep: list) -> DataFrame:
     """``docs`` with a column ``_rid`` that tells every row apart.
 
-    ``_rid`` is the id itself where ids are unique and present, which one
-    aggregate over the id column checks.  Otherwise the rows are numbered and
-    written once, so that the numbers survive a recomputation.
+    ``_rid`` is the id itself where ids are whole numbers, unique and present,
+    which one aggregate over the id column checks.  Otherwise the rows are
+    numbered and written once, so that the numbers survive a recomputation.
     """
-    ids = docs.groupBy(id_col).count()
-    odd = ids.where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
+    odd = not is_whole(docs, id_col)
+    if not odd:
+        ids = docs.groupBy(id_col).count()
+        odd = ids.where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count() > 0
     cols = [F.col(c) if isinstance(c, str) else c for c in keep]
     if not odd:
         return docs.select(F.col(id_col).cast("long").alias("_rid"), *cols)

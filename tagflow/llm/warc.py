@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import parts_of
+
 MIN_REVISIT = 100      # payloads of fewer bytes are always responses
 MAX_RECORDS = 30_000   # records of one archive file
 VERSION = "WARC/1.1"
@@ -122,7 +124,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in parts_of(batches):
             got = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "refers")}
             out = []
             for page, url, html, digest, refers in zip(*got.values()):

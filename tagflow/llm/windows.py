@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, staged, unstage, with_unique_ids, worker_cache
+from .common import append_columns, as_bytes, parts_of, staged, unstage, with_unique_ids, worker_cache
 
 GROUP_LIMIT = 4096          # distinct strings of one anchor that a task may hold
 PORTION_ROWS = 16384        # strings worked on together
@@ -137,7 +137,7 @@ def find_anchors(docs: DataFrame, to_units: Callable, size: int, gram: int) -> D
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in parts_of(batches):
             rids = batch.column(batch.schema.get_field_index("_rid")).to_pylist()
             got = []
             for rid, data in zip(rids, as_bytes(batch.column(batch.schema.get_field_index("text")))):
@@ -184,7 +184,7 @@ def cut_strings(docs: DataFrame, wanted: DataFrame, to_units: Callable | None, s
             cols = [pa.array(c, getattr(pa, t)()) for c, t in zip(zip(*rows), types)]
             return pa.RecordBatch.from_arrays(cols, names=STRING.names)
 
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = []
             want = batch.column(batch.schema.get_field_index("want")).to_pylist()
             for data, ws in zip(unpacked(batch.column(batch.schema.get_field_index("_z"))), want):
@@ -265,7 +265,7 @@ def spread_runs(strings: DataFrame, from_string: Callable, size: int, chunk: int
     def rows(batches: Iterator, fine: bool) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in parts_of(batches):
             got = []
             cols = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in batch.schema.names}
             for x, (h, sh, off, s) in enumerate(zip(cols["h"], cols["sh"], cols["off"], cols["s"])):

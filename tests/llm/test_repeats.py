@@ -93,6 +93,13 @@ def test_rows_that_repeat_an_id_or_have_none(spark):
     assert got == {(1, 60): 60, (1, 3): 0, (None, 60): 60, (2, 62): 60}
 
 
+def test_ids_that_are_no_numbers(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([("a", words), ("b", words), ("c", "x")], "doc_id string, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.without_repeats(df).collect()}
+    assert got == {"a": 50, "b": 50, "c": 0}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.digest(df).count() == 0
