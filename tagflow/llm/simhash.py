@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, staged, unstage
+from .common import append_columns, as_bytes, staged, unstage, whole_ids
 from .components import connected_components
 
 SEED = 42
@@ -135,7 +135,8 @@ def links(points: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame
             F.struct(F.lit(i).alias("grid"), F.col("e").bitwiseAND(F.lit(m)).alias("cell"))
             for i, m in enumerate(masks)])).alias("c")).select("c.grid", "c.cell", "fp", "node")
     sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select("grid", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # Written, so that a cell with very many points can be split in the join.
+    sizes = staged(sizes.select("grid", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "cells")
     # Cells with one point go; the rest are dealt into pairs of blocks.
     b = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     full = cells.join(sizes, ["grid", "cell"]).withColumn("side", b)
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     gets the component of its fingerprint (null if no row with an id has that
     fingerprint) and adds no link of its own.
     """
-    prints = staged(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("node"),
+    prints = staged(with_fingerprints(docs.select(whole_ids(docs, id_col).alias("node"),
                                                   F.col(text_col).alias("text")), shingle, "text", keep=["node"]), "fingerprints")
     points = prints.groupBy("fp").agg(F.min("node").alias("node")).where("node IS NOT NULL")
     points = staged(points, "points")

@@ -110,6 +110,8 @@ def test_repeated_rows_and_missing_ids(spark):
     kept = simhash.keep_one(df).collect()
     assert sorted(r.doc_id or -1 for r in kept) == [-1, -1, 5, 7]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    with pytest.raises(TypeError, match="whole numbers"):
+        simhash.near_duplicates(df.selectExpr("'a' as doc_id", "text"))
 
 
 def test_components_of_paths_and_stars(spark):
