@@ -40,16 +40,18 @@ BARRIERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("ta
 P_BARRIERS = frozenset("table td th caption button object html".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form "
                       "toolbar".split())
-BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs "
+BAD_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs "
                       "comment comments commentlist discussion disqus consent cookie cookies gdpr footer header "
                       "masthead menu nav navbar navigation newsletter notice notices outbrain pager pagination popup "
                       "modal overlay promo promotion related recommended rail share sharing sidebar sidebars skip "
                       "social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split())
-GOOD_WORDS = frozenset("article body content entry main post story text".split())
+# A header of one of these is part of the text; names with these prefixes speak of what a wrapper has.
+TEXT_WORDS = frozenset("article content entry main post story text".split())
+ABOUT_LAYOUT = frozenset("has no with without".split())
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
                  r"|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$))", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # The white space of HTML text, no-break space included.
 SPACE = re.compile(r"\s+")
@@ -135,6 +137,7 @@ def is_boilerplate(node: Node) -> bool:
         return True
     if not node.attrs or tag in ("html", "body", "article", "main"):
         return False
+    wraps_text = None
     for name, value in ATTR.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -144,9 +147,26 @@ def is_boilerplate(node: Node) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
-            if words & BAD_WORDS and not words & GOOD_WORDS:
-                return True
+            for part in value.split():
+                words = {w.lower() for w in WORDS.findall(part)}
+                bad = words & BAD_WORDS
+                if not bad or words & ABOUT_LAYOUT or bad == {"header"} and words & TEXT_WORDS:
+                    continue
+                if wraps_text is None:
+                    wraps_text = has_article(node)
+                if not wraps_text:
+                    return True
+    return False
+
+
+def has_article(node: Node) -> bool:
+    """Whether a subtree holds the element that a page marks as its text."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag in ("article", "main"):
+            return True
+        todo += [k for k in x.kids if not isinstance(k, str)]
     return False
 
 

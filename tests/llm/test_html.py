@@ -23,6 +23,10 @@ CASES = [
     (f"<article><p>{LONG} &am", f"{LONG} &am"),
     (f"<main><p>{LONG}</p><section><h2>Part</h2><p>{LONG}</p></section></main>", f"{LONG}\nPart\n{LONG}"),
     ("<article><p>Ok.</p></article><footer>" + LONG * 5 + "</footer>", "Ok."),
+    (f"<div class='page sidebar-left'><main><p>{LONG}</p></main><div class='ad-content'><p>{LONG}</p></div></div>", LONG),
+    (f"<div class='content has-sidebar'><div class='entry-header'><h1>Top</h1></div><p>{LONG}</p></div>"
+     f"<div id='relatedPosts'><p>{LONG}</p></div>", f"Top\n{LONG}"),
+    (f"<div id=main data-id=menu><p>{LONG}</p></div><div class='cookieNotice'>{LONG}</div>", LONG),
     (f"<p hidden>x</p><div role=navigation>y</div><p>{LONG}</p><p style='display:none'>z</p>", LONG),
 ]
 
