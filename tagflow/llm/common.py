@@ -13,6 +13,7 @@ from ..session import stage_path
 
 
 PART_ROWS = 1024
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def worker_cache() -> dict:
@@ -45,6 +46,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of ``PART_ROWS`` rows at most.
+
+    Whole texts are moved, so Spark's default of 10,000 rows would be tens of
+    megabytes a batch on both sides of the pipe.  A session that has a smaller
+    setting keeps it.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= PART_ROWS:
+        conf.set(BATCH_SETTING, PART_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def append_columns(df: DataFrame, fields: T.StructType, inputs: list[str],
                    compute: Callable, keep: list[str] | None = None) -> DataFrame:
     """All columns of ``df`` (or those in ``keep``) plus ``fields``, computed batch by batch.
@@ -72,7 +86,7 @@ def append_columns(df: DataFrame, fields: T.StructType, inputs: list[str],
             cols += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(new, types)]
             yield pa.RecordBatch.from_arrays(cols, names=names + new_names)
 
-    return df.mapInArrow(run, T.StructType(kept + list(fields.fields)))
+    return map_arrow(df, run, T.StructType(kept + list(fields.fields)))
 
 
 def parts_of(batches: Iterator) -> Iterator:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, staged
+from .common import append_columns, as_bytes, map_arrow, parts_of, staged, whole_ids
 from .tokens import cached_encoder, splits_at_space
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "part", "seq")])
@@ -104,8 +104,9 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
         part, seen = TaskContext.get().partitionId(), {}
         names = [f.name for f in out]
         types = [pa.int64(), pa.int32()] + [pa.int64()] * 5
-        for b in batches:
-            enc, rows = cached_encoder(path, split), []
+        enc = cached_encoder(path, split)
+        for b in parts_of(batches):
+            rows = []
             ids = b.column(b.schema.get_field_index("doc_id")).to_pylist()
             for doc, data in zip(ids, as_bytes(b.column(b.schema.get_field_index("text")))):
                 ids32 = enc.encode(data) + end
@@ -117,8 +118,9 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
                     rows.append((doc, k // (4 * capacity), k // 4, n, zlib.crc32(part_ids), part, seq))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        enc.forget()     # the worker may next serve a step that needs the memory
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return map_arrow(docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), run, out)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
@@ -136,7 +138,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
     # At most ``capacity`` rows.
     histogram = {r[0]: r[1] for r in before.groupBy("length").agg(F.sum("n")).collect()}
     rows = plan(histogram, capacity)
-    joined = pieces.join(before.select("length", "part", "before"), ["length", "part"]).select(
+    # As many rows as there are tasks and lengths, so it is merged, not broadcast.
+    counted = before.select("length", "part", "before").hint("merge")
+    joined = pieces.join(counted, ["length", "part"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("seq")).alias("number"))
     # The plan sorted by (length, first) as one increasing key.
     stride = int(rows[:, 2].max() + 1) if len(rows) else 1

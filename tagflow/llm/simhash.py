@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, staged, unstage, whole_ids
+from .common import append_columns, as_bytes, map_arrow, staged, unstage, whole_ids
 from .components import connected_components
 
 SEED = 42
@@ -189,7 +189,7 @@ def links(points: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame
             yield out(*solve(rows_of(held)))
 
     dealt = pieces.repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id",

@@ -30,27 +30,26 @@ SIZE = 400
 GRAM = 32
 
 
-def column_matrix(offset: np.ndarray, strings: list) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols by column, right to left, aligned at the anchor; and each string's last column.
+def column_matrix(offset: np.ndarray, strings: list) -> np.ndarray:
+    """Symbols by column, right to left, aligned at the anchor.
 
     Symbol 0 stands for no symbol: right of a string's end or left of its start.
     """
     size = np.array([len(s) for s in strings])
-    right = size - offset                        # symbols from the anchor on
-    most = int(right.max())
+    most = int((size - offset).max())             # symbols from the anchor on
     out = np.zeros((most + int(offset.max()), len(strings)), dtype=np.uint16)
-    flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    which = np.repeat(np.arange(len(strings)), size)
-    inside = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    out[most - 1 - (inside - offset[which]), which] = flat + np.uint16(1)
-    return out, most - 1 + offset
+    for i, s in enumerate(strings):
+        first = most + int(offset[i]) - len(s)
+        out[first:first + len(s), i] = np.frombuffer(s, dtype=np.uint8)[::-1]
+        out[first:first + len(s), i] += np.uint16(1)
+    return out
 
 
 def column_wise(size: int):
     """Solver of a portion: which windows of ``size`` bytes occur again in their group."""
 
     def solve(group: np.ndarray, offset: np.ndarray, strings: list) -> list:
-        symbols, _ = column_matrix(offset, strings)
+        symbols = column_matrix(offset, strings)
         lengths = np.array([len(s) for s in strings])
         most = int((lengths - offset).max())
         n = len(strings)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_of
+from .common import map_arrow, parts_of
 
 MIN_REVISIT = 100      # payloads of fewer bytes are always responses
 MAX_RECORDS = 30_000   # records of one archive file
@@ -133,7 +133,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
                 out += [m[:-1] if m[-1] == 0 else m for m in capture(page, url, html, digest, refers, date)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    rows = with_revisits(pages, min_revisit).mapInArrow(run, "value binary")
+    rows = map_arrow(with_revisits(pages, min_revisit), run, "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option(
         "maxRecordsPerFile", max_records).text(path)
 
@@ -224,7 +224,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                     yield out(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return map_arrow(files, run, RECORD)
 
 
 def transactions(recs: DataFrame) -> DataFrame:

@@ -37,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, parts_of, staged, unstage, with_unique_ids, worker_cache
+from .common import append_columns, as_bytes, map_arrow, parts_of, staged, unstage, with_unique_ids, worker_cache
 
 GROUP_LIMIT = 4096          # distinct strings of one anchor that a task may hold
-PORTION_ROWS = 16384        # strings worked on together
-PORTION_BYTES = 12 << 20
+PORTION_ROWS = 8192         # strings worked on together: whole groups up to one of these bounds
+PORTION_BYTES = 4 << 20
+CUT_ROWS = 4096             # strings of a batch
 LONG = 1 << 19              # window starts of a text worked on together
 FACTOR = 0x9E3779B97F4A7C15
 U = np.uint64
@@ -150,7 +151,7 @@ def find_anchors(docs: DataFrame, to_units: Callable, size: int, gram: int) -> D
                     [pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(r),
                      *(pa.array(x.astype(np.int32)) for x in (p, a, b))], names=ANCHOR.names)
 
-    return docs.select("_rid", "text").mapInArrow(run, ANCHOR)
+    return map_arrow(docs.select("_rid", "text"), run, ANCHOR)
 
 
 def packed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -192,13 +193,16 @@ def cut_strings(docs: DataFrame, wanted: DataFrame, to_units: Callable | None, s
                 for w in ws:
                     s = units[w["a"]:w["b"] + size]
                     rows.append((w["h"], w["sh"], w["n"], w["large"], w["p"] - w["a"], s if to_units is None else s.tobytes()))
-                if len(rows) >= 20_000:
+                if len(rows) >= CUT_ROWS:
                     yield out(rows)
                     rows = []
             if rows:
                 yield out(rows)
 
-    return packed(docs, "text", ["_rid"]).join(per, "_rid").select("_z", "want").mapInArrow(run, STRING)
+    # Merged even where one side is small: a broadcast would put both Python steps into one task,
+    # with a worker process for each.
+    joined = packed(docs, "text", ["_rid"]).join(per.hint("merge"), "_rid")
+    return map_arrow(joined.select("_z", "want"), run, STRING)
 
 
 def runs_of(flags: np.ndarray) -> list:
@@ -249,7 +253,7 @@ def solve_groups(strings: DataFrame, solver: Callable, size: int, unit_bytes: in
         if held:
             yield emit()
 
-    return strings.repartition("h").sortWithinPartitions("h", "sh").mapInArrow(run, RUNS)
+    return map_arrow(strings.repartition("h").sortWithinPartitions("h", "sh"), run, RUNS)
 
 
 def spread_runs(strings: DataFrame, from_string: Callable, size: int, chunk: int, unit_bytes: int) -> DataFrame:
@@ -287,9 +291,9 @@ def spread_runs(strings: DataFrame, from_string: Callable, size: int, chunk: int
         more = found.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
         return found.join(more, "k", "left_semi")
 
-    coarse = strings.mapInArrow(lambda b: rows(b, False), key)
+    coarse = map_arrow(strings, lambda b: rows(b, False), key)
     chunks = again(coarse).groupBy("h", "sh").agg(F.collect_set("at").alias("chunks"))
-    fine = strings.join(chunks, ["h", "sh"]).mapInArrow(lambda b: rows(b, True), key)
+    fine = map_arrow(strings.join(chunks, ["h", "sh"]), lambda b: rows(b, True), key)
     places = again(fine).groupBy("h", "sh").agg(F.array_sort(F.collect_set("at")).alias("at"))
     rest = strings.select("h", "sh", "n", "off", F.length("s").alias("bytes")).join(places, ["h", "sh"], "left")
 
@@ -310,7 +314,7 @@ def spread_runs(strings: DataFrame, from_string: Callable, size: int, chunk: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                     zip(*out), (pa.int64(), pa.int64(), kind))], names=RUNS.names)
 
-    return rest.mapInArrow(runs, RUNS)
+    return map_arrow(rest, runs, RUNS)
 
 
 def repeated_windows(docs: DataFrame, to_units: Callable, size: int, gram: int, solver: Callable, raw: bool,
@@ -367,7 +371,8 @@ def cut_out(docs: DataFrame, find: Callable, work: Callable, fields: T.StructTyp
     others = [F.col(c) for c in cols if c != text_col]
     rows = with_unique_ids(named, id_col, [*others, F.col(text_col).alias("_text")])
     ranges = find(rows.select("_rid", F.col("_text").alias("text")))
-    joined = packed(rows, "_text", [c for c in rows.columns if c != "_text"]).join(ranges, "_rid", "left")
+    joined = packed(rows, "_text", [c for c in rows.columns if c != "_text"])
+    joined = joined.join(ranges.hint("merge"), "_rid", "left")
     back = text_col in cols
     out = T.StructType([*([T.StructField(text_col, T.StringType())] if back else []), *fields.fields])
 
