@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import append_columns, as_bytes, worker_cache
 
-CACHE_PIECES = 150_000    # pieces in a generation of a worker's memory
+CACHE_PIECES = 250_000    # pieces in a generation of a worker's memory
 CACHE_BYTES = 64          # longer pieces are worked out anew each time
 SAFE_NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
 
