@@ -4,8 +4,9 @@ The test items are the index, the training passages the queries.  Scores are
 divided by the item's score against its own words, so 1 means that a passage
 has every word of the item, and one threshold serves all items.  For each
 passage all items above the threshold are retrieved; a retrieved item counts
-as leaked if the passage also holds ``overlap`` of the word shingles of its
-question and of its answer.
+as leaked if the passage also holds ``overlap`` of the word shingles of the
+whole item, or of its question and of its answer each.  (One changed word takes
+most shingles of a short part, but few of the whole item.)
 
 An item's answer is its last sentence and its question all before; an item of
 one sentence is a question without an answer.  Words are runs of letters and
@@ -40,7 +41,8 @@ SENTENCE = re.compile(r"[.!?](?:\s+|$)|\n+")
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
                      T.StructField("question_overlap", T.DoubleType()),
-                     T.StructField("answer_overlap", T.DoubleType()), T.StructField("first_word", T.LongType())])
+                     T.StructField("answer_overlap", T.DoubleType()), T.StructField("first_word", T.LongType()),
+                    T.StructField("item_overlap", T.DoubleType())])
 
 
 def words_of(text: str | None) -> list:
@@ -176,7 +178,7 @@ def build_classes(rows: list) -> tuple[dict, list]:
 
 
 def leaks_of(text: str | None, vocab: dict, indexes: list, threshold: float, overlap: float, shingle: int) -> dict:
-    """Leaked items of one document: item id -> best (score, question, answer overlap, first word)."""
+    """Leaked items of one document: item id -> best (score, question, answer overlap, first word, item overlap)."""
     words, best = words_of(text), {}
     terms = np.array(list(map(vocab.get, words, repeat(-1))), dtype=np.int64)
     for ix, own in indexes:
@@ -209,8 +211,9 @@ def search(ix: SimpleNamespace, known: np.ndarray, words: list, threshold: float
         for d, score in hits:
             item, question, answer = ix.items[d]
             q, a = overlap_of(question, text, shingle), overlap_of(answer, text, shingle)
-            if q >= overlap and a >= overlap and (item not in best or score > best[item][0]):
-                best[item] = (score, q, a, first)
+            whole = overlap_of(question + answer, text, shingle)
+            if (whole >= overlap or q >= overlap and a >= overlap) and (item not in best or score > best[item][0]):
+                best[item] = (score, q, a, first, whole)
     return best
 
 
@@ -250,7 +253,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
                 if more:
                     for m in before[0][j].as_py():
                         if m["item_id"] not in best or m["score"] > best[m["item_id"]][0]:
-                            best[m["item_id"]] = (m["score"], m["question_overlap"], m["answer_overlap"], m["first_word"])
+                            best[m["item_id"]] = tuple(m[n] for n in LEAK.names[1:])
                 found.append([(i, *best[i]) for i in sorted(best)])
             return [[[dict(zip(LEAK.names, m)) for m in f] for f in found]]
 

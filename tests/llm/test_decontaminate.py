@@ -72,3 +72,16 @@ def test_half_an_item_is_no_leak(spark):
                                "doc_id long, text string")
     got = {r.doc_id: len(r.leaks) for r in dc.with_leaks(df, bench, keep=["doc_id"]).collect()}
     assert got == {1: 0, 2: 1}
+
+
+def test_one_changed_word_or_a_missing_end_is_a_leak(spark):
+    question, answer = [f"q{i}" for i in range(30)], [f"a{i}" for i in range(6)]
+    bench = spark.createDataFrame([(1, " ".join(question) + ". " + " ".join(answer) + ".")], "item_id long, text string")
+    words = question + answer
+    texts = [" ".join(words[:i] + ["other"] + words[i + 1:]) for i in range(36)]
+    texts += [" ".join(question), " ".join(question[:25])]
+    df = spark.createDataFrame(list(enumerate(f"before {t} after" for t in texts)), "doc_id long, text string")
+    got = {r.doc_id: r.leaks for r in dc.with_leaks(df, bench, keep=["doc_id"]).collect()}
+    assert [len(got[i]) for i in range(38)] == [1] * 37 + [0]
+    assert abs(got[33][0].item_overlap - 29 / 32) < 1e-9 and got[33][0].question_overlap == 1
+    assert got[33][0].answer_overlap < 0.8 and abs(got[36][0].item_overlap - 26 / 32) < 1e-9
