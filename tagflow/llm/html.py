@@ -45,9 +45,17 @@ BAD_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement adver
                       "masthead menu nav navbar navigation newsletter notice notices outbrain pager pagination popup "
                       "modal overlay promo promotion related recommended rail share sharing sidebar sidebars skip "
                       "social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split())
+# Names of what holds texts of others or of other pages.
+OTHER_TEXTS = frozenset("ad ads adv advert adverts advertisement advertising comment comments commentlist discussion disqus "
+                        "outbrain promo promotion recommended related sponsor sponsored taboola".split())
 # A header of one of these is part of the text; names with these prefixes speak of what a wrapper has.
 TEXT_WORDS = frozenset("article content entry main post story text".split())
 ABOUT_LAYOUT = frozenset("has no with without".split())
+# First words of the names by which an article tells its kind and subject.
+ABOUT_POST = frozenset("category format status tag type".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# How a subtree is judged: text, layout by its name, other texts by its name, no text at all.
+TEXT, LAYOUT, OTHERS, NO_TEXT = range(4)
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
                  r"|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$))", re.S)
@@ -123,59 +131,107 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_boilerplate(node: Node) -> bool:
+def judge(node: Node) -> int:
     """Whether a subtree is no main text, by its tag, role, and words of class and id."""
     tag = node.tag
     if tag in DROPPED:
-        return True
+        return NO_TEXT
     if tag == "header":
         up = node.parent
         while up is not None:
             if up.tag in ("article", "main"):
-                return False
+                return TEXT
             up = up.parent
-        return True
-    if not node.attrs or tag in ("html", "body", "article", "main"):
-        return False
-    wraps_text = None
+        return NO_TEXT
+    if not node.attrs or tag in ("html", "body", "main"):
+        return TEXT
+    found = TEXT
     for name, value in ATTR.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in BAD_ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+        if tag != "article":
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                return NO_TEXT
+            if name == "role" and value.lower() in BAD_ROLES:
+                return NO_TEXT
+            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return NO_TEXT
         if name in ("class", "id"):
             for part in value.split():
-                words = {w.lower() for w in WORDS.findall(part)}
+                split = [w.lower() for w in WORDS.findall(part)]
+                words = set(split)
                 bad = words & BAD_WORDS
                 if not bad or words & ABOUT_LAYOUT or bad == {"header"} and words & TEXT_WORDS:
                     continue
-                if wraps_text is None:
-                    wraps_text = has_article(node)
-                if not wraps_text:
-                    return True
-    return False
-
+                if tag == "article" and split[0] in ABOUT_POST:
+                    continue
+                found = max(found, OTHERS if bad & OTHER_TEXTS else LAYOUT)
+    return found
 
-def has_article(node: Node) -> bool:
-    """Whether a subtree holds the element that a page marks as its text."""
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        if x.tag in ("article", "main"):
-            return True
-        todo += [k for k in x.kids if not isinstance(k, str)]
-    return False
 
+def marked_text(scope: Node, judged: dict) -> Node | None:
+    """The element below ``scope`` that is marked as the text: a main, or else the article with the most text.
 
-def prune(node: Node) -> None:
-    todo = [node]
+    An article inside something named as layout is the text only if it holds
+    more than all outside of such; one that is or lies in other texts (comments,
+    related pages), only if there is nothing but headings outside.  Characters
+    in links do not count.
+    """
+    order, todo = [], [(scope, TEXT, False)]
+    while todo:
+        x, kind, quiet = todo.pop()
+        if x is not scope:
+            if x not in judged:
+                judged[x] = judge(x)
+            if judged[x] == NO_TEXT:
+                continue
+            kind = max(kind, judged[x])
+        quiet = quiet or x.tag == "a"
+        order.append((x, kind, quiet))
+        todo += [(k, kind, quiet) for k in reversed(x.kids) if not isinstance(k, str)]
+    if all(kind == TEXT for _, kind, _ in order):
+        return None       # no name drops anything here
+    chars: dict = {}
+    outside = 0
+    for x, kind, quiet in reversed(order):
+        own = 0 if quiet else sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+        chars[x] = own + sum(chars.get(k, 0) for k in x.kids if not isinstance(k, str))
+        if kind == TEXT and x.tag not in HEADINGS:
+            outside += own
+    mains = [x for x, _, _ in order if x.tag == "main" and x is not scope and chars[x]]
+    if mains:
+        return max(mains, key=chars.get)
+    articles = [(x, kind) for x, kind, _ in order if x.tag == "article" and x is not scope]
+    near = [a for a in articles if a[1] != OTHERS]
+    if not articles:
+        return None
+    x, kind = max(near or articles, key=lambda a: chars[a[0]])
+    if kind == TEXT or kind == LAYOUT and outside < chars[x] or kind == OTHERS and outside < 25:
+        return x
+    return None
+
+
+def prune(root: Node) -> None:
+    """Drop boilerplate; a wrapper by its name only if it does not hold the marked text."""
+    judged: dict = {}
+    wraps, text = set(), marked_text(root, judged)
+    while text is not None:
+        up = text
+        while up is not None and up not in wraps:
+            wraps.add(up)
+            up = up.parent
+        text = marked_text(text, judged)
+    todo = [root]
     while todo:
         x = todo.pop()
-        x.kids = [k for k in x.kids if isinstance(k, str) or not is_boilerplate(k)]
-        todo += [k for k in x.kids if not isinstance(k, str)]
+        kept = []
+        for k in x.kids:
+            if not isinstance(k, str):
+                how = judged[k] if k in judged else judge(k)
+                if how == NO_TEXT or how != TEXT and k not in wraps:
+                    continue
+                todo.append(k)
+            kept.append(k)
+        x.kids = kept
 
 
 def clean(text: str) -> str:

@@ -56,3 +56,23 @@ def test_any_markup_is_parsed():
 def test_deep_nesting_and_long_pages():
     assert html.extract("<div>" * 5000 + "<p>" + LONG) == LONG
     assert html.extract("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>") == "\n".join([LONG] * 5000)
+
+
+NOTE = "<article class=comment><p>I have read it, and again, and I must say, with commas, that I liked it very much indeed.</p></article>"
+FULL = f"<p>{LONG}</p>" * 3
+WANT = "\n".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<main>{FULL}<section id=comments>{NOTE * 9}</section></main>", WANT),
+    (f"<body><article>{FULL}<section class=comments>{NOTE * 9}</section></article>", WANT),
+    (f"<main><article>{FULL}</article><div id=related><article><p>{LONG}</p></article></div>{NOTE}</main>", WANT),
+    (f"<article>{FULL}</article><div class=widget><article><p>{LONG}</p></article></div>", WANT),
+    (f"<div id=content>{FULL}</div><div class=sidebar><article><p>{LONG}</p></article></div>", WANT),
+    (f"<div class='widget page'><article class='post tag-social'>{FULL}</article></div>", WANT),
+    (f"<main><div class='widget'><article>{FULL}</article></div></main>", WANT),
+    (f"<h1>Talk</h1><div class=discussion><article class=comment>{FULL}</article></div>", WANT),
+    (f"<main><article><h2>A</h2>{FULL}</article><article class='category-related'><p>{LONG}</p></article></main>", f"A\n{WANT}\n{LONG}"),
+])
+def test_comments_and_teasers_marked_as_articles(page, want):
+    assert html.extract(page) == want
