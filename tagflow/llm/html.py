@@ -6,8 +6,10 @@ forms, reader comments, scripts and styles) are dropped by tag, role, or words
 of class and id.  Every paragraph then passes points to its ancestors: one
 for being there, one per comma, one per hundred characters (three at most);
 the parent gets all, the grandparent half, the n-th above 1 / 3n.  A container's
-points are discounted by its link density.  The best container is kept, and
-with it each sibling that scores enough or is a plain paragraph.
+points are discounted by its link density.  The best container is kept.  Where
+no article or main marks the text, its siblings of low link density are kept
+too (elements and bare text, and headings before what is kept); beside an
+article or main only those that score enough.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from .common import append_columns
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED = frozenset("head script style noscript template iframe object svg canvas math audio video nav footer aside "
-                    "form button select textarea input dialog menu title xmp noembed noframes".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav footer aside "
+                    "form button select textarea input dialog menu title xmp noembed noframes "
+                    "annotation annotation-xml".split())     # sources of a formula, not shown
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset "
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p "
                    "pre section summary table tbody td tfoot th thead tr ul".split())
@@ -54,6 +57,7 @@ ABOUT_LAYOUT = frozenset("has no with without".split())
 # First words of the names by which an article tells its kind and subject.
 ABOUT_POST = frozenset("category format status tag type".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+LINKED = 0.5          # share of characters in links from which a sibling is a list of links
 # How a subtree is judged: text, layout by its name, other texts by its name, no text at all.
 TEXT, LAYOUT, OTHERS, NO_TEXT = range(4)
 
@@ -337,17 +341,36 @@ def extract(page: str | None) -> str:
     parent, top = best.parent, score(best)
     if parent is None:
         return "\n".join(blocks_of(best))
-    out = []
+    if best.tag in ("article", "main"):
+        out = []
+        for k in parent.kids:
+            if not isinstance(k, str) and (k is best or k.points and score(k) >= max(10.0, 0.2 * top)):
+                out += blocks_of(k)
+        return "\n".join(out)
+    # Siblings; bare text and what stands in a line with it are one.
+    parts: list = []
     for k in parent.kids:
-        if isinstance(k, str):
-            continue
-        chars, linked, _ = size.get(k, (0, 0, 0))
-        density = linked / chars if chars else 0.0
-        if k is best or k.points and score(k) >= max(10.0, 0.2 * top) or (
-                k.tag == "p" and best.tag not in ("article", "main")
-                and (chars > 80 and density < 0.25 or chars and density == 0.0)):
-            out += blocks_of(k)
-    return "\n".join(out)
+        inline = k is not best and (isinstance(k, str) or k.tag not in BLOCKS)
+        if inline and parts and parts[-1][0]:
+            parts[-1][1].append(k)
+        else:
+            parts.append((inline, [k]))
+    kept: list = []
+    after = False
+    for inline, kids in reversed(parts):
+        chars = linked = 0
+        for k in kids:
+            c, a = (len(clean(k)), 0) if isinstance(k, str) else size[k][:2]
+            chars, linked = chars + c, linked + a
+        k = kids[0]
+        stays = (k is best or chars and linked < LINKED * chars
+                 or not inline and k.points and score(k) >= max(10.0, 0.2 * top))
+        if stays or after and not inline and k.tag in HEADINGS:
+            kept.append(kids)
+            after = True
+    whole = Node("div", "", None)
+    whole.kids = [k for kids in reversed(kept) for k in kids]
+    return "\n".join(blocks_of(whole))
 
 
 FIELDS = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -76,3 +76,17 @@ WANT = "\n".join([LONG] * 3)
 ])
 def test_comments_and_teasers_marked_as_articles(page, want):
     assert html.extract(page) == want
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div>{FULL * 2}</div><h2>Part</h2><pre>x = 1</pre><div><p>The end.</div>", f"{WANT}\n{WANT}\nPart\nx = 1\nThe end."),
+    (f"<body><div><h1>Title</h1></div><div id=content>{FULL}</div>", f"Title\n{WANT}"),
+    (f"<body>Bare <b>text</b>, <a href=x>linked</a> too.<div>{FULL}</div>more of it<ul><li>One</ul><blockquote>Q</blockquote>"
+     "<table><tr><td>c</table>", f"Bare text, linked too.\n{WANT}\nmore of it\nOne\nQ\nc"),
+    (f"<ul><li><a href=x>Home</a><li><a href=y>News</a></ul><h2><a href=z>Part</a></h2><div>{FULL}</div><h3><a href=w>More</a></h3>"
+     "<div><a href=v>Another page</a></div>", f"Part\n{WANT}"),
+    (f"<article>{FULL}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p></article>", f"{WANT}\nSo x=2."),
+    (f"<article>{FULL}</article><p>Outside.</p>", WANT),
+])
+def test_parts_beside_the_best_container(page, want):
+    assert html.extract(page) == want
