@@ -236,6 +236,27 @@ def term_similarity(vecs: DataFrame, threshold: float) -> DataFrame:
     return one.unionByName(one.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "s"))
 
 
+def merge_alike_terms(vecs: DataFrame) -> DataFrame:
+    """``vecs`` with one term (the smallest) for all terms of equal unit document columns, weights summed.
+
+    Such terms are fully similar and equally similar to any other, so soft
+    cosine over the merged terms is that over all terms; terms of one document
+    only, all alike in it, need no pairs.  Equal columns are told by their
+    length and two independent 64-bit signatures of their entries.
+    """
+    unit = unit_rows(vecs.select("term", F.col("doc_id").alias("_doc"), F.col("weight").alias("_w"))
+                         .select(F.col("term").alias("doc_id"), F.col("_doc").alias("term"), "_w"), "doc_id", "_w")
+    entry = [F.col("term"), F.round("weight", 9)]
+    marks = unit.groupBy(F.col("doc_id").alias("term")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*entry)).alias("h1"),
+        F.bit_xor(F.xxhash64(F.lit("second"), *entry)).alias("h2"))
+    marks = stage(marks, "columns")
+    first = marks.groupBy("n", "h1", "h2").agg(F.min("term").alias("class"))
+    to = marks.join(first, ["n", "h1", "h2"]).select("term", "class")
+    return stage(vecs.join(to, "term").groupBy("doc_id", F.col("class").alias("term"))
+                     .agg(F.sum("weight").alias("weight")), "alike")
+
+
 def soft_cosine_pairs(vecs: DataFrame, term_sim: DataFrame, threshold: float) -> DataFrame:
     """Soft cosine x.S.y / sqrt(x.S.x * y.S.y) with S = identity + ``term_sim``.
 

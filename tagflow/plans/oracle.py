@@ -411,6 +411,21 @@ SELECT (SELECT count(*) FROM nodes) AS n_nodes,
          AND count(*) FILTER (WHERE "Weight" > 1 + 1e-9) = 0 AS ok
 FROM cos"""))
 q("soft_cosine_pairs", lambda: with_sim('SELECT "Source", "Target", round("Weight", 9) AS "Weight" FROM soft'))
+# The same over the whole vocabulary, term by term.
+q("soft_cosine_pairs_all", lambda: "WITH " + sim().rstrip() + f""",
+tcolsa AS (SELECT term AS col, doc_id, weight / sqrt(sum(weight * weight) OVER (PARTITION BY term)) AS u FROM wts),
+tsima1 AS (SELECT a.col AS t1, b.col AS t2, sum(a.u * b.u) AS s FROM tcolsa a JOIN tcolsa b
+           ON a.doc_id = b.doc_id AND a.col > b.col GROUP BY 1, 2 HAVING sum(a.u * b.u) >= {TERM_SIM_THRESHOLD}),
+tsima AS (SELECT t1, t2, s FROM tsima1 UNION ALL SELECT t2 AS t1, t1 AS t2, s FROM tsima1),
+sya AS (SELECT doc_id, term, sum(v) AS v FROM (
+          SELECT y.doc_id, ts.t1 AS term, ts.s * y.weight AS v FROM wts y JOIN tsima ts ON y.term = ts.t2
+          UNION ALL SELECT doc_id, term, weight AS v FROM wts) GROUP BY 1, 2),
+selfdota AS (SELECT w.doc_id, sum(w.weight * sya.v) AS n FROM wts w JOIN sya USING (doc_id, term) GROUP BY 1)
+SELECT d1 AS "Source", d2 AS "Target", round(dot / sqrt(n1.n * n2.n), 9) AS "Weight" FROM (
+  SELECT x.doc_id AS d1, s2.doc_id AS d2, sum(x.weight * s2.v) AS dot FROM wts x JOIN sya s2
+  ON x.term = s2.term AND x.doc_id > s2.doc_id GROUP BY 1, 2) p
+JOIN selfdota n1 ON p.d1 = n1.doc_id JOIN selfdota n2 ON p.d2 = n2.doc_id
+WHERE dot / sqrt(n1.n * n2.n) >= {SIM_THRESHOLD}""")
 _WORDS = """
 SELECT word, count(*) AS count FROM (SELECT lower(unnest(tokenized)) AS word FROM dfx) WHERE word <> ''
 GROUP BY word"""

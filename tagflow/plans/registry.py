@@ -384,6 +384,14 @@ def q_soft_cosine_pairs(spark, sf):
     return rounded(similarity.soft_cosine_pairs(w, s, chain.SIM_THRESHOLD), "Weight")
 
 
+@query("soft_cosine_pairs_all")
+def q_soft_cosine_pairs_all(spark, sf):
+    """Soft cosine over the whole vocabulary."""
+    w = similarity.merge_alike_terms(Pipeline.of(spark, sf).tfidf)
+    s = similarity.term_similarity(w, chain.TERM_SIM_THRESHOLD)
+    return rounded(similarity.soft_cosine_pairs(w, s, chain.SIM_THRESHOLD), "Weight")
+
+
 @query("word_freq")
 def q_word_freq(spark, sf):
     return docs.word_freq(Pipeline.of(spark, sf).df, "tokenized")

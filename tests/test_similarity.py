@@ -145,6 +145,30 @@ def test_soft_cosine_matches_dense(spark):
         assert abs(got[k] - exp[k]) < 1e-9
 
 
+def test_soft_cosine_over_merged_terms_matches_dense(spark):
+    docs = [(d, " ".join([t] + ["w90 w91"] * (d % 2) + [f"w{50 + 3 * d + i}" for i in range(3)]))
+            for d, t in _random_docs(7, n_docs=15, vocab=12)]
+    w, _ = sim.tfidf(spark.createDataFrame(docs, "doc_id long, text string"), token_pattern=r"w\d+", stopwords=[])
+    merged = sim.merge_alike_terms(w)
+    assert merged.select("term").distinct().count() < w.select("term").distinct().count()
+    got = {(r.Source, r.Target): r.Weight
+           for r in sim.soft_cosine_pairs(merged, sim.term_similarity(merged, 0.3), 0.1).collect()}
+    rows = w.collect()
+    ids, terms = sorted({r.doc_id for r in rows}), sorted({r.term for r in rows})
+    m = np.zeros((len(ids), len(terms)))
+    for r in rows:
+        m[ids.index(r.doc_id), terms.index(r.term)] = r.weight
+    cols = m / np.linalg.norm(m, axis=0)
+    s = cols.T @ cols
+    s = np.where(s >= 0.3, s, 0.0)
+    np.fill_diagonal(s, 1.0)
+    g = m @ s @ m.T
+    g = g / np.sqrt(np.outer(np.diag(g), np.diag(g)))
+    exp = {(ids[i], ids[j]): g[i, j] for i in range(len(ids)) for j in range(i) if g[i, j] >= 0.1}
+    assert set(got) == set(exp)
+    assert all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
+
+
 def test_cosine_rejects_nonpositive_threshold(spark):
     seg = spark.createDataFrame([(1, "w01")], "doc_id long, text string")
     w, _ = sim.tfidf(seg, token_pattern=r"w\d+", stopwords=[])
