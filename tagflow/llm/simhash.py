@@ -220,9 +220,19 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str =
              text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one whose id is the group's smallest.
 
-    Documents without an id are kept.  Rows that repeat an id stay once.
+    Documents without an id are kept.  Where ids repeat, the rows are numbered
+    and written once, groups are formed of rows, and of rows that share the
+    group's smallest id the one with the smallest hash of its text stays.
     """
-    groups = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull())
+    ids = named.select(whole_ids(docs, id_col).alias("i")).groupBy("i").count()
+    if ids.where("count > 1").limit(1).count():
+        rows = staged(named.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "numbered")
+        groups = near_duplicates(rows, shingle, max_bits, "_row", text_col).select("_row", "component_id")
+        order = F.struct(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), F.col("_row"))
+        stay = rows.join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("m")).select("m._row")
+        one = rows.join(stay, "_row", "left_semi").drop("_row")
+    else:
+        groups = near_duplicates(named, shingle, max_bits, id_col, text_col)
+        one = named.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi")
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

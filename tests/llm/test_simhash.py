@@ -114,6 +114,16 @@ def test_repeated_rows_and_missing_ids(spark):
         simhash.near_duplicates(df.selectExpr("'a' as doc_id", "text"))
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, one), (5, other), (6, one), (7, other), (8, None), (5, one)]
+    for turn in (rows, rows[::-1]):
+        df = spark.createDataFrame(turn, "doc_id long, text string")
+        for parts in (1, 4):
+            kept = sorted((r.doc_id, r.text or "") for r in simhash.keep_one(df.repartition(parts)).collect())
+            assert kept == [(5, one), (5, other), (8, "")]
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(500, 560)] + [(3, 3), (None, 4)]
