@@ -35,7 +35,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "archive")
-    warc.write_warc(table(spark, sf, "pages"), path)
+    warc.write_warc(table(spark, sf, "pages"), path, without_id=True)
     got = warc.read_captures(spark, path, with_payload=False)
     return got.select(warc.page_of(F.col("record_id")).alias("page_id"),
                       F.col("response.payload_bytes").alias("payload_bytes"),

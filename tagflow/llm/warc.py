@@ -46,6 +46,9 @@ RECORD = T.StructType([
     T.StructField("intact", T.BooleanType())])
 
 
+WITHOUT_ID = 4        # added to the kind of record of a page without an id
+
+
 def record_uri(kind: int, page: int) -> str:
     """A version-8 UUID that holds the kind of record and the 64-bit page id."""
     n = page & (1 << 64) - 1
@@ -55,11 +58,12 @@ def record_uri(kind: int, page: int) -> str:
 
 
 def page_of(uri):
-    """Column: the page id in a record id that ``record_uri`` made."""
+    """Column: the page id in a record id that ``record_uri`` made, null for a page without one."""
     h = F.regexp_replace(F.regexp_extract(uri, r"^<urn:uuid:([0-9a-f-]{36})>$", 1), "-", "")
     low = F.conv(F.substring(h, 17, 16), 16, -10).cast("long").bitwiseAND(F.lit((1 << 62) - 1))
     high = F.conv(F.substring(h, 14, 3), 16, 10).cast("long")
-    return F.when(F.length(h) == 32, low.bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(3)), 62)))
+    named = (F.length(h) == 32) & (F.conv(F.substring(h, 9, 4), 16, 10).cast("int") < WITHOUT_ID)
+    return F.when(named, low.bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(3)), 62)))
 
 
 def one_line(value: str) -> str:
@@ -76,9 +80,13 @@ def member(fields: list, block: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def capture(page: int, url: str | None, html: bytes, digest: str, refers: int | None, date: str) -> list:
-    """The three records of one page."""
-    uri, me = (one_line(url) if url else None), record_uri(1, page)
+def capture(page: int | None, url: str | None, html: bytes, digest: str, refers: int | None, date: str) -> list:
+    """The three records of one page; one without an id is numbered by a hash of its url and payload."""
+    kind, number = 0, page
+    if page is None:
+        kind = WITHOUT_ID
+        number = int.from_bytes(hashlib.sha256(f"{digest} {'' if url is None else 'u' + url}".encode()).digest()[:8])
+    uri, me = (one_line(url) if url else None), record_uri(1 + kind, number)
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
             f"Content-Length: {len(html)}\r\n\r\n").encode()
     common = [("WARC-Record-ID", me), ("WARC-Date", date), ("WARC-Target-URI", uri),
@@ -89,11 +97,12 @@ def capture(page: int, url: str | None, html: bytes, digest: str, refers: int |
         first = member([("WARC-Type", "revisit"), *common, ("WARC-Profile", PROFILE),
                         ("WARC-Refers-To", record_uri(1, refers))], http)
     path = f"GET {uri or '/'} HTTP/1.1\r\n\r\n".encode()
-    request = member([("WARC-Type", "request"), ("WARC-Record-ID", record_uri(2, page)), ("WARC-Date", date),
+    request = member([("WARC-Type", "request"), ("WARC-Record-ID", record_uri(2 + kind, number)), ("WARC-Date", date),
                       ("WARC-Target-URI", uri), ("WARC-Concurrent-To", me),
                       ("Content-Type", "application/http; msgtype=request")], path)
-    note = f"page-id: {page}\r\nurl-present: {int(url is not None)}\r\n".encode()
-    meta = member([("WARC-Type", "metadata"), ("WARC-Record-ID", record_uri(3, page)), ("WARC-Date", date),
+    named = "" if page is None else f"page-id: {page}\r\n"
+    note = f"{named}url-present: {int(url is not None)}\r\n".encode()
+    meta = member([("WARC-Type", "metadata"), ("WARC-Record-ID", record_uri(3 + kind, number)), ("WARC-Date", date),
                    ("WARC-Target-URI", uri), ("WARC-Concurrent-To", me),
                    ("Content-Type", "application/warc-fields")], note)
     return [first, request, meta]
@@ -111,14 +120,15 @@ def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = MIN_REVISIT,
-               max_records: int = MAX_RECORDS) -> None:
+               max_records: int = MAX_RECORDS, without_id: bool = False) -> None:
     """Archive ``pages`` (page_id, url, html) under ``path``.
 
     The payload is the html in UTF-8, empty where it is null.  Of pages with
     equal payloads of ``min_revisit`` bytes or more, the one with the smallest
     id is the response and the others revisit it.  Page ids are the identity of
-    a capture: rows without one are refused, and of rows that repeat one each
-    is written.
+    a capture, and of rows that repeat one each is written.  Rows without one
+    are refused, or with ``without_id`` written as responses with record ids of
+    their own kind (rows of equal url and payload share theirs).
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -128,7 +138,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
             got = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "refers")}
             out = []
             for page, url, html, digest, refers in zip(*got.values()):
-                if page is None:
+                if page is None and not without_id:
                     raise ValueError("a page without page_id cannot be archived")
                 out += [m[:-1] if m[-1] == 0 else m for m in capture(page, url, html, digest, refers, date)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])

@@ -69,6 +69,21 @@ def test_empty_table_and_missing_id(spark, tmp_path):
         warc.write_warc(spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "bad"))
 
 
+def test_pages_without_an_id(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://a/", "x" * 150), (None, "http://a/", "x" * 150), (None, None, None), (2, "http://b/", "x" * 150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_warc(df, path, without_id=True)
+    got = warc.read_captures(spark, path)
+    assert {len(r.requests) for r in got.collect()} == {len(r.metadata) for r in got.collect()} == {1}
+    from tagflow.llm import queries
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    seen = queries.op4_warc(spark, "").collect()
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in seen), key=key) == [
+        (None, 0, "response", None), (None, 150, "response", None), (1, 150, "response", None), (2, 150, "revisit", 1)]
+
+
 def test_captures_without_or_with_several_side_records(spark):
     rows = [("r1", "response", None), ("q1", "request", "r1"), ("m2", "metadata", "r1"), ("m1", "metadata", "r1"),
             ("r2", "response", None), ("q9", "request", "gone"), ("w", "warcinfo", None), ("q0", "request", None)]
