@@ -34,12 +34,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(*dfs: DataFrame) -> None:
     """Delete written stages that no later step reads."""
     for df in dfs:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_path(df.sparkSession, df._staged_path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
