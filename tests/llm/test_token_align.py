@@ -72,9 +72,9 @@ def test_against_all_pairs(spark):
 def test_more_portions_change_nothing(spark):
     ts = texts()
     want = rows_of(A.align(frame(spark, ts), A_PATH, B_PATH))
-    many = A.portions(frame(spark, ts).repartition(60), A_PATH, B_PATH, "text", ["k"], "text")
-    assert many.count() > 20
-    assert rows_of(A.align(frame(spark, ts).repartition(60), A_PATH, B_PATH)) == want
+    many = A.portions(frame(spark, ts), A_PATH, B_PATH, "text", ["k"], "text", portion_links=20)
+    assert many.count() > 40
+    assert rows_of(A.align(frame(spark, ts), A_PATH, B_PATH, portion_links=20)) == want
 
 
 def test_portion_packs_and_unpacks():
