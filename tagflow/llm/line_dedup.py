@@ -190,8 +190,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     A line goes, in every document, where its key stands in at least
     ``min_docs`` documents.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in MADE]
-    rows = with_unique_ids(docs, id_col, [F.struct(*columns).alias("row"), F.col(f"`{text_col}`").alias("text")])
+    columns = [c for c in docs.columns if c.lower() not in MADE]
+    others = [F.col(f"`{c}`") for c in columns if c != text_col]
+    rows = with_unique_ids(docs, id_col, [F.struct(F.lit(0), *others).alias("row"), F.col(f"`{text_col}`").alias("text")])
     runs = common_lines(rows.select("text"), min_docs, min_chars, batches, fanout)
     common = runs.common()
     at = (rows.select("_rid", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
@@ -201,10 +202,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     gone = staged(hits.groupBy("_rid").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "line-places")
     runs.close()
     lines, none = lines_of(F.col("text")), F.array().cast("array<int>")
-    left = (rows.join(gone, "_rid", "left")
+    # places are few bytes beside the texts of their documents: hashed per partition, so that texts are not sorted
+    left = (rows.join(gone.hint("shuffle_hash"), "_rid", "left")
             .select("row", lines.alias("lines"), F.coalesce("gone", none).alias("gone"), "text"))
-    return left.select("row.*", F.size("lines").cast("long").alias("n_lines"),
-                       F.size("gone").cast("long").alias("n_dropped"),
+    return left.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns],
+                       F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"),
                        F.when(F.size("gone") == 0, F.coalesce("text", F.lit("")))
                        .otherwise(F.array_join(without_lines(F.col("lines"), F.col("gone")), "\n")).alias("kept"))
 
