@@ -28,9 +28,12 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -42,7 +45,16 @@ from .common import map_arrow, staged, worker_cache
 
 PORTION_LINKS = 1 << 21
 PORTION_DOCS = 4096
-BATCH_TEXTS = 64
+BATCH_TEXTS = 128
+#: Stretches that a worker remembers, in each of two generations, and the longest of them.
+MEMORY, LONGEST = 250_000, 64
+
+LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", '.,;:!?&%*#")]}'
+#: Where a stretch begins: at a blank or line end after something else (but not at the last character), and at
+#: a mark after a Latin letter.
+CUT = re.compile(rf"(?<=\S)(?=[ \n].)|(?<=[{LATIN}])(?=[{re.escape(MARKS)}])", re.S)
+#: What a stretch is put behind where there is none before it.
+FIRST = " a"
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 SCORES = ("n_best", "count_sum")
@@ -70,11 +82,26 @@ class ByteLevel:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.made_of = json.load(f)
         letters = byte_letters()
         self.bytes = [b""] * self.tok.get_vocab_size(with_added_tokens=True)
         for word, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.bytes[i] = bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
 
+    def cuts_at_words(self) -> bool:
+        """Whether white space after another character, and a mark after a letter, always begins a pre-token.
+
+        They do under the usual pattern, in which white space stands only at the
+        start of a pre-token or in one of nothing else, and letters and marks in
+        different ones, where nothing is normalised and no added token is looked
+        for in texts.
+        """
+        pre, model = self.made_of.get("pre_tokenizer") or {}, self.made_of.get("model") or {}
+        return (self.made_of.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True
+                and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+                and all(t["special"] for t in self.made_of.get("added_tokens", [])))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
@@ -90,6 +117,18 @@ class Pieces:
         self.bytes = [bytes([int(piece(i)[3:5], 16)]) if self.model.is_byte(i)
                       else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
 
+    def cuts_at_words(self) -> bool:
+        """Whether no piece holds a blank or line end, or a mark after a letter, behind its start, and texts stay as they are.
+
+        No merge then reaches over the end of a word, and the segmentation of
+        one word does not depend on another.
+        """
+        probe = "e\u0301  \ufb01 \u0308\u00a0 x "
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        mark = re.compile(f"[{LATIN}][{re.escape(MARKS)}]")
+        return (not any("▁" in p.lstrip("▁") or "\n" in p or mark.search(p) for p in pieces)
+                and self.model.normalize(probe) == "▁" + probe.replace(" ", "▁"))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
@@ -109,40 +148,104 @@ class Aligner:
         self.len_a, self.len_b = ([len(x) for x in t.bytes] for t in (self.a, self.b))
         self.name_a, self.name_b = ([str(i) for i in range(len(t.bytes))] for t in (self.a, self.b))
         self.base = len(self.b.bytes)
-
-    def ids(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        for text, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts)):
-            spelt = b" " + text.encode()
-            if text and b"".join(map(self.a.bytes.__getitem__, x)) == spelt \
-                    and b"".join(map(self.b.bytes.__getitem__, y)) == spelt:
-                yield x, y
+        self.cuts = self.a.cuts_at_words() and self.b.cuts_at_words()
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, np.ndarray, str]]:
+        """n_a, n_b, n_groups, links (as ``a * base + b``) and groups of each text."""
+        each = [CUT.split(" " + t) if self.cuts else [" " + t] for t in texts]
+        known = self.stretches({c for cs in each for c in cs})
+        for text, cs in zip(texts, each):
+            found = list(map(known.__getitem__, cs)) if text else [None]
+            if None in found:
+                yield 0, 0, 0, np.zeros(0, np.int64), ""
             else:
-                yield [], []
-
-    def align(self, x: list[int], y: list[int]) -> tuple[list[str], list[int]]:
-        """Groups as ``a1,a2|b1`` and links as ``a * base + b``, in the order of the text."""
-        len_a, len_b, base = self.len_a, self.len_b, self.base
-        end_a = dict(zip(accumulate(map(len_a.__getitem__, x)), range(1, len(x) + 1)))
-        end_b = dict(zip(accumulate(map(len_b.__getitem__, y)), range(1, len(y) + 1)))
-        common = sorted(end_a.keys() & end_b.keys())
-        name_x = list(map(self.name_a.__getitem__, x))
-        name_y = list(map(self.name_b.__getitem__, y))
-        groups, links = [], []
+                n_a, n_b, n_groups, links, groups = zip(*found)
+                yield sum(n_a), sum(n_b), sum(n_groups), np.frombuffer(b"".join(links), np.int64), ";".join(groups)
+
+    def stretches(self, wanted: set[str]) -> dict:
+        """What each stretch aligns to; None where the tokens do not spell it."""
+        out, new = {}, []
+        young, old, unknown = self.young.get, self.old.get, self
+        for c in wanted:
+            v = young(c, unknown)
+            if v is unknown:
+                v = old(c, unknown)
+                if v is unknown:
+                    new.append(c)
+                    continue
+                self.remember(c, v)
+            out[c] = v
+        # Stretches that end in no white space are, put together, one text that is cut where they meet.
+        plain = [c for c in new if self.cuts and not c[-1:].isspace()]
+        found = self.joined(plain) if plain else []
+        if found is None:
+            plain, found = [], []
+        alone = set(new).difference(plain)
+        for c, v in chain(zip(plain, found), zip(alone, map(self.one, alone))):
+            out[c] = v
+            self.remember(c, v)
+        return out
+
+    def one(self, c: str):
+        found = self.joined([c])
+        return None if found is None else found[0]
+
+    def joined(self, stretches: list[str]) -> list[tuple] | None:
+        """n_a, n_b, n_groups, links and groups of each; None where tokens do not spell the text."""
+        parts = [p for i, c in enumerate(stretches)
+                 for p in ((FIRST, c) if self.cuts and (not i or c[0] not in " \n") else (c,))]
+        text = "".join(parts)
+        (x,), (y,) = self.a.encode([text[1:]]), self.b.encode([text[1:]])
+        spelt = text.encode()
+        if b"".join(map(self.a.bytes.__getitem__, x)) != spelt or b"".join(map(self.b.bytes.__getitem__, y)) != spelt:
+            return None
+        groups, links, end_a, end_b, so_far = self.align(x, y)
+        links, out = array("q", links).tobytes(), []
+        at = p = q = g = n = 0
+        for c in parts:
+            at += len(c.encode())
+            (g1, n1), p1, q1 = so_far[at], end_a[at], end_b[at]
+            if c is not FIRST:
+                out.append((p1 - p, q1 - q, g1 - g, links[8 * n:8 * n1], ";".join(groups[g:g1])))
+            p, q, g, n = p1, q1, g1, n1
+        return out
+
+    def remember(self, c: str, value) -> None:
+        if len(c) <= LONGEST:
+            if len(self.young) >= MEMORY:
+                self.old, self.young = self.young, {}
+            self.young[c] = value
+
+    def align(self, x: list[int], y: list[int]) -> tuple[list[str], list[int], dict, dict, dict]:
+        """Groups as ``a1,a2|b1`` and links as ``a * base + b``, in the order of the text.
+
+        Also the dictionaries from ends to the tokens up to there, of both lists,
+        and from common ends to the groups and links up to there.
+        """
+        base, name_a, name_b = self.base, self.name_a, self.name_b
+        end_a = dict(zip(accumulate([self.len_a[t] for t in x]), range(1, len(x) + 1)))
+        end_b = dict(zip(accumulate([self.len_b[t] for t in y]), range(1, len(y) + 1)))
+        groups, links, so_far = [], [], {}
         i = j = 0
-        for p, q in zip(map(end_a.__getitem__, common), map(end_b.__getitem__, common)):
+        for end in sorted(end_a.keys() & end_b.keys()):
+            p, q = end_a[end], end_b[end]
             if p - i == 1 and q - j == 1:
-                groups.append(name_x[i] + "|" + name_y[j])
+                groups.append(name_a[x[i]] + "|" + name_b[y[j]])
                 links.append(x[i] * base + y[j])
             else:
-                groups.append(",".join(name_x[i:p]) + "|" + ",".join(name_y[j:q]))
+                own_a, own_b = x[i:p], y[j:q]
+                groups.append(",".join([name_a[t] for t in own_a]) + "|" + ",".join([name_b[t] for t in own_b]))
                 if p - i == 1:
-                    links.extend([x[i] * base + b for b in y[j:q]])
+                    links += [x[i] * base + t for t in own_b]
                 elif q - j == 1:
-                    links.extend([a * base + y[j] for a in x[i:p]])
+                    links += [t * base + y[j] for t in own_a]
                 else:
-                    links.extend(self.overlaps(x[i:p], y[j:q]))
+                    links += self.overlaps(own_a, own_b)
+            so_far[end] = len(groups), len(links)
             i, j = p, q
-        return groups, links
+        return groups, links, end_a, end_b, so_far
 
     def overlaps(self, x: list[int], y: list[int]) -> Iterator[int]:
         """Links of a group: both slices start and end together."""
@@ -167,8 +270,8 @@ class Portion:
     def __init__(self, most_links: int = PORTION_LINKS):
         self.rows, self.keys, self.times, self.n_links, self.most_links = [], [], [], 0, most_links
 
-    def add(self, row: tuple, links: list[int]) -> None:
-        keys, times = np.unique(np.array(links, dtype=np.int64), return_counts=True)
+    def add(self, row: tuple, links: np.ndarray) -> None:
+        keys, times = np.unique(links, return_counts=True)
         self.rows.append(row)
         self.keys.append(keys)
         self.times.append(times)
@@ -222,12 +325,10 @@ def portions(docs: DataFrame, path_a: str, path_b: str, text_col: str, keep: lis
                 part = batch.slice(at, BATCH_TEXTS)
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
                 values = [part.column(part.schema.get_field_index(c)).to_pylist() for c in names]
-                for k, (x, y) in enumerate(aligner.ids(texts)):
-                    cut, links = aligner.align(x, y)
-                    said = ";".join(cut)
+                for k, (n_a, n_b, n_groups, links, said) in enumerate(aligner.texts(texts)):
                     if groups == "sha256" and said:
                         said = hashlib.sha256(said.encode()).hexdigest()
-                    p.add((len(x), len(y), len(cut), len(links), said, *[v[k] for v in values]), links)
+                    p.add((n_a, n_b, n_groups, len(links), said, *[v[k] for v in values]), links)
                     if p.full():
                         yield row_of(p, first + n, aligner.base)
                         n, p = n + 1, Portion(portion_links)

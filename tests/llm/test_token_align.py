@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -77,11 +78,33 @@ def test_more_portions_change_nothing(spark):
     assert rows_of(A.align(frame(spark, ts), A_PATH, B_PATH, portion_links=20)) == want
 
 
+def listed(aligner, ts):
+    return [(a, b, n, list(links), said) for a, b, n, links, said in aligner.texts(ts)]
+
+
+def test_cut_texts_align_as_whole_ones():
+    r = random.Random(9)
+    bits = [" ", "  ", "\n", "\t", "\x1c", "\u0085", "\u00a0", "\u2003", "\u200b", "\u0308", "'s", "'ll", "I'm", "a", "B", "7", "#", "é", "語",
+            "🙂", "▁", "the", "ing", "<s>", "\x00", "\r", ".", '"', "<|endoftext|>"]
+    cut, whole = A.Aligner(A_PATH, B_PATH), A.Aligner(A_PATH, B_PATH)
+    assert cut.cuts
+    whole.cuts = False
+    ts = ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(20_000)]
+    assert listed(cut, ts) == listed(whole, ts)
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(A, "MEMORY", 50)
+    one, ts = A.Aligner(A_PATH, B_PATH), [f"word{i} and{i % 7}" for i in range(400)]
+    got = [v for i in range(0, 400, 10) for v in listed(one, ts[i:i + 10])]
+    assert len(one.young) <= 50 and len(one.old) <= 50 and got == listed(A.Aligner(A_PATH, B_PATH), ts)
+
+
 def test_portion_packs_and_unpacks():
     p = A.Portion()
-    p.add((1,), [7, 7, 3])
-    p.add((2,), [])
-    p.add((3,), [3, 9])
+    p.add((1,), np.array([7, 7, 3]))
+    p.add((2,), np.zeros(0, np.int64))
+    p.add((3,), np.array([3, 9]))
     keys, held, blob = p.pairs()
     sizes, places, times = A.unpacked(blob, 3)
     assert list(keys) == [3, 7, 9] and list(held) == [2, 1, 1]
