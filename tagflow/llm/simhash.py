@@ -231,8 +231,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str =
         groups = near_duplicates(rows, shingle, max_bits, "_row", text_col).select("_row", "component_id")
         order = F.struct(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), F.col("_row"))
         stay = rows.join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("m")).select("m._row")
-        one = rows.join(stay, "_row", "left_semi").drop("_row")
+        one = rows.join(stay.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
     else:
         groups = near_duplicates(named, shingle, max_bits, id_col, text_col)
-        one = named.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi")
+        # ids are few bytes beside the texts: hashed per partition at every size, texts move once and are not sorted
+        stay = groups.where(F.col(id_col) == F.col("component_id")).select(id_col)
+        one = named.join(stay.hint("shuffle_hash"), id_col, "left_semi")
     return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
