@@ -264,6 +264,14 @@ class Aligner:
                 end_v += self.len_b[y[v]]
 
 
+def cached_aligner(path_a: str, path_b: str) -> Aligner:
+    """The worker's aligner: what it remembers serves all tasks of the worker."""
+    held = worker_cache()
+    if ("aligner", path_a, path_b) not in held:
+        held["aligner", path_a, path_b] = Aligner(path_a, path_b)
+    return held["aligner", path_a, path_b]
+
+
 class Portion:
     """Documents in a row, until they hold enough links."""
 
@@ -318,7 +326,7 @@ def portions(docs: DataFrame, path_a: str, path_b: str, text_col: str, keep: lis
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator) -> Iterator:
-        aligner = Aligner(path_a, path_b)
+        aligner = cached_aligner(path_a, path_b)
         first, n, p = TaskContext.get().partitionId() << 32, 0, Portion(portion_links)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_TEXTS):
