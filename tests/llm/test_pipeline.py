@@ -64,7 +64,7 @@ def brute_force(docs, labels, bench):
     kept = {i: t for i, t in kept.items() if group[i] == i}
     stages.append(kept)
     ids = sorted(kept)
-    masks = brute([kept[i] for i in ids], str.encode, 400)
+    masks = brute([kept[i] for i in ids], str.encode, corpus_pipeline.PASSAGE_BYTES)
     cut = {i: bytes(b for b, m in zip(kept[i].encode(), mask) if not m).decode("utf-8", "ignore") for i, mask in zip(ids, masks)}
     kept = {i: t for i, t in cut.items() if t == kept[i] or t.strip()}
     stages.append(kept)
