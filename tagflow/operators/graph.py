@@ -140,3 +140,17 @@ def modularity(weighted: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum(F.col("inner") / 2 / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)).alias("modularity"))
     nclu = labels.agg(F.countDistinct("cluster").alias("n_clusters"))
     return with_constants(nclu, q)
+
+
+def modularity_by(weighted: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    """``modularity`` of several labellings ``(Id, by, cluster)`` of one graph: ``(by, n_clusters, modularity)``."""
+    sym = symmetric_edges(weighted)
+    a = labels.select(F.col("Id").alias("src"), by, F.col("cluster").alias("cs"))
+    b = labels.select(F.col("Id").alias("dst"), by, F.col("cluster").alias("cd"))
+    inside = (sym.join(a, "src").join(b, ["dst", by])
+              .groupBy(by, F.col("cs").alias("cluster")).agg(
+                  F.sum("w").alias("deg"), F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("inner")))
+    tot = sym.agg((F.sum("w") / 2).alias("m"))
+    q = with_constants(inside, tot).groupBy(by).agg(
+        F.sum(F.col("inner") / 2 / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)).alias("modularity"))
+    return labels.groupBy(by).agg(F.countDistinct("cluster").alias("n_clusters")).join(q, by, "left")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, topics
+from ..operators import clean, communities, docs, enrich, graph, ingest, similarity, tags, topics
 from ..session import stage
 from ..sources import fixtures
 
@@ -227,6 +227,17 @@ class Pipeline:
         """``(labels, rounds)``."""
         return graph.tag_clusters(self.nodes, self.weighted, self.n_nodes)
 
+    @cached_property
+    def classes(self) -> DataFrame:
+        """``(Id, level, cluster)``: the modularity classes of every level."""
+        return stage(communities.modularity_classes(self.nodes, self.weighted), "classes")
+
+    @cached_property
+    def class_texts(self) -> DataFrame:
+        """Documents of the modularity classes of the highest level."""
+        labels = stage(communities.last_level(self.classes), "class_labels")
+        return stage(docs.cluster_segments(self.segments, self.nodes, labels, self.n_nodes), "class_texts")
+
     # -- find_topic_num() and topic views --------------------------------
     @cached_property
     def cluster_texts(self) -> DataFrame:

@@ -511,6 +511,83 @@ SELECT cluster, count(*) AS n_terms, CAST(sum(c) AS BIGINT) AS n_tokens FROM (
 GROUP BY cluster"""))
 
 
+# Modularity classes are unrolled too: a round without a move that gains, and a level without one, change nothing.
+CLASS_LEVELS, CLASS_ROUNDS = 4, 9
+
+
+def _class_round(level: int, i: int) -> str:
+    prev, me = f"st{level}_{i - 1}", f"{level}_{i}"
+    beats = lambda x, y: f"({x}.g > {y}.g OR {x}.g = {y}.g AND {x}.move < {y}.move)"
+    return f"""
+dg{me} AS (SELECT c, sum(k) AS t FROM {prev} GROUP BY c),
+op{me} AS MATERIALIZED (SELECT * FROM (
+  SELECT b."Id", b.c, b.k, b.d, b.v - (b.m2 * b.w_own - b.k * (t.t - b.k)) AS g FROM (
+    SELECT i.src AS "Id", s.c, s.k, m2, coalesce(sum(i.w) FILTER (i.d = s.c), 0) AS w_own,
+           max(m2 * i.w - s.k * t.t) FILTER (i.d <> s.c) AS v,
+           arg_max(i.d, struct_pack(v := m2 * i.w - s.k * t.t, neg := -i.d)) FILTER (i.d <> s.c) AS d
+    FROM (SELECT e.src, p.c AS d, sum(e.w) AS w FROM ce{level} e JOIN {prev} p ON e.dst = p."Id"
+          WHERE e.src <> e.dst GROUP BY 1, 2) i
+    JOIN dg{me} t ON i.d = t.c JOIN {prev} s ON i.src = s."Id" CROSS JOIN cm GROUP BY i.src, s.c, s.k, m2) b
+  JOIN dg{me} t ON b.c = t.c) WHERE g > 0),
+ou{me} AS (SELECT c, max(g) AS g, arg_max("Id", struct_pack(g := g, neg := -"Id")) AS move FROM op{me} GROUP BY c),
+it{me} AS (SELECT d, max(g) AS g, arg_max("Id", struct_pack(g := g, neg := -"Id")) AS move FROM op{me} GROUP BY d),
+mv{me} AS (
+  SELECT o."Id", o.c, o.d, o.k, o.g,
+         CASE WHEN oc.move = o."Id" AND id.move = o."Id" THEN 31
+              ELSE 31 - length(bin(((o."Id" % 2147483648 + 1) * (843314861 + 14737574 * {i})) % 2147483648)) END AS lv
+  FROM op{me} o JOIN ou{me} oc ON o.c = oc.c JOIN it{me} id ON o.d = id.d
+  LEFT JOIN it{me} ic ON o.c = ic.d LEFT JOIN ou{me} od ON o.d = od.c
+  WHERE (ic.d IS NULL OR {beats("oc", "ic")}) AND (od.c IS NULL OR {beats("id", "od")})),
+ok{me} AS (
+  SELECT a."Id", a.d FROM mv{me} a WHERE a.g > a.k * (
+    (SELECT sum(k) FROM mv{me} b WHERE b.d = a.d AND b.lv >= a.lv) +
+    (SELECT sum(k) FROM mv{me} b WHERE b.c = a.c AND b.lv >= a.lv) - 2 * a.k)),
+st{me} AS MATERIALIZED (SELECT s."Id", coalesce(ok.d, s.c) AS c, s.k FROM {prev} s LEFT JOIN ok{me} ok ON s."Id" = ok."Id")"""
+
+
+def _class_level(level: int) -> str:
+    end = f"st{level}_{CLASS_ROUNDS}"
+    return f"""
+st{level}_0 AS (SELECT n."Id", n."Id" AS c, coalesce(sum(w), 0) AS k FROM cn{level} n LEFT JOIN ce{level} ON src = "Id"
+               GROUP BY n."Id"),{",".join(_class_round(level, i) for i in range(1, CLASS_ROUNDS + 1))},
+lb{level} AS (SELECT "Id", min("Id") OVER (PARTITION BY c) AS c FROM {end}),
+mb{level} AS (SELECT m."Id", l.c AS here FROM mb{level - 1} m JOIN lb{level} l ON m.here = l."Id"),
+ce{level + 1} AS (SELECT a.c AS src, b.c AS dst, sum(w) AS w FROM ce{level} e JOIN lb{level} a ON e.src = a."Id"
+                 JOIN lb{level} b ON e.dst = b."Id" GROUP BY 1, 2),
+cn{level + 1} AS (SELECT DISTINCT c AS "Id" FROM lb{level})"""
+
+
+def with_classes(select: str) -> str:
+    levels = ",".join(_class_level(x) for x in range(1, CLASS_LEVELS + 1))
+    found = " UNION ALL ".join(
+        f"""SELECT "Id", {x} AS level, here AS cluster FROM mb{x}"""
+        + (f""" WHERE EXISTS (FROM lb{x} WHERE "Id" <> c)""" if x > 1 else "") for x in range(1, CLASS_LEVELS + 1))
+    return with_clusters(f""",
+ce1 AS (SELECT src, dst, w FROM sym WHERE src <> dst), cm AS (SELECT sum(w) AS m2 FROM ce1),
+cn1 AS (SELECT "Id" FROM nodes), mb0 AS (SELECT "Id", "Id" AS here FROM nodes),{levels},
+classes AS MATERIALIZED ({found})""") + select
+
+
+q("modularity_classes", lambda: with_classes(
+    'SELECT "Id", "Name", CAST(level AS INTEGER) AS level, cluster FROM classes JOIN nodes USING ("Id")'))
+q("modularity_levels", lambda: with_classes("""
+, every AS (SELECT "Id", 0 AS level, cluster FROM labels UNION ALL SELECT "Id", level, cluster FROM classes),
+per AS (SELECT a.level, a.cluster, sum(w) AS deg, sum(CASE WHEN a.cluster = b.cluster THEN w ELSE 0 END) AS inner_w
+        FROM sym JOIN every a ON src = a."Id" JOIN every b ON dst = b."Id" AND a.level = b.level GROUP BY 1, 2)
+SELECT CAST(level AS INTEGER) AS level, n_clusters, modularity FROM (
+  SELECT level, count(DISTINCT cluster) AS n_clusters FROM every GROUP BY level) LEFT JOIN (
+  SELECT level, round(sum(inner_w / m2 - (deg / m2) ** 2), 9) AS modularity FROM per, cm GROUP BY level) USING (level)"""))
+q("class_docs", lambda: with_classes("""
+, top AS (SELECT "Id", arg_max(cluster, level) AS cluster FROM classes GROUP BY "Id"),
+cdocs AS (SELECT t.tag, min(l.cluster) AS cluster, list_sort(list(array_to_string(t.tokenized, ', '))) AS doc
+          FROM texts t JOIN top l ON t.doc_id = l."Id" GROUP BY t.tag),
+cone AS (SELECT cluster, doc, min(tag) AS tag FROM cdocs GROUP BY cluster, doc),
+cterms AS (SELECT cluster, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+', 0)) AS term
+           FROM (SELECT cluster, unnest(doc) AS text FROM cone))
+SELECT cluster, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_tokens FROM (
+  SELECT cluster, term, count(*) AS n FROM cterms GROUP BY 1, 2) GROUP BY cluster"""))
+
+
 def _pool(scheme: str, text: str, rows: str) -> str:
     return f"""
 SELECT '{scheme}' AS scheme, '{text}' AS text, count(DISTINCT doc_key) AS n_docs, count(*) AS n_terms,

@@ -432,6 +432,29 @@ def q_modularity(spark, sf):
     return rounded(graph.modularity(p.weighted, p.clusters_result[0]).select("n_clusters", "modularity"), "modularity")
 
 
+@query("modularity_classes")
+def q_modularity_classes(spark, sf):
+    """The modularity class of every tag at every level."""
+    p = Pipeline.of(spark, sf)
+    return p.classes.join(p.nodes.select("Id", "Name"), "Id").select("Id", "Name", "level", "cluster")
+
+
+@query("modularity_levels")
+def q_modularity_levels(spark, sf):
+    """Clusters and modularity of label propagation (level 0) and of every level of the modularity classes."""
+    p = Pipeline.of(spark, sf)
+    lpa = p.clusters_result[0].select("Id", F.lit(0).alias("level"), "cluster")
+    return rounded(graph.modularity_by(p.weighted, lpa.unionByName(p.classes), "level"), "modularity")
+
+
+@query("class_docs")
+def q_class_docs(spark, sf):
+    """The documents of the modularity classes: terms and tokens of each."""
+    c = Pipeline.of(spark, sf).class_texts.select(F.col("doc_key").alias("cluster"), F.explode("tokens").alias("term"))
+    c = c.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("count"))
+    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("count").alias("n_tokens"))
+
+
 @query("cluster_docs")
 def q_cluster_docs(spark, sf):
     c = Pipeline.of(spark, sf).cluster_texts.select(F.col("doc_key").alias("cluster"), F.explode("tokens").alias("term"))
