@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import clean, communities, docs, enrich, graph, ingest, similarity, tags, topics
+from ..operators import clean, communities, docs, enrich, gibbs, graph, ingest, similarity, tags, topics
 from ..session import stage
 from ..sources import fixtures
 
@@ -288,6 +288,19 @@ class Pipeline:
         tw = topics.topic_words(model or self.model(k), self.lda_corpus[1], fixed.COHERENCE_TOP_WORDS)
         return stage(topics.coherence_cv(tw.select("topic", "term"), self.lda_prepared), "coherence")
 
+    def sampled(self, k: int = TOPIC_K, sweeps: int = gibbs.SWEEPS):
+        """``(tokens with topics, alpha)`` of the Gibbs sampler over the cluster documents, drawn once per choice."""
+        if ("gibbs", k, sweeps) not in self._models:
+            _, vocab, v = self.lda_corpus
+            tokens = stage(gibbs.token_table(self.cluster_texts, vocab, v, ["tag", "text"]), "tokens")
+            self._models["gibbs", k, sweeps] = gibbs.sample_topics(tokens, k, v, sweeps)
+        return self._models["gibbs", k, sweeps]
+
+    def sampled_coherence(self, k: int = TOPIC_K, sweeps: int = gibbs.SWEEPS) -> DataFrame:
+        """c_v per topic of the sampled topics."""
+        words = gibbs.topic_words(self.sampled(k, sweeps)[0], self.lda_corpus[1], fixed.COHERENCE_TOP_WORDS, k)
+        return topics.coherence_cv(words.select("topic", "term"), self.lda_prepared)
+
     @cached_property
     def sweep(self):
         vectors = self.lda_corpus[0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import clean, docs, enrich, graph, ingest, similarity, tags, tokens, topics
+from ..operators import clean, docs, enrich, gibbs, graph, ingest, similarity, tags, tokens, topics
 from ..sources import fixtures
 from . import chain
 from .chain import Pipeline, basket_pipeline
@@ -489,6 +489,23 @@ def q_coherence_cv(spark, sf):
     return Pipeline.of(spark, sf).coherence(chain.TOPIC_K)
 
 
+@query("gibbs_topics")
+def q_gibbs_topics(spark, sf):
+    """Topics drawn by the Gibbs sampler: alpha, tokens, share and c_v of each."""
+    p = Pipeline.of(spark, sf)
+    state, alpha = p.sampled()
+    sizes = gibbs.topic_sizes(state, alpha).join(p.sampled_coherence(), "topic", "left")
+    return sizes.select("topic", F.round("alpha", 6).alias("alpha"), "n_tokens", F.round("share", DIGITS).alias("share"),
+                        F.round("coherence", 6).alias("coherence"))
+
+
+@query("gibbs_terms")
+def q_gibbs_terms(spark, sf):
+    """The 100 terms most often drawn in each topic."""
+    p = Pipeline.of(spark, sf)
+    return gibbs.topic_words(p.sampled()[0], p.lda_corpus[1], fixed.TOPIC_TERMS, chain.TOPIC_K)
+
+
 @query("topic_terms")
 def q_topic_terms(spark, sf):
     p = Pipeline.of(spark, sf)
