@@ -15,6 +15,7 @@ from functools import lru_cache
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.stopwords import default_stopwords
+from ..operators.idsets import ARRAY_IDS
 from ..sources.fixtures import EXTRA_STOPWORDS, MAX_TURNS
 from .chain import MIN_WORDS, POPULAR_MIN
 
@@ -304,6 +305,19 @@ q("tagged_tweets", lambda: with_base(
 q("explode_tags", lambda: with_base("SELECT tweet_id, tag FROM inc_raw"))
 q("normalize_tags", lambda: with_base("SELECT tweet_id, tag FROM inc"))
 q("tag_counts", lambda: with_base("SELECT * FROM counts"))
+BASKETS = """inc AS (SELECT DISTINCT l.l_orderkey AS id, p.p_brand AS tag FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+q("tag_id_sets", lambda: f"""
+WITH {BASKETS}
+SELECT tag, bucket, count(*) AS n, CASE WHEN count(*) >= {ARRAY_IDS} THEN 'bits' ELSE 'ids' END AS kind,
+       string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
+FROM (SELECT tag, id, CASE WHEN id > 0 THEN (id - 1) // 32768 + 1 ELSE CAST(trunc(id / 32768) AS BIGINT) END AS bucket FROM inc)
+GROUP BY tag, bucket""")
+q("tag_overlaps", lambda: f"""
+WITH {BASKETS},
+n AS (SELECT tag, count(*) AS n FROM inc GROUP BY tag),
+w AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS shared FROM inc a JOIN inc b ON a.id = b.id AND a.tag < b.tag GROUP BY 1, 2)
+SELECT tag_a, tag_b, na.n AS n_a, nb.n AS n_b, shared, round(shared / (na.n + nb.n - shared), 9) AS jaccard
+FROM w JOIN n na ON tag_a = na.tag JOIN n nb ON tag_b = nb.tag""")
 q("popular_tags", lambda: with_base("SELECT * FROM popular"))
 q("graph_nodes", lambda: with_base("SELECT * FROM nodes"))
 q("top_tags", lambda: with_base(

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import clean, docs, enrich, gibbs, graph, ingest, similarity, tags, tokens, topics
+from ..operators import clean, docs, enrich, gibbs, graph, idsets, ingest, similarity, tags, tokens, topics
+from ..session import stage
 from ..sources import fixtures
 from . import chain
 from .chain import Pipeline, basket_pipeline
@@ -279,6 +280,24 @@ def q_tag_counts(spark, sf):
     return Pipeline.of(spark, sf).counts
 
 
+@query("tag_id_sets")
+def q_tag_id_sets(spark, sf):
+    """The tweet ids of every tag of the basket fixture, by container, read back from bitmaps and arrays."""
+    sets = stage(idsets.id_sets(fixtures.baskets(spark, sf)), "id_sets")
+    lists = idsets.members(sets).groupBy("tag", "bucket").agg(
+        F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    kind = F.when(F.col("bits").isNull(), "ids").otherwise("bits")
+    return sets.select("tag", "bucket", "n", kind.alias("kind")).join(lists, ["tag", "bucket"])
+
+
+@query("tag_overlaps")
+def q_tag_overlaps(spark, sf):
+    """Shared tweets and Jaccard similarity of all tags that stand together in a basket, from the id sets."""
+    inc = fixtures.baskets(spark, sf)
+    pairs = graph.cooccur_weighted(inc).select("tag_a", "tag_b")
+    return rounded(idsets.overlaps(stage(idsets.id_sets(inc), "id_sets"), pairs), "jaccard")
+
+
 @query("popular_tags")
 def q_popular_tags(spark, sf):
     return Pipeline.of(spark, sf).popular
