@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import clean, communities, docs, enrich, gibbs, graph, ingest, similarity, tags, topics
+from ..operators import clean, communities, docs, embeddings, enrich, gibbs, graph, ingest, similarity, tags, topics
 from ..session import stage
 from ..sources import fixtures
 
@@ -32,6 +32,7 @@ TFIDF_NGRAMS = (1, 1)
 TOP_FEATURES = 1000    # hashdocs_tfidf(max_features), in the query that cuts the vocabulary
 SIM_THRESHOLD = 0.6    # similarity_edges(similarity_threshold)
 TERM_SIM_THRESHOLD = 0.5
+WORD_SIM_THRESHOLD = 0.8  # of word vectors
 LDA_KS = range(2, 8, 2)  # find_topic_num(limit_num=8, start_num=2, step_num=2)
 TOPIC_K = 4            # the model shown by the topic views
 
@@ -222,6 +223,20 @@ class Pipeline:
         vocab = self.tfidf_of()[1]
         return stage(similarity.cosine_pairs(self.tfidf, SIM_THRESHOLD, vocab.select("term", "df")), "cosine")
 
+    @cached_property
+    def word_pmi(self) -> DataFrame:
+        """``(a, b, n, x)``: co-occurrence counts and PPMI of the words of ``df``."""
+        return stage(embeddings.ppmi(embeddings.cooccurrences(self.df, "tokenized")), "word_pmi")
+
+    @cached_property
+    def word_vectors(self) -> DataFrame:
+        return embeddings.word_vectors(self.word_pmi)
+
+    @cached_property
+    def alike_words(self) -> DataFrame:
+        """``(t1, t2, s)``: words alike by their vectors."""
+        return stage(embeddings.alike_words(self.word_vectors, WORD_SIM_THRESHOLD), "alike_words")
+
     @cached_property
     def clusters_result(self):
         """``(labels, rounds)``."""

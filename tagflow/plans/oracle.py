@@ -15,6 +15,7 @@ from functools import lru_cache
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.stopwords import default_stopwords
+from ..operators.embeddings import MIN_COUNT, WINDOW
 from ..operators.idsets import ARRAY_IDS
 from ..sources.fixtures import EXTRA_STOPWORDS, MAX_TURNS
 from .chain import MIN_WORDS, POPULAR_MIN
@@ -305,6 +306,16 @@ q("tagged_tweets", lambda: with_base(
 q("explode_tags", lambda: with_base("SELECT tweet_id, tag FROM inc_raw"))
 q("normalize_tags", lambda: with_base("SELECT tweet_id, tag FROM inc"))
 q("tag_counts", lambda: with_base("SELECT * FROM counts"))
+q("word_cooccurrence", lambda: with_base(f"""
+, t AS (SELECT id, tokenized AS t FROM dfx), w AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM t),
+known AS (SELECT w FROM w GROUP BY w HAVING count(*) >= {MIN_COUNT}),
+pn AS (SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b, count(*) AS n FROM w x JOIN w y
+       ON x.id = y.id AND y.p > x.p AND y.p <= x.p + {WINDOW} AND x.w <> y.w
+       WHERE x.w IN (SELECT w FROM known) AND y.w IN (SELECT w FROM known) GROUP BY 1, 2),
+e AS (SELECT w, sum(n) AS n FROM (SELECT a AS w, n FROM pn UNION ALL SELECT b, n FROM pn) GROUP BY w)
+SELECT a, b, n, round(x, 9) AS x FROM (
+  SELECT a, b, pn.n, ln(CAST(pn.n AS DOUBLE) * (SELECT 2 * sum(n) FROM pn) / (CAST(ea.n AS DOUBLE) * eb.n)) AS x
+  FROM pn JOIN e ea ON a = ea.w JOIN e eb ON b = eb.w) WHERE x > 0"""))
 BASKETS = """inc AS (SELECT DISTINCT l.l_orderkey AS id, p.p_brand AS tag FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 q("tag_id_sets", lambda: f"""
 WITH {BASKETS}

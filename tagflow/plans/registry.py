@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import clean, docs, enrich, gibbs, graph, idsets, ingest, similarity, tags, tokens, topics
+from ..operators import clean, docs, embeddings, enrich, gibbs, graph, idsets, ingest, similarity, tags, tokens, topics
 from ..session import stage
 from ..sources import fixtures
 from . import chain
@@ -411,6 +411,26 @@ def q_soft_cosine_pairs_all(spark, sf):
     return rounded(similarity.soft_cosine_pairs(w, s, chain.SIM_THRESHOLD), "Weight")
 
 
+@query("word_cooccurrence")
+def q_word_cooccurrence(spark, sf):
+    """Words of cleaned tweets that stand within five places of each other, and their PPMI."""
+    return rounded(Pipeline.of(spark, sf).word_pmi, "x")
+
+
+@query("alike_words")
+def q_alike_words(spark, sf):
+    """Pairs of words whose vectors have a cosine of 0.8 or more."""
+    return Pipeline.of(spark, sf).alike_words.select("t1", "t2", F.round("s", 6).alias("s"))
+
+
+@query("soft_cosine_words")
+def q_soft_cosine_words(spark, sf):
+    """Soft cosine of tag documents, words being alike by their vectors."""
+    p = Pipeline.of(spark, sf)
+    found = similarity.soft_cosine_pairs(p.tfidf, embeddings.both_ways(p.alike_words), chain.SIM_THRESHOLD)
+    return found.select("Source", "Target", F.round("Weight", 6).alias("Weight"))
+
+
 @query("word_freq")
 def q_word_freq(spark, sf):
     return docs.word_freq(Pipeline.of(spark, sf).df, "tokenized")
