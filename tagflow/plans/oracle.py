@@ -15,6 +15,7 @@ from functools import lru_cache
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.stopwords import default_stopwords
+from ..operators import urls
 from ..operators.embeddings import MIN_COUNT, WINDOW
 from ..operators.idsets import ARRAY_IDS
 from ..sources.fixtures import EXTRA_STOPWORDS, MAX_TURNS
@@ -353,6 +354,35 @@ q("extract_urls", lambda: f"""
 SELECT page_id, CAST(len(l) AS INTEGER) AS url_count, array_to_string(l, ' ') AS urls FROM (
   SELECT page_id, regexp_extract_all(concat_ws(' ', url, html), {s(tx.LINK_RE)}, 0) AS l
   FROM pages)""")
+q("bare_urls", lambda: f"""
+WITH suffix AS (SELECT DISTINCT lower(regexp_extract(regexp_extract(url, '^https?://([^/?#:]*)', 1), '[^.]+$', 0)) AS suffix FROM pages),
+run AS (
+  SELECT page_id AS id, unnest(l) AS run, generate_subscripts(l, 1) AS pos FROM (
+    SELECT page_id, list_filter(regexp_extract_all(concat_ws(' ', regexp_replace(url, '^https?://', ''), html), {s(urls.RUN)}, 0),
+                                lambda r: contains(r, '.') OR contains(r, '://')) AS l FROM pages)),
+u AS (SELECT id, pos, regexp_replace(run, {s(urls.TRAILING)}, '') AS url FROM run),
+h AS (
+  SELECT *, regexp_matches(url, {s(urls.SCHEME)}) AS scheme,
+         regexp_extract(regexp_replace(url, {s(urls.SCHEME)}, ''), '^[^/?#]*', 0) AS host FROM u),
+c AS (
+  SELECT id, pos, url, scheme, lower(regexp_replace(
+    CASE WHEN scheme THEN regexp_replace(host, '^.*@', '') ELSE host END, ':[0-9]*$', '')) AS host FROM h),
+k AS (
+  SELECT c.*, string_split(host, '.') AS l FROM c
+  WHERE CASE WHEN scheme THEN host <> '' ELSE regexp_matches(host, {s(urls.HOST)}) END),
+m AS (
+  SELECT id, pos, url, scheme, any_value(l) AS l, max(d) FILTER (s.suffix IS NOT NULL) AS d
+  FROM (SELECT k.*, unnest(range(1, 4)) AS d FROM k) x
+  LEFT JOIN suffix s ON d <= len(l) AND array_to_string(l[len(l) - d + 1:], '.') = s.suffix GROUP BY id, pos, url, scheme),
+f AS (
+  SELECT id, pos, url, scheme, CASE WHEN d < len(l) THEN array_to_string(l[len(l) - d:], '.') END AS domain FROM m
+  WHERE scheme OR d < len(l)),
+g AS (
+  SELECT id, CAST(count(*) AS INTEGER) AS url_count, count(*) FILTER (NOT scheme) AS bare_count,
+         string_agg(url, ' ' ORDER BY pos) AS urls,
+         array_to_string(list_sort(list(DISTINCT domain) FILTER (domain IS NOT NULL)), ' ') AS domains FROM f GROUP BY id)
+SELECT page_id AS id, coalesce(url_count, 0) AS url_count, coalesce(bare_count, 0) AS bare_count,
+       coalesce(urls, '') AS urls, coalesce(domains, '') AS domains FROM pages LEFT JOIN g ON page_id = id""")
 q("tag_report", lambda: with_base("""
 SELECT * FROM (VALUES
  ('cleaned tweets', (SELECT count(*) FROM dfx)),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import clean, docs, embeddings, enrich, gibbs, graph, idsets, ingest, similarity, tags, tokens, topics
+from ..operators import clean, docs, embeddings, enrich, gibbs, graph, idsets, ingest, similarity, tags, tokens, topics, urls
 from ..session import stage
 from ..sources import fixtures
 from . import chain
@@ -334,6 +334,13 @@ def q_extract_urls(spark, sf):
     return tags.extract_urls(fixtures.page_texts(spark, sf), "page_id")
 
 
+@query("bare_urls")
+def q_bare_urls(spark, sf):
+    """URLs of page texts, bare domains included; the suffixes are those of the pages' own hosts."""
+    texts = fixtures.bare_page_texts(spark, sf)
+    return urls.url_lists(texts, urls.urls(texts, fixtures.page_suffixes(spark, sf), "page_id"), "page_id")
+
+
 @query("tag_report")
 def q_tag_report(spark, sf):
     p = Pipeline.of(spark, sf)

@@ -130,3 +130,16 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as texts that carry links: the page URL followed by its HTML."""
     p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return p.select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+
+
+def bare_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_texts`` whose first URL has lost its scheme, as people type it."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return p.select("page_id", F.concat_ws(" ", F.regexp_replace("url", "^https?://", ""), "html").alias("text"))
+
+
+def page_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(suffix)``: the last labels of the hosts of all pages."""
+    host = F.regexp_extract("url", "^https?://([^/?#:]*)", 1)
+    return read_table(spark, sf_dir, "pages").select(
+        F.lower(F.regexp_extract(host, r"[^.]+$", 0)).alias("suffix")).where("suffix <> ''").distinct()
