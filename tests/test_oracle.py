@@ -61,7 +61,9 @@ _SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "do
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["Id", "Label", "Count"]
-    assert df.count() >= 0
+    rows = df.collect()
+    assert [r.Id for r in rows] == list(range(1, len(rows) + 1)) and 0 < len(rows) <= 20
+    assert [r.Count for r in rows] == sorted((r.Count for r in rows), reverse=True)
 
 
 def test_topic_models_of_the_registered_corpus(spark):
