@@ -41,7 +41,8 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("response.payload_bytes").alias("payload_bytes"),
                       F.col("response.payload_digest").alias("payload_digest"),
                       F.col("response.warc_type").alias("record_type"),
-                      warc.page_of(F.col("response.refers_to")).alias("refers_to"))
+                      warc.page_of(F.col("response.refers_to")).alias("refers_to"),
+                      F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
 
 
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +132,7 @@ WITH p AS (
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, p.payload_digest,
        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+       CASE WHEN first <> page_id THEN first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
 """,
     "op11_line_dedup": """

@@ -84,6 +84,15 @@ def test_pages_without_an_id(spark, tmp_path, monkeypatch):
         (None, 0, "response", None), (None, 150, "response", None), (1, 150, "response", None), (2, 150, "revisit", 1)]
 
 
+def test_query_assembles_transactions(spark):
+    """The join of the side records is part of the query's plan and gives each page its request and metadata."""
+    from tagflow.llm import queries
+    got = queries.op4_warc(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and plan.count("MapInArrow") == 2
+    assert {(r.n_requests, r.n_metadata) for r in got.collect()} == {(1, 1)}
+
+
 def test_captures_without_or_with_several_side_records(spark):
     rows = [("r1", "response", None), ("q1", "request", "r1"), ("m2", "metadata", "r1"), ("m1", "metadata", "r1"),
             ("r2", "response", None), ("q9", "request", "gone"), ("w", "warcinfo", None), ("q0", "request", None)]
