@@ -14,10 +14,12 @@ digits in lower case.  Items are put in classes by length (powers of two); a
 class with items of up to m words is searched with passages of 2 m words that
 start every m words, so each occurrence of an item lies whole in some passage.
 
-The index is built in blocks of at most ``max_items`` items; each block is
-broadcast (its size is bounded by that) and searched by one pass over the
-documents, so any number of items is handled.  The passes shuffle nothing but
-the leaks they find.
+Document frequencies, mean and largest length and number of items of a class are
+taken over all items, by aggregates, so neither an item's score nor the passages
+depend on which others share its index.  An index holds at most ``max_items`` items of a class; one pass
+over the documents searches the indexes of ``INDEXES * max_items`` items, which
+are broadcast (their size is bounded by that), so any number of items is
+handled.  The passes over the documents shuffle nothing.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from ..plans.rank import number_rows
+from .common import append_columns, staged
 
 MAX_ITEMS = 1024     # items of one index
+INDEXES = 4          # a pass takes so many times the items of an index
 BLOCK = 4            # items of one posting block
 K1, B = 1.2, 0.75
 WORD = re.compile(r"[^\W_]+")
@@ -45,6 +49,10 @@ LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("scor
                     T.StructField("item_overlap", T.DoubleType())])
 
 
+ITEM = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("n_words", T.LongType()),
+                     T.StructField("words", T.ArrayType(T.StringType()))])
+
+
 def words_of(text: str | None) -> list:
     return WORD.findall(text.lower()) if text else []
 
@@ -74,22 +82,33 @@ def overlap_of(part: list, passage: list, size: int) -> float:
     return len(want & shingles(passage, min(size, len(part)))) / len(want)
 
 
-def build_index(items: list, block: int = BLOCK, k1: float = K1, b: float = B) -> SimpleNamespace:
-    """Inverted index of one length class of ``(item_id, question, answer)``.
+def statistics_of(items: list) -> tuple[int, int, int, dict]:
+    """Items, words, words of the longest, and items per word of ``(item_id, question, answer)``."""
+    df: dict = {}
+    for _, q, a in items:
+        for w in dict.fromkeys(q + a):
+            df[w] = df.get(w, 0) + 1
+    lengths = [len(q) + len(a) for _, q, a in items]
+    return len(items), sum(lengths), max(lengths), df
+
+
+def build_index(items: list, corpus: tuple[int, int, int, dict] | None = None, block: int = BLOCK, k1: float = K1,
+                b: float = B) -> SimpleNamespace:
+    """Inverted index of ``(item_id, question, answer)`` of one length class.
 
-    ``span``: words of the longest item; ``vocab``: word -> term; the postings
+    ``corpus`` has the statistics of the class that the items are of, as
+    ``statistics_of`` gives them (default: those of ``items``).
+
+    ``span``: words of the longest item of the class; ``vocab``: word -> term; the postings
     of term t are ``docs[starts[t]:starts[t + 1]]`` (item numbers, increasing)
     with ``impact``, the share of the item's own BM25 score that the term gives;
     ``block_max[term, block]`` and ``term_max[term]``: largest impacts.
     """
     texts = [q + a for _, q, a in items]
-    mean = sum(map(len, texts)) / len(texts)
-    df: dict = {}
-    for t in texts:
-        for w in set(t):
-            df[w] = df.get(w, 0) + 1
-    vocab = {w: i for i, w in enumerate(df)}
-    n, lists = len(items), [[] for _ in vocab]
+    n, total_words, span, df = corpus or statistics_of(items)
+    mean = total_words / n
+    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    lists: list = [[] for _ in vocab]
     for d, t in enumerate(texts):
         tf: dict = {}
         for w in t:
@@ -102,11 +121,11 @@ def build_index(items: list, block: int = BLOCK, k1: float = K1, b: float = B) -
     starts = np.append(0, np.cumsum([len(x) for x in lists]))
     docs = np.array([d for x in lists for d, _ in x], dtype=np.int64)
     impact = np.array([s for x in lists for _, s in x])
-    blocks = -(-n // block)
+    blocks = -(-len(items) // block)
     block_max = np.zeros((len(vocab), blocks), dtype=np.float32)
     term = np.repeat(np.arange(len(vocab)), np.diff(starts))
     np.maximum.at(block_max, (term, docs // block), np.nextafter(impact.astype(np.float32), np.float32(2)))
-    return SimpleNamespace(span=max(map(len, texts)), items=items, vocab=vocab, starts=starts, docs=docs,
+    return SimpleNamespace(span=span, items=items, vocab=vocab, starts=starts, docs=docs,
                            impact=impact, block_max=block_max, term_max=block_max.max(axis=1))
 
 
@@ -157,13 +176,15 @@ def block_max_wand(ix: SimpleNamespace, terms: list, threshold: float, block: in
                     advance(c, doc)
 
 
-def build_classes(rows: list) -> tuple[dict, list]:
-    """One index per length class, and the vocabulary of all of them.
+def build_classes(rows: list, corpus: dict, max_items: int = MAX_ITEMS) -> tuple[dict, list]:
+    """Indexes of at most ``max_items`` items of a length class, and the vocabulary of all of them.
 
-    Returns ``(vocab, [(index, own)])``; ``own`` turns a term of the shared
-    vocabulary (or -1) into the index's term, -1 where it has none.
+    ``corpus`` has the statistics of each class.  Returns ``(vocab, [(index,
+    own)])``; ``own`` turns a term of the shared vocabulary (or -1) into the
+    index's term, -1 where it has none.
     """
-    indexes = [build_index(c) for c in length_classes(rows)]
+    indexes = [build_index(of_kind[i:i + max_items], corpus[kind])
+               for kind, of_kind in length_classes(rows).items() for i in range(0, len(of_kind), max_items)]
     vocab: dict = {}
     for ix in indexes:
         for w in ix.vocab:
@@ -217,14 +238,30 @@ def search(ix: SimpleNamespace, known: np.ndarray, words: list, threshold: float
     return best
 
 
-def length_classes(rows: list) -> list:
-    """Items with a word, by the power of two that their length fits."""
+def kind_of(n_words: int) -> int:
+    """The length class: the power of two that a number of words fits."""
+    return (n_words - 1).bit_length()
+
+
+def length_classes(rows: list) -> dict:
+    """Items ``(item_id, question, answer)`` with a word, by length class."""
     by: dict = {}
     for item, text in rows:
         q, a = question_and_answer(text)
         if q:
-            by.setdefault((len(q) + len(a) - 1).bit_length(), []).append((item, q, a))
-    return [by[k] for k in sorted(by)]
+            by.setdefault(kind_of(len(q) + len(a)), []).append((item, q, a))
+    return {k: by[k] for k in sorted(by)}
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """``(i, t)`` plus length class, number of words and distinct words; items without a word go."""
+
+    def compute(col):
+        words = [q + a for q, a in map(question_and_answer, col.to_pylist())]
+        return [[kind_of(len(w)) if w else None for w in words], [len(w) for w in words],
+                [list(dict.fromkeys(w)) for w in words]]
+
+    return append_columns(rows, ITEM, ["t"], compute).where("n_words > 0")
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5,
@@ -233,16 +270,30 @@ def with_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     """All columns (or ``keep``) plus ``leaks``: one struct per leaked item, in order of ``item_id``.
 
     Null or empty texts, and items without a word or an id, leak nothing.
-    Items that repeat an id count separately, the best match is reported.
+    Items that repeat an id count separately, the best match is reported (of
+    equal ones that of the earliest passage).  Repeated documents are searched
+    each; a text of any length is searched whole, passage by passage.  An empty
+    table of documents gives no row, one of items empty lists.  A column of
+    ``docs`` named ``leaks`` is replaced, other columns of any name stay.
     """
     rows = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"),
                                                            F.col(item_text).alias("t"))
-    blocks = -(-rows.count() // max_items) or 1
+    numbered, n_items = number_rows(measured(rows), ["i", "t"], "place")
+    of_words = numbered.select("kind", F.explode("words").alias("word"))
+    df = staged(of_words.groupBy("kind", "word").agg(F.count("*").alias("n")), "item_words")
+    sums = {r[0]: tuple(r)[1:] for r in                                                # one row per power of two
+            numbered.groupBy("kind").agg(F.count("*"), F.sum("n_words"), F.max("n_words")).collect()}
+    passes = -(-n_items // (INDEXES * max_items)) or 1
     out, asked = docs, keep
     sc = docs.sparkSession.sparkContext
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        held = sc.broadcast(build_classes(sorted((r[0], r[1] or "") for r in part.collect())))
+    for k in range(passes):
+        part = numbered.where(F.floor((F.col("place") - 1) / (INDEXES * max_items)) == k)
+        corpus = {kind: (*of_kind, {}) for kind, of_kind in sums.items()}
+        own = part.select("kind", F.explode("words").alias("word")).distinct()
+        for kind, word, n in df.join(own, ["kind", "word"]).select("kind", "word", "n").collect():
+            corpus[kind][3][word] = n
+        rows_of_pass = sorted((r[0], r[1]) for r in part.select("i", "t").collect())
+        held = sc.broadcast(build_classes(rows_of_pass, corpus, max_items))
         more = k > 0
 
         def compute(col, *before, held=held, more=more):
@@ -258,7 +309,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
             return [[[dict(zip(LEAK.names, m)) for m in f] for f in found]]
 
         fields = T.StructType([T.StructField("leaks", T.ArrayType(LEAK))])
-        last = k == blocks - 1
+        last = k == passes - 1
         out = append_columns(out, fields, [text_col] + ["leaks"] * more, compute,
                              keep=asked if last or asked is None else asked + [text_col])
     return out

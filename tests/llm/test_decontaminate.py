@@ -85,3 +85,32 @@ def test_one_changed_word_or_a_missing_end_is_a_leak(spark):
     assert [len(got[i]) for i in range(38)] == [1] * 37 + [0]
     assert abs(got[33][0].item_overlap - 29 / 32) < 1e-9 and got[33][0].question_overlap == 1
     assert got[33][0].answer_overlap < 0.8 and abs(got[36][0].item_overlap - 26 / 32) < 1e-9
+
+
+def test_scores_do_not_depend_on_the_size_of_an_index(spark):
+    rng = random.Random(11)
+    vocab = [f"w{int(rng.paretovariate(0.8))}" for _ in range(300)]
+    bench = items(rng, vocab, 60)
+    texts = [rng.choice(bench)[1] + " " + " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 200))) for _ in range(40)]
+    texts += [texts[0], "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench_df = spark.createDataFrame(bench + [bench[3]], "item_id long, text string")
+    rows = dc.length_classes(sorted(bench + [bench[3]]))
+    got = []
+    for size in (1024, 7, 3):
+        found = dc.with_leaks(df, bench_df, max_items=size, keep=["doc_id"]).collect()
+        got.append({(r.doc_id, m.item_id): round(m.score, 9) for r in found for m in r.leaks})
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 40
+    assert {i: s for (d, i), s in got[0].items() if d == 0} == {i: s for (d, i), s in got[0].items() if d == 40}
+    for kind, of_kind in rows.items():       # by the definition, over all items of the class
+        texts_of = [q + a for _, q, a in of_kind]
+        n, words, longest, df_of = dc.statistics_of(of_kind)
+        assert n == len(of_kind) and words == sum(map(len, texts_of)) and longest == max(map(len, texts_of))
+        assert all(df_of[w] == sum(w in t for t in texts_of) for w in df_of)
+        part = dc.build_index(of_kind[:3], (n, words, longest, df_of))
+        whole = dc.build_index(of_kind)
+        for w, t in part.vocab.items():
+            u = whole.vocab[w]
+            all_of = dict(zip(whole.docs[whole.starts[u]:whole.starts[u + 1]], whole.impact[whole.starts[u]:whole.starts[u + 1]]))
+            for d, x in zip(part.docs[part.starts[t]:part.starts[t + 1]], part.impact[part.starts[t]:part.starts[t + 1]]):
+                assert abs(all_of[d] - x) < 1e-12
