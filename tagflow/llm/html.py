@@ -3,13 +3,17 @@
 The page becomes a tree, as a browser would repair it.  Boilerplate
 subtrees (menus, page headers and footers, sidebars, notices, adverts,
 forms, reader comments, scripts and styles) are dropped by tag, role, or words
-of class and id.  Every paragraph then passes points to its ancestors: one
-for being there, one per comma, one per hundred characters (three at most);
-the parent gets all, the grandparent half, the n-th above 1 / 3n.  A container's
-points are discounted by its link density.  The best container is kept.  Where
-no article or main marks the text, its siblings of low link density are kept
-too (elements and bare text, and headings before what is kept); beside an
-article or main only those that score enough.
+of class and id.  A name that speaks of layout, or a form, drops no subtree that
+holds most of the page's text where no article or main does; a name that has
+such a word beside a subject (``social-history``) drops no prose.  Every
+paragraph then passes points to its ancestors: one for being there, one per
+comma, one per hundred characters (three at most); the parent gets all, the
+grandparent half, the next a sixth, and each above two thirds of the one below.
+A container's points are discounted by its link density.  The best container is
+kept.  Where no article or main marks the text, its siblings of low link density
+are kept too (elements and bare text, headings before what is kept, and parts
+with a heading between kept ones); beside an article or main only those that
+score enough.  The work is linear in the page, however deep it is.
 """
 
 from __future__ import annotations
@@ -54,6 +58,16 @@ OTHER_TEXTS = frozenset("ad ads adv advert adverts advertisement advertising com
 # A header of one of these is part of the text; names with these prefixes speak of what a wrapper has.
 TEXT_WORDS = frozenset("article content entry main post story text".split())
 ABOUT_LAYOUT = frozenset("has no with without".split())
+# Layout words that also name subjects, and words that leave them a name of layout.
+SUBJECTS = frozenset("rail share sharing skip social".split())
+OF_LAYOUT = frozenset("bar block box btn button buttons center col column container content cta fixed float follow group "
+                      "icon icons inline inner item items left legal link links list main media mobile nav network "
+                      "networks outer page panel post profile profiles right row section site small sticky this to top wrap "
+                      "wrapper".split())
+# What is named so is never the whole page.
+NOTICES = frozenset("breadcrumb breadcrumbs consent cookie cookies gdpr modal newsletter notice notices overlay pager pagination "
+                    "popup skip subscribe subscription".split())
+PROSE = 80            # characters outside links that make a paragraph prose
 # First words of the names by which an article tells its kind and subject.
 ABOUT_POST = frozenset("category format status tag type".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -70,52 +84,57 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "points")
+    __slots__ = ("tag", "attrs", "parent", "kids", "points", "in_text", "prose")
 
     def __init__(self, tag: str, attrs: str, parent):
         self.tag, self.attrs, self.parent, self.kids, self.points = tag, attrs, parent, [], 0.0
+        self.prose = False
+        self.in_text = parent is not None and (parent.in_text or parent.tag in ("article", "main"))
 
 
 def parse(page: str) -> Node:
     """Tree of a page: nodes and text strings, with missing end tags repaired."""
     root = Node("html", "", None)
-    cur, at, n = root, 0, len(page)
-
-    def open_above(node: Node, names, barriers):
-        while node is not root:
-            if node.tag in names:
-                return node
-            if node.tag in barriers:
-                return None
-            node = node.parent
-        return None
+    at, n = 0, len(page)
+    path: list = []       # open elements below the root
+    places: dict = {}     # places in ``path`` of the open elements of each tag
+
+    def innermost(names) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=-1)
+
+    def open_above(names, barriers) -> int:
+        """Place of the innermost open element of ``names`` that no open one of ``barriers`` hides; -1 if none."""
+        found = innermost(names)
+        return found if found >= innermost(barriers) else -1
+
+    def close(place: int) -> None:
+        while len(path) > place >= 0:
+            places[path.pop().tag].pop()
 
     while at < n:
+        cur = path[-1] if path else root
         m = TAG.search(page, at)
         if m is None:
-            if at < n:
-                cur.kids.append(page[at:])
+            cur.kids.append(page[at:])
             break
         if m.start() > at:
             cur.kids.append(page[at:m.start()])
         at = m.end()
         if m.group(2):
             tag = m.group(2).lower()
-            if tag in ("html", "body") and (tag == "html" or open_above(cur, ("body",), ())):
+            if tag == "html" or tag == "body" and places.get("body"):
                 continue
             if tag in ENDS_P:
-                p = open_above(cur, ("p",), P_BARRIERS)
-                if p is not None:
-                    cur = p.parent
+                close(open_above(("p",), P_BARRIERS))
             if tag == "body":
-                head = open_above(cur, ("head",), ())
-                cur = head.parent if head is not None else cur
+                close(open_above(("head",), ()))
             if tag in CLOSES:
-                old = open_above(cur, CLOSES[tag], BARRIERS[tag])
-                while old is not None:
-                    cur = old.parent
-                    old = open_above(cur, CLOSES[tag], BARRIERS[tag])
+                old = open_above(CLOSES[tag], BARRIERS[tag])
+                while old >= 0:
+                    close(old)
+                    old = open_above(CLOSES[tag], BARRIERS[tag])
             attrs = m.group(3) or ""
+            cur = path[-1] if path else root
             node = Node(tag, attrs, cur)
             cur.kids.append(node)
             if tag in RAW:
@@ -123,15 +142,12 @@ def parse(page: str) -> Node:
                 node.kids.append(page[at:end.start() if end else n])
                 at = end.end() if end else n
             elif tag not in VOID and not attrs.endswith("/"):
-                cur = node
+                places.setdefault(tag, []).append(len(path))
+                path.append(node)
         elif m.group(1):
             tag = m.group(1).lower()
-            if tag in ("html", "body"):
-                continue
-            stop = P_BARRIERS if tag not in BLOCKS else ("html",)
-            old = open_above(cur, (tag,), stop)
-            if old is not None:
-                cur = old.parent
+            if tag not in ("html", "body"):
+                close(open_above((tag,), P_BARRIERS if tag not in BLOCKS else ()))
     return root
 
 
@@ -141,12 +157,7 @@ def judge(node: Node) -> int:
     if tag in DROPPED:
         return NO_TEXT
     if tag == "header":
-        up = node.parent
-        while up is not None:
-            if up.tag in ("article", "main"):
-                return TEXT
-            up = up.parent
-        return NO_TEXT
+        return TEXT if node.in_text else NO_TEXT
     if not node.attrs or tag in ("html", "body", "main"):
         return TEXT
     found = TEXT
@@ -168,10 +179,71 @@ def judge(node: Node) -> int:
                     continue
                 if tag == "article" and split[0] in ABOUT_POST:
                     continue
+                if node.prose and not bad & OTHER_TEXTS and ("of" in words or bad <= SUBJECTS and words - bad - OF_LAYOUT):
+                    continue
                 found = max(found, OTHERS if bad & OTHER_TEXTS else LAYOUT)
     return found
 
 
+def find_prose(root: Node) -> None:
+    """Set ``prose`` where some paragraph of a subtree holds ``PROSE`` characters outside links."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [k for k in x.kids if not isinstance(k, str)]
+    inline: dict = {}
+    for x in reversed(order):
+        chars = 0
+        for k in x.kids:
+            if isinstance(k, str):
+                chars += len(k.strip())
+            elif k.tag not in DROPPED or k.tag == "form":
+                x.prose = x.prose or k.prose
+                if k.tag not in BLOCKS and k.tag != "a":
+                    chars += inline[k]
+        inline[x] = chars
+        x.prose = x.prose or chars >= PROSE and x.tag != "a"
+
+
+def names(node: Node) -> set:
+    return {w.lower() for name, value in ATTR.findall(node.attrs) if name.lower() in ("class", "id")
+            for w in WORDS.findall(value)}
+
+
+def heavy_wrappers(root: Node) -> tuple[set, set]:
+    """Forms, and elements with a name of layout, that hold more than half of the page's text and some prose.
+
+    Text is what lies in no other dropped element and in no link.  Forms are
+    none if an article or main outside of forms has text.
+    """
+    order, todo, named, forms, marked = [], [(root, False, False)], [], [], []
+    while todo:
+        x, quiet, in_form = todo.pop()
+        how = judge(x) if x is not root else TEXT
+        if x.tag == "form":
+            forms.append(x)
+            in_form = True
+        elif how in (OTHERS, NO_TEXT):
+            continue
+        elif how == LAYOUT and not names(x) & NOTICES:
+            named.append(x)
+        elif x.tag in ("article", "main") and not in_form:
+            marked.append(x)
+        quiet = quiet or x.tag == "a"
+        order.append((x, quiet))
+        todo += [(k, quiet, in_form) for k in x.kids if not isinstance(k, str)]
+    if not named and not forms:
+        return set(), set()
+    chars: dict = {}
+    for x, quiet in reversed(order):
+        own = 0 if quiet else sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+        chars[x] = own + sum(chars.get(k, 0) for k in x.kids if not isinstance(k, str))
+    if any(chars[x] for x in marked):
+        forms = []
+    return tuple({x for x in xs if x.prose and 2 * chars[x] > chars[root]} for xs in (forms, named))
+
+
 def marked_text(scope: Node, judged: dict) -> Node | None:
     """The element below ``scope`` that is marked as the text: a main, or else the article with the most text.
 
@@ -215,9 +287,14 @@ def marked_text(scope: Node, judged: dict) -> Node | None:
 
 
 def prune(root: Node) -> None:
-    """Drop boilerplate; a wrapper by its name only if it does not hold the marked text."""
-    judged: dict = {}
+    """Drop boilerplate; a wrapper by its name only if it holds neither the marked text nor most of the page's."""
+    find_prose(root)
+    forms, named = heavy_wrappers(root)
+    judged = {x: TEXT for x in forms}
     wraps, text = set(), marked_text(root, judged)
+    if text is None:
+        judged |= {x: TEXT for x in named}
+        text = marked_text(root, judged)
     while text is not None:
         up = text
         while up is not None and up not in wraps:
@@ -301,6 +378,33 @@ def is_paragraph(node: Node) -> bool:
                                       not isinstance(k, str) and k.tag not in BLOCKS and k.kids for k in node.kids)
 
 
+def pass_up(order) -> None:
+    """Add to each node's points those of what lies below it; ``order`` has children before parents.
+
+    A node has its own points, half of its children's, a sixth of its
+    grandchildren's, and of each level below two thirds as much.
+    """
+    own: dict = {}
+    below: dict = {}
+    far: dict = {}
+    for x in order:
+        kids = [k for k in x.kids if not isinstance(k, str)]
+        own[x] = x.points
+        below[x] = sum(own[k] for k in kids)
+        far[x] = sum(below[k] / 6 + far[k] * 2 / 3 for k in kids)
+        x.points += below[x] / 2 + far[x]
+
+
+def has_heading(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            return True
+        todo += [k for k in x.kids if not isinstance(k, str)]
+    return False
+
+
 def extract(page: str | None) -> str:
     """Main text of one page: blocks joined by a line break, empty if there is none."""
     if not page:
@@ -308,17 +412,14 @@ def extract(page: str | None) -> str:
     root = parse(page)
     prune(root)
     size = sizes(root)
-    scored = []
     for node, (chars, _, commas) in size.items():
         if not chars or not is_paragraph(node):
             continue
-        points = 1 + commas + min(chars / 100, 3)
-        up, level = node.parent if node.tag in PARAGRAPHS else node, 0
-        while up is not None:
-            if up.points == 0.0:
-                scored.append(up)
-            up.points += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-            up, level = up.parent, level + 1
+        to = node.parent if node.tag in PARAGRAPHS else node
+        if to is not None:
+            to.points += 1 + commas + min(chars / 100, 3)
+    pass_up(size)
+    scored = [x for x in size if x.points]
     if not scored:
         return "\n".join(blocks_of(root))
 
@@ -355,21 +456,26 @@ def extract(page: str | None) -> str:
             parts[-1][1].append(k)
         else:
             parts.append((inline, [k]))
-    kept: list = []
-    after = False
+    stays, after = [], False
     for inline, kids in reversed(parts):
         chars = linked = 0
         for k in kids:
             c, a = (len(clean(k)), 0) if isinstance(k, str) else size[k][:2]
             chars, linked = chars + c, linked + a
         k = kids[0]
-        stays = (k is best or chars and linked < LINKED * chars
-                 or not inline and k.points and score(k) >= max(10.0, 0.2 * top))
-        if stays or after and not inline and k.tag in HEADINGS:
-            kept.append(kids)
-            after = True
+        good = (k is best or chars and linked < LINKED * chars
+                or not inline and k.points and score(k) >= max(10.0, 0.2 * top))
+        after = bool(after or good)
+        stays.append(bool(good) or after and not inline and k.tag in HEADINGS)
+    stays.reverse()
+    # Parts with a heading between others of the text, such as a list of sources.
+    bodies = [i for i, (inline, kids) in enumerate(parts) if stays[i] and not inline and kids[0].tag not in HEADINGS]
+    for i, (inline, kids) in enumerate(parts):
+        if not stays[i] and not inline and bodies and bodies[0] < i < bodies[-1]:
+            stays[i] = bool(size[kids[0]][0]) and has_heading(kids[0])
+    kept = [kids for kids, stay in zip((kids for _, kids in parts), stays) if stay]
     whole = Node("div", "", None)
-    whole.kids = [k for kids in reversed(kept) for k in kids]
+    whole.kids = [k for kids in kept for k in kids]
     return "\n".join(blocks_of(whole))
 
 
@@ -379,7 +485,11 @@ FIELDS = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_c
 def main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """All columns (or ``keep``) plus ``text`` and ``n_chars`` (its code points).
 
-    Null and empty pages, and pages without text, give an empty text.
+    Null and empty pages, and pages without text, give an empty text; pages of
+    any length and depth are read whole.  Each row is read for itself, so
+    repeated rows and ids give equal rows, an empty table none.  Of containers
+    of equal score the first, innermost one is taken.  Columns of ``pages`` named
+    ``text`` or ``n_chars`` (in any case) are replaced, others stay.
     """
 
     def compute(col):

@@ -90,3 +90,99 @@ def test_comments_and_teasers_marked_as_articles(page, want):
 ])
 def test_parts_beside_the_best_container(page, want):
     assert html.extract(page) == want
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><form id=form1 action=x><div class=menu><a href=x>Home</a></div><div id=content>{FULL}</div></form>", WANT),
+    (f"<form id=aspnetForm><div class=sidebar><p>Side</p></div><article>{FULL}</article></form>", WANT),
+    (f"<div class='elementor-widget-container'>{FULL}</div>", WANT),
+    (f"<div class='elementor-widget'><div class='elementor-widget-container'>{FULL}</div></div><div class=widget><p>W</p></div>", WANT),
+    (f"<article>{FULL}<div class='social-history'><p>{LONG}</p></div><div class='social-links'><p>Follow us</p></div></article>",
+     f"{WANT}\n{LONG}"),
+    (f"<article>{FULL}<div class='notice-of-change'><p>{LONG}</p></div><div class=notice><p>{LONG}</p></div></article>", f"{WANT}\n{LONG}"),
+    (f"<div>{FULL}</div><div><h2>Sources</h2><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div>{FULL}</div>",
+     f"{WANT}\nSources\nOne\nTwo\n{WANT}"),
+    (f"<article>{FULL}</article><form>{FULL * 3}<input></form>", WANT),
+    (f"<div id=content><p>Short.</p></div><div class='cookie-banner'>{FULL}</div>", "Short."),
+    (f"<div class=comments>{FULL * 3}</div><div id=content>{FULL}</div>", WANT),
+    ("<div>Write to us.</div><form><label>Name</label><input><label>Your message</label><textarea></textarea></form>", "Write to us."),
+])
+def test_names_drop_no_subtree_with_the_text(page, want):
+    assert html.extract(page) == want
+
+
+def by_walking_up(nodes) -> dict:
+    """Points by the definition: every node's own points go to each ancestor, by distance."""
+    got = {x: 0.0 for x in nodes}
+    for x in nodes:
+        up, level = x, 0
+        while up is not None:
+            got[up] += x.points * (1 if level == 0 else 1 / 2 if level == 1 else (2 / 3) ** (level - 2) / 6)
+            up, level = up.parent, level + 1
+    return got
+
+
+def test_points_equal_a_walk_over_all_ancestors():
+    rng = random.Random(4)
+    for _ in range(30):
+        nodes = [html.Node("div", "", None)]
+        for _ in range(rng.randint(0, 60)):
+            up = rng.choice(nodes[-5:])
+            nodes.append(html.Node("div", "", up))
+            up.kids.append(nodes[-1])
+        for x in nodes:
+            x.points = float(rng.choice([0, 0, 1, 2.5, 7]))
+        want = by_walking_up(nodes)
+        html.pass_up(nodes[::-1])
+        assert all(abs(x.points - want[x]) < 1e-9 for x in nodes)
+
+
+def a_page(rng) -> tuple:
+    """A page made of known text and of boilerplate around it, without article or main."""
+    word = lambda: "".join(rng.choice("abcdeghilmnoprstu") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n)) + rng.choice([".", "!", ", so."])
+    want, inner = [], ""
+    for _ in range(rng.randint(3, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "pre"])
+        if kind == "ul":
+            items = [line(rng.randint(6, 12)) for _ in range(3)]
+            inner += "<ul>" + "".join(f"<li>{t}" for t in items) + "</ul>"
+            want += items
+        else:
+            text = line(rng.randint(3, 6) if kind == "h2" else rng.randint(25, 60))
+            inner += f"<{kind}>{text}" + ("" if kind == "p" and rng.random() < 0.3 else f"</{kind}>")
+            want.append(text)
+    inner += f"<p>{(last := line(40))}</p>"
+    want.append(last)
+    links = "".join(f"<li><a href=x>{word()} {word()}</a>" for _ in range(rng.randint(2, 8)))
+    around = [f"<nav><ul>{links}</ul></nav>", f"<div class='sidebar'><p>{line(30)}</p></div>", f"<ul class=menu>{links}</ul>",
+              f"<div id=comments><p>{line(30)}</p><p>{line(30)}</p></div>", f"<footer><p>{line(10)}</p></footer>",
+              f"<div class='cookie-notice'>{line(15)}</div>", f"<script>var x='{line(9)}'</script>",
+              f"<form><p>{line(4)}</p><input></form>", f"<div class='ad'>{line(9)}</div>", f"<ul>{links}</ul>"]
+    rng.shuffle(around)
+    cut = rng.randint(0, 5)
+    page = "".join(around[:cut]) + f"<div id=content>{inner}</div>" + "".join(around[cut:rng.randint(cut, 10)])
+    for _ in range(rng.randint(0, 3)):
+        page = rng.choice(["<div>{}</div>", "<form>{}</form>", "<div class='page widget'>{}</div>", "<section>{}</section>"]).format(page)
+    return f"<html><head><title>T</title></head><body>{page}</body></html>", "\n".join(want)
+
+
+def test_known_text_comes_back():
+    rng = random.Random(8)
+    for _ in range(300):
+        page, want = a_page(rng)
+        assert html.extract(page) == want, page
+
+
+def test_work_is_linear_in_depth():
+    assert html.extract("<div>" * 100000 + "<p>" + LONG) == LONG
+    assert len(html.extract("<div>x, y " * 50000)) == 50000 * 5 - 1
+    assert html.extract("<p><button>" + "<div>" * 50000) == ""
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, FULL, "old", 3), (1, FULL, "old", 3), (None, None, None, None)],
+                               "page_id long, html string, Text string, N_CHARS int")
+    got = html.main_text(df)
+    assert got.columns == ["page_id", "html", "text", "n_chars"]
+    assert sorted(((r.page_id or 0, r.text, r.n_chars) for r in got.collect())) == [(0, "", 0)] + [(1, WANT, len(WANT))] * 2
