@@ -65,9 +65,10 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, sf_dir: str, min_word: int = MIN_WORDS,
                  popular_min: int = POPULAR_MIN, mode: str = TAG_MODE, stopwords=None,
-                 use_lexicon: bool = False):
+                 use_lexicon: bool | str = False):
         """``stopwords`` is a list, or a one-column table, of words to drop instead of the
-        packaged list; with ``use_lexicon`` words are lemmatised through the lexicon table."""
+        packaged list; with ``use_lexicon`` words are lemmatised through the lexicon table,
+        with ``"detached"`` through the base forms of the documents and suffix detachment."""
         self.spark = spark
         self.sf_dir = sf_dir
         self.min_word = min_word
@@ -80,7 +81,16 @@ class Pipeline:
 
     @cached_property
     def lexicon(self) -> DataFrame | None:
-        return stage(fixtures.lexicon(self.spark, self.sf_dir), "lexicon") if self.use_lexicon else None
+        if not self.use_lexicon:
+            return None
+        if self.use_lexicon != "detached":
+            return stage(fixtures.lexicon(self.spark, self.sf_dir), "lexicon")
+        from ..functions import text as tx
+        from ..operators.lemmas import extend_lexicon
+
+        bases = stage(fixtures.paradigm_lexicon(self.spark, self.sf_dir), "bases")
+        return stage(extend_lexicon(bases, self.kept.select(F.explode(tx.split_words(F.col("preprocessed"))).alias("form"))),
+                     "lexicon")
 
     @cached_property
     def lexicon_rows(self) -> int | None:
@@ -117,12 +127,16 @@ class Pipeline:
         """Cleaned, de-duplicated, minimum words; before the ASCII filters."""
         return stage(clean.clean_stage(self.data2, self.min_word, self.mode), "cleaned")
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """Rows that pass the ASCII filters."""
+        return clean.ascii_tags(clean.ascii_only(self.staged))
+
     @cached_property
     def df(self) -> DataFrame:
         from ..operators.tokens import tokenize_lemma
 
-        kept = clean.ascii_tags(clean.ascii_only(self.staged))
-        return stage(tokenize_lemma(kept, stopwords=self.stopwords, lexicon=self.lexicon,
+        return stage(tokenize_lemma(self.kept, stopwords=self.stopwords, lexicon=self.lexicon,
                                     lexicon_rows=self.lexicon_rows), "df")
 
     @cached_property

@@ -764,6 +764,44 @@ t AS (SELECT id, i, coalesce(lemma, w.form) AS tok FROM w LEFT JOIN lex ON w.for
 g AS (SELECT id, string_agg(tok, ' ' ORDER BY i) AS l, CAST(count(*) AS INTEGER) AS n FROM t
       WHERE length(tok) >= {fixed.MIN_TOKEN_LEN} GROUP BY id)
 SELECT id, coalesce(l, '') AS spacy_lemmatized, coalesce(n, 0) AS n_tokens FROM dfx LEFT JOIN g USING (id)""")
+
+
+def detached() -> str:
+    """CTEs ``w`` (id, form, i), ``bases`` and ``entries`` (form, pos, lemma) after ``base()``."""
+    from ..operators.lemmas import RULES
+
+    rules = ", ".join(f"({s(kind)}, {place}, {s(suffix)}, {s(new)})" for kind, of_kind in RULES.items()
+                      for place, (suffix, new) in enumerate(of_kind))
+    cut = "substr({0}, 1, length({0}) - length(suffix)) || new"
+    return "WITH " + base().rstrip() + f""",
+words0 AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS form FROM documents WHERE lang = 'en'),
+bases AS (SELECT DISTINCT b.form, pos FROM (SELECT form, pos, form || ending AS longer
+            FROM words0, (VALUES ('VERB', 'ed'), ('VERB', 'ing'), ('ADJ', 'er'), ('ADJ', 'est'), ('NOUN', 's')) e(pos, ending)) b
+          JOIN words0 a ON a.form = b.longer WHERE length(b.form) >= 3),
+w AS (SELECT id, l[i] AS form, i FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+        SELECT id, {words('preprocessed')} AS l FROM dfx))),
+rules(pos, place, suffix, new) AS (VALUES {rules}),
+unknown AS (SELECT DISTINCT form FROM w WHERE form NOT IN (SELECT form FROM bases)),
+one AS (SELECT form, pos, 1 AS step, place, {cut.format('form')} AS lemma FROM unknown, rules
+        WHERE ends_with(form, suffix) AND length(form) > length(suffix)),
+two AS (SELECT form, pos, 2 AS step, r.place, {cut.format('lemma')} AS lemma FROM one JOIN rules r USING (pos)
+        WHERE ends_with(lemma, suffix) AND length(lemma) > length(suffix)),
+entries AS (SELECT form, pos, form AS lemma FROM bases UNION ALL
+  SELECT form, pos, lemma FROM (
+    SELECT c.form, c.pos, c.lemma,
+           row_number() OVER (PARTITION BY c.form, c.pos ORDER BY step, length(c.lemma), place, c.lemma) AS k
+    FROM (SELECT * FROM one UNION ALL SELECT * FROM two) c JOIN bases b ON b.form = c.lemma AND b.pos = c.pos)
+  WHERE k = 1)"""
+
+
+q("detached_lemmas", lambda: detached() + "\nSELECT form, pos, lemma FROM entries")
+q("tokenize_lemma_detached", lambda: detached() + f""",
+first AS (SELECT form, lemma FROM (SELECT form, lemma, row_number() OVER (PARTITION BY form ORDER BY
+            CASE pos WHEN 'NOUN' THEN 0 WHEN 'VERB' THEN 1 ELSE 2 END, lemma) AS k FROM entries) WHERE k = 1),
+t AS (SELECT id, i, coalesce(lemma, w.form) AS tok FROM w LEFT JOIN first ON w.form = first.form),
+g AS (SELECT id, string_agg(tok, ' ' ORDER BY i) AS l, CAST(count(*) AS INTEGER) AS n FROM t
+      WHERE {kept_token('tok')} GROUP BY id)
+SELECT id, coalesce(l, '') AS tokenized, coalesce(n, 0) AS n_tokens FROM dfx LEFT JOIN g USING (id)""")
 q("tokenize_stopword_table", lambda: with_base(f"""
 SELECT id, array_to_string(l, ' ') AS tokenized, CAST(len(l) AS INTEGER) AS n_tokens FROM (
   SELECT id, list_filter(tokenized, lambda t: t NOT IN ({', '.join(s(w) for w in EXTRA_STOPWORDS)})) AS l FROM dfx)"""))

@@ -227,6 +227,19 @@ def q_tokenize_lemma_lexicon(spark, sf):
         "id", F.array_join("tokenized", " ").alias("tokenized"), F.size("tokenized").alias("n_tokens"))
 
 
+@query("detached_lemmas")
+def q_detached_lemmas(spark, sf):
+    """Entries of a lexicon of base forms and of the tweets' words that it lacks."""
+    return Pipeline.of(spark, sf, use_lexicon="detached").lexicon
+
+
+@query("tokenize_lemma_detached")
+def q_tokenize_lemma_detached(spark, sf):
+    """Token lists lemmatised through base forms and suffix detachment."""
+    return Pipeline.of(spark, sf, use_lexicon="detached").df.select(
+        "id", F.array_join("tokenized", " ").alias("tokenized"), F.size("tokenized").alias("n_tokens"))
+
+
 @query("tokenize_stopword_table")
 def q_tokenize_stopword_table(spark, sf):
     """Token lists with the stop words of a table."""

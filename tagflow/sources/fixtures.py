@@ -105,6 +105,29 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LEXICON_SQL.format(documents=view))
 
 
+PARADIGM_SQL = r"""
+with words as (select distinct explode(split(lower(text), '[^a-z]+')) as form from {documents} where lang = 'en'),
+seen as (select substr(form, 1, length(form) - 2) as form, 'VERB' as pos from words where form like '%ed'
+         union all select substr(form, 1, length(form) - 3), 'VERB' from words where form like '%ing'
+         union all select substr(form, 1, length(form) - 2), 'ADJ' from words where form like '%er'
+         union all select substr(form, 1, length(form) - 3), 'ADJ' from words where form like '%est'
+         union all select substr(form, 1, length(form) - 1), 'NOUN' from words where form like '%s')
+select distinct form, pos, form as lemma from seen join words using (form) where length(form) >= 3
+"""
+
+
+def paradigm_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base forms ``(form, pos, lemma)`` of ``documents``, by the endings that they are also seen with.
+
+    An English word is a verb if it also stands with -ed or -ing, an adjective
+    with -er or -est, a noun with -s.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    view = f"tagflow_paradigms_{abs(hash(sf_dir))}"
+    docs.createOrReplaceTempView(view)
+    return spark.sql(PARADIGM_SQL.format(documents=view))
+
+
 def stopword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stop-word table: the union of the packaged list and a list of frequent syllable words."""
     words = union_stopwords(default_stopwords(), EXTRA_STOPWORDS)
