@@ -841,6 +841,20 @@ q("narrowed_table", lambda: with_base(
     + ", " + " || ',' || ".join(map(_type_of, NARROWED)) + " AS types FROM data"))
 
 
+q("source_distances", lambda: """
+WITH w AS (SELECT coalesce(source, '') AS a, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents),
+c AS (SELECT a, term, count(*) AS n FROM w WHERE term <> '' GROUP BY 1, 2),
+p AS (SELECT a, term, n / sum(n) OVER (PARTITION BY a) AS p FROM c),
+g AS (SELECT x.a, y.a AS b FROM (SELECT DISTINCT a FROM p) x JOIN (SELECT DISTINCT a FROM p) y ON x.a < y.a),
+u AS (SELECT a, b, term, sum(x) AS x, sum(y) AS y FROM (
+        SELECT g.a, g.b, term, p AS x, 0 AS y FROM g JOIN p ON p.a = g.a
+        UNION ALL SELECT g.a, g.b, term, 0, p FROM g JOIN p ON p.a = g.b) GROUP BY 1, 2, 3)
+SELECT a, b, count(*) FILTER (x > 0 AND y > 0) AS shared,
+       round(greatest(0, sum(CASE WHEN x > 0 THEN x * ln(2 * x / (x + y)) ELSE 0 END
+                             + CASE WHEN y > 0 THEN y * ln(2 * y / (x + y)) ELSE 0 END) / 2), 9) AS divergence
+FROM u GROUP BY a, b HAVING count(*) FILTER (x > 0 AND y > 0) > 0""")
+
+
 # ---- reply chains (conversations) -------------------------------------------
 q("enrich_reply_chains", lambda: f"""
 WITH c AS (SELECT conv_id * {MAX_TURNS} + turn + 1 AS id,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import clean, docs, embeddings, enrich, gibbs, graph, idsets, ingest, similarity, tags, tokens, topics, urls
+from ..operators import clean, docs, embeddings, enrich, gibbs, graph, idsets, ingest, similarity, tags, tokens, topic_map, topics, urls
 from ..session import stage
 from ..sources import fixtures
 from . import chain
@@ -537,7 +537,23 @@ def q_coherence_terms(spark, sf):
     return c.select("topic", F.round("coherence", 6).alias("coherence"))
 
 
+@query("source_distances")
+def q_source_distances(spark, sf):
+    """Divergence of the word distributions of each two document sources (a null source counts as empty)."""
+    counts = fixtures.source_words(spark, sf).groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
+    shares = stage(topic_map.shares_of(counts, "source", "word"), "shares")
+    return topic_map.distances(shares).select("a", "b", "shared", F.round("divergence", DIGITS).alias("divergence"))
+
+
 # ---- topic models (fitted: no SQL oracle) --------------------------
+@query("topic_map")
+def q_topic_map(spark, sf):
+    """Share, place on the map and rank of each topic of the fitted model."""
+    counts = stage(topics.topic_counts(Pipeline.of(spark, sf).topic_model).where("id < 0"), "topic_counts")
+    m = topic_map.topic_map(counts, "topic", "id")
+    return m.select("topic", *[F.round(c, DIGITS).alias(c) for c in ("share", "x", "y")], "rank")
+
+
 @query("lda_sweep")
 def q_lda_sweep(spark, sf):
     return Pipeline.of(spark, sf).sweep[0]

@@ -128,6 +128,12 @@ def paradigm_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PARADIGM_SQL.format(documents=view))
 
 
+def source_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(source, word)``: every word of a-z of ``documents``, lower-cased; a null source is empty."""
+    d = read_table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.lower("text").alias("t"))
+    return d.select("source", F.explode(F.split("t", "[^a-z]+")).alias("word")).where("word <> ''")
+
+
 def stopword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stop-word table: the union of the packaged list and a list of frequent syllable words."""
     words = union_stopwords(default_stopwords(), EXTRA_STOPWORDS)
