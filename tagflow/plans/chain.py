@@ -37,6 +37,18 @@ LDA_KS = range(2, 8, 2)  # find_topic_num(limit_num=8, start_num=2, step_num=2)
 TOPIC_K = 4            # the model shown by the topic views
 
 
+MAX_STOPWORDS = 10_000     # words of a stop-word table, which become one literal list
+
+
+def listed(words: DataFrame, most: int = MAX_STOPWORDS) -> tuple:
+    """The distinct words of a one-column table, nulls left out; a table of more than ``most`` is refused."""
+    word = F.col(words.columns[0])
+    got = words.select(word.alias("w")).where(F.col("w").isNotNull()).distinct().limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a stop-word table takes at most {most} words")
+    return tuple(sorted(r.w for r in got))
+
+
 class Pipeline:
     """Stages of the tweet chain for one input folder and one parameter set.
 
@@ -75,7 +87,7 @@ class Pipeline:
         self.popular_min = popular_min
         self.mode = mode
         if isinstance(stopwords, DataFrame):
-            stopwords = tuple(sorted(r[0] for r in stopwords.distinct().collect()))   # a word list
+            stopwords = listed(stopwords)
         self.stopwords = stopwords
         self.use_lexicon = use_lexicon
 

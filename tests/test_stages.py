@@ -2,6 +2,9 @@
 
 import tempfile
 
+import pytest
+
+from tagflow.plans import chain
 from tagflow.plans.chain import Pipeline
 from tagflow.plans.stages import write_stages
 from tagflow.sources import io
@@ -23,3 +26,10 @@ def test_write_stages_round_trip(spark):
 def test_union_stopwords():
     from tagflow.functions.stopwords import union_stopwords
     assert union_stopwords(["a", "b"], ["b", "c"]) == ("a", "b", "c")
+
+
+def test_a_stop_word_table_is_bounded(spark):
+    words = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "word string")
+    assert chain.listed(words) == ("a", "b") and chain.listed(words, 2) == ("a", "b")
+    with pytest.raises(ValueError):
+        chain.listed(words, 1)
