@@ -108,3 +108,15 @@ def test_clean_stage_modes(spark):
     assert got["text_h_in"] == [(1, "hello world again a b"), (3, "x mid y z end")]
     assert got["text_h_out"] == [(1, "hello world again "), (3, "x y z ")]
     assert got["text_h_ne"] == [(1, "hello world again"), (3, "x mid y z")]
+
+
+def test_spark_only_classes_hold_the_same_characters(spark):
+    """The classes that Spark runs, against the ranges that the oracle SQL takes; words are counted without a negated class."""
+    df = spark.createDataFrame([(c, chr(c)) for c in range(1, 0x4000)], "i int, s string")
+    for plain, java in ((tx.WS, tx.JAVA_WS), (tx.PUNCT_RE, tx.JAVA_PUNCT_RE)):
+        got = [df.where(F.col("s").rlike(r"\A(?:" + x + r")\z")).select("i").orderBy("i").collect() for x in (plain, java)]
+        assert got[0] == got[1] and len(got[0]) > 25
+    assert [r.i for r in df.where(tx.is_ascii(F.col("s"))).collect()] == list(range(1, 128))
+    texts = ["a\u2003b", "\u3000", " \x1ca\x85b c\u1680", None, "x\u200by"]
+    assert _run(spark, tx.word_count, texts) == [2, 0, 3, None, 1]
+    assert tx.NOT_WS not in str(tx.word_count(F.col("s")))
