@@ -110,3 +110,19 @@ def test_nothing_to_count(spark):
     pmi = E.ppmi(E.cooccurrences(df, min_count=1))
     vectors = E.word_vectors(pmi)
     assert pmi.count() == 0 and vectors.count() == 0 and E.alike_words(vectors, 0.8).count() == 0
+
+
+def test_cooccurrences_are_counted_by_code(spark, monkeypatch):
+    """Null words, words that differ in letters only Unicode knows, and words that share a code."""
+    ts = [["b", None, "a", "b"], ["\u00e4", "a", "\u00e4"], ["a", "b"], ["\u00e4", "a"], ["b", "A"], [None, None]]
+    df = spark.createDataFrame([(t,) for t in ts], "tokens array<string>").repartition(2)
+    want = {("a", "b"): 3, ("a", "\u00e4"): 3}
+
+    def got():
+        return {(r.a, r.b): r.n for r in E.cooccurrences(df, window=2, min_count=2).collect()}
+
+    plan = E.cooccurrences(df, window=2, min_count=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
+    assert got() == want
+    monkeypatch.setattr(E, "code", lambda w: E.F.length(w).cast("long"))     # every word clashes
+    assert got() == want
