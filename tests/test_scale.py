@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from tagflow.operators import topics
+from pyspark.sql import functions as F
+
+from tagflow.operators import similarity, tokens, topics
 
 
 def test_block_bits_match_brute_force():
@@ -20,3 +22,20 @@ def test_coherence_counts_only_pairs_of_a_topic(spark):
     tw = spark.createDataFrame([(0, "b"), (0, "a"), (1, "c"), (1, "d"), (2, "a"), (2, "b")], "topic int, term string")
     words, pairs = topics._words_and_pairs(tw)
     assert words == ["a", "b", "c", "d"] and pairs.tolist() == [[0, 1], [2, 3]]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unit_rows_do_not_move_the_entries(spark):
+    w = spark.createDataFrame([(1, "a", 3.0), (1, "b", 4.0), (2, "a", 2.0)], "doc_id long, term string, raw double")
+    unit = similarity.unit_rows(w, "doc_id", "raw")
+    assert "hashpartitioning" not in plan_of(unit)
+    assert sorted(map(tuple, unit.collect())) == [(1, "a", 0.6), (1, "b", 0.8), (2, "a", 1.0)]
+
+
+def test_ngrams_of_short_and_long_lists(spark):
+    t = spark.createDataFrame([(1, []), (2, ["a"]), (3, ["a", "b", "c"])], "id long, t array<string>")
+    got = {r.id: r.g for r in t.select("id", similarity.ngrams(F.col("t"), 1, 3).alias("g")).collect()}
+    assert got == {1: [], 2: ["a"], 3: ["a", "b", "c", "a b", "b c", "a b c"]}
