@@ -39,3 +39,22 @@ def test_ngrams_of_short_and_long_lists(spark):
     t = spark.createDataFrame([(1, []), (2, ["a"]), (3, ["a", "b", "c"])], "id long, t array<string>")
     got = {r.id: r.g for r in t.select("id", similarity.ngrams(F.col("t"), 1, 3).alias("g")).collect()}
     assert got == {1: [], 2: ["a"], 3: ["a", "b", "c", "a b", "b c", "a b c"]}
+
+
+def test_fused_pairs_keep_the_tokens_between_them(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [], None), (1, ["a"], None), (2, ["a", "b"], [0])]
+    for n in range(3, 60):
+        starts, i = [], int(rng.integers(0, 3))
+        while i < n - 1:
+            starts.append(i)
+            i += int(rng.integers(2, 5))
+        rows.append((n, [f"w{k}" for k in range(n)], starts or None))
+    df = spark.createDataFrame(rows, "id int, t array<string>, s array<int>")
+    for r in df.select("t", "s", tokens._fused(F.col("t"), F.col("s")).alias("got")).collect():
+        want, i = [], 0
+        while i < len(r.t):
+            pair = i in (r.s or [])
+            want.append("_".join(r.t[i:i + 2]) if pair else r.t[i])
+            i += 2 if pair else 1
+        assert r.got == want
