@@ -4,7 +4,8 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from tagflow.operators import similarity, tokens, topics
+from tagflow.functions import text as tx
+from tagflow.operators import clean, similarity, tokens, topics
 
 
 def test_block_bits_match_brute_force():
@@ -58,3 +59,25 @@ def test_fused_pairs_keep_the_tokens_between_them(spark):
             want.append("_".join(r.t[i:i + 2]) if pair else r.t[i])
             i += 2 if pair else 1
         assert r.got == want
+
+
+def test_gaps_close_in_one_pass(spark):
+    texts = ["a,1, b", " ,a", "a  b\t c", "a.b,c", "1", ",", "", " ", "a 1 2 b", "x　— y ", " a--", "a b", "12,34 a", ",,  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("old", tx.collapse_whitespace(
+        tx.remove_digits(tx.punctuation_to_space(F.col("t"))))).withColumn("new", tx.gaps_to_space(tx.remove_digits(F.col("t"))))
+    assert [r for r in df.collect() if r.old != r.new] == []
+
+
+def test_has_words_agrees_with_the_count(spark):
+    texts = ["", " ", "a", " a ", "a b", " a b", "a b ", "  a\tb  c ", "a b c", "a b c d e f", " a b c d", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in range(-1, 6):
+        both = df.select(tx.has_words(F.col("t"), n).alias("a"), (tx.word_count(F.col("t")) >= n).alias("b")).collect()
+        assert [r for r in both if r.a != r.b] == []
+
+
+def test_first_rows_are_grouped_by_marks_of_texts(spark):
+    rows = [(3, "x y", None), (1, "x y", None), (2, "x y", "t"), (5, None, "t"), (4, None, "t"), (6, "x", "y")]
+    first = clean.dedup_first(spark.createDataFrame(rows, "id int, preprocessed string, hashtags string"))
+    assert sorted(first.collect()) == [(1, "x y", None), (2, "x y", "t"), (4, None, "t"), (6, "x", "y")]
+    assert "sha2" in plan_of(first)
