@@ -81,3 +81,17 @@ def test_first_rows_are_grouped_by_marks_of_texts(spark):
     first = clean.dedup_first(spark.createDataFrame(rows, "id int, preprocessed string, hashtags string"))
     assert sorted(first.collect()) == [(1, "x y", None), (2, "x y", "t"), (4, None, "t"), (6, "x", "y")]
     assert "sha2" in plan_of(first)
+
+
+def test_phrases_are_counted_by_one_key(spark, monkeypatch):
+    """A pair is one string; words and pairs of short texts, nulls and odd gaps are counted as before."""
+    written = {}
+    monkeypatch.setattr(tokens, "stage", lambda df, name: written.setdefault(name, df))
+    texts = ["Aa bb\tcc", "aa\u2003bb", "it's aa  bb", "", "aa", None, "aa\nbb cc_d \u00c9aa"]
+    df = spark.createDataFrame([(t,) for t in texts], "preprocessed string")
+    got = {(r.a, r.b): (r.n_a, r.n_b, r.n_ab, r.score) for r in tokens.mine_bigrams(df, min_count=1, threshold=0.1).collect()}
+    assert written["phrase_counts"].columns == ["w", "n"]
+    counts = dict(map(tuple, written["phrase_counts"].collect()))
+    assert counts == {"aa": 5, "bb": 4, "cc": 1, "its": 1, "cc_d": 1, "eaa": 1, "aa bb": 4, "bb cc": 1, "its aa": 1,
+                      "bb cc_d": 1, "cc_d eaa": 1}
+    assert got == {("aa", "bb"): (5, 4, 4, 3 / 20 * 11)}
