@@ -1,90 +1,48 @@
-"""The EM fit against the same steps in numpy; its start and result do not hang on partitions."""
+"""The EM fit against MLlib's optimizer, number for number, and the shuffles of an iteration."""
 
-import math
 import random
 
 import numpy as np
+from pyspark.ml.clustering import LDA
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tagflow.operators import em, topics
 
 
-def corpus(spark, docs=12, words=30):
+def vectors(spark):
     rnd = random.Random(8)
-    rows = [(d, w, float(rnd.randint(1, 5))) for d in range(docs) for w in range(words) if w == d or rnd.random() < 0.3]
-    rows += [(docs, w, 2.0) for w in range(words)]       # one document holds every term
-    return rows, spark.createDataFrame(rows, "doc long, idx int, count double")
+    rows = [[float(rnd.randint(1, 5)) if w == d or rnd.random() < 0.3 else 0.0 for w in range(30)] for d in range(12)]
+    rows.append([2.0] * 30)                     # one document holds every term
+    made = [(Vectors.dense(r) if i % 3 else Vectors.sparse(30, [(w, x) for w, x in enumerate(r) if x]),)
+            for i, r in enumerate(rows)]
+    return topics.stage(spark.createDataFrame(made, ["features"]).repartition(3), "vectors")
 
 
-def numpy_em(rows, n_wk, n_dk, k, v, rounds):
-    alpha1, eta1 = 50.0 / k, em.ETA - 1
-    for _ in range(rounds):
-        g = np.array([(n_wk[w] + eta1) * (n_dk[d] + alpha1) / (n_dk.sum(0) + v * eta1) for d, w, _ in rows])
-        s = g / g.sum(1, keepdims=True) * np.array([c for *_, c in rows])[:, None]
-        n_wk, n_dk = np.zeros_like(n_wk), np.zeros_like(n_dk)
-        for (d, w, _), x in zip(rows, s):
-            n_wk[w] += x
-            n_dk[d] += x
-    return n_wk, n_dk
-
-
-def tables(model, v, d, k):
-    n_wk, n_dk = np.zeros((v, k)), np.zeros((d, k))
-    for r in topics.topic_counts(model).collect():
-        (n_wk if r.id < 0 else n_dk)[-r.id - 1 if r.id < 0 else r.id, r.topic] = r.n
-    return n_wk, n_dk
-
-
-def test_fit_follows_the_update(spark, monkeypatch):
+def test_fit_is_that_of_mllib(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(em, "STAGE_EVERY", 2)
-    rows, df = corpus(spark)
-    k, v, d = 3, 30, 13
-    start = tables(em.fit(df, k, 0, seed=5), v, d, k)
-    assert abs(start[0].sum() - sum(c for *_, c in rows)) < 1e-9
-    m = em.fit(em.dealt(df), k, 7, seed=5)
-    got, want = tables(m, v, d, k), numpy_em(rows, *start, k, v, 7)
-    assert np.allclose(got[0], want[0], atol=1e-9) and np.allclose(got[1], want[1], atol=1e-9)
-    phi = (want[0] + em.ETA - 1) / (want[0].sum(0) + v * (em.ETA - 1))
-    theta = (want[1] + 50 / k) / (want[1] + 50 / k).sum(1, keepdims=True)
-    ll = sum(c * math.log(phi[w] @ theta[x]) for x, w, c in rows)
-    assert abs(m.trainingLogLikelihood() - ll) < 1e-6
-    for r in m.describeTopics(4).collect():
-        share = want[0][:, r.topic] / want[0][:, r.topic].sum()
-        assert np.allclose(r.termWeights, sorted(share, reverse=True)[:4])
-        assert np.allclose(share[r.termIndices], r.termWeights)
-
-
-def test_fit_does_not_depend_on_partitions(spark):
-    _, df = corpus(spark)
-    one, other = (tables(em.fit(x, 2, 4, seed=1), 30, 13, 2) for x in (df.coalesce(1), df.repartition(6, "count")))
-    assert np.allclose(one[0], other[0], atol=1e-9) and np.allclose(one[1], other[1], atol=1e-9)
+    vec, k = vectors(spark), 3
+    want = LDA(k=k, maxIter=5, seed=1, optimizer="em").fit(vec)
+    got = topics.fit_lda(vec, k, max_iter=5, seed=1)
+    assert isinstance(got, em.EMModel)          # no graph
+    want.write().save(str(tmp_path / "m"))
+    saved = spark.read.parquet(str(tmp_path / "m/oldModel/data/topicCounts"))
+    a = {(r.id, r.topic): r.n for r in saved.select("id", F.posexplode(vector_to_array("topicWeights")).alias("topic", "n")).collect()}
+    b = {(r.id, r.topic): r.n for r in topics.topic_counts(got).collect()}
+    assert a.keys() == b.keys() and max(abs(a[x] - b[x]) for x in a) < 1e-9
+    assert abs(got.trainingLogLikelihood() - want.trainingLogLikelihood()) < 1e-6
+    mine = {r.topic: r for r in got.describeTopics(4).collect()}
+    for r in want.describeTopics(4).collect():
+        assert mine[r.topic].termIndices == r.termIndices and np.allclose(mine[r.topic].termWeights, r.termWeights)
 
 
 def test_sums_per_term_move_no_entry(spark):
-    _, df = corpus(spark)
-    held = em.dealt(df)
-    m = em.fit(held, 2, 1, seed=1)
-    terms = em.dealt(m.terms)
+    vec = vectors(spark)
+    m = topics.fit_lda(vec, 2, max_iter=0)
+    held, terms = em.dealt(m.entries), em.dealt(m.terms)
     held.count(), terms.count()
     shares = em._shares(em._weighted(held, terms, em._factors(m.docs, 2, m.alpha, m.v), m.n_docs, 2), 2)
     plan = em._sums(shares, "idx", "t", 2)._jdf.queryExecution().executedPlan().toString()
     outside = plan.split("InMemoryRelation")[0]
     assert "HashAggregate" in outside and "Exchange hashpartitioning(idx" not in outside
-
-
-def test_likelihood_is_that_of_mllib_in_kind(spark):
-    """Entries, sparse vectors and MLlib's optimizer meet at about the same likelihood."""
-    from pyspark.ml.clustering import LDA
-
-    rnd = random.Random(3)
-    rows = [(d, f"w{(d % 3) * 10 + rnd.randint(0, 9)}", rnd.randint(1, 4)) for d in range(30) for _ in range(12)]
-    counts = spark.createDataFrame(rows, "doc_key long, term string, count long").groupBy("doc_key", "term").agg(
-        F.sum("count").alias("count"))
-    vec, vocab, v = topics.bag_of_words(counts)
-    entries, vocab2, v2 = topics.term_entries(counts)
-    assert v == v2 and sorted(vocab.collect()) == sorted(vocab2.collect())
-    names = {r.idx: r.term for r in vocab.collect()}
-    assert sorted((r.doc, names[r.idx], int(r["count"])) for r in entries.collect()) == sorted(map(tuple, counts.collect()))
-    ml = LDA(k=3, maxIter=8, seed=1, optimizer="em").fit(vec).trainingLogLikelihood()
-    for c in (vec, entries):
-        assert abs(topics.fit_lda(c, 3, max_iter=8).trainingLogLikelihood() / ml - 1) < 0.02
