@@ -126,3 +126,40 @@ def test_cooccurrences_are_counted_by_code(spark, monkeypatch):
     assert got() == want
     monkeypatch.setattr(E, "code", lambda w: E.F.length(w).cast("long"))     # every word clashes
     assert got() == want
+
+
+def test_vectors_and_pmi_of_blocks_are_those_of_rows(made, spark, monkeypatch):
+    """Pairs counted in numbered blocks, and as rows where the words are too many to be broadcast."""
+    ts, _, pmi = made
+    df = spark.createDataFrame([(t,) for t in ts], "tokens array<string>").repartition(3)
+    pairs = E.word_pairs(df, window=4, min_count=3).staged()
+    assert pairs.rows is None and pairs.blocks.count() > 1
+    want = {(r.a, r.b): (r.n, round(r.x, 9)) for r in pmi.collect()}
+    assert {(r.a, r.b): (r.n, round(r.x, 9)) for r in pairs.pmi().collect()} == want
+
+    def near(vectors):
+        v = {r.word: np.array(r.v) for r in vectors.collect()}
+        return sorted(v), np.array([v[w] @ v[x] for w in sorted(v) for x in sorted(v)])
+
+    words, products = near(E.word_vectors(pmi, rank=4, rounds=6))
+    got = near(pairs.vectors(rank=4, rounds=6))
+    assert got[0] == words and np.allclose(got[1], products, atol=1e-6)
+    monkeypatch.setattr(E, "MAX_BROADCAST_ROWS", 3)
+    many = E.word_pairs(df, window=4, min_count=3)
+    assert many.blocks is None
+    assert {(r.a, r.b): (r.n, round(r.x, 9)) for r in many.staged().pmi().collect()} == want
+
+
+def test_alike_words_need_no_shuffle_of_candidates(spark, monkeypatch):
+    """Packs of words: every pair is met once, whatever the packs, and only pairs that share a signature are kept."""
+    r = np.random.default_rng(3)
+    rows = [(f"w{i:03}", [float(x) for x in r.standard_normal(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "word string, v array<double>")
+    exact = {(x.t1, x.t2): x.s for x in E.exact_alike_words(df, 0.9).collect()}
+    for size in (4096, 16):
+        monkeypatch.setattr(E, "PACK_WORDS", size)
+        out = E.alike_words(df, 0.9, recall=0.999999)
+        found = [(x.t1, x.t2, x.s) for x in out.collect()]
+        assert len(found) == len({f[:2] for f in found}) and {f[:2] for f in found} == exact.keys()
+        assert all(abs(s - exact[a, b]) < 1e-12 for a, b, s in found)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
