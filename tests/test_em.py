@@ -46,3 +46,19 @@ def test_sums_per_term_move_no_entry(spark):
     plan = em._sums(shares, "idx", "t", 2)._jdf.queryExecution().executedPlan().toString()
     outside = plan.split("InMemoryRelation")[0]
     assert "HashAggregate" in outside and "Exchange hashpartitioning(idx" not in outside
+
+
+def test_packs_fit_as_joins_do(spark, monkeypatch):
+    vec = vectors(spark)
+    monkeypatch.setattr(em, "ENTRIES_AT_ONCE", 5)
+    one = topics.fit_lda(vec, 3, max_iter=12)
+    assert one.terms.count() == 30 and one.docs.count() == 13
+
+    def no_packs(*a):
+        raise AssertionError("the documents' counts are over the bound")
+
+    monkeypatch.setattr(em.rounds, "MOST_GLOBAL", 38)
+    monkeypatch.setattr(em, "_fit_in_packs", no_packs)
+    two = topics.fit_lda(vec, 3, max_iter=12)
+    a, b = ({(r.id, r.topic): r.n for r in topics.topic_counts(m).collect()} for m in (one, two))
+    assert a.keys() == b.keys() and max(abs(a[x] - b[x]) for x in a) < 1e-9
