@@ -114,3 +114,28 @@ def test_no_tokens_and_wrong_parameters(spark):
     assert [r.n_tokens for r in G.topic_sizes(state, alpha).collect()] == [0, 0]
     with pytest.raises(ValueError):
         G.sample_topics(df, 0, 5)
+
+
+def test_packs_draw_as_joins_do(spark, monkeypatch):
+    """One job a sweep over packs, also with terms spread over packs and chunks, against the joined counts."""
+    rows = planted(5, docs=6, length=25) + [(d, 10 ** 6 + 100 * d + i, 3) for d in range(6) for i in range(15)]
+    named = spark.createDataFrame([(f"d{d}", p, w) for d, p, w in rows], "doc string, place long, idx int").repartition(3)
+    staged = []
+    monkeypatch.setattr(G, "stage", lambda df, name="stage", f=G.stage, **o: staged.append(name) or f(df, name, **o))
+
+    def drawn():
+        staged.clear()
+        state, alpha = G.sample_topics(named, 3, 20, sweeps=12, optimize_every=4, seed=5)
+        return {(r.doc, r.place, r.idx): r.z for r in state.collect()}, alpha, state.dtypes
+
+    monkeypatch.setattr(G.rounds, "MOST_GLOBAL", 0)
+    want, alpha, kinds = drawn()
+    assert staged.count("topics_of_tokens") == 13
+    monkeypatch.setattr(G.rounds, "MOST_GLOBAL", 1 << 20)
+    for spread, chunk, dealt in ((1 << 18, 1 << 17, 1 << 20), (20, 7, 30)):
+        monkeypatch.setattr(G, "DEALT_TOKENS", dealt)
+        monkeypatch.setattr(G, "SPREAD_TOKENS", spread)
+        monkeypatch.setattr(G, "CHUNK", chunk)
+        got, got_alpha, got_kinds = drawn()
+        assert got == want and got_kinds == kinds and got_alpha == pytest.approx(alpha, rel=1e-9)
+        assert staged.count("topics_of_tokens") == 1          # no state is written between the sweeps
