@@ -88,3 +88,19 @@ def test_lda_invariants(spark):
     for t in share:
         best = sorted((r for r in rel if r.topic == t), key=lambda r: (-r.relevance, r.term))[:4]
         assert [r.term for r in sorted((r for r in top if r.topic == t), key=lambda r: r["rank"])] == [r.term for r in best]
+
+
+def test_coherence_reads_the_topics_once(spark):
+    """The topics' words are worked out once, and the plan of the result does not repeat how they came about."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    words = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (1, "c")], "topic int, term string").coalesce(1)
+    texts = topics.prepare_texts(spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b", "c"])], "doc_key int, tokens array<string>"),
+                                 ["tokens"])
+    out = topics.coherence_cv(words.mapInArrow(passed, words.schema), texts, window=2)
+    assert out.count() == 2 and seen.value == 4
